@@ -7,7 +7,7 @@ The result does not depend on the cell size.
 Skew. Points at one position are counted into one row, and copies of one geometry into one row, before anything
 is shuffled by cell. Cells that still hold many points or parts are split into blocks: points over ``_i``, parts
 over ``_j``, each side repeated for the blocks of the other. The list of such cells is bounded by
-``MAX_HOT_CELLS`` per side, so it can be broadcast; a cell not on the list has fewer rows than any listed one.
+``MAX_HOT_CELLS``, so it can be broadcast; no cell off the list has more rows than one on it.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from segrisk.functions.projection import DEFAULT_ZONE, assert_geographic, has_co
 from segrisk.operators.features import COPIES, require_columns, with_copies
 
 RADIUS = 10.0
-CELL = 64.0
+CELL = 32.0
 
-# Rows of one side of a cell above which the cell is split, and the most cells to split per side.
+# Rows of one side of a cell above which the cell is split, and the most cells to split.
 BLOCK_ROWS = 50_000
-MAX_HOT_CELLS = 4096
+MAX_HOT_CELLS = 8192
 
 # Upper bound for the number of blocks of a cell; larger blocks, not fewer results, beyond it.
 MAX_BLOCKS = 16_384
@@ -32,21 +32,32 @@ MAX_BLOCKS = 16_384
 _CELL_KEYS = ["cx", "cy", "_i", "_j"]
 
 
-def _hot_cells(side: DataFrame, key: list[str], blocks: str, block_rows: int) -> DataFrame:
-    """At most MAX_HOT_CELLS cells with more than ``block_rows`` rows and their number of blocks.
+def _hot_cells(points: DataFrame, point_key: list[str], parts: DataFrame, part_key: list[str], block_rows: int):
+    """At most MAX_HOT_CELLS cells with more than ``block_rows`` rows on a side: their numbers of blocks, _bi and _bj.
 
     Rows are counted through a hash of their key (a zero hash, if one ever occurs, only makes the estimate smaller).
-    This branch then reads the same columns as the join, so Spark reuses the shuffle that both start from instead
+    This branch then reads the same columns as the join, so Spark reuses the shuffles that both start from instead
     of scanning twice.
     """
+
+    def load(side: DataFrame, key: list[str], p: int, s: int) -> DataFrame:
+        found = f"xxhash64({', '.join(key)}) != 0"
+        return side.selectExpr("cx", "cy", f"IF({found}, {p}L, 0L) AS _p", f"IF({found}, {s}L, 0L) AS _s")
+
+    def blocks(rows: str) -> str:
+        return f"least(greatest(ceil({rows} / {block_rows}), 1L), {MAX_BLOCKS}L)"
+
     return (
-        side.groupBy("cx", "cy")
-        .agg(F.expr(f"count_if(xxhash64({', '.join(key)}) != 0) AS _load"))
+        load(points, point_key, 1, 0)
+        .unionByName(load(parts, part_key, 0, 1))
+        .groupBy("cx", "cy")
+        .agg(F.expr("sum(_p) AS _p"), F.expr("sum(_s) AS _s"))
+        .selectExpr("cx", "cy", "greatest(_p, _s) AS _load", f"{blocks('_p')} AS _bi", f"{blocks('_s')} AS _bj")
         .where(f"_load > {block_rows}")
         # Ordered by the cell as well, so that every evaluation picks the same cells.
         .orderBy(F.desc("_load"), "cx", "cy")
         .limit(MAX_HOT_CELLS)
-        .selectExpr("cx", "cy", f"least(ceil(_load / {block_rows}), {MAX_BLOCKS}L) AS {blocks}")
+        .drop("_load")
     )
 
 
@@ -75,19 +86,14 @@ def _near(
 ) -> DataFrame:
     """Candidate rows that passed the distance test: cell keys, ``point_key`` and ``segment_key``.
 
-    A pair repeats when several parts of a segment are near the point. All repeats have equal cell keys because
-    the part block depends on the segment only.
+    A pair repeats when several parts of a segment are near the point. All repeats have equal cell keys, because
+    a point has one cell and the block of a part depends on ``segment_key`` only.
     """
     located = with_utm(points, ("longitude", "latitude", "_x", "_y"), zone=zone).selectExpr(
         *point_key, "_x", "_y", f"{cell_of('_x', cell)} AS cx", f"{cell_of('_y', cell)} AS cy"
     )
     parts = with_direction(with_cells(line_parts(segments, segment_key, zone), radius, cell))
-    hot = (
-        _hot_cells(located, point_key, "_bi", block_rows)
-        .unionByName(_hot_cells(parts, segment_key, "_bj", block_rows), allowMissingColumns=True)
-        .groupBy("cx", "cy")
-        .agg(F.expr("max(_bi) AS _bi"), F.expr("max(_bj) AS _bj"))
-    )
+    hot = _hot_cells(located, point_key, parts, segment_key, block_rows)
     p = _split(located, hot, point_key, ("_i", "_bi"), ("_j", "_bj")).alias("p")
     s = _split(parts, hot, segment_key, ("_j", "_bj"), ("_i", "_bi")).alias("s")
     same_cell = " AND ".join(f"p.{k} = s.{k}" for k in _CELL_KEYS)
@@ -158,23 +164,22 @@ def crash_counts(
     positions = (
         located_crashes(crashes).groupBy("longitude", "latitude").agg(F.count(F.lit(1)).alias("_crashes"))
     )
-    geometries = (
-        with_copies(segments)
-        .where(F.col("ogf_id").isNotNull())
-        .groupBy("ogf_id", "lines")
-        .agg(F.sum(COPIES).alias("_rows"))
-        # Tells the geometries of one id apart without carrying them through the join.
-        .withColumn("_shape", F.xxhash64("lines"))
-    )
+    known = with_copies(segments).where(F.col("ogf_id").isNotNull())
     position_key = ["longitude", "latitude", "_crashes"]
-    near = _near(
-        positions, position_key, geometries, ["ogf_id", "_shape", "_rows"], radius, cell, zone, block_rows
-    )
     if mode == "rows":
-        hits, weight = near.distinct(), F.col("_crashes") * F.col("_rows")
+        geometries = (
+            known.groupBy("ogf_id", "lines")
+            .agg(F.sum(COPIES).alias("_rows"))
+            # Tells the geometries of one id apart without carrying them through the join.
+            .withColumn("_shape", F.xxhash64("lines"))
+        )
+        segment_key, weight = ["ogf_id", "_shape", "_rows"], F.col("_crashes") * F.col("_rows")
     else:
-        hits, weight = near.select("ogf_id", *position_key).distinct(), F.col("_crashes")
-    return hits.groupBy("ogf_id").agg(F.sum(weight).alias("crash_count"))
+        geometries = known.select("ogf_id", "lines").distinct()
+        segment_key, weight = ["ogf_id"], F.col("_crashes")
+    near = _near(positions, position_key, geometries, segment_key, radius, cell, zone, block_rows)
+    # The keys include the join keys, so this runs in the join's own partitions.
+    return near.distinct().groupBy("ogf_id").agg(F.sum(weight).alias("crash_count"))
 
 
 def with_crash_counts(segments: DataFrame, crashes: DataFrame, **options) -> DataFrame:
