@@ -3,7 +3,8 @@
 An element may have several attribute rows, and then the joins multiply a segment's rows. Here every attribute
 table is first reduced to its distinct (element, value) rows with their number, and the joined row carries the
 product of those numbers in ``copies``. Nothing is lost: ``expand_copies`` turns a row back into that many rows.
-A value repeated a billion times for one element thereby crosses the shuffle as one row.
+A value repeated a billion times for one element thereby crosses the shuffle as one row, and a segment id that
+many rows share is joined once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segrisk.functions.missing import as_double, exceeds
+from segrisk.operators.joins import join_by_id
 from segrisk.schemas import ELEMENT_ID, NUMBER_OF_LANES, ROAD_CLASS, SPEED_LIMIT
 
 COPIES = "copies"
@@ -50,7 +52,7 @@ def _reduce_attribute(attribute: DataFrame, value: str, dedup: str | None, order
 
 
 def join_attribute(
-    roads: DataFrame,
+    ids: DataFrame,
     attribute: DataFrame,
     value: str,
     *,
@@ -61,24 +63,21 @@ def join_attribute(
     null_safe: bool = False,
 ) -> DataFrame:
     """Left join of one attribute table; its key column stays as ``orn_road_net_element_id`` + ``suffix``."""
-    require_columns(roads, key)
     require_columns(attribute, ELEMENT_ID, value)
-    if value in roads.columns:
-        raise ValueError(f"segments already have a column {value!r}")
     right_key = ELEMENT_ID + suffix
     right = _reduce_attribute(attribute, value, dedup, order_by).withColumnRenamed(ELEMENT_ID, right_key)
     left, other = F.col(key), F.col(right_key)
     condition = left.eqNullSafe(other) if null_safe else left == other
     return (
-        with_copies(roads)
+        with_copies(ids)
         .join(right, condition, "left")
         .withColumn(COPIES, F.col(COPIES) * F.coalesce("_n", F.lit(1).cast("bigint")))
         .drop("_n")
     )
 
 
-def attach_attributes(
-    roads: DataFrame,
+def attributes_by_id(
+    ids: DataFrame,
     speed: DataFrame,
     lanes: DataFrame,
     road_class: DataFrame,
@@ -86,16 +85,31 @@ def attach_attributes(
     dedup: str | None = None,
     order_by: str | None = None,
     null_safe: bool = False,
+) -> DataFrame:
+    """Speed limit, lane count and road class of each of the distinct ``ids``; ``copies`` holds the fan-out."""
+    options = {"key": ids.columns[0], "dedup": dedup, "order_by": order_by, "null_safe": null_safe}
+    df = join_attribute(ids, speed, SPEED_LIMIT, **options)
+    df = join_attribute(df, lanes, NUMBER_OF_LANES, suffix="_lanes", **options)
+    return join_attribute(df, road_class, ROAD_CLASS, suffix="_class", **options)
+
+
+def attach_attributes(
+    roads: DataFrame, speed: DataFrame, lanes: DataFrame, road_class: DataFrame, *, key: str = "ogf_id", **options
 ) -> DataFrame:
     """Speed limit, lane count and road class joined onto ``roads``; ``copies`` holds the fan-out.
 
     ``dedup`` keeps one row per element: the largest value ("max") or the first one in the order of the
     attribute tables' column ``order_by`` ("first_by"). ``null_safe`` also matches missing keys with each other.
+
+    The attributes are joined onto the distinct ids, so the wide rows with their geometry are shuffled once.
     """
-    options = {"dedup": dedup, "order_by": order_by, "null_safe": null_safe}
-    df = join_attribute(roads, speed, SPEED_LIMIT, **options)
-    df = join_attribute(df, lanes, NUMBER_OF_LANES, suffix="_lanes", **options)
-    return join_attribute(df, road_class, ROAD_CLASS, suffix="_class", **options)
+    require_columns(roads, key)
+    taken = [c for c in (SPEED_LIMIT, NUMBER_OF_LANES, ROAD_CLASS) if c in roads.columns]
+    if taken:
+        raise ValueError(f"segments already have column(s) {taken}")
+    by_id = attributes_by_id(roads.select(key).distinct(), speed, lanes, road_class, **options)
+    joined = join_by_id(with_copies(roads), by_id.withColumnRenamed(COPIES, "_fan_out"), key)
+    return joined.withColumn(COPIES, F.col(COPIES) * F.col("_fan_out")).drop("_fan_out")
 
 
 def drop_prefixed(df: DataFrame, prefix: str = ELEMENT_ID, keep: str = "ogf_id") -> DataFrame:

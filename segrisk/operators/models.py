@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -30,6 +31,12 @@ def feature_matrix(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     return df.withColumns({c: zero_filled(c) for c in features})
 
 
+class Model(Protocol):
+    """What a fit returns."""
+
+    def transform(self, df: DataFrame) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class Forest:
     """A fitted MLlib pipeline without its helper columns in the output."""

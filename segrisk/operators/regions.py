@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from segrisk.operators.evaluate import metrics_by_region
 from segrisk.operators.features import require_columns
-from segrisk.operators.models import PREDICTION
+from segrisk.operators.models import PREDICTION, Model
 
 MIN_ROWS = 10
 
@@ -43,7 +43,7 @@ def loro_train_sizes(df: DataFrame, region: str = "district", min_rows: int = MI
 
 def leave_one_region_out(
     table: DataFrame,
-    fit: Callable[[DataFrame], object],
+    fit: Callable[[DataFrame], Model],
     *,
     region: str = "district",
     min_rows: int = MIN_ROWS,
@@ -69,6 +69,6 @@ def leave_one_region_out(
     return reduce(DataFrame.unionByName, folds)
 
 
-def loro_metrics(table: DataFrame, fit: Callable[[DataFrame], object], *, region: str = "district", **options) -> DataFrame:
+def loro_metrics(table: DataFrame, fit: Callable[[DataFrame], Model], *, region: str = "district", **options) -> DataFrame:
     """Pearson r, R² and RMSE per held-out region."""
     return metrics_by_region(leave_one_region_out(table, fit, region=region, **options), region)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from segrisk.functions.geometry import cell_of, line_parts, with_cells, with_direction, within
 from segrisk.functions.projection import DEFAULT_ZONE, assert_geographic, has_coordinates, with_utm
 from segrisk.operators.features import COPIES, require_columns, with_copies
+from segrisk.operators.joins import join_by_id
 
 RADIUS = 10.0
 CELL = 32.0
@@ -184,10 +185,8 @@ def crash_counts(
 
 def with_crash_counts(segments: DataFrame, crashes: DataFrame, **options) -> DataFrame:
     """``segments`` with ``crash_count``; 0 where no crash is near."""
-    counts = crash_counts(segments, crashes, **options)
-    return segments.join(counts, "ogf_id", "left").withColumn(
-        "crash_count", F.coalesce("crash_count", F.lit(0).cast("bigint"))
-    )
+    counted = join_by_id(segments, crash_counts(segments, crashes, **options), "ogf_id")
+    return counted.withColumn("crash_count", F.coalesce("crash_count", F.lit(0).cast("bigint")))
 
 
 def segments_with_crashes(segments: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from segrisk.operators import evaluate, models, regions, spatial_join, split, te
 from segrisk.operators.features import expand_copies
 from segrisk.operators.features import segment_features as features_of
 from segrisk.plans.fixtures import fixture_dataset
-from segrisk.plans.pipeline import model_table, score_segments, segment_rows, segment_table
+from segrisk.plans.pipeline import model_table, risk_table, segment_rows, segment_table
 from segrisk.session import new_path
 from segrisk.sources import bundle, geojson, tables
 
@@ -240,9 +240,7 @@ def rf_road_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dataset = fixture_dataset(spark, sf_dir)
-    train, _ = split.train_test(model_table(dataset))
-    scored = score_segments(models.fit_random_forest(train), segment_rows(dataset))
+    scored = risk_table(fixture_dataset(spark, sf_dir), models.fit_random_forest)
     return scored.select(*ROW_COLUMNS, "crash_count", "predicted_risk")
 
 

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
 
-from segrisk.operators.features import expand_copies, segment_features
-from segrisk.operators.models import FEATURES, LABEL, feature_matrix
-from segrisk.operators.spatial_join import with_crash_counts
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from segrisk.operators.features import COPIES, attributes_by_id, derive_features, expand_copies
+from segrisk.operators.joins import join_by_id
+from segrisk.operators.models import FEATURES, LABEL, PREDICTION, Model, feature_matrix
+from segrisk.operators.spatial_join import crash_counts
+from segrisk.operators.split import train_test
 from segrisk.session import materialise
 from segrisk.sources.bundle import Dataset
 
 
 def segment_table(dataset: Dataset, *, mode: str = "rows", **options) -> DataFrame:
-    """Segments with features and ``crash_count``; repeated rows are held as ``copies``."""
-    features = segment_features(dataset.roads, dataset.speed, dataset.lanes, dataset.road_class)
-    return with_crash_counts(features, dataset.crashes, mode=mode, **options)
+    """Segments with features and ``crash_count``; repeated rows are held as ``copies``.
+
+    Attributes and counts are put together per id, in narrow rows, before the segments with their geometry are
+    joined once. With ``mode="rows"`` a crash counts for every row that the attributes make of a segment.
+    """
+    ids = dataset.roads.select("ogf_id").distinct()
+    features = derive_features(attributes_by_id(ids, dataset.speed, dataset.lanes, dataset.road_class))
+    counts = crash_counts(dataset.roads, dataset.crashes, mode=mode, **options)
+    by_id = features.join(counts, "ogf_id", "left")
+    fan_out = F.sum(COPIES).over(Window.partitionBy("ogf_id")) if mode == "rows" else F.lit(1)
+    by_id = by_id.withColumn(LABEL, F.coalesce(LABEL, F.lit(0).cast("bigint")) * fan_out)
+    return join_by_id(dataset.roads, by_id, "ogf_id")
 
 
 def segment_rows(dataset: Dataset, *, mode: str = "rows", **options) -> DataFrame:
@@ -30,14 +44,20 @@ def model_table(
     return materialise(feature_matrix(rows).select(*keep, *FEATURES, LABEL), "model_table")
 
 
-def score_segments(model, segments: DataFrame) -> DataFrame:
+def score_segments(model: Model, segments: DataFrame) -> DataFrame:
     """``predicted_risk`` for every segment; the feature columns keep their own values."""
-    names = {c: f"_m_{c}" for c in FEATURES}
-    kept = segments.withColumns({names[c]: segments[c] for c in FEATURES})
-    scored = model.transform(feature_matrix(kept))
-    return (
-        scored.withColumnRenamed("prediction", "predicted_risk")
-        .drop(*FEATURES)
-        .withColumnsRenamed({v: k for k, v in names.items()})
-        .select(*segments.columns, "predicted_risk")
-    )
+    own = {c: f"_own_{c}" for c in FEATURES}
+    kept = segments.withColumns({name: segments[c] for c, name in own.items()})
+    scored = model.transform(feature_matrix(kept)).drop(*FEATURES)
+    restored = scored.withColumnsRenamed({name: c for c, name in own.items()})
+    return restored.withColumnRenamed(PREDICTION, "predicted_risk").select(*segments.columns, "predicted_risk")
+
+
+def risk_table(dataset: Dataset, fit: Callable[[DataFrame], Model], *, mode: str = "rows", **options) -> DataFrame:
+    """All segments with the risk predicted by a model fitted on the training part of the split.
+
+    The segments are written once, because fitting and scoring both read them.
+    """
+    segments = materialise(segment_rows(dataset, mode=mode, **options), "segments")
+    train, _ = train_test(feature_matrix(segments).select("ogf_id", *FEATURES, LABEL))
+    return score_segments(fit(train), segments)

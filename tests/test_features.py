@@ -61,7 +61,7 @@ def test_deduplication_is_optional(spark, inputs):
     largest = attach_attributes(roads, speed, lanes, classes, dedup="max").where(one).collect()
     assert [(r.speed_limit, r.number_of_lanes, r.road_class, r.copies) for r in largest] == [(60.0, 2.9, "Ramp", 1)]
     dated = [t.withColumn("seq", F.monotonically_increasing_id()) for t in (lanes, classes)]
-    ranked = speed.withColumn("seq", -F.coalesce("speed_limit", F.lit(0.0)).cast("bigint"))
+    ranked = speed.withColumn("seq", -F.coalesce("speed_limit", F.lit(0.0)))
     first = attach_attributes(roads, ranked, *dated, dedup="first_by", order_by="seq").where(one).first()
     assert (first.speed_limit, first.road_class) == (60.0, "Local")
     with pytest.raises(ValueError, match="order_by"):
