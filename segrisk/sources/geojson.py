@@ -17,6 +17,8 @@ from segrisk.functions.projection import assert_geographic
 from segrisk.operators.features import require_columns
 from segrisk.schemas import LINES
 
+BROKEN_LINE = "not one whole GeoJSON feature in one line, read the file with layout='collection': "
+
 _GEOMETRY = StructType([StructField("type", StringType()), StructField("coordinates", StringType())])
 
 
@@ -35,8 +37,12 @@ def scan_features(spark: SparkSession, path: str, properties: StructType, layout
     feature = _feature(properties)
     if layout == "lines":
         line = F.rtrim(F.regexp_replace(F.trim("value"), r",\s*$", ""))
-        parsed = spark.read.text(path).select(F.from_json(line, feature).alias("f"))
-        return parsed.where(F.col("f.type") == "Feature").select("f.*")
+        parsed = spark.read.text(path).select("value", F.from_json(line, feature).alias("f"))
+        # Header and footer lines mention no feature; anything else that is not one must not be lost silently.
+        broken = F.raise_error(F.concat(F.lit(BROKEN_LINE), F.substring("value", 1, 200))).cast("boolean")
+        is_feature = F.coalesce(F.col("f.type") == "Feature", F.lit(False))
+        kept = F.when(is_feature, F.lit(True)).when(F.contains("value", F.lit('"Feature"')), broken)
+        return parsed.where(kept.otherwise(F.lit(False))).select("f.*")
     if layout == "collection":
         document = StructType([StructField("features", ArrayType(feature))])
         parsed = spark.read.schema(document).json(path, multiLine=True)

@@ -95,6 +95,20 @@ def test_geojson_geometries(spark, tmp_path, layout):
         scan_geojson_lines(spark, "x", ROAD_PROPERTIES, layout="tiles")
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        json.dumps(collection([feature({"ogf_id": 1}, None)])),
+        json.dumps(collection([feature({"ogf_id": 1}, None)]), indent=1),
+        json.dumps(feature({"ogf_id": 1}, None)) + '\n{"type": "Feature", "properties": {"ogf_id": 2}, "geom',
+    ],
+)
+def test_features_are_never_lost_silently(spark, tmp_path, text):
+    path = write(tmp_path, "roads.geojson", text)
+    with pytest.raises(PySparkException, match="layout='collection'"):
+        scan_geojson_lines(spark, path, ROAD_PROPERTIES).collect()
+
+
 def test_export_round_trip(spark, tmp_path):
     roads = roads_df(spark, ROADS).selectExpr("*", "IF(ogf_id = 1, double('NaN'), 0.1) AS score")
     path = str(tmp_path / "out")
