@@ -68,6 +68,17 @@ def _forest(label: str, trees: int, max_bins: int, seed: int, bootstrap: bool =
     )
 
 
+def _fit(stages: list, train: DataFrame) -> PipelineModel:
+    """Fit on all cores: a table of few files would be read, and then fitted, by as few tasks.
+
+    Larger tables keep the partitions of their scan. ``train`` is a written table, so asking for them runs no job.
+    """
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if train.rdd.getNumPartitions() < cores:
+        train = train.repartition(cores)
+    return Pipeline(stages=stages).fit(train)
+
+
 def fit_random_forest(
     train: DataFrame,
     *,
@@ -79,7 +90,7 @@ def fit_random_forest(
 ) -> Forest:
     """Bagged regression trees over ``features``. ``train`` should be a written table: it is read repeatedly."""
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
-    return Forest(Pipeline(stages=[assembler, _forest(label, trees, max_bins, seed)]).fit(train))
+    return Forest(_fit([assembler, _forest(label, trees, max_bins, seed)], train))
 
 
 def fit_tree(
@@ -87,7 +98,7 @@ def fit_tree(
 ) -> Forest:
     """One tree on all rows: predicts the mean label of each feature combination."""
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
-    return Forest(Pipeline(stages=[assembler, _forest(label, 1, max_bins, 42, bootstrap=False)]).fit(train))
+    return Forest(_fit([assembler, _forest(label, 1, max_bins, 42, bootstrap=False)], train))
 
 
 def fit_road_class_forest(
@@ -102,7 +113,7 @@ def fit_road_class_forest(
         inputCols=[SPEED_LIMIT, NUMBER_OF_LANES, "_class", HIGH_SPEED], outputCol="_features"
     )
     stages = [indexer, assembler, _forest(label, trees, max_bins, seed)]
-    return Forest(Pipeline(stages=stages).fit(train), helpers=("_class", "_features"))
+    return Forest(_fit(stages, train), helpers=("_class", "_features"))
 
 
 @dataclass(frozen=True)
