@@ -19,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segrisk.llm.text import mix, slices, span_hashes, utf8
+from segrisk.llm.sketch import bitmap, in_bitmap
+from segrisk.llm.text import slices, span_hashes, utf8
 from segrisk.session import materialise
 
 MASK = np.uint32(0b1111 << 12)  # one position in 16 ends a chunk; these bits see the last 16 bytes
@@ -72,33 +74,21 @@ def _batch(part: pa.RecordBatch, rows: tuple[np.ndarray, ...]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "size", "digest"])
 
 
-def pieces(docs: DataFrame, bitmap: object = None) -> DataFrame:
-    """The chunks of all documents; with ``bitmap`` only those whose slot is set."""
+def pieces(docs: DataFrame, known: Broadcast | None = None) -> DataFrame:
+    """The chunks of all documents; with a bitmap only those whose slot is set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = chunk_rows(part)
-                if bitmap is not None:
-                    slot = rows[3] & np.uint64((1 << BITMAP_BITS) - 1)
-                    known = bitmap.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
-                    rows = tuple(r[known == 1] for r in rows)
+                if known is not None:
+                    keep = in_bitmap(known.value, rows[3])
+                    rows = tuple(r[keep] for r in rows)
                 yield _batch(part, rows)
 
     return docs.mapInArrow(work, PIECES)
 
 
-def _bitmap(digests: DataFrame) -> object:
-    """A broadcast bitmap of 8 MB of the digests' low bits."""
-    slot = F.col("digest").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1  # Spark's positions count from 1
-    parts = digests.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-    bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toLocalIterator():
-        at = (row["bucket"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
-    return digests.sparkSession.sparkContext.broadcast(bits)
-
-
 def repeated_passages(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(doc_id, start, size, n_chunks) of the repeated passages, in bytes of the UTF-8 text.
 
@@ -108,7 +98,7 @@ def repeated_passages(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
     first = pieces(docs).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     first = materialise(first.where("first <> last").select("digest", "first"), "repeated_digests")
-    own = pieces(docs, _bitmap(first)).join(first, "digest")
+    own = pieces(docs, bitmap(first.select("digest"), BITMAP_BITS)).join(first, "digest")
     repeats = own.where(F.col("doc_id") != F.col("first")).select("doc_id", "start", "size").distinct()
     order = Window.partitionBy("doc_id").orderBy("start")
     gap = F.lag(F.col("start") + F.col("size")).over(order)
@@ -135,7 +125,7 @@ def dedup_substrings(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFram
     begin = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["start"] + s["size"]))
     end = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.octet_length(data).cast("long")))
     kept = F.zip_with(
-        begin, end, lambda a, b: F.decode(F.substr(data, (a + 1).cast("int"), (b - a).cast("int")), F.lit("UTF-8"))
+        begin, end, lambda a, b: F.decode(F.substr(data, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8")
     )
     text = F.when(F.col("_spans").isNull(), F.col("row.text")).otherwise(F.array_join(kept, ""))
     return rows.select("row", text.alias("_text")).select(

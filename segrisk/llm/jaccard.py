@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segrisk.llm.components import connected_components
+from segrisk.llm.sketch import BLOCKS, bitmap, in_bitmap, partial_blocks, sum_blocks
 from segrisk.llm.text import LOWER, NOT_SPACE, chain, mix, slices, span_hashes, utf8, words
 from segrisk.session import materialise
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 12  # counters per row of a partial sketch
 ORDERS = 3
+BITMAP_BITS = 26
 BROADCAST_IDS = 1_000_000  # candidate ids are broadcast up to this number, joined by a shuffle beyond it
 
 _SALTS = [np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -86,37 +88,6 @@ def count_sketch(docs: DataFrame, size: int) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(levels)
 
 
-BLOCKS = "block long, values binary"
-
-
-def partial_blocks(counters: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
-    """The non-zero blocks of a task's counters, narrow where the counts allow it."""
-    rows = [(i // block, counters[i : i + block]) for i in range(0, len(counters), block)]
-    rows = [(i, v.astype(np.int32 if v.max() < 2**31 else np.int64)) for i, v in rows if v.any()]
-    for a in range(0, len(rows), 64):
-        part = rows[a : a + 64]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in part], pa.int64()), pa.array([bytes([v.itemsize]) + v.tobytes() for _, v in part], pa.binary())],
-            names=["block", "values"],
-        )
-
-
-def sum_blocks(partial: DataFrame) -> DataFrame:
-    """The sum of the partial blocks as 64-bit counts. A task holds the totals of its own blocks only."""
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(values[1:], np.int32 if values[0] == 4 else np.int64)
-                sums[block] = sums[block] + own if block in sums else own.astype(np.int64)
-        if sums:
-            arrays = [pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "values"])
-
-    return partial.repartition("block").mapInArrow(total, BLOCKS)
-
-
 def prefix_of(tokens: np.ndarray, levels: np.ndarray, order: int, n: int) -> np.ndarray:
     """The first ``n`` tokens under one of the global orders: rarer ones first, then by a hash of its own."""
     key = mix(tokens ^ _SALTS[order]) >> np.uint64(8)
@@ -151,6 +122,25 @@ def prefixes(docs: DataFrame, rule: Rule, levels: Broadcast) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
 
 
+def _positions(sets: DataFrame, known: Broadcast) -> DataFrame:
+    """(doc_id, n, pos, token) of the prefix tokens whose slot is set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            token = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), size)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            keep = in_bitmap(known.value, token.view(np.uint64))
+            own = batch.select(["doc_id", "n_shingles"]).take(pa.array(row[keep]))
+            arrays = [*own.columns, pa.array(pos[keep]), pa.array(token[keep])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "pos", "token"])
+
+    rows = sets.select("doc_id", "n_shingles", "prefix")
+    return rows.mapInArrow(work, "doc_id long, n long, pos long, token long")
+
+
 def whole_sets(docs: DataFrame, rule: Rule, levels: Broadcast) -> DataFrame:
     """(doc_id, tokens, other): the whole set, and its prefix under every order but the first."""
 
@@ -183,13 +173,18 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, levels: Broadcast) -
     small = ids.count() <= BROADCAST_IDS
     own = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     sets = materialise(whole_sets(own, rule, levels), "candidate_sets")
-    x = sets.toDF(*(f"x_{c}" for c in sets.columns))
-    y = sets.toDF(*(f"y_{c}" for c in sets.columns))
-    both = pairs.join(x, pairs.a == x.x_doc_id).join(y, pairs.b == y.y_doc_id)
+    near = pairs
+    for end in "ab":  # the other prefixes first, they are short
+        columns = [F.col(f"prefix{k}").alias(f"{end}{k}") for k in range(1, ORDERS)]
+        near = near.join(sets.select(F.col("doc_id").alias(end), *columns), end)
     for k in range(1, ORDERS):
-        both = both.where(F.arrays_overlap(f"x_prefix{k}", f"y_prefix{k}"))
-    common = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    union = F.size("x_tokens") + F.size("y_tokens") - common
+        near = near.where(F.arrays_overlap(f"a{k}", f"b{k}"))
+    near = materialise(near.select("a", "b").distinct(), "filtered_pairs")
+    both = near
+    for end in "ab":
+        both = both.join(sets.select(F.col("doc_id").alias(end), F.col("tokens").alias(f"{end}_tokens")), end)
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    union = F.size("a_tokens") + F.size("b_tokens") - common
     return both.where(100 * common >= rule.percent * union).select("a", "b").distinct()
 
 
@@ -210,11 +205,14 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     own = named.join(first.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-    own = own.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    member = F.struct("doc_id", "n", "pos")
-    hubs = own.groupBy("token").agg(F.min(member).alias("hub"), F.max("doc_id").alias("last"))
-    hubs = hubs.where("last <> hub.doc_id").select("token", "hub")
-    shared = materialise(own.join(hubs, "token").select("token", "hub", member.alias("own")), "shared_tokens")
+    tokens = own.select("doc_id", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = materialise(shared.where("low <> high").select("token"), "shared_tokens")
+    at = _positions(own, bitmap(shared, BITMAP_BITS)).join(shared, "token")
+    member = F.struct("doc_id", "n", "pos").alias("own")
+    at = materialise(at.select("token", member), "shared_positions")
+    hubs = at.groupBy("token").agg(F.min("own").alias("hub"))
+    shared = materialise(at.join(hubs, "token"), "buckets")
 
     star = shared.where(F.col("own.doc_id") != F.col("hub.doc_id")).where(_may_link(rule, "hub", "own"))
     star = star.select(F.col("hub.doc_id").alias("a"), F.col("own.doc_id").alias("b")).distinct()
