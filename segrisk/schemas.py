@@ -1,4 +1,4 @@
-"""Explicit schemas of the engine's tables; nothing is inferred at read time."""
+"""Types and names of the columns that several modules share."""
 
 from pyspark.sql.types import (
     ArrayType,
@@ -27,17 +27,3 @@ ELEMENT_ID = "orn_road_net_element_id"
 SPEED_LIMIT = "speed_limit"
 NUMBER_OF_LANES = "number_of_lanes"
 ROAD_CLASS = "road_class"
-
-SPEED = StructType([StructField(ELEMENT_ID, LongType()), StructField(SPEED_LIMIT, DoubleType())])
-LANES = StructType(
-    [StructField(ELEMENT_ID, LongType()), StructField(NUMBER_OF_LANES, DoubleType())]
-)
-CLASSES = StructType([StructField(ELEMENT_ID, LongType()), StructField(ROAD_CLASS, StringType())])
-
-CRASHES = StructType(
-    [
-        StructField("latitude", DoubleType()),
-        StructField("longitude", DoubleType()),
-        StructField("date", StringType()),
-    ]
-)

@@ -11,40 +11,69 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, MapType, StringType, StructField, StructType
 
 from segrisk.functions.projection import assert_geographic
 from segrisk.operators.features import require_columns
 from segrisk.schemas import LINES
+from segrisk.sources.tables import id_of
 
 BROKEN_LINE = "not one whole GeoJSON feature in one line, read the file with layout='collection': "
 
 _GEOMETRY = StructType([StructField("type", StringType()), StructField("coordinates", StringType())])
+_FEATURE = StructType(
+    [
+        StructField("type", StringType()),
+        StructField("properties", MapType(StringType(), StringType())),
+        StructField("geometry", _GEOMETRY),
+    ]
+)
 
 
-def _feature(properties: StructType) -> StructType:
-    return StructType(
-        [
-            StructField("type", StringType()),
-            StructField("properties", properties),
-            StructField("geometry", _GEOMETRY),
-        ]
-    )
+def _property(name: str) -> Column:
+    """Text of a property, whatever the case of its name."""
+    same = F.filter(F.map_entries("properties"), lambda e: F.lower(e["key"]) == name.lower())
+    return F.get(same, F.lit(0))["value"]
+
+
+def _typed(field: StructField) -> Column:
+    """The property as its declared type; text that cannot be converted raises."""
+    text = _property(field.name)
+    value = id_of(text) if isinstance(field.dataType, LongType) else text.cast(field.dataType)
+    return value.alias(field.name)
+
+
+def _require_properties(features: DataFrame, properties: StructType) -> None:
+    """Fail if a declared property is in no feature at all. Usually the first features answer that."""
+    if features.isEmpty():
+        return
+    for name in properties.names:
+        keys = F.transform(F.map_keys("properties"), F.lower)
+        if features.where(F.array_contains(keys, name.lower())).isEmpty():
+            raise ValueError(f"no feature has the property {name!r}")
 
 
 def scan_features(spark: SparkSession, path: str, properties: StructType, layout: str = "lines") -> DataFrame:
-    """Feature rows: ``properties`` as a struct of the given type, ``geometry`` with its coordinates as text."""
-    feature = _feature(properties)
+    """Feature rows: ``properties`` as a struct of the given type, ``geometry`` with its coordinates as text.
+
+    Property names match in any case. Whole numbers are read from 12, 12.0 and "12" alike.
+    """
+    features = _features(spark, path, layout)
+    _require_properties(features, properties)
+    return features.select(F.struct(*(_typed(f) for f in properties)).alias("properties"), "geometry")
+
+
+def _features(spark: SparkSession, path: str, layout: str) -> DataFrame:
     if layout == "lines":
         line = F.rtrim(F.regexp_replace(F.trim("value"), r",\s*$", ""))
-        parsed = spark.read.text(path).select("value", F.from_json(line, feature).alias("f"))
+        parsed = spark.read.text(path).select("value", F.from_json(line, _FEATURE).alias("f"))
         # Header and footer lines mention no feature; anything else that is not one must not be lost silently.
         broken = F.raise_error(F.concat(F.lit(BROKEN_LINE), F.substring("value", 1, 200))).cast("boolean")
         is_feature = F.coalesce(F.col("f.type") == "Feature", F.lit(False))
         kept = F.when(is_feature, F.lit(True)).when(F.contains("value", F.lit('"Feature"')), broken)
         return parsed.where(kept.otherwise(F.lit(False))).select("f.*")
     if layout == "collection":
-        document = StructType([StructField("features", ArrayType(feature))])
+        document = StructType([StructField("features", ArrayType(_FEATURE))])
         parsed = spark.read.schema(document).json(path, multiLine=True)
         return parsed.select(F.explode("features").alias("f")).select("f.*")
     raise ValueError(f"layout must be 'lines' or 'collection', got {layout!r}")
@@ -56,6 +85,19 @@ def _coordinates(kind: str, ddl: str) -> Column:
     return F.when(geometry["type"] == kind, F.from_json(geometry["coordinates"], ddl))
 
 
+def _checked(value: Column, valid: Column, *kinds: str) -> Column:
+    """NULL without a geometry, ``value`` of a valid geometry of one of the kinds; any other geometry raises."""
+    kind = F.col("geometry.type")
+    shown = F.concat_ws(" ", F.lit("cannot read this geometry:"), kind, F.substring("geometry.coordinates", 1, 200))
+    good = kind.isin(*kinds) & F.coalesce(valid, F.lit(False))
+    return F.when(kind.isNull(), F.lit(None)).when(good, value).otherwise(F.raise_error(shown))
+
+
+def _is_position(position: Column) -> Column:
+    x, y = F.get(position, F.lit(0)), F.get(position, F.lit(1))
+    return x.isNotNull() & y.isNotNull()
+
+
 def scan_geojson_points(
     spark: SparkSession,
     path: str,
@@ -63,12 +105,18 @@ def scan_geojson_points(
     layout: str = "lines",
     crs: str | None = None,
 ) -> DataFrame:
-    """Point features as their properties plus longitude and latitude (NULL without a point)."""
+    """Point features as their properties plus longitude and latitude (NULL without a geometry).
+
+    A MultiPoint of one position is that point; other geometries, and coordinates that are no numbers, raise.
+    """
     assert_geographic(crs)
-    point = _coordinates("Point", "array<double>")
+    several = _coordinates("MultiPoint", "array<array<double>>")
+    only = F.when(F.size(several) == 1, F.get(several, F.lit(0)))
+    found = F.coalesce(_coordinates("Point", "array<double>"), only)
     return (
         scan_features(spark, path, properties, layout)
-        .withColumn("_point", point)
+        .withColumn("_found", found)
+        .withColumn("_point", _checked(F.col("_found"), _is_position(F.col("_found")), "Point", "MultiPoint"))
         .select("properties.*", F.get("_point", 0).alias("longitude"), F.get("_point", 1).alias("latitude"))
     )
 
@@ -80,11 +128,15 @@ def scan_geojson_lines(
     layout: str = "lines",
     crs: str | None = None,
 ) -> DataFrame:
-    """Line features as their properties plus ``lines``: one part for a LineString, NULL without a geometry."""
+    """Line features as their properties plus ``lines``: one part for a LineString, NULL without a geometry.
+
+    Other geometries, and coordinates that are no numbers, raise.
+    """
     assert_geographic(crs)
     single = F.array(_coordinates("LineString", "array<array<double>>"))
     several = _coordinates("MultiLineString", "array<array<array<double>>>")
-    positions = F.when(F.col("geometry.type") == "LineString", single).otherwise(several)
+    found = F.when(F.col("geometry.type") == "LineString", single).otherwise(several)
+    valid = F.forall("_found", lambda line: line.isNotNull() & F.forall(line, _is_position))
 
     def vertex(position: Column) -> Column:
         return F.struct(F.get(position, F.lit(0)).alias("x"), F.get(position, F.lit(1)).alias("y"))
@@ -92,7 +144,8 @@ def scan_geojson_lines(
     lines = F.transform("_positions", lambda line: F.transform(line, vertex)).cast(LINES)
     return (
         scan_features(spark, path, properties, layout)
-        .withColumn("_positions", positions)
+        .withColumn("_found", found)
+        .withColumn("_positions", _checked(F.col("_found"), valid, "LineString", "MultiLineString"))
         .select("properties.*", lines.alias("lines"))
     )
 

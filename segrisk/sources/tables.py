@@ -19,14 +19,22 @@ def _text(name: str) -> Column:
     return F.when(~F.col(name).isin(MISSING), F.col(name))
 
 
-def _id(name: str) -> Column:
-    # Files whose id column has gaps write ids as 12.0; decimals keep all digits.
-    return F.trim(_text(name)).cast("decimal(20,0)").cast("bigint")
-
-
-def _read(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """All columns as text under lower-case names. Only the columns used later are parsed."""
-    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, quote='"', escape='"')
+def id_of(text: Column) -> Column:
+    """BIGINT from text: whole numbers, also written as 12.0; missing stays missing, anything else raises."""
+    text = F.trim(text)
+    whole = F.regexp_extract(text, r"^([+-]?\d+)(?:\.0*)?$", 1)
+    wrong = F.raise_error(F.concat(F.lit("not a whole number as id: "), text)).cast("bigint")
+    return F.when(text.isNull(), F.lit(None).cast("bigint")).when(whole != "", whole.cast("bigint")).otherwise(wrong)
+
+
+def _read(spark: SparkSession, path: str, sep: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text under lower-case names. Only the columns used later are parsed.
+
+    A file of the folder whose header differs from the first one's raises, because columns go by position.
+    """
+    options = {"sep": sep, "header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
+    header = spark.read.csv(path, inferSchema=False, **options).schema
+    df = spark.read.schema(header).csv(path, enforceSchema=False, **options)
     return df.toDF(*(c.strip().lower() for c in df.columns))
 
 
@@ -36,7 +44,7 @@ def scan_attribute_csv(
     """An attribute table as (orn_road_net_element_id BIGINT, ``value``). Text that is no number raises."""
     df = _read(spark, path, sep)
     require_columns(df, ELEMENT_ID, value)
-    return df.select(_id(ELEMENT_ID).alias(ELEMENT_ID), _text(value).cast(value_type).alias(value))
+    return df.select(id_of(_text(ELEMENT_ID)).alias(ELEMENT_ID), _text(value).cast(value_type).alias(value))
 
 
 def scan_speed(spark: SparkSession, path: str) -> DataFrame:
@@ -51,9 +59,12 @@ def scan_road_class(spark: SparkSession, path: str) -> DataFrame:
     return scan_attribute_csv(spark, path, ROAD_CLASS, "string")
 
 
-def scan_crash_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Crashes: latitude and longitude as DOUBLE, date and all other columns as text."""
-    df = _read(spark, path, sep)
+def scan_crash_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """Crashes: latitude and longitude as DOUBLE, date and all other columns as text.
+
+    ``multi_line`` allows line breaks inside quoted values, which otherwise raise; one task then reads each file.
+    """
+    df = _read(spark, path, sep, multi_line)
     require_columns(df, "latitude", "longitude", "date")
     numbers = {"latitude", "longitude"}
     return df.select(
