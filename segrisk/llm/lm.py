@@ -2,9 +2,9 @@
 
 A text is lower-cased (A-Z) and taken as its words, each followed by a space, and one end mark; the model gives the
 probability of that sequence of bytes. Every byte is a path of binary decisions in a Huffman tree over bytes. Each
-decision is predicted under several contexts (the last 2 and 4 bytes, the word so far, and the word so far with the
-end of the word before); a context and a node of the tree are hashed to a slot that holds how often either branch was
-taken in the training documents.
+decision is predicted under several contexts: the last 2 bytes and the script, the last 4 bytes, the word so far, and
+the word so far and the script. The script is the last character beyond ASCII that the text had before the word. A
+context and a node of the tree are hashed to a slot that holds how often either branch was taken in training.
 
 * Mixing: the log odds of all contexts are added up with weights and squashed. A gate chooses between sets of weights,
   by how often the word so far was seen in training.
@@ -37,7 +37,7 @@ from segrisk.llm.sketch import BLOCKS, partial_blocks, sum_blocks
 from segrisk.llm.text import NOT_SPACE, slices, span_hashes, words
 from segrisk.session import materialise
 
-SLOT_BITS = (18, 20, 22, 22)  # table size of each context: 2 and 4 bytes, the word so far, that and the last word's end
+SLOT_BITS = (20, 20, 22, 22)  # table sizes of the contexts, in the order above
 GATE = 2  # the context whose count chooses the weights, and the counts at which it does
 GATE_COUNTS = (1, 4, 32)
 COUNT_BLOCK = 1 << 13
@@ -45,9 +45,9 @@ WORDS_BROADCAST = 1 << 22  # word counts are broadcast up to this many words, jo
 WINDOW = 1_000_000  # bytes read at a time; a longer text is read in windows of this size
 STEP = 256
 SCALE = 2048  # log odds are kept as 16-bit multiples of 1 / SCALE
-RATE = 0.004
+RATE = 0.005
 # Weights of the contexts at the start of a document, per gate.
-START_WEIGHTS = ((0.3, 0.7, 0.0, 0.0), (0.2, 0.5, 0.3, 0.2), (0.1, 0.2, 0.6, 0.3), (0.0, 0.1, 0.7, 0.4))
+START_WEIGHTS = ((0.55, 0.6, 0.0, 0.0), (0.55, 0.6, 0.3, 0.2), (0.5, 0.45, 0.3, 0.35), (0.2, 0.25, 0.07, 0.6))
 BUCKETS = 57
 REFINE_RATE = 1 / 256
 
@@ -109,15 +109,28 @@ def contexts(data: np.ndarray) -> list[np.ndarray]:
     begin = np.concatenate(([0], border[border < n]))
     size = np.diff(np.concatenate((begin, [n])))
     word = (sums - np.repeat(sums[begin], size)) * np.repeat(inverses[begin], size)
-    before = np.repeat(four[begin], size)  # the last bytes of the word before, and the space
+    script = np.repeat(_last_wide(data)[begin], size) * np.uint32(0x297A2D39)
     out = []
-    for salt, values in enumerate((two, four, word, word * np.uint32(0x2C1B3C6D) + (before & np.uint32(0xFFFF00)) * np.uint32(0x297A2D39))):
+    for salt, values in enumerate((two + script, four, word, word + script)):
         h = (values + np.uint32(salt)) * np.uint32(0x85EBCA6B)
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)
         out.append(h ^ (h >> np.uint32(13)))
     return out
 
 
+def _last_wide(data: np.ndarray) -> np.ndarray:
+    """The first two bytes of the last character beyond ASCII before each byte of its text, 0 if there is none.
+
+    It tells languages and scripts apart. ``END`` bytes separate the texts.
+    """
+    index = np.arange(1, len(data) + 1, dtype=np.int32)
+    mark = np.where((data >= 0xC0) | (data == END), index, 0)
+    at = np.concatenate(([0], np.maximum.accumulate(mark)[:-1]))
+    lead = data[at - 1].astype(np.uint32)
+    following = data[np.minimum(at, len(data) - 1)]
+    return np.where((at > 0) & (lead >= 0xC0), (lead << np.uint32(8)) | following, np.uint32(0))
+
+
 _tables: list[np.ndarray] = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
 
 
@@ -269,12 +282,11 @@ class Mixer:
     """Weights and refinement tables of some texts, all read at the same time."""
 
     def __init__(self, lanes: int) -> None:
-        start = np.array(START_WEIGHTS, np.float32).T
-        self.weights = np.tile(start, (lanes, 1, 1))  # text, context, gate
+        self.weights = np.tile(np.array(START_WEIGHTS, np.float32), (lanes, 1, 1))  # text, gate, context
         grid = (np.arange(BUCKETS, dtype=np.float32) - BUCKETS // 2) / 2
         self.refined = np.tile(1 / (1 + np.exp(-grid)), (lanes, 1)).astype(np.float32)
 
-    def read(self, x: np.ndarray, gate: np.ndarray, branch: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def read(self, x: list[np.ndarray], gate: np.ndarray, branch: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Natural log probability of the decisions ``ends[i] .. ends[i + 1]`` of every text i."""
         order = np.argsort(ends[:-1] - ends[1:], kind="stable")  # longest first
         first, count = ends[:-1][order], np.diff(ends)[order]
@@ -285,9 +297,18 @@ class Mixer:
             live = int(np.searchsorted(-count, -t))  # texts with more than t decisions
             inside = span < (count[:live] - t)[:, None]
             at = np.where(inside, first[:live, None] + t + span, first[:live, None])
-            own, bit, g = x[at], branch[at], gate[at]
-            chosen = g[:, :, None] == _GATES
-            mixed = (np.matmul(own, weights[:live]) * chosen).sum(2)
+            bit, g = branch[at], gate[at]
+            own = np.empty((live, len(x), STEP), np.float32)
+            for k, values in enumerate(x):
+                own[:, k] = values[at]
+            chosen = np.empty((live, len(_GATES), STEP), np.float32)
+            for k in _GATES:
+                np.equal(g, k, out=chosen[:, k], casting="unsafe")
+            by_gate = np.matmul(weights[:live], own)
+            by_gate *= chosen
+            mixed = by_gate[:, 0]
+            for k in _GATES[1:]:
+                mixed += by_gate[:, k]
             np.clip(mixed, -14, 14, out=mixed)
             p = 1 / (1 + np.exp(-mixed))
             cell = (mixed * 2 + (BUCKETS // 2 + 0.5)).astype(np.int32)
@@ -297,7 +318,8 @@ class Mixer:
             chance = np.abs((p + held) / 2 + (bit - np.float32(1)))  # of the branch that was taken
             total[:live] += (np.log(np.maximum(chance, np.float32(1e-7))) * inside).sum(1)
             error = (bit - p) * inside
-            weights[:live] += RATE * np.matmul(own.transpose(0, 2, 1), error[:, :, None] * chosen)
+            chosen *= error[:, None]
+            weights[:live] += RATE * np.matmul(chosen, own.transpose(0, 2, 1))
             moves = np.bincount(cell.reshape(-1), ((bit - held) * inside).reshape(-1), minlength=len(table))
             refined[:live] += REFINE_RATE * moves.reshape(live, BUCKETS)
         self.weights[order], self.refined[order] = weights, refined
@@ -316,10 +338,8 @@ def score_texts(texts: list[str | None], model: Tables) -> tuple[np.ndarray, np.
     mixer, current = None, -1
     for low, high, scored in pieces_of(data, offsets):
         size, branch, slots = decisions(data[low:high], model.code, scored)
-        x = np.empty((len(branch), len(slots)), np.float32)
-        for k, slot in enumerate(slots):
-            x[:, k] = model.odds[_STARTS[k] : _STARTS[k + 1]][slot]
-        x *= np.float32(1 / SCALE)
+        tables = [model.odds[a:b] for a, b in zip(_STARTS[:-1], _STARTS[1:], strict=True)]
+        x = [table[slot] * np.float32(1 / SCALE) for table, slot in zip(tables, slots, strict=True)]
         ends = np.concatenate(([0], np.cumsum(size)))
         a = int(np.searchsorted(offsets, low, side="right")) - 1
         b = int(np.searchsorted(offsets, high, side="left"))

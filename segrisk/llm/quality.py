@@ -13,12 +13,13 @@ curve sees texts that are not in a dictionary. Only texts and labels take part i
 
 Cases: NULL and empty texts compress to the same size and get the score of a difference of 0. Without enough labelled
 rows of both kinds for dictionaries all texts get the share of good rows among those there are (0.5 without any).
-Several labels of a document count as rows of their own; labels other than 0 and 1 are ignored. Repeated document rows
+A document with both labels counts for both; labels other than 0 and 1 are ignored. Repeated document rows
 get a result each.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,14 +110,16 @@ def _dictionaries(good: list[str], bad: list[str]) -> list[tuple[bytes, bytes]]:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: str) -> Model:
     """``usable`` is the SQL condition on doc_id of the rows that may be learned from."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).where(usable)
+    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality"))
+    known = known.where(usable).where("doc_id IS NOT NULL").distinct()
+    order = [F.xxhash64("doc_id", F.lit(1)), "doc_id"]
+    chosen = [known.where(F.col("quality") == q).orderBy(*order).limit(SAMPLE_ROWS) for q in (0, 1)]
+    # Two rows per document at most, so the sample is small whatever the tables hold.
+    sample = F.broadcast(chosen[0].unionByName(chosen[1]))
     texts = docs.select(F.col("doc_id").cast("long"), F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    rows = known.where("quality IN (0, 1)").join(texts.where("text <> ''"), "doc_id")
-    order = [F.xxhash64("doc_id", F.lit(1)), "text"]
-    bad, good = (
-        [r["text"] for r in rows.where(F.col("quality") == q).orderBy(*order).limit(SAMPLE_ROWS).select("text").collect()]
-        for q in (0, 1)
-    )
+    rows = texts.where("text <> ''").join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = sorted(rows.collect(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode() + b"-"))
+    bad, good = ([r["text"] for r in rows if r["quality"] == q] for q in (0, 1))
     dictionaries = _dictionaries(good[::2], bad[::2])
     if not dictionaries:
         share = (len(good) + 0.5) / (len(good) + len(bad) + 1)
