@@ -141,19 +141,18 @@ def segment_features(
 def expand_copies(df: DataFrame, key: str = "ogf_id", block: int = EXPAND_BLOCK) -> DataFrame:
     """Each row ``copies`` times, without the column ``copies``.
 
-    Rows with more than ``block`` copies are cut into blocks that are spread over the cluster before they
-    expand, so no task writes out a whole group of copies.
+    A row is first cut into blocks of at most ``block`` copies, in two steps so that no list of blocks is long, and
+    the blocks are spread over the cluster before they expand, so no task writes out a whole group of copies.
     """
-    copies = F.col(COPIES)
-    few = df.where(copies <= block).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    last_block = F.floor((copies - 1) / block)
-    blocks = df.where(copies > block).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block))
-    )
-    in_block = F.least(F.lit(block).cast("bigint"), copies - F.col("_block") * block)
-    many = (
-        blocks.repartition(F.xxhash64(F.col(key), F.col("_block")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), in_block)))
-        .drop("_block")
-    )
-    return few.unionByName(many).drop("_copy", COPIES)
+
+    def numbered(rows: DataFrame, name: str, size: int) -> DataFrame:
+        """One row per part of ``size`` copies, with the copies of that part."""
+        last = F.floor((F.col("_copies") - 1) / size)
+        parts = rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        left = F.col("_copies") - F.col(name) * size
+        return parts.withColumn("_copies", F.least(F.lit(size).cast("bigint"), left))
+
+    rows = df.withColumn("_copies", F.col(COPIES)).where(F.col(COPIES) > 0)
+    rows = numbered(numbered(rows, "_region", block * block), "_block", block)
+    spread = rows.repartition(F.xxhash64(F.col(key), F.col("_region"), F.col("_block")))
+    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*(c for c in df.columns if c != COPIES))

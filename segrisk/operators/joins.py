@@ -5,40 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one id above which its rows are spread over several tasks, and the most ids that are spread.
+# Rows of one id above which its rows are spread over several tasks.
 ID_ROWS = 1_000_000
-MAX_HOT_IDS = 8192
-
-# Upper bound for the number of tasks of one id.
-MAX_SALTS = 4096
-
-
-def _hot_ids(rows: DataFrame, key: str, id_rows: int) -> DataFrame:
-    """At most MAX_HOT_IDS ids, the missing id included, with more than ``id_rows`` rows; and their number of salts."""
-    return (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > id_rows)
-        # Ordered by the id as well, so that every evaluation picks the same ids.
-        .orderBy(F.desc("_rows"), key)
-        .limit(MAX_HOT_IDS)
-        .selectExpr(f"{key} AS _hot", f"least(ceil(_rows / {id_rows}), {MAX_SALTS}L) AS _salts")
-    )
 
 
 def join_by_id(rows: DataFrame, by_id: DataFrame, key: str, id_rows: int = ID_ROWS) -> DataFrame:
     """``rows`` with the columns of ``by_id``, a left join in which a missing id matches a missing id.
 
-    Rows of a hot id get the number of their input partition, modulo the salts, as a second join key, and the
-    rows of ``by_id`` are repeated for every salt. The partition number does not change when a task is repeated,
-    and it spreads even identical rows. The list of hot ids is bounded, so it can be broadcast.
+    Ids with more than ``id_rows`` rows are hot: their rows get a salt as a second join key, and the rows of ``by_id``
+    are repeated for every salt. The salt is a hash of the row's content and its input partition, so it is the same
+    when a task is repeated, and rows of one id are spread wherever they come from. Any number of ids may be hot:
+    how many salts an id has is looked up by a join that is salted itself, by the salts of the hottest id.
     """
-    hot = F.broadcast(_hot_ids(rows, key, id_rows))
-    is_hot = F.col(key).eqNullSafe(F.col("_hot"))
-    salted = rows.withColumn("_task", F.spark_partition_id()).join(hot, is_hot, "left")
-    salted = salted.selectExpr(*rows.columns, "coalesce(pmod(_task, _salts), 0L) AS _salt")
-    repeated = by_id.join(hot, is_hot, "left").selectExpr(
-        *by_id.columns, "explode(sequence(0L, coalesce(_salts, 1L) - 1L)) AS _salt"
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > id_rows)
+    hot = hot.selectExpr(f"{key} AS _hot", f"ceil(_rows / {id_rows}) AS _salts")
+    most = hot.agg(F.max("_salts")).first()[0] or 1
+    per_salt = hot.select("_hot", "_salts", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_any"))
+
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.spark_partition_id())
+    hashed = rows.withColumn("_hash", content)
+    is_hot = F.col(key).eqNullSafe(F.col("_hot")) & (F.pmod("_hash", F.lit(most)) == F.col("_any"))
+    salted = hashed.join(per_salt, is_hot, "left").selectExpr(
+        *(f"`{c}`" for c in rows.columns), "coalesce(pmod(_hash, _salts), 0L) AS _salt"
+    )
+    repeated = by_id.join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left").selectExpr(
+        *(f"`{c}`" for c in by_id.columns), "explode(sequence(0L, coalesce(_salts, 1L) - 1L)) AS _salt"
     )
     repeated = repeated.withColumnsRenamed({key: "_id", "_salt": "_part"})
     matches = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_salt") == F.col("_part"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark import StorageLevel
@@ -14,16 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segrisk.functions.missing import zero_filled
-from segrisk.operators.features import HIGH_SPEED, require_columns
+from segrisk.operators.features import COPIES, HIGH_SPEED, expand_copies, require_columns, with_copies
 from segrisk.schemas import NUMBER_OF_LANES, ROAD_CLASS, SPEED_LIMIT
 
 FEATURES = [SPEED_LIMIT, NUMBER_OF_LANES, HIGH_SPEED]
 LABEL = "crash_count"
 PREDICTION = "prediction"
 
-# MLlib accepts no deeper trees.
+# MLlib accepts no deeper trees; the reference has no limit.
 MAX_DEPTH = 30
 
+# Partitions that a forest is fitted on. It is part of the model, like the seed.
+FIT_PARTITIONS = 32
+
 
 def feature_matrix(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     """The feature columns as doubles with missing values set to 0; other columns stay."""
@@ -68,15 +72,22 @@ def _forest(label: str, trees: int, max_bins: int, seed: int, bootstrap: bool =
     )
 
 
-def _fit(stages: list, train: DataFrame) -> PipelineModel:
-    """Fit on all cores: a table of few files would be read, and then fitted, by as few tasks.
+def _laid_out(train: DataFrame, columns: list[str], partitions: int) -> DataFrame:
+    """The rows in a layout that depends on their content and ``partitions`` only.
 
-    Larger tables keep the partitions of their scan. ``train`` is a written table, so asking for them runs no job.
+    MLlib draws its bootstrap per partition and in row order, so this makes a fit reproducible whatever the number
+    of cores, files or shuffle partitions. Rows held as ``copies`` are multiplied, for the bootstrap draws rows.
     """
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    if train.rdd.getNumPartitions() < cores:
-        train = train.repartition(cores)
-    return Pipeline(stages=stages).fit(train)
+    kept = train.select(*(c for c in dict.fromkeys([*columns, COPIES]) if c in train.columns))
+    if COPIES in kept.columns:
+        kept = expand_copies(kept, key=kept.columns[0])
+    return kept.repartition(partitions, *kept.columns).sortWithinPartitions(*kept.columns)
+
+
+def _distinct_values(train: DataFrame, features: list[str]) -> int:
+    """The largest number of distinct values of a feature, at least the 2 bins that MLlib needs."""
+    counts = [train.select(c).distinct().agg(F.count(F.lit(1)).alias("n")) for c in features]
+    return max(2, *(int(r["n"]) for r in reduce(DataFrame.unionByName, counts).collect()))
 
 
 def fit_random_forest(
@@ -84,36 +95,64 @@ def fit_random_forest(
     *,
     features: list[str] = FEATURES,
     label: str = LABEL,
+    key: str = "ogf_id",
     trees: int = 100,
-    max_bins: int = 64,
+    max_bins: int | None = None,
     seed: int = 42,
+    partitions: int = FIT_PARTITIONS,
 ) -> Forest:
-    """Bagged regression trees over ``features``. ``train`` should be a written table: it is read repeatedly."""
+    """Bagged regression trees over ``features``. ``train`` should be a written table: it is read repeatedly.
+
+    A split may fall between any two values of a feature, unless ``max_bins`` sets a smaller number of value ranges.
+    """
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
-    return Forest(_fit([assembler, _forest(label, trees, max_bins, seed)], train))
+    forest = _forest(label, trees, max_bins or _distinct_values(train, features), seed)
+    rows = _laid_out(train, [key, *features, label], partitions)
+    return Forest(Pipeline(stages=[assembler, forest]).fit(rows))
 
 
 def fit_tree(
-    train: DataFrame, *, features: list[str] = FEATURES, label: str = LABEL, max_bins: int = 64
+    train: DataFrame,
+    *,
+    features: list[str] = FEATURES,
+    label: str = LABEL,
+    key: str = "ogf_id",
+    partitions: int = FIT_PARTITIONS,
 ) -> Forest:
-    """One tree on all rows: predicts the mean label of each feature combination."""
+    """One tree on all rows: predicts the mean label of each feature combination.
+
+    MLlib limits the depth to ``MAX_DEPTH``, and above 10,000 rows or the square of the number of values it looks for
+    splits in a sample, so that very rare values may share a prediction with their neighbours.
+    """
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
-    return Forest(_fit([assembler, _forest(label, 1, max_bins, 42, bootstrap=False)], train))
+    tree = _forest(label, 1, _distinct_values(train, features), 42, bootstrap=False)
+    rows = _laid_out(train, [key, *features, label], partitions)
+    return Forest(Pipeline(stages=[assembler, tree]).fit(rows))
 
 
 def fit_road_class_forest(
-    train: DataFrame, *, label: str = LABEL, trees: int = 100, max_bins: int = 128, seed: int = 42
+    train: DataFrame,
+    *,
+    label: str = LABEL,
+    key: str = "ogf_id",
+    trees: int = 100,
+    max_bins: int | None = None,
+    seed: int = 42,
+    bootstrap: bool = True,
+    partitions: int = FIT_PARTITIONS,
 ) -> Forest:
     """Forest over speed, lanes, road class and the high-speed flag; the class is indexed as a category.
 
-    Unseen and missing classes share a category of their own. ``max_bins`` must exceed the number of classes.
+    Unseen and missing classes share a category of their own. There are bins for every class.
     """
-    indexer = StringIndexer(inputCol=ROAD_CLASS, outputCol="_class", handleInvalid="keep")
-    assembler = VectorAssembler(
-        inputCols=[SPEED_LIMIT, NUMBER_OF_LANES, "_class", HIGH_SPEED], outputCol="_features"
-    )
-    stages = [indexer, assembler, _forest(label, trees, max_bins, seed)]
-    return Forest(_fit(stages, train), helpers=("_class", "_features"))
+    numeric = [SPEED_LIMIT, NUMBER_OF_LANES, HIGH_SPEED]
+    rows = _laid_out(train, [key, *numeric, ROAD_CLASS, label], partitions)
+    indexer = StringIndexer(inputCol=ROAD_CLASS, outputCol="_class", handleInvalid="keep").fit(rows)
+    categories = len(indexer.labels) + 1
+    bins = max(categories, max_bins or _distinct_values(train, numeric))
+    assembler = VectorAssembler(inputCols=[SPEED_LIMIT, NUMBER_OF_LANES, "_class", HIGH_SPEED], outputCol="_features")
+    fitted = Pipeline(stages=[assembler, _forest(label, trees, bins, seed, bootstrap)]).fit(indexer.transform(rows))
+    return Forest(PipelineModel([indexer, *fitted.stages]), helpers=("_class", "_features"))
 
 
 @dataclass(frozen=True)
@@ -146,8 +185,10 @@ def fit_poisson(
     is the sum of labels at the optimum, hence the penalty is divided by the mean label.
     """
     cells = (
-        train.groupBy(*features)
-        .agg(F.avg(F.col(label).cast("double")).alias("_label"), F.count(F.lit(1)).cast("double").alias("_weight"))
+        with_copies(train)
+        .groupBy(*features)
+        .agg(F.sum(F.col(label) * F.col(COPIES)).cast("double").alias("_sum"), F.sum(COPIES).cast("double").alias("_weight"))
+        .withColumn("_label", F.col("_sum") / F.col("_weight"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
@@ -190,8 +231,8 @@ class CellMeanModel:
 
 def fit_cell_mean(train: DataFrame, *, features: list[str] = FEATURES, label: str = LABEL) -> CellMeanModel:
     """Lazy: nothing runs before the predictions are read."""
-    sums = [F.sum(label).alias("_sum"), F.count(F.lit(1)).alias("_rows")]
-    cells = train.groupBy(*features).agg(*sums)
+    sums = [F.sum(F.col(label) * F.col(COPIES)).alias("_sum"), F.sum(COPIES).alias("_rows")]
+    cells = with_copies(train).groupBy(*features).agg(*sums)
     means = cells.select(*features, (F.col("_sum") / F.col("_rows")).alias("_mean"))
     overall = cells.agg((F.sum("_sum") / F.sum("_rows")).alias("_mean"))
     return CellMeanModel(means, overall, tuple(features))

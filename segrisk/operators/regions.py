@@ -3,30 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from segrisk.operators.evaluate import metrics_by_region
-from segrisk.operators.features import require_columns
-from segrisk.operators.models import PREDICTION, Model
+from segrisk.operators.features import COPIES, require_columns, with_copies
+from segrisk.operators.models import FEATURES, LABEL, PREDICTION, Model
+from segrisk.session import new_path
 
 MIN_ROWS = 10
 
-# Every region is one fit submitted by the driver; more regions than this is a wrong column, not a validation.
-MAX_REGIONS = 1000
-
 
 def region_eligible(df: DataFrame, region: str = "district", min_rows: int = MIN_ROWS) -> DataFrame:
     """Named regions with at least ``min_rows`` rows."""
     require_columns(df, region)
     return (
-        df.where(F.col(region).isNotNull())
+        with_copies(df)
+        .where(F.col(region).isNotNull())
         .groupBy(region)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .agg(F.sum(COPIES).alias("n_rows"))
         .where(F.col("n_rows") >= min_rows)
     )
 
@@ -34,7 +33,7 @@ def region_eligible(df: DataFrame, region: str = "district", min_rows: int = MIN
 def loro_train_sizes(df: DataFrame, region: str = "district", min_rows: int = MIN_ROWS) -> DataFrame:
     """Per eligible region the held-out and the training rows; rows without a region always train."""
     require_columns(df, region)
-    counts = df.groupBy(region).agg(F.count(F.lit(1)).alias("n_test"))
+    counts = with_copies(df).groupBy(region).agg(F.sum(COPIES).alias("n_test"))
     total = counts.agg(F.sum("n_test")).scalar()
     return counts.where(F.col(region).isNotNull() & (F.col("n_test") >= min_rows)).withColumn(
         "n_train", total - F.col("n_test")
@@ -52,21 +51,58 @@ def leave_one_region_out(
     """Predictions for every eligible region by a model fitted on all other rows.
 
     ``fit`` takes the training rows and returns a model with ``transform``. ``table`` should be a written
-    table, since every fold reads it. The loop runs over regions; each fit and each prediction is distributed.
+    table, since every fold reads it. The loop runs over regions; each fit and each prediction is distributed, and
+    predictions are written to the shared folder fold by fold, so the plan of the result does not grow with them.
     """
-    names = [r[0] for r in region_eligible(table, region, min_rows).select(region).limit(MAX_REGIONS + 1).collect()]
-    if len(names) > MAX_REGIONS:
-        raise ValueError(f"{region!r} has more than {MAX_REGIONS} regions of {min_rows} rows")
+    spark = table.sparkSession
+    names = sorted(r[0] for r in region_eligible(table, region, min_rows).select(region).toLocalIterator())
     if not names:
         return table.where(F.lit(False)).withColumn(PREDICTION, F.lit(None).cast("double"))
+    path = new_path(spark, "folds")
 
-    def fold(name: object) -> DataFrame:
-        held_out = F.col(region).eqNullSafe(F.lit(name))
-        return fit(table.where(~held_out)).transform(table.where(held_out))
+    def fold(number: int) -> StructType:
+        held_out = F.col(region).eqNullSafe(F.lit(names[number]))
+        predicted = fit(table.where(~held_out)).transform(table.where(held_out))
+        predicted.write.parquet(f"{path}/fold_{number}")
+        return predicted.schema
 
     with ThreadPool(min(parallelism, len(names))) as pool:
-        folds = pool.map(inheritable_thread_target(table.sparkSession)(fold), sorted(names))
-    return reduce(DataFrame.unionByName, folds)
+        schemas = pool.map(inheritable_thread_target(spark)(fold), range(len(names)))
+    return spark.read.schema(schemas[0]).option("recursiveFileLookup", "true").parquet(path)
+
+
+def cell_mean_without_region(
+    table: DataFrame,
+    *,
+    region: str = "district",
+    features: list[str] = FEATURES,
+    label: str = LABEL,
+    min_rows: int = MIN_ROWS,
+) -> DataFrame:
+    """The same as ``leave_one_region_out`` with ``fit_cell_mean``, for all regions at once.
+
+    The training sums of a fold are those of all rows less those of the region, per feature combination and overall.
+    A combination without other rows gets the mean of all other rows.
+    """
+    require_columns(table, region, label, *features)
+    sums = [F.sum(F.col(label) * F.col(COPIES)).alias("_own"), F.sum(COPIES).alias("_n")]
+    own = with_copies(table).groupBy(region, *features).agg(*sums)
+    cells = own.groupBy(*features).agg(F.sum("_own").alias("_all"), F.sum("_n").alias("_n_all"))
+    total = own.agg(F.sum("_own").alias("s"), F.sum("_n").alias("n"))
+    regions = own.groupBy(region).agg(F.sum("_own").alias("_region"), F.sum("_n").alias("_n_region"))
+    regions = regions.where(F.col(region).isNotNull() & (F.col("_n_region") >= min_rows))
+    rest = (total.select("s").scalar() - F.col("_region")) / F.nullif(
+        total.select("n").scalar() - F.col("_n_region"), F.lit(0)
+    )
+    seen = (F.col("_all") - F.col("_own")) / F.nullif(F.col("_n_all") - F.col("_n"), F.lit(0))
+    predictions = own.join(cells, features).join(regions, region)
+    predictions = predictions.select(region, *features, F.coalesce(seen, rest).alias(PREDICTION))
+    return table.join(predictions, [region, *features]).select(*table.columns, PREDICTION)
+
+
+def loro_cell_mean(table: DataFrame, *, region: str = "district", **options) -> DataFrame:
+    """Pearson r, R² and RMSE per held-out region of the mean per feature combination."""
+    return metrics_by_region(cell_mean_without_region(table, region=region, **options), region)
 
 
 def loro_metrics(table: DataFrame, fit: Callable[[DataFrame], Model], *, region: str = "district", **options) -> DataFrame:

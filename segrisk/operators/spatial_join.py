@@ -6,8 +6,8 @@ The result does not depend on the cell size.
 
 Skew. Points at one position are counted into one row, and copies of one geometry into one row, before anything
 is shuffled by cell. Cells that still hold many points or parts are split into blocks: points over ``_i``, parts
-over ``_j``, each side repeated for the blocks of the other. The list of such cells is bounded by
-``MAX_HOT_CELLS``, so it can be broadcast; no cell off the list has more rows than one on it.
+over ``_j``, each side repeated for the blocks of the other. Any number of cells may be split, into any number of
+blocks: the blocks of a cell are looked up by a join that is salted by the load of the fullest cell.
 """
 
 from __future__ import annotations
@@ -16,60 +16,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segrisk.functions.geometry import cell_of, line_parts, with_cells, with_direction, within
+from segrisk.functions.missing import as_double
 from segrisk.functions.projection import DEFAULT_ZONE, assert_geographic, has_coordinates, with_utm
 from segrisk.operators.features import COPIES, require_columns, with_copies
 from segrisk.operators.joins import join_by_id
+from segrisk.session import materialise
 
 RADIUS = 10.0
 CELL = 32.0
 
-# Rows of one side of a cell above which the cell is split, and the most cells to split.
+# Rows of one side of a cell above which the cell is split.
 BLOCK_ROWS = 50_000
-MAX_HOT_CELLS = 8192
-
-# Upper bound for the number of blocks of a cell; larger blocks, not fewer results, beyond it.
-MAX_BLOCKS = 16_384
 
 _CELL_KEYS = ["cx", "cy", "_i", "_j"]
 
 
-def _hot_cells(points: DataFrame, point_key: list[str], parts: DataFrame, part_key: list[str], block_rows: int):
-    """At most MAX_HOT_CELLS cells with more than ``block_rows`` rows on a side: their numbers of blocks, _bi and _bj.
-
-    Rows are counted through a hash of their key (a zero hash, if one ever occurs, only makes the estimate smaller).
-    This branch then reads the same columns as the join, so Spark reuses the shuffles that both start from instead
-    of scanning twice.
-    """
+def _crowded_cells(points: DataFrame, parts: DataFrame, block_rows: int) -> DataFrame:
+    """Cells with more than ``block_rows`` rows on a side, and their numbers of blocks, _bi and _bj."""
 
-    def load(side: DataFrame, key: list[str], p: int, s: int) -> DataFrame:
-        found = f"xxhash64({', '.join(key)}) != 0"
-        return side.selectExpr("cx", "cy", f"IF({found}, {p}L, 0L) AS _p", f"IF({found}, {s}L, 0L) AS _s")
+    def load(side: DataFrame, p: int, s: int) -> DataFrame:
+        return side.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n")).selectExpr("cx", "cy", f"_n * {p} AS _p", f"_n * {s} AS _s")
 
-    def blocks(rows: str) -> str:
-        return f"least(greatest(ceil({rows} / {block_rows}), 1L), {MAX_BLOCKS}L)"
+    sums = load(points, 1, 0).unionByName(load(parts, 0, 1)).groupBy("cx", "cy").agg(F.sum("_p").alias("_p"), F.sum("_s").alias("_s"))
+    blocks = [f"greatest(ceil(_{side} / {block_rows}), 1L) AS _b{index}" for side, index in ("pi", "sj")]
+    return sums.where(F.greatest("_p", "_s") > block_rows).selectExpr("cx", "cy", *blocks)
 
-    return (
-        load(points, point_key, 1, 0)
-        .unionByName(load(parts, part_key, 0, 1))
-        .groupBy("cx", "cy")
-        .agg(F.expr("sum(_p) AS _p"), F.expr("sum(_s) AS _s"))
-        .selectExpr("cx", "cy", "greatest(_p, _s) AS _load", f"{blocks('_p')} AS _bi", f"{blocks('_s')} AS _bj")
-        .where(f"_load > {block_rows}")
-        # Ordered by the cell as well, so that every evaluation picks the same cells.
-        .orderBy(F.desc("_load"), "cx", "cy")
-        .limit(MAX_HOT_CELLS)
-        .drop("_load")
-    )
 
+def _split(
+    side: DataFrame, crowded: DataFrame, most: int, key: list[str], own: tuple[str, str], other: tuple[str, str]
+) -> DataFrame:
+    """Assign each row to one of its own blocks and repeat it for every block of the other side.
 
-def _split(side: DataFrame, hot: DataFrame, key: list[str], own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
-    """Assign each row to one of its own blocks and repeat it for every block of the other side."""
+    The row's salt, by which it finds the cell's numbers of blocks, comes from its key, so it is the same in every run.
+    """
     (index, blocks), (other_index, other_blocks) = own, other
+    lookup = crowded.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_salt"))
     return (
-        side.join(F.broadcast(hot), ["cx", "cy"], "left")
+        side.withColumn("_hash", F.xxhash64(*key))
+        .withColumn("_salt", F.pmod("_hash", F.lit(most)))
+        .join(lookup, ["cx", "cy", "_salt"], "left")
         .selectExpr(
             *side.columns,
-            f"coalesce(pmod(xxhash64({', '.join(key)}), coalesce({blocks}, 1L)), 0L) AS {index}",
+            f"coalesce(pmod(_hash, coalesce({blocks}, 1L)), 0L) AS {index}",
             f"explode(sequence(0L, coalesce({other_blocks}, 1L) - 1L)) AS {other_index}",
         )
     )
@@ -93,10 +81,13 @@ def _near(
     located = with_utm(points, ("longitude", "latitude", "_x", "_y"), zone=zone).selectExpr(
         *point_key, "_x", "_y", f"{cell_of('_x', cell)} AS cx", f"{cell_of('_y', cell)} AS cy"
     )
+    # Written once in narrow rows: counting the cells and joining them both read it.
+    located = materialise(located, "points")
     parts = with_direction(with_cells(line_parts(segments, segment_key, zone), radius, cell))
-    hot = _hot_cells(located, point_key, parts, segment_key, block_rows)
-    p = _split(located, hot, point_key, ("_i", "_bi"), ("_j", "_bj")).alias("p")
-    s = _split(parts, hot, segment_key, ("_j", "_bj"), ("_i", "_bi")).alias("s")
+    crowded = materialise(_crowded_cells(located, parts, block_rows), "crowded_cells")
+    most = crowded.agg(F.max(F.greatest("_bi", "_bj"))).first()[0] or 1
+    p = _split(located, crowded, most, point_key, ("_i", "_bi"), ("_j", "_bj")).alias("p")
+    s = _split(parts, crowded, most, segment_key, ("_j", "_bj"), ("_i", "_bi")).alias("s")
     same_cell = " AND ".join(f"p.{k} = s.{k}" for k in _CELL_KEYS)
     # A merge join, because the planner's size estimate does not see how many cells an exploded part takes.
     return p.join(s.hint("merge"), F.expr(f"{same_cell} AND {within(radius)}")).selectExpr(
@@ -133,12 +124,32 @@ def spatial_join_pairs(
 
 
 def unmatched_crashes(
-    crashes: DataFrame, segments: DataFrame, *, crash_key: str = "crash_id", keep_missing: bool = False, **options
+    crashes: DataFrame,
+    segments: DataFrame,
+    *,
+    keep_missing: bool = False,
+    radius: float = RADIUS,
+    cell: float = CELL,
+    zone: int = DEFAULT_ZONE,
+    crs: str | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Crashes near no segment; those without coordinates only with ``keep_missing``."""
-    pairs = spatial_join_pairs(crashes, segments, crash_key=crash_key, **options)
-    candidates = crashes if keep_missing else located_crashes(crashes)
-    return candidates.join(pairs.select(crash_key), crash_key, "left_anti")
+    """Crashes near no segment; those without coordinates only with ``keep_missing``.
+
+    Positions decide, so crashes need no id. Coordinates that lie nowhere on the globe are near no segment.
+    """
+    assert_geographic(crs)
+    require_columns(crashes, "longitude", "latitude")
+    require_columns(segments, "ogf_id", "lines")
+    key = ["longitude", "latitude"]
+    positions = located_crashes(crashes).select(*key).distinct()
+    geometries = segments.select("lines").distinct().withColumn("_shape", F.xxhash64("lines"))
+    near = _near(positions, key, geometries, ["_shape"], radius, cell, zone, block_rows)
+    # One row per position and cell block, made inside the join's own partitions.
+    near = near.select(*_CELL_KEYS, *key).distinct().select(*key).toDF("_lon", "_lat")
+    missing = as_double("longitude").isNull() | as_double("latitude").isNull()
+    candidates = crashes if keep_missing else crashes.where(~missing)
+    return candidates.join(near, F.expr("longitude = _lon AND latitude = _lat"), "left_anti")
 
 
 def crash_counts(

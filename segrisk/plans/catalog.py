@@ -45,6 +45,10 @@ def _as_csv(df: DataFrame, name: str, sep: str) -> str:
     return path
 
 
+def _upper(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumnsRenamed({n: n.upper() for n in names})
+
+
 def scan_attribute_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan_speed(spark, _as_csv(fixture_dataset(spark, sf_dir).speed, "speed_csv", ";"))
 
@@ -76,7 +80,7 @@ def scan_geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "roads_geojson")
-    geojson.export_geojson(fixture_dataset(spark, sf_dir).roads, path)
+    geojson.export_geojson(_upper(fixture_dataset(spark, sf_dir).roads, "ogf_id", "district"), path)
     roads = geojson.scan_geojson_lines(spark, path, bundle.ROAD_PROPERTIES)
     parts = roads.select("ogf_id", "district", F.posexplode("lines").alias("part", "line"))
     return parts.select("ogf_id", "district", "part", F.posexplode("line").alias("vertex", "v")).select(
@@ -84,6 +88,18 @@ def scan_geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def load_dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to counts: all five inputs are written as files, loaded, joined and counted."""
+    d = fixture_dataset(spark, sf_dir)
+    roads = new_path(spark, "roads_geojson")
+    geojson.export_geojson(_upper(d.roads, "ogf_id", "district"), roads)
+    attributes = {"speed": d.speed, "lanes": d.lanes, "road_class": d.road_class}
+    paths = {name: _as_csv(df, f"{name}_csv", ";") for name, df in attributes.items()}
+    loaded = bundle.load_dataset(spark, roads=roads, crashes=_as_csv(d.crashes, "crash_csv", ","), **paths)
+    rows = segment_rows(loaded)
+    return rows.select("ogf_id", "speed_limit", "number_of_lanes", "road_class", "crash_count")
+
+
 def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.dataset_profile(fixture_dataset(spark, sf_dir))
 
@@ -239,6 +255,24 @@ def rf_road_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.fit_road_class_forest(train).transform(test)
 
 
+def tree_road_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = ("ogf_id", "district", "road_class")
+    train, _ = split.train_test(model_table(fixture_dataset(spark, sf_dir), keep=keep))
+    fitted = models.fit_road_class_forest(train, trees=1, bootstrap=False).transform(train)
+    return _rounded(fitted.select("ogf_id", "road_class", *models.FEATURES, "prediction"), "prediction")
+
+
+def poisson_penalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _train_test(spark, sf_dir)
+    fitted = models.fit_poisson(train, features=["high_speed"], alpha=1.0).transform(train)
+    return _rounded(fitted.select("ogf_id", "high_speed", "prediction"), "prediction")
+
+
+def risk_cell_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = risk_table(fixture_dataset(spark, sf_dir), models.fit_cell_mean)
+    return _rounded(scored.select(*ROW_COLUMNS, "crash_count", "predicted_risk"), "predicted_risk")
+
+
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = risk_table(fixture_dataset(spark, sf_dir), models.fit_random_forest)
     return scored.select(*ROW_COLUMNS, "crash_count", "predicted_risk")
@@ -275,16 +309,28 @@ def pred_vs_actual_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Regions.
 
 
+def _feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions need no crashes, and no row written out per copy."""
+    d = fixture_dataset(spark, sf_dir)
+    return features_of(d.roads.drop("lines"), d.speed, d.lanes, d.road_class)
+
+
 def region_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.region_eligible(model_table(fixture_dataset(spark, sf_dir)))
+    return regions.region_eligible(_feature_rows(spark, sf_dir))
 
 
 def loro_train_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.loro_train_sizes(model_table(fixture_dataset(spark, sf_dir)))
+    return regions.loro_train_sizes(_feature_rows(spark, sf_dir))
+
+
+def loro_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = model_table(fixture_dataset(spark, sf_dir))
+    scores = regions.loro_metrics(table, lambda t: models.fit_poisson(t, features=["high_speed"], alpha=0.0))
+    return _rounded(scores, "pearson_r", "r2", "rmse")
 
 
 def loro_cell_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = regions.loro_metrics(model_table(fixture_dataset(spark, sf_dir)), models.fit_cell_mean)
+    scores = regions.loro_cell_mean(model_table(fixture_dataset(spark, sf_dir)))
     return _rounded(scores, "pearson_r", "r2", "rmse")
 
 
@@ -295,14 +341,14 @@ def loro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     functions = [
         scan_attribute_csv, scan_road_class_csv, scan_crash_csv, scan_geojson_points, scan_geojson_lines,
-        dataset_profile, export_geojson, export_parquet,
+        load_dataset_counts, dataset_profile, export_geojson, export_parquet,
         segment_features, feature_matrix, crash_points, crash_datetime, collisions_by_hour,
         project_points, spatial_join_pairs, unmatched_crashes,
         crash_count_rows, crash_count_segments, crash_count_filtered,
         segments_with_crashes, segments_with_crashes_total, top_crash_segments,
         holdout_split, rf_predictions, tree_cell_mean, poisson_predictions, poisson_group_mean,
-        rf_road_class, risk_scores,
+        poisson_penalised, rf_road_class, tree_road_class, risk_cell_mean, risk_scores,
         residuals_by_segment, regression_metrics, metrics_by_region, residual_histogram, pred_vs_actual_summary,
-        region_eligible, loro_train_sizes, loro_cell_mean, loro_metrics,
+        region_eligible, loro_train_sizes, loro_cell_mean, loro_poisson, loro_metrics,
     ]
     return {f.__name__: f for f in functions}

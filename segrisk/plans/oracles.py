@@ -1,6 +1,6 @@
 """Plain SQL for every query that SQL can express, over the same benchmark tables.
 
-The SQL shares no code with the operators: distances are tested for all pairs, joins fan out, and histogram bins
+The SQL shares the texts of the derived inputs (``fixtures``) with the queries, and no code with the operators: distances are tested for all pairs, joins fan out, and histogram bins
 are found by comparing with every edge.
 """
 
@@ -115,6 +115,19 @@ _CTES = {
   FROM model m JOIN fold_means o ON o.fold = m.district
     LEFT JOIN fold_cells c ON c.fold = m.district AND c.speed_limit = m.speed_limit
       AND c.number_of_lanes = m.number_of_lanes AND c.high_speed = m.high_speed""",
+    "class_cells": """
+  SELECT m.ogf_id, f.road_class, m.speed_limit, m.number_of_lanes, m.high_speed, m.crash_count
+  FROM segment_rows f JOIN (SELECT DISTINCT ogf_id, district, is_test FROM model) t USING (ogf_id),
+    LATERAL (SELECT f.ogf_id, coalesce(f.speed_limit, 0) AS speed_limit, CAST(f.number_of_lanes AS DOUBLE)
+      AS number_of_lanes, CAST(f.high_speed AS DOUBLE) AS high_speed, f.crash_count) m
+  WHERE NOT t.is_test""",
+    "speed_sums": """
+  SELECT CAST(count(*) AS DOUBLE) AS n, sum(high_speed) AS n1, CAST(sum(crash_count) AS DOUBLE) AS y,
+    CAST(sum(crash_count * high_speed) AS DOUBLE) AS y1 FROM model WHERE NOT is_test""",
+    "fold_speeds": """
+  SELECT fold, high_speed, sum(crash_count) / count(*) AS mean FROM folds GROUP BY ALL""",
+    "fold_poisson": """
+  SELECT m.*, c.mean AS prediction FROM model m JOIN fold_speeds c ON c.fold = m.district AND c.high_speed = m.high_speed""",
     "ends": "SELECT min(crash_count - prediction) AS lo, max(crash_count - prediction) AS hi FROM predictions",
     "bounds": """
   SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi
@@ -155,6 +168,16 @@ SELECT ogf_id, district, 0 AS part, CAST(v AS INTEGER) AS vertex,
 FROM roads_fx, range(3) r(v)"""
 
 
+# Newton's method for intercept b and weight w of one 0/1 feature, penalty w^2 / 2 on the mean half deviance.
+_NEWTON = """newton AS (
+  SELECT 0 AS i, ln(y / n) AS b, CAST(0 AS DOUBLE) AS w FROM speed_sums
+  UNION ALL
+  SELECT i + 1, b - (ww * gb - bw * gw) / (bb * ww - bw * bw), w - (bb * gw - bw * gb) / (bb * ww - bw * bw)
+  FROM (SELECT i, b, w, ((n - n1) * exp(b) + n1 * exp(b + w) - y) / n AS gb, (n1 * exp(b + w) - y1) / n + w AS gw,
+          ((n - n1) * exp(b) + n1 * exp(b + w)) / n AS bb, n1 * exp(b + w) / n AS bw, n1 * exp(b + w) / n + 1 AS ww
+        FROM newton, speed_sums) WHERE i < 40)"""
+
+
 def oracle_sql() -> dict[str, str]:
     calendar = "crash_id, date, datetime, hour, weekday, month, year, weekday_name"
     counted = "SELECT f.ogf_id, f.speed_limit, f.number_of_lanes, f.road_class, coalesce(c.n, 0) AS crash_count FROM features f"
@@ -240,6 +263,30 @@ def oracle_sql() -> dict[str, str]:
             " FROM model WHERE NOT is_test",
             "model",
         ),
+        "load_dataset_counts": _query(
+            f"{counted} LEFT JOIN counts_rows c ON f.ogf_id = c.ogf_id", "features", "counts_rows"
+        ),
+        "tree_road_class": _query(
+            "SELECT ogf_id, road_class, speed_limit, number_of_lanes, high_speed, round(avg(crash_count) OVER"
+            " (PARTITION BY road_class, speed_limit, number_of_lanes, high_speed), 6) AS prediction FROM class_cells",
+            "class_cells",
+        ),
+        "poisson_penalised": _with("model", "speed_sums").replace("WITH ", "WITH RECURSIVE ", 1)
+        + f", {_NEWTON}\nSELECT ogf_id, high_speed, round(exp(b + w * high_speed), 6) AS prediction"
+        " FROM model, (SELECT b, w FROM newton WHERE i = 40) WHERE NOT is_test",
+        "risk_cell_mean": _query(
+            f"SELECT {_ROW_COLUMNS.replace('speed_limit', 'r.speed_limit').replace('number_of_lanes', 'r.number_of_lanes').replace('high_speed', 'r.high_speed')},"
+            " crash_count, round(coalesce(c.mean, (SELECT sum(crash_count) / count(*) FROM model WHERE NOT is_test)), 6)"
+            " AS predicted_risk FROM segment_rows r LEFT JOIN train_cells c ON c.speed_limit = coalesce(r.speed_limit, 0)"
+            " AND c.number_of_lanes = r.number_of_lanes AND c.high_speed = CAST(r.high_speed AS DOUBLE)",
+            "segment_rows",
+            "train_cells",
+            "model",
+        ),
+        "loro_poisson": _query(
+            f"SELECT district, {_SCORES.format(r=_PEARSON)} FROM fold_poisson GROUP BY district",
+            "fold_poisson",
+        ),
         "residuals_by_segment": _query(
             "SELECT ogf_id, crash_count, round(prediction, 6) AS prediction,"
             " round(crash_count - prediction, 6) AS residual FROM predictions",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segrisk.operators.features import COPIES, attributes_by_id, derive_features, expand_copies
@@ -12,6 +12,7 @@ from segrisk.operators.joins import join_by_id
 from segrisk.operators.models import FEATURES, LABEL, PREDICTION, Model, feature_matrix
 from segrisk.operators.spatial_join import crash_counts
 from segrisk.operators.split import train_test
+from segrisk.schemas import ELEMENT_ID
 from segrisk.session import materialise
 from segrisk.sources.bundle import Dataset
 
@@ -25,9 +26,12 @@ def segment_table(dataset: Dataset, *, mode: str = "rows", **options) -> DataFra
     ids = dataset.roads.select("ogf_id").distinct()
     features = derive_features(attributes_by_id(ids, dataset.speed, dataset.lanes, dataset.road_class))
     counts = crash_counts(dataset.roads, dataset.crashes, mode=mode, **options)
-    by_id = features.join(counts, "ogf_id", "left")
-    fan_out = F.sum(COPIES).over(Window.partitionBy("ogf_id")) if mode == "rows" else F.lit(1)
-    by_id = by_id.withColumn(LABEL, F.coalesce(LABEL, F.lit(0).cast("bigint")) * fan_out)
+    if mode == "rows":
+        for attribute in (dataset.speed, dataset.lanes, dataset.road_class):
+            rows = attribute.groupBy(F.col(ELEMENT_ID).alias("ogf_id")).agg(F.count(F.lit(1)).alias("_rows"))
+            counts = counts.join(rows, "ogf_id", "left")
+            counts = counts.select("ogf_id", (F.col(LABEL) * F.coalesce("_rows", F.lit(1))).alias(LABEL))
+    by_id = features.join(counts, "ogf_id", "left").fillna(0, subset=[LABEL])
     return join_by_id(dataset.roads, by_id, "ogf_id")
 
 
@@ -39,9 +43,12 @@ def segment_rows(dataset: Dataset, *, mode: str = "rows", **options) -> DataFram
 def model_table(
     dataset: Dataset, *, mode: str = "rows", keep: tuple[str, ...] = ("ogf_id", "district"), **options
 ) -> DataFrame:
-    """Key, region, zero-filled features and label, written once so that fits and folds read a small table."""
-    rows = segment_rows(dataset, mode=mode, **options)
-    return materialise(feature_matrix(rows).select(*keep, *FEATURES, LABEL), "model_table")
+    """Key, region, zero-filled features and label, written once so that fits and folds read a small table.
+
+    The written table holds repeated rows as ``copies``; they are multiplied when it is read.
+    """
+    rows = feature_matrix(segment_table(dataset, mode=mode, **options))
+    return expand_copies(materialise(rows.select(*keep, *FEATURES, LABEL, COPIES), "model_table"))
 
 
 def score_segments(model: Model, segments: DataFrame) -> DataFrame:
@@ -56,8 +63,9 @@ def score_segments(model: Model, segments: DataFrame) -> DataFrame:
 def risk_table(dataset: Dataset, fit: Callable[[DataFrame], Model], *, mode: str = "rows", **options) -> DataFrame:
     """All segments with the risk predicted by a model fitted on the training part of the split.
 
-    The segments are written once, because fitting and scoring both read them.
+    The segments are written once, because fitting and scoring both read them. Repeated rows are held as ``copies``
+    up to the result: they weigh in the fit, and are scored once.
     """
-    segments = materialise(segment_rows(dataset, mode=mode, **options), "segments")
-    train, _ = train_test(feature_matrix(segments).select("ogf_id", *FEATURES, LABEL))
-    return score_segments(fit(train), segments)
+    segments = materialise(segment_table(dataset, mode=mode, **options), "segments")
+    train, _ = train_test(feature_matrix(segments).select("ogf_id", *FEATURES, LABEL, COPIES))
+    return expand_copies(score_segments(fit(train), segments))

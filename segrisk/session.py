@@ -46,9 +46,22 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"segrisk-{application}-")
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/segrisk/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/segrisk/{uuid.uuid4().hex}/{name}"
+    return f"{_session_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this session has written to the shared folder.
+
+    To be called when no result is read any more, before the session stops.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

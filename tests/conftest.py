@@ -5,18 +5,22 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from segrisk.session import build_session  # noqa: E402
+from segrisk.session import build_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = build_session(
         "tests",
         "local[8]",
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="8g",
+        spark__checkpoint__dir=str(shared),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
+    assert not any(shared.rglob("*.parquet")), "tables were left in the shared folder"
     session.stop()

@@ -10,7 +10,7 @@ from segrisk.operators.evaluate import (
     with_residual,
 )
 from segrisk.operators.models import fit_cell_mean, fit_tree
-from segrisk.operators.regions import leave_one_region_out, loro_metrics, loro_train_sizes, region_eligible
+from segrisk.operators.regions import cell_mean_without_region, leave_one_region_out, loro_metrics, loro_train_sizes, region_eligible
 
 
 def frame(spark, rows):
@@ -99,3 +99,27 @@ def test_region_edge_cases(spark):
         loro_metrics(table, fit_cell_mean, region="NEIGHBOURHOOD")
     none = leave_one_region_out(table.where(F.col("district") == "TINY"), fit_cell_mean)
     assert none.count() == 0 and none.columns[-1] == "prediction"
+
+
+def test_cell_mean_of_any_number_of_regions(spark):
+    rows = spark.range(3003).selectExpr(
+        "id AS ogf_id", "IF(id % 97 = 0, NULL, concat('R', id % 1001)) AS district", "double(id % 4) AS speed_limit",
+        "double(id % 3) AS number_of_lanes", "double(0) AS high_speed", "id % 5 AS crash_count",
+    )
+    data = [(r.ogf_id, r.district, (r.speed_limit, r.number_of_lanes), r.crash_count) for r in rows.collect()]
+    got = {r.ogf_id: r.prediction for r in cell_mean_without_region(rows, min_rows=2).collect()}
+    assert len({d for i, d, _, _ in data if i in got}) > 900
+    for i, district, cell, _ in data[:60]:
+        if i in got:
+            same = [y for _, d, c, y in data if d != district and c == cell]
+            assert got[i] == pytest.approx(sum(same) / len(same))
+
+
+def test_one_pass_equals_the_folds(spark):
+    rows = spark.range(200).selectExpr(
+        "id AS ogf_id", "IF(id % 9 = 0, NULL, concat('R', id % 4)) AS district", "double(id % 7) AS speed_limit",
+        "double(id % 3) AS number_of_lanes", "double(id % 2) AS high_speed", "(id * id) % 5 AS crash_count",
+    )
+    one = {r.ogf_id: r.prediction for r in cell_mean_without_region(rows).collect()}
+    folds = {r.ogf_id: r.prediction for r in leave_one_region_out(rows, fit_cell_mean).collect()}
+    assert one.keys() == folds.keys() and all(one[k] == pytest.approx(folds[k]) for k in one)

@@ -30,3 +30,24 @@ def test_hot_id_is_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 4000 and max(r["count"] for r in sizes) < 4000
+
+
+def test_hot_id_in_one_input_partition_is_spread(spark):
+    rows = spark.range(0, 4000, 1, 1).select(F.lit(1).cast("bigint").alias("k"), F.col("id").alias("v"))
+    by_id = spark.createDataFrame([(1, "a")], "k long, w string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = join_by_id(rows, by_id, "k", id_rows=100)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 4000 and max(sizes) < 3000
+
+
+def test_any_number_of_hot_ids(spark):
+    rows = spark.range(0, 40_000, 1, 4).select((F.col("id") % 10_000).alias("k"), F.col("id").alias("v"))
+    by_id = spark.range(0, 10_000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("w"))
+    joined = join_by_id(rows, by_id, "k", id_rows=2)
+    assert joined.where("w = k + 1").count() == 40_000

@@ -133,3 +133,24 @@ def test_split_is_by_key(spark):
     assert 0.15 < holdout_split(named).where("is_test").count() / len(ids) < 0.25
     other = {r.ogf_id for r in holdout_split(df, seed=43).where("is_test").collect()}
     assert other != {i for i, t in once.items() if t}
+
+
+def test_forest_does_not_depend_on_the_layout_of_its_input(spark, table):
+    found = []
+    for n, shuffles in ((1, "3"), (7, "11")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        forest = fit_random_forest(table.repartition(n), trees=5)
+        found.append(sorted((r.ogf_id, r.prediction) for r in forest.transform(table).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+
+
+def test_many_classes_and_many_values(spark):
+    classes = spark.range(400).selectExpr(
+        "id AS ogf_id", "double(50) AS speed_limit", "double(1) AS number_of_lanes", "double(0) AS high_speed",
+        "concat('class ', id % 200) AS road_class", "id % 200 AS crash_count",
+    )
+    tree = fit_road_class_forest(classes, trees=1, bootstrap=False)
+    assert tree.transform(classes).where("abs(prediction - crash_count) > 1e-9").count() == 0
+    speeds = classes.selectExpr("ogf_id", "double(ogf_id % 300) AS speed_limit", "number_of_lanes", "high_speed", "ogf_id % 300 AS crash_count")
+    assert fit_tree(speeds).transform(speeds).where("abs(prediction - crash_count) > 1e-9").count() == 0

@@ -4,13 +4,14 @@ import pytest
 
 import __spark_entry__ as contract
 from check import compare, open_tables
+from segrisk.plans import catalog, oracles
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # At the small scale no crash is near a fanned-out segment, so the count modes differ only at the next one.
 BOTH_SCALES = ["crash_count_rows", "crash_count_segments", "spatial_join_pairs"]
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", catalog.queries())
 def test_small(spark, name):
     same, detail = compare(spark, open_tables(SMALL), name, SMALL)
     assert same, detail
@@ -29,6 +30,6 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {
+    assert set(catalog.queries()) - set(oracles.oracle_sql()) == {
         "rf_predictions", "poisson_predictions", "rf_road_class", "risk_scores", "loro_metrics",
     }

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from segrisk.session import materialise, new_path, shared_dir
-from segrisk.sources.bundle import ROAD_PROPERTIES, dataset_profile, export_parquet, load_dataset
+from segrisk.sources.bundle import ROAD_PROPERTIES, dataset_profile, export_parquet, load_dataset, scan_parquet_roads
 from segrisk.sources.geojson import export_geojson, scan_geojson_lines, scan_geojson_points
 from segrisk.sources.tables import scan_crash_csv, scan_road_class, scan_speed
 
@@ -67,7 +67,6 @@ def test_geojson_geometries(spark, tmp_path, layout):
             {"ogf_id": 2}, {"type": "MultiLineString", "coordinates": [[[1, 2], [3, 4]], [[5, 6], [7.5, 8]]]}
         ),
         feature({"ogf_id": 3}, None),
-        feature({"ogf_id": 4}, {"type": "Point", "coordinates": [1, 2]}),
     ]
     if layout == "lines":
         # The layout of common writers: a header line, one feature per line with commas, a footer line.
@@ -81,20 +80,77 @@ def test_geojson_geometries(spark, tmp_path, layout):
         1: [[(1, 2), (3, 4)]],
         2: [[(1, 2), (3, 4)], [(5, 6), (7.5, 8)]],
         3: None,
-        4: None,
     }
-    points = scan_geojson_points(
-        spark, str(tmp_path / "roads.geojson"), StructType([StructField("ogf_id", LongType())]), layout
-    )
-    assert {r.ogf_id: (r.longitude, r.latitude) for r in points.collect()} == {
-        1: (None, None), 2: (None, None), 3: (None, None), 4: (1, 2),
-    }
     with pytest.raises(ValueError, match="EPSG:3857"):
         scan_geojson_lines(spark, "x", ROAD_PROPERTIES, crs="EPSG:3857")
     with pytest.raises(ValueError, match="layout"):
         scan_geojson_lines(spark, "x", ROAD_PROPERTIES, layout="tiles")
 
 
+KEY = StructType([StructField("ogf_id", LongType())])
+
+
+def as_lines(folder, *features):
+    return write(folder, "features.geojson", "\n".join(map(json.dumps, features)))
+
+
+def test_points_and_their_geometry_types(spark, tmp_path):
+    point = {"type": "Point", "coordinates": [1, 2]}
+    path = as_lines(tmp_path, feature({"ogf_id": 1}, point), feature({"ogf_id": 2}, None),
+                    feature({"ogf_id": 3}, {"type": "MultiPoint", "coordinates": [[5, 6]]}))
+    rows = scan_geojson_points(spark, path, KEY).collect()
+    assert {r.ogf_id: (r.longitude, r.latitude) for r in rows} == {1: (1, 2), 2: (None, None), 3: (5, 6)}
+    for bad in (
+        {"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]},
+        {"type": "Point", "coordinates": ["x", 2]},
+        {"type": "Polygon", "coordinates": [[[1, 2], [3, 4], [5, 6], [1, 2]]]},
+    ):
+        with pytest.raises(PySparkException, match="cannot read this geometry"):
+            scan_geojson_points(spark, as_lines(tmp_path, feature({"ogf_id": 1}, bad)), KEY).collect()
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        {"type": "Polygon", "coordinates": [[[1, 2], [3, 4], [5, 6], [1, 2]]]},
+        {"type": "LineString", "coordinates": [[1, "x"], [3, 4]]},
+        {"type": "LineString", "coordinates": [[1], [3, 4]]},
+        {"type": "MultiLineString", "coordinates": [[[1, 2], [3, None]]]},
+    ],
+)
+def test_lines_that_cannot_be_read_raise(spark, tmp_path, bad):
+    with pytest.raises(PySparkException, match="cannot read this geometry"):
+        scan_geojson_lines(spark, as_lines(tmp_path, feature({"ogf_id": 1, "district": "A"}, bad)), ROAD_PROPERTIES).collect()
+
+
+def test_properties_in_any_case_and_ids_in_any_form(spark, tmp_path):
+    line = {"type": "LineString", "coordinates": [[1, 2], [3, 4]]}
+    path = as_lines(tmp_path, *(feature({"OGF_ID": i, "District": "A"}, line) for i in (12, 13.0, "14", " 15.0 ", None)))
+    rows = scan_geojson_lines(spark, path, ROAD_PROPERTIES).collect()
+    assert [(r.ogf_id, r.district) for r in rows] == [(12, "A"), (13, "A"), (14, "A"), (15, "A"), (None, "A")]
+    for wrong in (12.7, "12a", "1e3"):
+        with pytest.raises(PySparkException, match="not a whole number"):
+            scan_geojson_lines(spark, as_lines(tmp_path, feature({"ogf_id": wrong, "district": "A"}, line)), ROAD_PROPERTIES).collect()
+    with pytest.raises(ValueError, match="district"):
+        scan_geojson_lines(spark, as_lines(tmp_path, feature({"ogf_id": 1}, line)), ROAD_PROPERTIES)
+
+
+def test_csv_ids_and_headers(spark, tmp_path):
+    folder = tmp_path / "speed"
+    folder.mkdir()
+    write(folder, "a.csv", "ORN_ROAD_NET_ELEMENT_ID;SPEED_LIMIT\n12.0;50\n")
+    assert [tuple(r) for r in scan_speed(spark, str(folder)).collect()] == [(12, 50.0)]
+    write(folder, "b.csv", "SPEED_LIMIT;ORN_ROAD_NET_ELEMENT_ID\n70;2\n")
+    with pytest.raises(Exception, match="b.csv"):
+        scan_speed(spark, str(folder)).collect()
+    fraction = write(tmp_path, "f.csv", "ORN_ROAD_NET_ELEMENT_ID;SPEED_LIMIT\n12.7;50\n")
+    with pytest.raises(PySparkException, match="not a whole number"):
+        scan_speed(spark, fraction).collect()
+    text = 'ACCNUM,DATE,LATITUDE,LONGITUDE,STREET\n1,x,43.5,-79.5,"KING\nWEST"\n'
+    crashes = scan_crash_csv(spark, write(tmp_path, "k.csv", text), multi_line=True)
+    assert crashes.first().STREET == "KING\nWEST" if "STREET" in crashes.columns else crashes.first().street == "KING\nWEST"
+
+
 @pytest.mark.parametrize(
     "text",
     [
@@ -150,6 +206,14 @@ def test_bundle_and_profile(spark, tmp_path):
         spark, roads=parquet, **{k: str(tmp_path / f"{f}.csv") for k, f in
                                  zip(("speed", "lanes", "road_class", "crashes"), "slck", strict=True)}
     ).roads.count() == 3
+    wrong = str(tmp_path / "wrong.parquet")
+    dataset.roads.selectExpr("string(ogf_id) AS ogf_id", "lines", "district").write.parquet(wrong)
+    with pytest.raises(ValueError, match="ogf_id"):
+        scan_parquet_roads(spark, wrong)
+    points = as_lines(tmp_path, feature({"DATE": "bad"}, {"type": "Point", "coordinates": [-79.4, 43.65]}))
+    files = {k: str(tmp_path / f"{f}.csv") for k, f in zip(("speed", "lanes", "road_class"), "slc", strict=True)}
+    loaded = load_dataset(spark, roads=parquet, crashes=points, **files)
+    assert [tuple(r) for r in loaded.crashes.collect()] == [("bad", -79.4, 43.65)]
 
 
 def test_materialised_tables_live_in_the_shared_folder(spark):

@@ -78,7 +78,7 @@ def test_missing_coordinates_and_geometries(spark):
     assert pairs(spark, [road, *odd], crashes) == {(1, 1), (1, None)}
     assert counts(spark, [road, *odd], crashes) == {1: 1}
     c, r = crashes_df(spark, crashes), roads_df(spark, [road, *odd])
-    assert {x.crash_id for x in unmatched_crashes(c, r).collect()} == {5, 8}
+    assert {x.crash_id for x in unmatched_crashes(c, r).collect()} == {5, 6, 7, 8}
     everything = unmatched_crashes(c, r, keep_missing=True)
     assert {x.crash_id for x in everything.collect()} == {2, 3, 4, 5, 6, 7, 8}
 
@@ -131,3 +131,26 @@ def test_generated_code_stays_within_the_jit_limit(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(s) for s in re.findall(r"maxMethodCodeSize:(-?\d+)", out.getvalue())]
     assert sizes and all(0 < s < 8000 for s in sizes), sizes
+
+
+def test_unmatched_crashes_are_decided_by_position(spark):
+    roads = [(1, [[(LON, LAT), (LON + 0.01, LAT)]], "A")]
+    rows = [(None, LON, LAT), (2, LON, LAT + 0.1), (2, LON, LAT), (3, LON, 95.0), (4, None, LAT), (None, LON, LAT + 0.2)]
+    crashes = spark.createDataFrame(rows, "crash_id long, longitude double, latitude double")
+    found = {tuple(r) for r in unmatched_crashes(crashes, roads_df(spark, roads)).collect()}
+    assert found == {rows[1], rows[3], rows[5]}
+    kept = unmatched_crashes(crashes, roads_df(spark, roads), keep_missing=True)
+    assert {tuple(r) for r in kept.collect()} == {rows[1], rows[3], rows[4], rows[5]}
+
+
+def test_any_number_of_crowded_cells(spark):
+    roads, crashes = random_network(seed=11)
+    expected = brute_force_pairs(crashes, roads)
+    assert pairs(spark, roads, crashes, block_rows=1) == expected
+
+
+def test_crashes_are_scanned_once_for_pairs(spark, tmp_path):
+    roads, crashes = random_network(seed=3)
+    crashes_df(spark, crashes).write.parquet(f"{tmp_path}/crashes")
+    joined = spatial_join_pairs(spark.read.parquet(f"{tmp_path}/crashes"), roads_df(spark, roads))
+    assert all("/crashes" not in name for name in joined.inputFiles())  # they were read, projected and written before
