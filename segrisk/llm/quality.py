@@ -4,9 +4,12 @@ Zstandard dictionaries are trained on labelled good texts and on labelled bad te
 in pieces, so that the dictionary counts as much at the end of a long text as at the start of a short one. The
 difference of the two compressed sizes, divided by their sum, says which dictionary knows the text better.
 
+Compressed sizes of a short text say little, so the inverse of their sum is a third input: it shifts short texts
+towards the share of good ones among short texts.
+
 That is done for two views of a text: the text itself, and the shapes of its words (length, case, punctuation,
-repetition of the word before), one byte each, which are alike in all languages. A logistic curve over the two
-differences turns them into a probability.
+repetition of the word before), one byte each, which are alike in all languages. A logistic curve over these
+inputs gives a probability.
 
 Dictionaries come from one half of a bounded sample of the labelled rows, the curve from the other half, so that the
 curve sees texts that are not in a dictionary. Only texts and labels take part in the fit, and only texts in scores.
@@ -37,6 +40,7 @@ DICTIONARY_BYTES = 1 << 15
 SAMPLE_PIECE = 512
 PIECES = (2048, 512)  # bytes compressed at a time, of the text and of the shapes
 LEVEL = 3
+SHORT = 100  # compressed bytes
 THRESHOLD = 0.7
 NOT_WORD = ".,;:!?|#$%&*-_()\"'"
 
@@ -67,13 +71,16 @@ class Model:
     offset: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = differences(texts, self.dictionaries) @ self.slopes if self.dictionaries else np.zeros(len(texts))
+        x = inputs(texts, self.dictionaries) @ self.slopes if self.dictionaries else np.zeros(len(texts))
         return 1 / (1 + np.exp(-np.clip(x + self.offset, -30, 30)))
 
 
-def differences(texts: list[str | None], dictionaries: list[tuple[bytes, bytes]]) -> np.ndarray:
-    """Per view (size under bad - size under good) / (sum): above 0 if the good dictionary knows the text better."""
-    out = np.zeros((len(texts), len(VIEWS)))
+def inputs(texts: list[str | None], dictionaries: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """Per view (size under bad - size under good) / (sum): above 0 if the good dictionary knows the text better.
+
+    The last column is ``SHORT / (SHORT + sum)`` of the text's own view.
+    """
+    out = np.zeros((len(texts), len(VIEWS) + 1))
     for v, (view, piece, pair) in enumerate(zip(VIEWS, PIECES, dictionaries, strict=True)):
         tools = []
         for content in pair:
@@ -89,6 +96,8 @@ def differences(texts: list[str | None], dictionaries: list[tuple[bytes, bytes]]
                 good += len(tools[0].compress(own))
                 bad += len(tools[1].compress(own))
             out[i, v] = (bad - good) / max(1, bad + good)
+            if v == 0:
+                out[i, -1] = SHORT / (SHORT + bad + good)
     return out
 
 
@@ -123,10 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: str) -> Model:
     dictionaries = _dictionaries(good[::2], bad[::2])
     if not dictionaries:
         share = (len(good) + 0.5) / (len(good) + len(bad) + 1)
-        return Model([], np.zeros(len(VIEWS)), float(np.log(share / (1 - share))))
+        return Model([], np.zeros(len(VIEWS) + 1), float(np.log(share / (1 - share))))
     held = [good[1::2] or good, bad[1::2] or bad]
     y = np.repeat([1.0, 0.0], [len(h) for h in held])
-    return Model(dictionaries, *_logistic(differences(held[0] + held[1], dictionaries), y))
+    return Model(dictionaries, *_logistic(inputs(held[0] + held[1], dictionaries), y))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:

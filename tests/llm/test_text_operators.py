@@ -254,7 +254,9 @@ def test_quality_without_labels(spark):
 
 def test_scores_are_probabilities_and_beat_the_base(spark, texts):
     rng = random.Random(9)
-    own = [*texts[:-1], *[prose(rng, 120) for _ in range(60)]]
+    syllables = ["tion", "ment", "ver", "la", "con", "ri", "sta", "pel"]
+    made = [" ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(150)) for _ in range(120)]
+    own = [*texts[:-1], *made]
     docs = clashing(docs_df(spark, own), "word", "n", "row_id", "held_out")
     held = "crc32(cast(doc_id AS string)) % 5 = 1"
     for limit in (1 << 22, 0):
@@ -271,29 +273,48 @@ def test_scores_are_probabilities_and_beat_the_base(spark, texts):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (
                 zlib.crc32(str(i).encode()) % 5 == 1, len(t), sum(counts[w] > 0 for w in t), total)
             assert r.base_score == pytest.approx(base, abs=1e-6) and r.score < 0
-    held_out = [r for r in got.values() if r.held_out and r.n_tokens > 50]
-    assert held_out and all(r.score > r.base_score for r in held_out)
+    held_out = [r for r in got.values() if r.held_out and r.doc_id >= len(own) - 120]
+    assert len(held_out) > 10 and all(r.score > r.base_score for r in held_out)
 
 
-def test_all_continuations_of_a_text_sum_to_one():
-    texts = ["ab abc", "b a", "abc ab a"]
-    code = lm.Code(np.bincount(np.frombuffer("".join(texts).encode(), np.uint8), minlength=256))
-    odds = np.random.default_rng(0).integers(-4000, 4000, lm._STARTS[-1]).astype(np.int16)
-    # Codes are prefix-free and complete, so the decisions of a byte are a distribution over bytes.
-    assert sum(2.0 ** -int(n) for n in code.length) == pytest.approx(1)
-    scores, n = lm.score_texts(texts, code, odds)
-    assert scores.tolist() == pytest.approx([lm.score_texts([t], code, odds)[0][0] for t in texts]) and n.tolist() == [8, 5, 10]
+def random_tables(seed, counts=None):
+    rng = np.random.default_rng(seed)
+    odds = rng.integers(-3000, 3000, lm._STARTS[-1]).astype(np.int16)
+    gates = rng.integers(0, 4, lm._STARTS[lm.GATE + 1] - lm._STARTS[lm.GATE]).astype(np.uint8)
+    return lm.Tables(lm.Code(np.ones(256) if counts is None else counts), odds, gates)
+
+
+def test_scores_do_not_depend_on_the_other_texts():
+    texts = ["ab abc", "b a", "", "abc été a", None, "x" * 700]
+    model = random_tables(0, np.bincount(np.frombuffer("".join(t or "" for t in texts).encode(), np.uint8), minlength=256))
+    # The code is prefix-free and complete, so the decisions of a byte are a distribution over bytes.
+    assert sum(2.0 ** -int(n) for n in model.code.length) == pytest.approx(1)
+    scores, n = lm.score_texts(texts, model)
+    alone = [lm.score_texts([t], model)[0][0] for t in texts]
+    assert scores.tolist() == pytest.approx(alone, rel=1e-4) and n.tolist() == [8, 5, 1, 13, 1, 702]
+
+
+def test_one_byte_is_a_distribution():
+    model = random_tables(3)
+    total = 0.0
+    for byte in range(256):
+        data = np.array([10, 10, 10, 10, 97, byte], np.uint8)
+        size, branch, slots = lm.decisions(data, model.code, np.array([False] * 5 + [True]))
+        tables = [model.odds[a:b] for a, b in zip(lm._STARTS[:-1], lm._STARTS[1:], strict=True)]
+        x = [table[slot] / np.float32(lm.SCALE) for table, slot in zip(tables, slots, strict=True)]
+        cost = lm.Mixer(1).read(x, model.gates[slots[lm.GATE]], branch.astype(np.float32), np.array([0, len(branch)]))
+        total += float(np.exp(cost[0]))
+    assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_long_texts_are_scored_in_windows(monkeypatch):
     rng = random.Random(6)
     texts = [prose(rng, 3000), "short"]
-    code = lm.Code(np.ones(256))
-    odds = np.random.default_rng(1).integers(-3000, 3000, lm._STARTS[-1]).astype(np.int16)
-    whole, n = lm.score_texts(texts, code, odds)
+    model = random_tables(1)
+    whole, n = lm.score_texts(texts, model)
     monkeypatch.setattr(lm, "WINDOW", 2000)
-    parts, m = lm.score_texts(texts, code, odds)
-    assert n.tolist() == m.tolist() and parts[1] == pytest.approx(whole[1]) and parts[0] == pytest.approx(whole[0], rel=0.01)
+    parts, m = lm.score_texts(texts, model)
+    assert n.tolist() == m.tolist() and parts[1] == pytest.approx(whole[1]) and parts[0] == pytest.approx(whole[0], rel=0.02)
 
 
 # Fingerprints
