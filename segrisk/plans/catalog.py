@@ -62,17 +62,20 @@ def scan_crash_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan_crash_csv(spark, path).withColumn("crash_id", F.col("crash_id").cast("bigint"))
 
 
-def scan_geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["crash_id", "date", "weather", "district"]
+def _as_point_features(crashes: DataFrame, names: list[str], path: str) -> str:
     point = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(*names).alias("properties"),
         F.when(F.col("longitude").isNotNull(), point).alias("geometry"),
     )
-    path = new_path(spark, "points_geojson")
-    crashes = fixture_dataset(spark, sf_dir).crashes
     crashes.select(F.to_json(feature, {"ignoreNullFields": "false"})).write.text(path)
+    return path
+
+
+def scan_geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["crash_id", "date", "weather", "district"]
+    path = _as_point_features(fixture_dataset(spark, sf_dir).crashes, names, new_path(spark, "points_geojson"))
     types = [LongType(), StringType(), StringType(), StringType()]
     properties = StructType([StructField(n, t) for n, t in zip(names, types, strict=True)])
     return geojson.scan_geojson_points(spark, path, properties)
@@ -100,6 +103,19 @@ def load_dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ogf_id", "speed_limit", "number_of_lanes", "road_class", "crash_count")
 
 
+def load_dataset_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other formats of the bundle: segments from Parquet, crashes from GeoJSON."""
+    d = fixture_dataset(spark, sf_dir)
+    roads = new_path(spark, "roads.parquet")
+    _upper(d.roads, "ogf_id", "district").write.parquet(roads)
+    crashes = _as_point_features(_upper(d.crashes, "date"), ["DATE"], new_path(spark, "crashes.geojson"))
+    attributes = {"speed": d.speed, "lanes": d.lanes, "road_class": d.road_class}
+    paths = {name: _as_csv(df, f"{name}_csv", ";") for name, df in attributes.items()}
+    loaded = bundle.load_dataset(spark, roads=roads, crashes=crashes, **paths)
+    rows = segment_rows(loaded, mode="segments")
+    return rows.select("ogf_id", "speed_limit", "number_of_lanes", "road_class", "crash_count")
+
+
 def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.dataset_profile(fixture_dataset(spark, sf_dir))
 
@@ -341,7 +357,7 @@ def loro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     functions = [
         scan_attribute_csv, scan_road_class_csv, scan_crash_csv, scan_geojson_points, scan_geojson_lines,
-        load_dataset_counts, dataset_profile, export_geojson, export_parquet,
+        load_dataset_counts, load_dataset_formats, dataset_profile, export_geojson, export_parquet,
         segment_features, feature_matrix, crash_points, crash_datetime, collisions_by_hour,
         project_points, spatial_join_pairs, unmatched_crashes,
         crash_count_rows, crash_count_segments, crash_count_filtered,

@@ -266,6 +266,9 @@ def oracle_sql() -> dict[str, str]:
         "load_dataset_counts": _query(
             f"{counted} LEFT JOIN counts_rows c ON f.ogf_id = c.ogf_id", "features", "counts_rows"
         ),
+        "load_dataset_formats": _query(
+            f"{counted} LEFT JOIN counts_segments c ON f.ogf_id = c.ogf_id", "features", "counts_segments"
+        ),
         "tree_road_class": _query(
             "SELECT ogf_id, road_class, speed_limit, number_of_lanes, high_speed, round(avg(crash_count) OVER"
             " (PARTITION BY road_class, speed_limit, number_of_lanes, high_speed), 6) AS prediction FROM class_cells",
