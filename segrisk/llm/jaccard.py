@@ -168,7 +168,10 @@ def _may_link(rule: Rule, x: str, y: str) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, levels: Broadcast) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under all other orders and whose whole sets are similar enough."""
+    """Links among the pairs: those that share a prefix token under all other orders and have similar whole sets.
+
+    Pairs of documents that other links of the result connect already may be left out.
+    """
     ids = materialise(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "candidate_ids")
     small = ids.count() <= BROADCAST_IDS
     own = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
@@ -180,12 +183,25 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, levels: Broadcast) -
     for k in range(1, ORDERS):
         near = near.where(F.arrays_overlap(f"a{k}", f"b{k}"))
     near = materialise(near.select("a", "b").distinct(), "filtered_pairs")
-    both = near
+
+    def exact(some: DataFrame) -> DataFrame:
+        both = some
+        for end in "ab":
+            both = both.join(sets.select(F.col("doc_id").alias(end), F.col("tokens").alias(f"{end}_tokens")), end)
+        common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+        union = F.size("a_tokens") + F.size("b_tokens") - common
+        return both.where(100 * common >= rule.percent * union).select("a", "b").distinct()
+
+    # Whole sets are large, so one pair per document goes first, and then those pairs that are still not connected.
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialise(exact(first), "first_links")
+    parts = connected_components(links)
+    rest = near.join(first, ["a", "b"], "left_anti")
     for end in "ab":
-        both = both.join(sets.select(F.col("doc_id").alias(end), F.col("tokens").alias(f"{end}_tokens")), end)
-    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    union = F.size("a_tokens") + F.size("b_tokens") - common
-    return both.where(100 * common >= rule.percent * union).select("a", "b").distinct()
+        own = parts.select(F.col("id").alias(end), F.col("component").alias(f"{end}_part"))
+        rest = rest.join(own, end, "left")
+    same = F.coalesce("a_part", "a") == F.coalesce("b_part", "b")
+    return links.union(exact(materialise(rest.where(~same).select("a", "b"), "other_pairs")))
 
 
 def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -205,7 +221,8 @@ def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     own = named.join(first.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-    tokens = own.select("doc_id", F.explode("prefix").alias("token"))
+    # Copies take part here, which marks more tokens as shared than need be, and saves moving the prefixes twice.
+    tokens = named.select("doc_id", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = materialise(shared.where("low <> high").select("token"), "shared_tokens")
     at = _positions(own, bitmap(shared, BITMAP_BITS)).join(shared, "token")
