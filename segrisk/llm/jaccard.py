@@ -173,8 +173,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, levels: Broadcast) -
     Pairs of documents that other links of the result connect already may be left out.
     """
     ids = materialise(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "candidate_ids")
-    small = ids.count() <= BROADCAST_IDS
-    own = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    own = docs.join(_broadcastable(ids), "doc_id", "left_semi")
     sets = materialise(whole_sets(own, rule, levels), "candidate_sets")
     near = pairs
     for end in "ab":  # the other prefixes first, they are short
@@ -264,11 +263,18 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     smallest doc_id the one with the smallest text stays.
     """
     groups = similar_groups(docs, rule)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = repeated.select("doc_id")
-    single = docs.join(gone.union(repeated), "doc_id", "left_anti")
-    several = docs.join(repeated.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    several = several.groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return single.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(several)
+    repeated = materialise(repeated.select("doc_id"), "repeated_ids")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = docs.join(_broadcastable(gone.union(repeated)), "doc_id", "left_anti").select(*columns)
+    if repeated.isEmpty():
+        return single
+    several = docs.join(_broadcastable(repeated.join(gone, "doc_id", "left_anti")), "doc_id", "left_semi")
+    row = F.min_by(F.struct(*columns), F.coalesce("text", F.lit("")))
+    return single.unionByName(several.groupBy("doc_id").agg(row.alias("row")).select("row.*"))
+
+
+def _broadcastable(ids: DataFrame) -> DataFrame:
+    """Ids to be joined with texts: broadcast up to ``BROADCAST_IDS`` of them."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
