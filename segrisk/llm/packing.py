@@ -42,11 +42,8 @@ END_TOKEN = 1
 UNIT = 32
 PATTERN_PIECES = 3
 NNLS_ROUNDS = 400
-CACHE_WORDS = 300_000  # words and parts of words whose ids a worker remembers
-CACHE_PARTS = 600_000
-
-_tokenizers: dict[str, "WordTokenizer"] = {}
-
+CACHE_WORDS = 200_000  # words and parts of words whose ids a task remembers
+CACHE_PARTS = 300_000
 
 # Characters up to U+017F whose class and lower case are beyond doubt; words of others are left to the tokenizer.
 _PLAIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180)) if c != 0x130]
@@ -142,13 +139,6 @@ class WordTokenizer:
         return ids, np.concatenate(([0], upto + np.arange(1, len(texts) + 1)))
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """The worker's tokenizer of this file."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 PIECES = "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, part int, nth long"
 
 
@@ -156,7 +146,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
     """The pieces of all documents; ``nth`` numbers the pieces of a length within the task ``part``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, part_id, seen = tokenizer(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        # Made anew for each task, so that a worker does not keep its memory.
+        tool, part_id, seen = WordTokenizer(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, offsets = tool.encode(part.column("text").to_pylist())

@@ -41,6 +41,7 @@ SAMPLE_PIECE = 512
 PIECES = (2048, 512)  # bytes compressed at a time, of the text and of the shapes
 LEVEL = 3
 SHORT = 100  # compressed bytes
+PENALTY = 0.1
 THRESHOLD = 0.7
 NOT_WORD = ".,;:!?|#$%&*-_()\"'"
 
@@ -139,16 +140,28 @@ def fit(docs: DataFrame, labels: DataFrame, usable: str) -> Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Slopes and offset of the logistic curve through (x, y), with a weak penalty on the slopes, by Newton's method."""
-    scale = x.std(0) + 1e-12
-    a = np.hstack([x / scale, np.ones((len(x), 1))])
+    """Slopes and offset of the logistic curve through (x, y), with a weak penalty on the slopes.
+
+    Newton's method on standardised inputs; a step that does not lower the loss is halved.
+    """
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    a = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    penalty = np.array([PENALTY] * x.shape[1] + [1e-6])
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + penalty @ (w * w) / 2)
+
     w = np.zeros(a.shape[1])
-    penalty = np.diag([1e-2] * x.shape[1] + [1e-6])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + penalty
-        w += np.clip(np.linalg.solve(hessian, a.T @ (y - p) - penalty @ w), -2, 2)
-    return w[:-1] / scale, float(w[-1])
+        hessian = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty)
+        step = np.linalg.solve(hessian, a.T @ (y - p) - penalty * w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
+    slopes = w[:-1] / scale
+    return slopes, float(w[-1] - slopes @ mean)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
