@@ -143,21 +143,23 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _tables
 
 
-def decisions(data: np.ndarray, code: Code, scored: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Number of decisions per byte (0 where not ``scored``), branch taken, and slot under each context."""
+def decisions(data: np.ndarray, code: Code, scored: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+    """Number of decisions per byte (0 where not ``scored``), branch taken, and slot under one context after another."""
     size = np.where(scored, code.length[data], 0)
     ends = np.cumsum(size, dtype=np.int32)
     at = np.repeat(code.first[data] - ends + size, size)
     at += np.arange(len(at), dtype=np.int32)
     node = code.node[at]
-    slots = []
-    for h, bits in zip(contexts(data), SLOT_BITS, strict=True):
-        mixed = np.repeat(h, size)
-        mixed ^= node
-        mixed *= np.uint32(0x9E3779B1)
-        mixed >>= np.uint32(32 - bits)
-        slots.append(mixed.view(np.int32))
-    return size, code.branch[at], slots
+
+    def slots() -> Iterator[np.ndarray]:
+        for h, bits in zip(contexts(data), SLOT_BITS, strict=True):
+            mixed = np.repeat(h, size)
+            mixed ^= node
+            mixed *= np.uint32(0x9E3779B1)
+            mixed >>= np.uint32(32 - bits)
+            yield mixed.view(np.int32)
+
+    return size, code.branch[at], slots()
 
 
 def _scored(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -251,7 +253,9 @@ def train(docs: DataFrame) -> Broadcast:
                 for low, high, scored in pieces_of(data, offsets):
                     _, branch, slots = decisions(data[low:high], code, scored)
                     for table, slot in zip(tables, slots, strict=True):
-                        table += np.bincount(slot * 2 + branch, minlength=len(table)).astype(np.int32)
+                        slot *= 2
+                        slot += branch
+                        table += np.bincount(slot, minlength=len(table))
         yield from partial_blocks(counts, COUNT_BLOCK)
 
     odds = np.zeros(_STARTS[-1], np.int16)
@@ -338,8 +342,11 @@ def score_texts(texts: list[str | None], model: Tables) -> tuple[np.ndarray, np.
     mixer, current = None, -1
     for low, high, scored in pieces_of(data, offsets):
         size, branch, slots = decisions(data[low:high], model.code, scored)
-        tables = [model.odds[a:b] for a, b in zip(_STARTS[:-1], _STARTS[1:], strict=True)]
-        x = [table[slot] * np.float32(1 / SCALE) for table, slot in zip(tables, slots, strict=True)]
+        x = []
+        for k, slot in enumerate(slots):
+            x.append(model.odds[_STARTS[k] : _STARTS[k + 1]][slot] * np.float32(1 / SCALE))
+            if k == GATE:
+                gate = model.gates[slot]
         ends = np.concatenate(([0], np.cumsum(size)))
         a = int(np.searchsorted(offsets, low, side="right")) - 1
         b = int(np.searchsorted(offsets, high, side="left"))
@@ -347,7 +354,7 @@ def score_texts(texts: list[str | None], model: Tables) -> tuple[np.ndarray, np.
             mixer, current = Mixer(b - a), a
         inner = ends[offsets[a + 1 : b] - low]
         bounds = np.concatenate(([0], inner, [len(branch)]))
-        scores[a:b] += mixer.read(x, model.gates[slots[GATE]], branch.astype(np.float32), bounds)
+        scores[a:b] += mixer.read(x, gate, branch.astype(np.float32), bounds)
     return scores / np.log(10), np.diff(offsets) - len(PAD)
 
 

@@ -15,14 +15,12 @@ BLOCKS = "block long, values binary"
 
 def partial_blocks(counters: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
     """The non-zero blocks of a task's counters, narrow where the counts allow it."""
-    rows = [(i // block, counters[i : i + block]) for i in range(0, len(counters), block)]
-    rows = [(i, v.astype(np.int32 if v.max() < 2**31 else np.int64)) for i, v in rows if v.any()]
-    for a in range(0, len(rows), 64):
-        part = rows[a : a + 64]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in part], pa.int64()), pa.array([bytes([v.itemsize]) + v.tobytes() for _, v in part], pa.binary())],
-            names=["block", "values"],
-        )
+    for a in range(0, len(counters), 64 * block):
+        rows = [(i // block, counters[i : i + block]) for i in range(a, min(a + 64 * block, len(counters)), block)]
+        rows = [(i, v.astype(np.int32 if v.max() < 2**31 else np.int64)) for i, v in rows if v.any()]
+        values = [bytes([v.itemsize]) + v.tobytes() for _, v in rows]
+        arrays = [pa.array([i for i, _ in rows], pa.int64()), pa.array(values, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["block", "values"])
 
 
 def sum_blocks(partial: DataFrame) -> DataFrame:

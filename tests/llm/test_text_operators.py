@@ -301,6 +301,7 @@ def test_one_byte_is_a_distribution():
     for byte in range(256):
         data = np.array([10, 10, 10, 10, 97, byte], np.uint8)
         size, branch, slots = lm.decisions(data, model.code, np.array([False] * 5 + [True]))
+        slots = list(slots)
         tables = [model.odds[a:b] for a, b in zip(lm._STARTS[:-1], lm._STARTS[1:], strict=True)]
         x = [table[slot] / np.float32(lm.SCALE) for table, slot in zip(tables, slots, strict=True)]
         cost = lm.Mixer(1).read(x, model.gates[slots[lm.GATE]], branch.astype(np.float32), np.array([0, len(branch)]))
