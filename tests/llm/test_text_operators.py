@@ -513,10 +513,12 @@ def test_pipeline_stages(spark, tmp_path):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         kept.append(spark.createDataFrame(out.collect(), out.schema))
+        if len(kept) == 2:  # so few labels say little about the other documents: the next stages get them all
+            good = {r.doc_id for r in kept.pop().collect()}
+            kept.append(docs)
+    assert len(good & {i for i, q, _ in labels if q}) >= 145 and len(good & {i for i, q, _ in labels if not q}) <= 12
     ids = [{r.doc_id for r in k.collect()} for k in kept]
-    assert len(ids[1] & {i for i, q, _ in labels if q}) >= 145 and len(ids[1] & {i for i, q, _ in labels if not q}) <= 12
-    assert ids[1] - ids[2] == {1001, 1002} & ids[1]
-    assert ids[2] == ids[3] and ids[3] - ids[4] == {1003} & ids[3] and ids[4] == ids[5]
+    assert ids[1] - ids[2] == {1001, 1002} and ids[2] == ids[3] and ids[3] - ids[4] == {1003} and ids[4] == ids[5]
     final = {r.doc_id: r.text for r in kept[3].collect()}
     assert passage in final[1004] and len(final[1005]) < 60 * 9 + 80
-    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[5]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == good & ids[5]
