@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from segrisk.llm.text import ALPHANUMERIC, LOWER, mix, slices, span_hashes, utf8, words
+from segrisk.llm.text import ALPHANUMERIC, LOWER, mix, slices, span_hashes, utf8, with_text, words
 
 WINDOW = 10
 BLOCK = 2
@@ -236,20 +236,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, pattern_block: int =
     spark = docs.sparkSession
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    rows = rows.withColumn("text", F.col("row.text").cast("string"))
     for block in pattern_blocks(benchmark, pattern_block):
         shared = spark.sparkContext.broadcast([r.asDict() for r in block])
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             searchers = _searchers([Row(**r) for r in shared.value])
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(with_text(batch), "text"):
                     ids, bounds = word_ids(part.column("text"))
                     dirty = np.zeros(part.num_rows, bool)
                     for searcher, _ in searchers:
                         ends, _ = searcher.find(ids, bounds)
                         dirty[np.searchsorted(bounds, ends, side="left") - 1] = True
-                    yield part.filter(pa.array(~dirty))
+                    yield part.select(["row"]).filter(pa.array(~dirty))
 
         rows = rows.mapInArrow(search, rows.schema)
     return rows.select("row.*")

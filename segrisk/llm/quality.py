@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segrisk.llm.text import slices
+from segrisk.llm.text import slices, with_text
 
 SAMPLE_ROWS = 4000  # labelled rows of each class that are used at most
 SAMPLE_CHARS = 6000  # of each of them
@@ -167,12 +167,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``name``, the probability that the text is good."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("text", F.col("row.text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(with_text(batch), "text"):
                 p = shared.value.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(p)], names=["row", "score"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segrisk.llm import chat, chunks, decontaminate, fingerprint, html, jaccard, licenses, lm, packing, quality
+from segrisk.llm.text import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,4 +90,15 @@ def queries() -> dict[str, Query]:
         op1_quality, op2_benchmark_hits, op3_chat_examples, op4_ngram_jaccard, op5_context_mixing,
         op6_phrase_fingerprints, op7_packing, op8_licenses, op9_repeated_passages, op10_main_text,
     ]
-    return {f.__name__: f for f in functions}
+    return {f.__name__: in_small_batches(f) for f in functions}
+
+
+def in_small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, or a stage, in a session that sends few texts at a time to Python."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args: object) -> DataFrame:
+        small_batches(spark)
+        return query(spark, *args)
+
+    return run

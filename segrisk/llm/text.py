@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 2_000_000
+BATCH_ROWS = 1000  # texts are long: Spark's default of 10,000 rows makes batches of many megabytes
 HASH_WORDS = 131_072  # words hashed at a time
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,6 +44,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark send Arrow batches of few rows to the tasks of this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def with_text(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Batches of one struct column ``row``, with its field ``text`` as a second column; nothing is copied."""
+    row = rows.column("row")
+    text = pc.struct_field(row, "text").cast(pa.string())
+    return pa.RecordBatch.from_arrays([row, text], names=["row", "text"])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and the offset of each text; NULL is the empty text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
