@@ -43,7 +43,7 @@ GATE_COUNTS = (1, 4, 32)
 COUNT_BLOCK = 1 << 13
 WORDS_BROADCAST = 1 << 22  # word counts are broadcast up to this many words, joined by a shuffle beyond it
 WINDOW = 1_000_000  # bytes read at a time; a longer text is read in windows of this size
-STEP = 256
+STEP = 512
 SCALE = 2048  # log odds are kept as 16-bit multiples of 1 / SCALE
 RATE = 0.005
 # Weights of the contexts at the start of a document, per gate.
@@ -64,7 +64,7 @@ def streams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     for text in texts:
         found = (text or "").encode().lower().split()
         tokens.append(len(found) + 1)
-        parts.append(PAD + b"".join([w + b" " for w in found]) + b"\n")
+        parts.append(PAD + b" ".join(found) + (b" \n" if found else b"\n"))
     data = np.frombuffer(b"".join(parts), np.uint8)
     return data, np.concatenate(([0], np.cumsum([len(p) for p in parts]))), np.array(tokens)
 
@@ -377,9 +377,11 @@ def unigram_scores(docs: DataFrame, counts: DataFrame, total: int, distinct: int
             for batch in batches:
                 for part in slices(batch, "text"):
                     ids, bounds, tokens = token_ids(part.column("text").to_pylist())
-                    ids = ids.view(np.int64)
-                    at = np.minimum(np.searchsorted(word, ids), max(0, len(word) - 1))
-                    c = np.where(word[at] == ids, n[at], 0) if len(word) else np.zeros(len(ids), np.int64)
+                    # Each word once and in order: the table is read from front to back.
+                    own, back = np.unique(ids.view(np.int64), return_inverse=True)
+                    at = np.minimum(np.searchsorted(word, own), max(0, len(word) - 1))
+                    c = np.where(word[at] == own, n[at], 0) if len(word) else np.zeros(len(own), np.int64)
+                    c = c[back]
                     sums = [np.add.reduceat(v, bounds[:-1]) for v in ((c > 0).astype(np.int64), terms(c))]
                     arrays = [part.column("row_id"), *map(pa.array, (tokens, *sums))]
                     yield pa.RecordBatch.from_arrays(arrays, names=["row_id", "n_tokens", "n_known", "base_score"])
