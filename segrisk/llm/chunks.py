@@ -1,20 +1,25 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over the bytes of each text; a chunk ends where some of its bits are zero, so that the same passage
-falls into the same chunks wherever it stands and whatever was inserted before it. The digest of a chunk decides
-whether another document has it too: it belongs to the document with the smallest doc_id, and is a repeat in all others.
-Consecutive repeated chunks form a run; runs of at least ``min_bytes`` are the repeated passages.
+falls into the same chunks wherever it stands and whatever was inserted before it. Single chunks repeat by chance, so
+what is compared are windows: the consecutive chunks from each border up to the first border at least ``min_bytes``
+behind it, and those from the last border at least ``min_bytes`` before each border up to it. A window that another
+document has too, with all its bytes, belongs to the document with the smallest doc_id, and is a repeat in all others.
+Repeated windows that overlap or touch form a passage: each of its bytes lies in a stretch of at least ``min_bytes``
+that stands whole in a document with a smaller doc_id, and every such stretch between two borders is part of a passage.
 
 Chunks are short against the passages looked for (about 20 bytes), because the bytes before the first and behind the
 last chunk border of a passage do not count. A passage of 50 words is found, with its ends short of up to two chunks.
 
-Digests are aggregated with partial results, so a passage that a third of all documents share costs one row per task.
-Then the chunks whose digest occurs more than once are looked up by a join with the repeated digests, after a bitmap
-of fixed size has removed most of the others inside the tasks (it lets some through, and never drops a repeat).
+Windows are searched by 64-bit hashes, which are aggregated with partial results, so a passage that a third of all
+documents share costs one row per task. A bitmap of fixed size of the hashes that occur more than once removes most of
+the other windows inside the tasks (it lets some through, and never drops a repeat). Those that are left are compared
+by 128-bit digests of their bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +38,9 @@ MIN_BYTES = 160
 BITMAP_BITS = 26
 
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
-PIECES = "doc_id long, start long, size long, digest long"
+DIGEST_BYTES = 16
+HASHES = "doc_id long, hash long"
+WINDOWS = "doc_id long, start long, size long, first_chunk long, n_chunks long, digest binary"
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -60,33 +67,50 @@ def chunk_borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends
 
 
-def chunk_rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start in the text, size, digest) of the chunks of a slice."""
-    data, offsets = utf8(part.column("text"))
-    starts, ends = chunk_borders(data, offsets)
+def chunk_windows(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunk of every window of at least ``min_bytes``, in order. Windows stay inside their text."""
     text = np.searchsorted(offsets, starts, side="right") - 1
-    return text, starts - offsets[text], ends - starts, span_hashes(data, starts, ends)
+    chunk = np.arange(len(starts))
+    last = np.searchsorted(ends, starts + min_bytes)
+    ahead = last < len(ends)
+    ahead[ahead] = text[last[ahead]] == text[ahead]
+    first = np.searchsorted(starts, ends - min_bytes, side="right") - 1
+    back = first >= 0
+    back[back] = text[first[back]] == text[back]
+    first, last = np.concatenate((chunk[ahead], first[back])), np.concatenate((last[ahead], chunk[back]))
+    return np.divmod(np.unique(first * len(starts) + last), max(1, len(starts)))
 
 
-def _batch(part: pa.RecordBatch, rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    text, start, size, digest = rows
-    arrays = [part.column("doc_id").take(pa.array(text)), *map(pa.array, (start, size, digest.view(np.int64)))]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "size", "digest"])
-
-
-def pieces(docs: DataFrame, known: Broadcast | None = None) -> DataFrame:
-    """The chunks of all documents; with a bitmap only those whose slot is set."""
+def windows(docs: DataFrame, min_bytes: int, known: Broadcast | None = None) -> DataFrame:
+    """The hashes of the windows of all documents; with a bitmap the windows whose slot is set, with their digests."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = chunk_rows(part)
+                data, offsets = utf8(part.column("text"))
+                starts, ends = chunk_borders(data, offsets)
+                first, last = chunk_windows(starts, ends, offsets, min_bytes)
+                hashes = span_hashes(data, starts[first], ends[last])
                 if known is not None:
-                    keep = in_bitmap(known.value, rows[3])
-                    rows = tuple(r[keep] for r in rows)
-                yield _batch(part, rows)
-
-    return docs.mapInArrow(work, PIECES)
+                    keep = in_bitmap(known.value, hashes)
+                    first, last = first[keep], last[keep]
+                low, high = starts[first], ends[last]
+                text = np.searchsorted(offsets, low, side="right") - 1
+                doc_id = part.column("doc_id").take(pa.array(text))
+                if known is None:
+                    yield pa.RecordBatch.from_arrays([doc_id, pa.array(hashes.view(np.int64))], names=["doc_id", "hash"])
+                    continue
+                digests = [
+                    hashlib.blake2b(data[a:b], digest_size=DIGEST_BYTES).digest()
+                    for a, b in zip(low.tolist(), high.tolist(), strict=True)
+                ]
+                # Chunks are counted from the first one of the text, wherever a slice begins.
+                place = first - np.searchsorted(starts, offsets[text])
+                arrays = [low - offsets[text], high - low, place, last - first + 1]
+                names = ["doc_id", "start", "size", "first_chunk", "n_chunks", "digest"]
+                yield pa.RecordBatch.from_arrays([doc_id, *map(pa.array, arrays), pa.array(digests, pa.binary())], names=names)
+
+    return docs.mapInArrow(work, HASHES if known is None else WINDOWS)
 
 
 def repeated_passages(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -96,17 +120,21 @@ def repeated_passages(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFra
     count as one row. What repeats inside one document only is left alone.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    first = pieces(docs).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = materialise(first.where("first <> last").select("digest", "first"), "repeated_digests")
-    own = pieces(docs, bitmap(first.select("digest"), BITMAP_BITS)).join(first, "digest")
-    repeats = own.where(F.col("doc_id") != F.col("first")).select("doc_id", "start", "size").distinct()
-    order = Window.partitionBy("doc_id").orderBy("start")
-    gap = F.lag(F.col("start") + F.col("size")).over(order)
-    run = F.sum(F.when(gap == F.col("start"), 0).otherwise(1)).over(order)
-    runs = repeats.withColumn("run", run).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n_chunks")
+    low, high = F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
+    hashes = windows(docs, min_bytes).groupBy("hash").agg(low, high).where("first <> last")
+    own = windows(docs, min_bytes, bitmap(hashes.select("hash"), BITMAP_BITS))
+    known = materialise(own.groupBy("digest").agg(low, high).where("first <> last").select("digest", "first"), "repeated_windows")
+    repeats = own.join(known, "digest").where(F.col("doc_id") != F.col("first"))
+    repeats = repeats.select("doc_id", "start", F.expr("start + size").alias("end"), "first_chunk", "n_chunks").distinct()
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    repeats = repeats.withColumn("begins", F.when(before >= F.col("start"), 0).otherwise(1))
+    runs = repeats.withColumn("run", F.sum("begins").over(order)).groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"),
+        (F.max("end") - F.min("start")).alias("size"),
+        (F.max(F.col("first_chunk") + F.col("n_chunks")) - F.min("first_chunk")).alias("n_chunks"),
     )
-    return runs.where(F.col("size") >= min_bytes).select("doc_id", "start", "size", "n_chunks")
+    return runs.select("doc_id", "start", "size", "n_chunks")
 
 
 def dedup_substrings(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:

@@ -183,6 +183,35 @@ def test_repeated_passages(spark):
         assert len(after[i]) - len(head) - len(tail) < len(passages[0]) / 2
 
 
+def test_chunks_that_repeat_one_by_one_are_no_passage(spark):
+    rng = random.Random(12)
+    text, passage = prose(rng, 200, 10**6).encode(), prose(rng, 60, 10**6)
+    starts = chunks.chunk_borders(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist()
+    # Every chunk of the text stands in an earlier document, but no 160 consecutive bytes of it do.
+    parts = [f"{prose(rng, 9, 10**6)} {text[max(0, s - 25) : s + 110].decode(errors='ignore')} {prose(rng, 9, 10**6)}" for s in starts]
+    n = len(parts)
+    own = [*parts, text.decode(), f"{prose(rng, 30, 10**6)} {passage}", f"{text.decode()} {passage} {text.decode()}"]
+    found = {}
+    for r in chunks.repeated_passages(docs_df(spark, own)).collect():
+        found.setdefault(r.doc_id, []).append(own[r.doc_id].encode()[r.start : r.start + r.size].decode())
+    assert set(found) == {n + 2}
+    assert all(len(p.encode()) >= 160 and any(p in t for t in (own[n], own[n + 1])) for p in found[n + 2])
+    assert sum(len(p) for p in found[n + 2]) > 0.9 * len(own[n + 2])
+
+
+def test_passages_are_the_longest_runs_of_chunks():
+    rng = random.Random(13)
+    data = np.frombuffer("".join(texts := [prose(rng, k) for k in (60, 1, 30, 90)]).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    starts, ends = chunks.chunk_borders(data, offsets)
+    first, last = chunks.chunk_windows(starts, ends, offsets, 160)
+    got = set(zip(first.tolist(), last.tolist(), strict=True))
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    fit = [(i, j) for i in range(len(starts)) for j in range(i, len(starts)) if text[i] == text[j] and ends[j] - starts[i] >= 160]
+    least = {(i, min(j for a, j in fit if a == i)) for i, _ in fit} | {(max(i for i, b in fit if b == j), j) for _, j in fit}
+    assert got == least
+
+
 def test_repeated_rows_and_empty_tables(spark):
     text = prose(random.Random(1), 80, 10**6)
     docs = spark.createDataFrame([(4, text), (4, text), (6, text), (None, text), (8, "")], "doc_id long, text string")
