@@ -1,17 +1,19 @@
-"""N-gram Jaccard join: prefix filters under several global token orders, then exact verification.
+"""N-gram Jaccard join: prefix filter under a global token order, then exact verification of every candidate pair.
 
 The tokens of a document are its distinct word shingles. Under any order of all tokens, two sets with a Jaccard
-similarity of at least t share a token among the first ``n - ceil(t * n) + 1`` of each (n: the set's size). The first
-order deals the prefix tokens out into buckets, which propose pairs; a pair also has to share a prefix token under
-every other order, and to pass the bounds by size and by position, before its whole sets are intersected.
-
-All orders put rare tokens first, so that passages many documents share stay outside the prefixes, and differ in how
-they order tokens of similar frequency. The frequencies come from a count sketch over all documents: any function of
-a token is a valid order, so an estimate costs no links.
-
-Pairs inside a group of copies are not enumerated. Documents with equal sets are represented by one of them. Then
-every member of a bucket is compared with the bucket's smallest document only, and in a second step those members of
-a bucket that are still in different components. This finds every component that comparing all pairs finds.
+similarity of at least t share a token among the first ``n - ceil(t * n) + 1`` of each (n: the set's size). These
+prefix tokens are dealt out into buckets, which propose pairs; bounds by size and by position go before whole sets are
+intersected. The order puts rare tokens first, so that passages many documents share stay outside the prefixes. The
+frequencies come from a count sketch over all documents: any function of a token is a valid order, so an estimate
+costs no links.
+
+Documents with equal sets are one class, which takes part once, so groups of copies are never expanded into pairs.
+Tokens that the same classes share make one bucket. Every other pair that a bucket proposes is verified, so all links
+between different sets are found: ``links`` returns them, ``link_counts`` their number per document, and the
+components of ``similar_groups`` are derived from them.
+
+Whole sets are not moved pair by pair: classes that candidate pairs connect are dealt into blocks of bounded size, and
+the pairs between two blocks are verified together, so a set moves once for each block it is compared with.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from segrisk.session import materialise
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 12  # counters per row of a partial sketch
-ORDERS = 3
+BLOCK_SETS = 256  # sets in a block, and their tokens
+BLOCK_TOKENS = 200_000
 BITMAP_BITS = 26
+CLASS = "xxhash64(n_shingles, d1, d2) AS class"  # documents with equal sets
 BROADCAST_IDS = 1_000_000  # candidate ids are broadcast up to this number, joined by a shuffle beyond it
 
 _SALTS = [np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -88,9 +92,9 @@ def count_sketch(docs: DataFrame, size: int) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(levels)
 
 
-def prefix_of(tokens: np.ndarray, levels: np.ndarray, order: int, n: int) -> np.ndarray:
-    """The first ``n`` tokens under one of the global orders: rarer ones first, then by a hash of its own."""
-    key = mix(tokens ^ _SALTS[order]) >> np.uint64(8)
+def prefix_of(tokens: np.ndarray, levels: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` tokens under the global order: rarer ones first, then by a hash."""
+    key = mix(tokens ^ _SALTS[0]) >> np.uint64(8)
     key |= levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
     return tokens[np.argsort(key)[:n]]
 
@@ -109,13 +113,13 @@ def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def prefixes(docs: DataFrame, rule: Rule, levels: Broadcast) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, prefix) per row: set size, digest of the set, prefix under the first order."""
+    """(doc_id, n_shingles, d1, d2, prefix) per row: set size, digest of the set, prefix."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(shingle_sets(part.column("text"), rule.size))
-                first = [prefix_of(s, levels.value, 0, rule.prefix(len(s))) if len(s) else s for s in sets]
+                first = [prefix_of(s, levels.value, rule.prefix(len(s))) if len(s) else s for s in sets]
                 arrays = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *_digests(sets), _lists(first)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "d1", "d2", "prefix"])
 
@@ -123,7 +127,7 @@ def prefixes(docs: DataFrame, rule: Rule, levels: Broadcast) -> DataFrame:
 
 
 def _positions(sets: DataFrame, known: Broadcast) -> DataFrame:
-    """(doc_id, n, pos, token) of the prefix tokens whose slot is set."""
+    """(class, n, pos, token) of the prefix tokens whose slot is set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,31 +137,26 @@ def _positions(sets: DataFrame, known: Broadcast) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), size)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             keep = in_bitmap(known.value, token.view(np.uint64))
-            own = batch.select(["doc_id", "n_shingles"]).take(pa.array(row[keep]))
+            own = batch.select(["class", "n_shingles"]).take(pa.array(row[keep]))
             arrays = [*own.columns, pa.array(pos[keep]), pa.array(token[keep])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "pos", "token"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "pos", "token"])
 
-    rows = sets.select("doc_id", "n_shingles", "prefix")
-    return rows.mapInArrow(work, "doc_id long, n long, pos long, token long")
+    rows = sets.select("class", "n_shingles", "prefix")
+    return rows.mapInArrow(work, "class long, n long, pos long, token long")
 
 
-def whole_sets(docs: DataFrame, rule: Rule, levels: Broadcast) -> DataFrame:
-    """(doc_id, tokens, other): the whole set, and its prefix under every order but the first."""
+def whole_sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(class, n, tokens): the whole set of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 500_000):
                 sets = list(shingle_sets(part.column("text"), rule.size))
-                others = [
-                    [prefix_of(s, levels.value, k, rule.prefix(len(s))) if len(s) else s for s in sets]
-                    for k in range(1, ORDERS)
-                ]
-                arrays = [part.column("doc_id"), _lists(sets), *map(_lists, others)]
-                names = ["doc_id", "tokens", *(f"prefix{k}" for k in range(1, ORDERS))]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                arrays = [pa.array([len(s) for s in sets], pa.int64()), *_digests(sets), _lists(sets)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["n_shingles", "d1", "d2", "tokens"])
 
-    columns = "".join(f", prefix{k} array<long>" for k in range(1, ORDERS))
-    return docs.mapInArrow(work, f"doc_id long, tokens array<long>{columns}")
+    rows = docs.select("text").mapInArrow(work, "n_shingles long, d1 long, d2 long, tokens array<long>")
+    return rows.select(F.expr(CLASS), F.col("n_shingles").alias("n"), "tokens")
 
 
 def _may_link(rule: Rule, x: str, y: str) -> Column:
@@ -167,93 +166,162 @@ def _may_link(rule: Rule, x: str, y: str) -> Column:
     return sizes & (F.least(n - i, m - j) * (100 + rule.percent) >= rule.percent * (n + m))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rule: Rule, levels: Broadcast) -> DataFrame:
-    """Links among the pairs: those that share a prefix token under all other orders and have similar whole sets.
-
-    Pairs of documents that other links of the result connect already may be left out.
-    """
-    ids = materialise(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "candidate_ids")
-    own = docs.join(_broadcastable(ids), "doc_id", "left_semi")
-    sets = materialise(whole_sets(own, rule, levels), "candidate_sets")
-    near = pairs
-    for end in "ab":  # the other prefixes first, they are short
-        columns = [F.col(f"prefix{k}").alias(f"{end}{k}") for k in range(1, ORDERS)]
-        near = near.join(sets.select(F.col("doc_id").alias(end), *columns), end)
-    for k in range(1, ORDERS):
-        near = near.where(F.arrays_overlap(f"a{k}", f"b{k}"))
-    near = materialise(near.select("a", "b").distinct(), "filtered_pairs")
-
-    def exact(some: DataFrame) -> DataFrame:
-        both = some
-        for end in "ab":
-            both = both.join(sets.select(F.col("doc_id").alias(end), F.col("tokens").alias(f"{end}_tokens")), end)
-        common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-        union = F.size("a_tokens") + F.size("b_tokens") - common
-        return both.where(100 * common >= rule.percent * union).select("a", "b").distinct()
-
-    # Whole sets are large, so one pair per document goes first, and then those pairs that are still not connected.
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialise(exact(first), "first_links")
-    parts = connected_components(links)
-    rest = near.join(first, ["a", "b"], "left_anti")
+def _similar_pairs(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
+    """The rows of ``pairs`` (a, b) whose sets are similar enough; ``sets`` holds all of them (class, tokens)."""
+    ids = sets.column("class").to_numpy()
+    lists = sets.column("tokens").combine_chunks()
+    flat = lists.flatten().to_numpy().view(np.uint64)
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    order = np.argsort(ids, kind="stable")
+    rows = [order[np.searchsorted(ids[order], pairs.column(c).to_numpy())] for c in "ab"]
+    by_a = np.argsort(rows[0], kind="stable")
+    a, b = rows[0][by_a], rows[1][by_a]
+    keep = []
+    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+        one, others = a[part[0]], b[part]
+        own = flat[start[one] : start[one] + size[one]]
+        upto = np.cumsum(size[others])
+        first = upto - size[others]
+        values = flat[np.repeat(start[others] - first, size[others]) + np.arange(upto[-1])]
+        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        common = np.add.reduceat(hit, first, dtype=np.int64)
+        keep.append(by_a[part[100 * common >= percent * (len(own) + size[others] - common)]])
+    return pairs.select(["a", "b"]).take(pa.array(np.concatenate(keep)))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """All pairs of classes (a, b) whose whole sets are similar. ``sets`` may repeat a class."""
+    parts = connected_components(pairs)
+    parts = parts.join(sets.groupBy("class").agg(F.first("n").alias("n")), parts.id == F.col("class"))
+    load = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)
+    blocks = materialise(parts.groupBy("component").agg(load.alias("load")), "candidate_groups")
+    # Groups that fit into one block are bundled, larger ones are dealt into blocks by a hash.
+    bundles = max(1, int(blocks.where("load <= 1").agg(F.sum("load")).head()[0] or 0))
+    place = parts.join(blocks, "component").select(
+        "class", "component", F.expr("load > 1").alias("large"), F.expr("pmod(xxhash64(class), cast(ceil(load) as bigint))").alias("block")
+    )
+    place = materialise(place, "candidate_blocks")
+    keyed = pairs
     for end in "ab":
-        own = parts.select(F.col("id").alias(end), F.col("component").alias(f"{end}_part"))
-        rest = rest.join(own, end, "left")
-    same = F.coalesce("a_part", "a") == F.coalesce("b_part", "b")
-    return links.union(exact(materialise(rest.where(~same).select("a", "b"), "other_pairs")))
+        columns = [F.col("block").alias(f"{end}_block"), *(["component", "large"] if end == "a" else [])]
+        keyed = keyed.join(place.select(F.col("class").alias(end), *columns), end)
+    bundle = F.expr(f"pmod(xxhash64(component), {bundles})")
+    low, high = F.least("a_block", "b_block"), F.greatest("a_block", "b_block")
+    keyed = keyed.select(
+        "a", "b", "large", F.when(F.col("large"), F.col("component")).otherwise(bundle).alias("part"), low.alias("low"), high.alias("high")
+    )
+    keyed = materialise(keyed, "block_pairs")
+    key = ["large", "part", "low", "high"]
+    needed = keyed.select(*key, F.col("a").alias("class")).union(keyed.select(*key, F.col("b").alias("class"))).distinct()
+    needed = needed.toDF("is_large", "in_part", "from_block", "to_block", "class").join(sets.select("class", "tokens"), "class")
+    percent = rule.percent
 
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _similar_pairs(left, right, percent)
 
-def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document row.
+    return keyed.groupBy(*key).cogroup(needed.groupBy(*needed.columns[1:5])).applyInArrow(work, "a long, b long")
 
-    component_id is the smallest doc_id that links reach. Texts without words, NULL and empty ones too, have no
-    shingles and link with nothing. Rows of one doc_id are one document to links, which hold if any of its rows
-    holds. Rows without doc_id are returned with component_id NULL and link nothing. Other columns are ignored.
-    """
+
+@dataclass(frozen=True)
+class Join:
+    """Result of the join: ``base`` (doc_id, n_shingles) per row, ``members`` (class, doc_id, rep) and ``links``
+    (a, b) between classes. ``rep`` is the smallest doc_id of a class."""
+
+    base: DataFrame
+    members: DataFrame
+    links: DataFrame
+
+    def by_document(self) -> DataFrame:
+        """The links (a, b) between the representatives of classes."""
+        rep = self.members.where("doc_id = rep")
+        found = self.links
+        for end in "ab":
+            own = rep.select(F.col("class").alias(end), F.col("rep").alias(f"{end}_rep"))
+            found = found.join(own, end)
+        low, high = F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")
+        return found.select(low, high).where("a <> b").distinct()
+
+
+def join(docs: DataFrame, rule: Rule = Rule()) -> Join:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     levels = count_sketch(docs, rule.size)
-    base = materialise(prefixes(docs, rule, levels), "prefixes")
+    base = prefixes(docs, rule, levels).select("doc_id", "n_shingles", "prefix", F.expr(CLASS))
+    base = materialise(base, "prefixes")
     named = base.where("doc_id IS NOT NULL AND n_shingles > 0")
-    same = ["n_shingles", "d1", "d2"]
-    first = named.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    rep = named.drop("prefix").join(first, same).select("doc_id", "rep")
-    copies = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    own = named.join(first.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-    # Copies take part here, which marks more tokens as shared than need be, and saves moving the prefixes twice.
-    tokens = named.select("doc_id", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    first = named.groupBy("class").agg(F.min("doc_id").alias("rep"))
+    members = materialise(named.select("class", "doc_id").distinct().join(first, "class"), "members")
+
+    own = named.join(first.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"], "left_semi")
+    tokens = named.select("class", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     shared = materialise(shared.where("low <> high").select("token"), "shared_tokens")
     at = _positions(own, bitmap(shared, BITMAP_BITS)).join(shared, "token")
-    member = F.struct("doc_id", "n", "pos").alias("own")
-    at = materialise(at.select("token", member), "shared_positions")
-    hubs = at.groupBy("token").agg(F.min("own").alias("hub"))
-    shared = materialise(at.join(hubs, "token"), "buckets")
-
-    star = shared.where(F.col("own.doc_id") != F.col("hub.doc_id")).where(_may_link(rule, "hub", "own"))
-    star = star.select(F.col("hub.doc_id").alias("a"), F.col("own.doc_id").alias("b")).distinct()
-    links = materialise(verified(materialise(star, "pairs"), docs, rule, levels), "links")
-    parts = connected_components(links)
-
-    at = shared.join(parts, F.col("own.doc_id") == parts.id, "left")
-    at = at.select("token", "own", "hub", F.coalesce("component", "own.doc_id").alias("part"))
-    open_ = at.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    at = materialise(at.join(open_.select("token"), "token", "left_semi"), "open_tokens")
-    left, right = at.alias("l"), at.alias("r")
-    rest = left.join(
-        right,
-        (F.col("l.token") == F.col("r.token"))
-        & (F.col("l.own.doc_id") < F.col("r.own.doc_id"))
-        & (F.col("l.own.doc_id") != F.col("l.hub.doc_id"))
-        & (F.col("l.part") != F.col("r.part"))
-        & _may_link(rule, "l.own", "r.own"),
+    at = materialise(at.groupBy("token", "class", "n").agg(F.min("pos").alias("pos")), "shared_positions")
+    # Of the tokens that the same classes share, the first one has the smallest position in all of them.
+    alike = at.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("class")).alias("x"),
+        F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"),
     )
-    rest = rest.select(F.col("l.own.doc_id").alias("a"), F.col("r.own.doc_id").alias("b")).distinct()
-    more = verified(materialise(rest, "pairs"), docs, rule, levels)
+    bucket = ["size", "x", "y"]
+    buckets = at.join(alike, "token").groupBy(*bucket, "class", "n").agg(F.min("pos").alias("pos"))
+    buckets = materialise(buckets, "buckets")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in bucket]
+    pairs = buckets.alias("l").join(buckets.alias("r"), [*same, F.expr("l.class < r.class"), _may_link(rule, "l", "r")])
+    pairs = materialise(pairs.select(F.expr("l.class AS a"), F.expr("r.class AS b")).distinct(), "pairs")
+
+    classes = pairs.select("a").union(pairs.select("b")).distinct().toDF("class")
+    ids = materialise(members.where("doc_id = rep").join(classes, "class").select("doc_id").distinct(), "candidate_ids")
+    sets = materialise(whole_sets(docs.join(_broadcastable(ids), "doc_id", "left_semi"), rule), "candidate_sets")
+    return Join(base.select("doc_id", "n_shingles"), members, materialise(verified(pairs, sets, rule), "links"))
+
+
+def links(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """(a, b), a < b: all links between documents with different sets, each set named by its smallest doc_id.
+
+    Documents with equal sets link with each other and have the same links, which are not written out.
+    """
+    return join(docs, rule).by_document()
+
+
+def link_counts(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """(doc_id, n_links) per doc_id with shingles: with how many other documents it links, copies counted.
+
+    A document whose rows have several sets links if any of them does, and counts once.
+    """
+    found = join(docs, rule)
+    several = found.members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    single = materialise(found.members.join(several, "doc_id", "left_anti").select("doc_id", "class"), "single_sets")
+    several = materialise(found.members.join(several, "doc_id", "left_semi").select("doc_id", "class"), "several_sets")
+    one = F.lit(None).cast("long").alias("doc_id")
+    around = found.links.union(found.links.select("b", "a"))
+    around = around.union(found.members.select("class", "class").distinct()).toDF("class", "other")
+    # Documents of one set count by class, those of several sets by themselves.
+    owner = single.select("class", one).distinct().withColumn("owner", F.col("class")).union(several.withColumn("owner", F.lit(None).cast("long")).select("class", "doc_id", "owner"))
+    near = owner.join(around, "class").select("owner", "doc_id", "other").distinct()
+    near = materialise(near, "linked_classes")
+    sizes = single.groupBy("class").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("class", "other")
+    by_class = near.join(sizes, "other").groupBy("owner", "doc_id").agg(F.sum("n").alias("n"))
+    others = several.select(F.col("class").alias("other"), F.col("doc_id").alias("whole"))
+    by_doc = near.join(others, "other").groupBy("owner", "doc_id").agg(F.count_distinct("whole").alias("n"))
+    total = by_class.union(by_doc).groupBy("owner", "doc_id").agg((F.sum("n") - 1).alias("n_links"))
+    alone = single.join(total.where("doc_id IS NULL").select(F.col("owner").alias("class"), "n_links"), "class")
+    return alone.select("doc_id", "n_links").union(total.where("doc_id IS NOT NULL").select("doc_id", "n_links"))
+
+
+def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per document row.
 
-    parts = connected_components(links.union(more).union(copies))
-    found = base.join(parts, base.doc_id == parts.id, "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    component_id is the smallest doc_id that links reach. Texts without words, NULL and empty ones too, have no
+    shingles and link with nothing. Rows of one doc_id are one document to links, which hold if any of its rows
+    holds. Rows without doc_id are returned with component_id NULL and link nothing. Other columns are ignored.
+    """
+    found = join(docs, rule)
+    copies = found.members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    parts = connected_components(found.by_document().union(copies))
+    rows = found.base.join(parts, found.base.doc_id == parts.id, "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

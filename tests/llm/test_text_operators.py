@@ -141,6 +141,32 @@ def test_groups_that_only_chain(spark):
     assert got == {i: c for i, (_, c) in brute_groups(list(enumerate(own)), 4, 85).items()}
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_links_and_their_number(spark, texts, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rng = random.Random(14)
+    words, triple = prose(rng, 200, 10**6).split(), []
+    for i in range(6):  # near copies that all link with each other
+        own = list(words)
+        own[20 + 30 * i] = "x"
+        triple.append(" ".join(own))
+    rows = list(enumerate([*texts[:-1], *triple, triple[0], triple[5]]))
+    rows += [(len(rows) - 2, texts[3]), (1000, triple[0]), (1000, triple[1]), (1001, triple[2]), (1001, texts[4])]
+    rule = jaccard.Rule(4, 85)
+    sets = collections.defaultdict(set)
+    for i, text in rows:
+        found = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        n = min(4, len(found))
+        sets[i] |= {frozenset(tuple(found[j : j + n]) for j in range(len(found) - n + 1))} - {frozenset(), frozenset([()])}
+    near = {(x, y) for x in set().union(*sets.values()) for y in set().union(*sets.values()) if 100 * len(x & y) >= 85 * len(x | y)}
+    rep = {x: min(i for i in sets if x in sets[i]) for x, _ in near}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.a, r.b) for r in jaccard.links(docs, rule).collect())
+    assert got == sorted({(rep[x], rep[y]) for x, y in near if rep[x] < rep[y]}) and len(got) > 15
+    counts = {i: sum(i != j and any((x, y) in near for x in sets[i] for y in sets[j]) for j in sets) for i in sets if sets[i]}
+    assert {r.doc_id: r.n_links for r in jaccard.link_counts(docs, rule).collect()} == counts
+
+
 def test_groups_of_odd_rows(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(5, text), (5, text), (5, "q r s t u v"), (2, "q r s t u v"), (None, text), (9, None)], "doc_id long, text string")
