@@ -3,11 +3,11 @@
 Markup is stripped into lines: every block element is a line, and elements that never belong to the article (menus,
 headers, footers, sidebars, forms, scripts, adverts, notices, comments, by tag, role, class or id) leave empty lines
 behind. ``WINDOW`` consecutive lines form a block, whose size is the length of its text outside links. Sizes surge
-where running text begins and dive to nothing where it ends. The text between the surge and the dive is kept if its
-largest block is not small against the page's largest.
+where running text begins and dive to nothing where it ends. The text between the surge and the dive is kept if one
+of its blocks has ``SURGE`` characters, however long other blocks are; if no block of the page has, the largest is kept.
 
-Where a page marks its article (``article`` or ``main``), lines outside count as empty and no dive is looked for
-inside, so that short paragraphs and gaps in it stay.
+Where a page marks its article (``article`` or ``main``), that is a hint: no dive is looked for inside, so that short
+paragraphs and gaps in it stay, and all its text between surge and dive counts. Text outside is judged like any other.
 
 White space inside a line becomes one space, character references are decoded, and lines are joined by line breaks.
 
@@ -30,7 +30,6 @@ from segrisk.llm.text import slices
 
 WINDOW = 3
 SURGE = 60  # characters of a block where running text may begin
-SHARE = 0.25  # of the page's largest block
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -65,7 +64,6 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool]] = []
-        self.marked = False
         self._open: list[tuple[str, str]] = []  # tag, and what it does: drop, link, article or nothing
         self._drop = self._link = self._article = self._heading = 0
         self._text: list[str] = []
@@ -101,7 +99,6 @@ class Lines(HTMLParser):
             self._link += 1
         elif tag in ARTICLE and not self._drop:
             does = "article"
-            self.marked = True
             self._article += 1
             if self._article == 1:
                 self.lines += [("", 0, False)] * WINDOW
@@ -169,20 +166,23 @@ class Lines(HTMLParser):
                 self._plain += len(data.strip())
 
 
-def runs(sizes: np.ndarray) -> list[tuple[int, int]]:
+def runs(sizes: np.ndarray, inside: np.ndarray) -> list[tuple[int, int]]:
     """(first, behind the last) line of every stretch between a surge and the dive to nothing after it."""
     if not len(sizes):
         return []
-    sums = np.convolve(sizes, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of the block that begins at each line
+    held = np.where(inside, np.maximum(sizes, 1), sizes)  # no dive inside the article
+    sums = np.convolve(held, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of the block that begins at each line
     filled = np.concatenate(([0], sums > 0, [0])).astype(np.int8)
     begins, ends = np.flatnonzero(np.diff(filled) == 1), np.flatnonzero(np.diff(filled) == -1)
-    largest = int(sums.max())
-    least = min(SURGE, largest) if largest * SHARE < SURGE else largest * SHARE
     # A block begins up to WINDOW - 1 empty lines before its text.
-    filled = np.flatnonzero(sizes)
+    filled = np.flatnonzero(held)
     first, last = filled[np.searchsorted(filled, begins)], filled[np.searchsorted(filled, ends) - 1]
-    found = zip(begins.tolist(), ends.tolist(), first.tolist(), last.tolist(), strict=True)
-    return [(low, high + 1) for a, b, low, high in found if sums[a:b].max() >= least]
+    found = []
+    for a, b, low, high in zip(begins.tolist(), ends.tolist(), first.tolist(), last.tolist(), strict=True):
+        marked = int(sizes[low : high + 1][inside[low : high + 1]].sum())
+        found.append((max(int(sums[a:b].max()), marked), low, high + 1))
+    least = min(SURGE, max((size for size, _, _ in found), default=0))
+    return [(low, high) for size, low, high in found if size >= least]
 
 
 def main_text(page: str | None) -> str:
@@ -191,14 +191,9 @@ def main_text(page: str | None) -> str:
     parser.close()
     parser.break_line()
     lines = parser.lines
-    if parser.marked and any(inside and text for text, _, inside in lines):
-        # Lines of the article all count, the empty ones too; all others are empty.
-        sizes = [max(1, plain) if inside else 0 for _, plain, inside in lines]
-        lines = [line if line[2] else ("", 0, False) for line in lines]
-    else:
-        sizes = [plain for _, plain, _ in lines]
+    sizes = np.array([plain for _, plain, _ in lines], np.int64)
     kept = []
-    for a, b in runs(np.array(sizes, np.int64)):
+    for a, b in runs(sizes, np.array([inside for _, _, inside in lines], bool)):
         kept += [text for text, _, _ in lines[a:b] if text]
     return "\n".join(kept)
 

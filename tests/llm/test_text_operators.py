@@ -547,6 +547,13 @@ def test_main_text(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_article_is_a_hint_and_long_blocks_hide_nothing():
+    teaser = f"<article><h3>Read on</h3><p>More</p></article><div><p>{BODY}</p><p>{BODY}</p></div>"
+    assert html.main_text(teaser) == f"{BODY.strip()}\n{BODY.strip()}"
+    gap = "<div class=ad>buy</div>"
+    assert html.main_text(f"<p>{BODY * 20}</p>{gap}<p>{BODY}</p>") == f"{(BODY * 20).strip()}\n{BODY.strip()}"
+
+
 # Pipeline
 
 
