@@ -131,3 +131,12 @@ EQUIVALENT = {
     "while": "whilst",
     "wilful": "wilfull",
 }
+
+# Canonical lines that are nothing but the title of a licence.
+TITLES = frozenset(
+    {
+        "mit license", "the mit license", "the mit license mit", "isc license", "the isc license", "bsd 2 clause license",
+        "bsd 3 clause license", "the 2 clause bsd license", "the 3 clause bsd license", "bsd zero clause license",
+        "zero clause bsd", "zlib license", "the zlib license",
+    }
+)

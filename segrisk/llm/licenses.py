@@ -2,9 +2,11 @@
 
 A text is brought to a canonical form: without copyright lines, in lower case, as words without punctuation, with
 equivalent spellings made one. Its digest is then joined with the digests of the known licence texts, brought to the
-same form. Only entire texts match: the whole document, each of its blocks (cut at empty lines), and each of its lines.
+same form. Only entire texts match: the whole document, each of its blocks (cut at empty lines), each run of consecutive
+blocks that has as many words as some known text, and each of its lines. Lines that are just a licence's title are
+left out like copyright lines.
 
-Known texts are a table (license_id, text); ``known_licenses`` has short public licences and the usual notices.
+Known texts are a table (license_id, text); ``known_licenses`` has common licences and the usual notices.
 
 Cases: NULL and empty texts have no units, nor do units without words match; several licences with the same digest
 are all reported; repeated rows get a result each; other columns are ignored.
@@ -15,16 +17,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segrisk.llm.license_texts import EQUIVALENT, TEXTS
+from segrisk.llm.license_texts import EQUIVALENT, TEXTS, TITLES
 from segrisk.llm.text import slices
 
 _WORD = re.compile(r"[^\W_]+")
 _COPYRIGHT = re.compile(r"(?:copyright|\(c\)|©|all rights reserved)(?:\s|\W|\d|$)")
+FULL = Path(__file__).parent / "full_licenses"  # entire texts of the longer licences
 DOCUMENT, BLOCK, LINE = "document", "block", "line"
 
 
@@ -33,7 +37,8 @@ def canonical(lines: list[str]) -> str:
     words = []
     for line in lines:
         if not _COPYRIGHT.match(line.lstrip(" \t*#/-")):
-            words += [EQUIVALENT.get(w, w) for w in _WORD.findall(line)]
+            own = [EQUIVALENT.get(w, w) for w in _WORD.findall(line)]
+            words += [] if " ".join(own) in TITLES else own
     return " ".join(words)
 
 
@@ -41,31 +46,50 @@ def digest(text: str) -> bytes:
     return hashlib.sha256(text.encode()).digest()[:16]
 
 
-def units(text: str | None) -> Iterator[tuple[str, int, bytes]]:
-    """(kind, first line, digest) of the document, of its blocks and of its lines, as far as they have words."""
+def units(text: str | None, lengths: tuple[int, ...] = ()) -> Iterator[tuple[str, int, bytes]]:
+    """(kind, first line, digest) of the document, of its blocks and of its lines, as far as they have words.
+
+    Runs of blocks are given for every number of words in ``lengths``.
+    """
     lines = (text or "").lower().splitlines()
     forms = [canonical([line]) for line in lines]
     whole = " ".join(f for f in forms if f)
     if whole:
         yield DOCUMENT, 0, digest(whole)
-    first = 0
+    first, blocks = 0, []
     for i in range(len(lines) + 1):
         if i == len(lines) or not lines[i].strip():
             own = [f for f in forms[first:i] if f]
             if len(own) > 1:  # a block of one line is that line
                 yield BLOCK, first, digest(" ".join(own))
+            if own:
+                blocks.append((first, " ".join(own)))
             first = i + 1
+    upto = [0]
+    for _, form in blocks:
+        upto.append(upto[-1] + form.count(" ") + 1)
+    place = {n: i for i, n in enumerate(upto)}
+    for i, (line, _) in enumerate(blocks):
+        for n in lengths:
+            end = place.get(upto[i] + n, 0)
+            if end > i + 1:
+                yield BLOCK, line, digest(" ".join(form for _, form in blocks[i:end]))
     for i, form in enumerate(forms):
         if form:
             yield LINE, i, digest(form)
 
 
+def _n_words(text: str | None) -> int:
+    return len(canonical((text or "").lower().splitlines()).split())
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """(license_id, text) of the licences that come with the library."""
-    return spark.createDataFrame(TEXTS, "license_id string, text string")
+    full = [(path.stem, path.read_text("utf-8")) for path in sorted(FULL.glob("*.txt"))]
+    return spark.createDataFrame([*TEXTS, *full], "license_id string, text string")
 
 
-def _digests(rows: DataFrame, keys: str, kinds: tuple[str, ...]) -> DataFrame:
+def _digests(rows: DataFrame, keys: str, kinds: tuple[str, ...], lengths: tuple[int, ...] = ()) -> DataFrame:
     """(key, kind, line, digest) of the units of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +98,7 @@ def _digests(rows: DataFrame, keys: str, kinds: tuple[str, ...]) -> DataFrame:
                 found = [
                     (i, *unit)
                     for i, text in enumerate(part.column("text").to_pylist())
-                    for unit in units(text)
+                    for unit in units(text, lengths)
                     if unit[0] in kinds
                 ]
                 row, kind, line, value = list(zip(*found, strict=True)) or [(), (), (), ()]
@@ -92,9 +116,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     are several, else NULL), and matches (kind, line, license_id), sorted.
     """
     known = known_licenses(docs.sparkSession) if known is None else known
+    known = known.select("license_id", "text")
+    lengths = tuple(sorted(r.n for r in known.select(F.udf(_n_words, "int")("text").alias("n")).distinct().collect() if r.n))
     known = _digests(known.select("license_id", "text"), "string", (DOCUMENT,)).select("digest", F.col("key").alias("license_id"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    own = _digests(rows.select("row", "text"), "long", (DOCUMENT, BLOCK, LINE))
+    own = _digests(rows.select("row", "text"), "long", (DOCUMENT, BLOCK, LINE), lengths)
     match = F.struct("kind", "line", "license_id")
     found = own.join(known.distinct(), "digest").groupBy(F.col("key").alias("row")).agg(
         F.array_sort(F.collect_set("license_id")).alias("licenses"),

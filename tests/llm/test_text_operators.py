@@ -527,6 +527,17 @@ def test_licenses(spark):
     assert licenses.scan_licenses(rows.limit(0), known).count() == 0
 
 
+def test_titled_and_embedded_licenses(spark):
+    mit = licenses.TEXTS[0][1]
+    own = [f"MIT License\n\nCopyright (c) 2020 Somebody\n\n{mit}", f"intro line\n\n{mit}\n\nmore text",
+           f"intro line\n\n{mit}".replace("\n\nThe above", "\nThe above"), f"intro\n\n{mit[:-9]}\n\nmore"]
+    got = {r.doc_id: (r.licenses, r.whole_license) for r in licenses.scan_licenses(docs_df(spark, own)).collect()}
+    assert got == {0: (["MIT"], "MIT"), 1: (["MIT"], None), 2: (["MIT"], None), 3: ([], None)}
+    full = [(p.stem, p.read_text()) for p in sorted(licenses.FULL.glob("*.txt"))]
+    got = [(r.whole_license, r.licenses) for r in licenses.scan_licenses(docs_df(spark, [t for _, t in full])).orderBy("doc_id").collect()]
+    assert [w for w, _ in got] == [i for i, _ in full] and {"Apache-2.0", "GPL-3.0", "MPL-2.0"} <= {w for w, _ in got}
+
+
 # Pages
 
 BODY = "Running text that goes on for quite some time, with commas, and more words than any menu has. "
