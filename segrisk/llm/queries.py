@@ -9,13 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segrisk.llm import chat, chunks, decontaminate, fingerprint, html, jaccard, licenses, lm, packing, quality
+from segrisk.llm import bpe, chat, chunks, decontaminate, fingerprint, html, jaccard, licenses, lm, packing, quality
 from segrisk.llm.text import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 LEARNED = "crc32(cast(doc_id AS string)) % 4 <> 2"  # rows whose quality labels may be learned from
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +86,21 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), BYTE_BPE)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(bpe.decoder(BYTE_BPE)("ids"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     functions = [
         op1_quality, op2_benchmark_hits, op3_chat_examples, op4_ngram_jaccard, op5_context_mixing,
         op6_phrase_fingerprints, op7_packing, op8_licenses, op9_repeated_passages, op10_main_text,
+        op11_bpe_round_trip,
     ]
     return {f.__name__: in_small_batches(f) for f in functions}
 
