@@ -64,6 +64,32 @@ SELECT conv_id, count(*) AS n_turns,
   count(*) FILTER (role = 'assistant' OR last) AS n_examples
 FROM placed GROUP BY conv_id"""
 
+_NEGATIVES = """
+WITH item AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS positive,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM item a JOIN item b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+chosen AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE positive
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM chosen JOIN scored USING (anchor_id)
+WHERE NOT positive AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_hits": _HITS, "op3_chat_examples": _CHAT, "op4_ngram_jaccard": _JACCARD}
+    return {
+        "op2_benchmark_hits": _HITS,
+        "op3_chat_examples": _CHAT,
+        "op4_ngram_jaccard": _JACCARD,
+        "op12_hard_negatives": _NEGATIVES,
+    }

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segrisk.llm import bpe, chat, chunks, decontaminate, fingerprint, html, jaccard, licenses, lm, packing, quality
+from segrisk.llm import bpe, chat, chunks, decontaminate, fingerprint, html, jaccard, licenses, lm, negatives, packing, quality
 from segrisk.llm.text import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,11 +96,15 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.usable_rows(_table(spark, sf_dir, "embeddings"), relabel_every=7))
+
+
 def queries() -> dict[str, Query]:
     functions = [
         op1_quality, op2_benchmark_hits, op3_chat_examples, op4_ngram_jaccard, op5_context_mixing,
         op6_phrase_fingerprints, op7_packing, op8_licenses, op9_repeated_passages, op10_main_text,
-        op11_bpe_round_trip,
+        op11_bpe_round_trip, op12_hard_negatives,
     ]
     return {f.__name__: in_small_batches(f) for f in functions}
 
