@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segrisk.llm import bpe, chat, chunks, decontaminate, fingerprint, html, jaccard, licenses, lm, negatives, packing, quality
+from segrisk.llm import bpe, chat, chunks, decontaminate, fingerprint, html, jaccard, licenses, lm, negatives, packing, quality, spans
 from segrisk.llm.text import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 LEARNED = "crc32(cast(doc_id AS string)) % 4 <> 2"  # rows whose quality labels may be learned from
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,11 +101,17 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(negatives.usable_rows(_table(spark, sf_dir, "embeddings"), relabel_every=7))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = spans.align(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return spans.with_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
+
+
 def queries() -> dict[str, Query]:
     functions = [
         op1_quality, op2_benchmark_hits, op3_chat_examples, op4_ngram_jaccard, op5_context_mixing,
         op6_phrase_fingerprints, op7_packing, op8_licenses, op9_repeated_passages, op10_main_text,
-        op11_bpe_round_trip, op12_hard_negatives,
+        op11_bpe_round_trip, op12_hard_negatives, op13_token_alignment,
     ]
     return {f.__name__: in_small_batches(f) for f in functions}
 
