@@ -138,21 +138,31 @@ def segment_features(
     return derive_features(attach_attributes(roads, speed, lanes, road_class, **options))
 
 
-def expand_copies(df: DataFrame, key: str = "ogf_id", block: int = EXPAND_BLOCK) -> DataFrame:
-    """Each row ``copies`` times, without the column ``copies``.
+def expand_copies(
+    df: DataFrame, key: str = "ogf_id", block: int = EXPAND_BLOCK, number: str | None = None
+) -> DataFrame:
+    """Each row ``copies`` times, without the column ``copies``; with their running number in the column ``number``.
 
-    A row is first cut into blocks of at most ``block`` copies, in two steps so that no list of blocks is long, and
-    the blocks are spread over the cluster before they expand, so no task writes out a whole group of copies.
+    Rows of at most ``block`` copies, as a rule all of them, are written out where they are. Others are first cut into
+    blocks, in two steps so that no list of blocks is long, and the blocks are spread over the cluster before they
+    expand, so no task writes out a whole group of copies.
     """
 
     def numbered(rows: DataFrame, name: str, size: int) -> DataFrame:
-        """One row per part of ``size`` copies, with the copies of that part."""
+        """One row per part of ``size`` copies, with the copies of that part and those before it."""
         last = F.floor((F.col("_copies") - 1) / size)
         parts = rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
         left = F.col("_copies") - F.col(name) * size
         return parts.withColumn("_copies", F.least(F.lit(size).cast("bigint"), left))
 
-    rows = df.withColumn("_copies", F.col(COPIES)).where(F.col(COPIES) > 0)
-    rows = numbered(numbered(rows, "_region", block * block), "_block", block)
-    spread = rows.repartition(F.xxhash64(F.col(key), F.col("_region"), F.col("_block")))
-    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*(c for c in df.columns if c != COPIES))
+    few = df.where((F.col(COPIES) > 0) & (F.col(COPIES) <= block))
+    few = few.withColumns({"_copies": F.col(COPIES), "_before": F.lit(0).cast("bigint")})
+    many = df.where(F.col(COPIES) > block).withColumn("_copies", F.col(COPIES))
+    many = numbered(numbered(many, "_region", block * block), "_block", block)
+    many = many.repartition(F.xxhash64(F.col(key), F.col("_region"), F.col("_block")))
+    many = many.withColumn("_before", F.col("_region") * block * block + F.col("_block") * block)
+    rows = few.unionByName(many.drop("_region", "_block"))
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    rows = rows.withColumn("_copy", copy)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != COPIES]
+    return rows.select(*kept, *([(F.col("_before") + F.col("_copy")).alias(number)] if number else []))

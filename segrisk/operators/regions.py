@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from segrisk.operators.evaluate import metrics_by_region
-from segrisk.operators.features import COPIES, require_columns, with_copies
+from segrisk.operators.features import COPIES, expand_copies, require_columns, with_copies
 from segrisk.operators.models import FEATURES, LABEL, PREDICTION, Model
-from segrisk.session import new_path
+from segrisk.session import materialise, new_path
 
 MIN_ROWS = 10
 
@@ -100,11 +101,113 @@ def cell_mean_without_region(
     return table.join(predictions, [region, *features]).select(*table.columns, PREDICTION)
 
 
+REGION_BLOCK = 512  # regions whose coefficients are fitted together
+MAX_ITERATIONS = 60
+
+
+def poisson_without_region(
+    table: DataFrame,
+    *,
+    region: str = "district",
+    features: list[str] = FEATURES,
+    label: str = LABEL,
+    alpha: float = 1.0,
+    min_rows: int = MIN_ROWS,
+) -> DataFrame:
+    """The same as ``leave_one_region_out`` with ``fit_poisson``, for all regions at once.
+
+    The likelihood of a fold is that of all rows less that of the region, and rows with equal features enter it through
+    their number and their sum of labels. So ``table`` is read once, into sums per region and feature combination; each
+    step of Newton's method is then one aggregation of those sums, for a block of regions together. The driver holds the
+    coefficients and the sums of one block.
+    """
+    require_columns(table, region, label, *features)
+    spark = table.sparkSession
+    x = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    names = [f"x{i}" for i in range(len(features))]
+    sums = [F.sum(F.col(label) * F.col(COPIES)).cast("double").alias("y"), F.sum(COPIES).cast("double").alias("n")]
+    own = materialise(with_copies(table).groupBy(F.col(region).alias("region"), *x).agg(*sums), "region_cells")
+    cells = own.groupBy(*names).agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    cells = materialise(cells, "cells")
+    eligible = own.groupBy("region").agg(F.sum("n").alias("n"))
+    eligible = eligible.where(F.col("region").isNotNull() & (F.col("n") >= min_rows)).select("region")
+    spread = cells.agg(*(F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(c) for c in names)).first()
+    scale = np.array([1.0, *(spread[c] or 1.0 for c in names)])
+    path = new_path(spark, "coefficients")
+    regions = sorted(r[0] for r in eligible.toLocalIterator())
+    schema = StructType([table.schema[region], *(StructField(f"b{i}", DoubleType()) for i in range(len(scale)))])
+    for a in range(0, max(1, len(regions)), REGION_BLOCK):
+        names_of_block = regions[a : a + REGION_BLOCK]
+        fitted = _newton(own, cells, names_of_block, scale, alpha, schema) if names_of_block else []
+        spark.createDataFrame(fitted, schema).coalesce(1).write.parquet(f"{path}/block_{a}")
+    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    linear = F.col("b0")
+    for i, c in enumerate(features, 1):
+        linear = linear + F.col(f"b{i}") * F.col(c).cast("double")
+    predicted = table.join(found, region).withColumn(PREDICTION, F.exp(linear))
+    return predicted.select(*table.columns, PREDICTION)
+
+
+def _newton(
+    own: DataFrame, cells: DataFrame, regions: list, scale: np.ndarray, alpha: float, schema: StructType
+) -> list[tuple]:
+    """(region, intercept, coefficients) of the fits without each of the regions."""
+    spark, size = own.sparkSession, len(scale)
+    x = [F.lit(1.0), *(F.col(f"x{i}") / float(scale[i + 1]) for i in range(size - 1))]
+    numbers = spark.createDataFrame(
+        [(i, r) for i, r in enumerate(regions)],
+        StructType([StructField("fold", IntegerType()), StructField("region", schema.fields[0].dataType)]),
+    )
+    # All rows count for every fold; those of the region itself are taken off again.
+    less = own.join(F.broadcast(numbers), "region").drop("region").withColumns({"y": -F.col("y"), "n": -F.col("n")})
+    every = cells.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(len(regions) - 1))))
+    rows = every.unionByName(less)
+    totals = {r["fold"]: r for r in rows.groupBy("fold").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()}
+    beta = np.zeros((len(regions), size))
+    events = np.array([totals[i]["y"] for i in range(len(regions))])
+    weight = np.array([totals[i]["n"] for i in range(len(regions))])
+    fit = (events > 0) & (weight > 0)
+    # Without any event the optimum is at minus infinity, which predicts 0; without any row there is none.
+    beta[:, 0] = np.where(fit, np.log(np.where(fit, events, 1) / np.where(fit, weight, 1)), -np.inf)
+    beta[weight <= 0] = np.nan
+    penalty = np.diag([0.0, *(alpha / scale[1:] ** 2)])
+    moving = fit.copy()
+    names = [f"b{i}" for i in range(size)]
+    fold_schema = StructType([StructField("fold", IntegerType()), *(StructField(b, DoubleType()) for b in names)])
+    for _ in range(MAX_ITERATIONS):
+        if not moving.any():
+            break
+        current = [(int(i), *map(float, beta[i])) for i in np.flatnonzero(moving)]
+        mean = F.col("n") * F.exp(sum((F.col(b) * v for b, v in zip(names, x, strict=True)), F.lit(0.0)))
+        gradient = [F.sum((mean - F.col("y")) * x[i]).alias(f"g{i}") for i in range(size)]
+        hessian = [F.sum(mean * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(size) for j in range(i + 1)]
+        joined = rows.join(F.broadcast(spark.createDataFrame(current, fold_schema)), "fold")
+        for row in joined.groupBy("fold").agg(*gradient, *hessian).collect():
+            i = row["fold"]
+            g = np.array([row[f"g{j}"] for j in range(size)]) / weight[i] + penalty @ beta[i]
+            h = np.array([[row[f"h{max(j, k)}_{min(j, k)}"] for k in range(size)] for j in range(size)]) / weight[i]
+            step = np.linalg.lstsq(h + penalty, g, rcond=1e-12)[0]
+            beta[i] -= step * min(1.0, 3.0 / max(np.abs(step).max(), 1e-300))  # no step leaps out of range
+            moving[i] = np.abs(step).max() > 1e-11 * max(1.0, np.abs(beta[i]).max())
+    with np.errstate(invalid="ignore"):
+        raw = np.where(np.isinf(beta[:, :1]) & (np.arange(size) > 0), 0.0, beta / scale)
+    return [(region, *map(float, b)) for region, b in zip(regions, raw, strict=True)]
+
+
 def loro_cell_mean(table: DataFrame, *, region: str = "district", **options) -> DataFrame:
     """Pearson r, R² and RMSE per held-out region of the mean per feature combination."""
-    return metrics_by_region(cell_mean_without_region(table, region=region, **options), region)
+    return _scores(cell_mean_without_region(table, region=region, **options), region)
+
+
+def loro_poisson(table: DataFrame, *, region: str = "district", **options) -> DataFrame:
+    """Pearson r, R² and RMSE per held-out region of the Poisson regression."""
+    return _scores(poisson_without_region(table, region=region, **options), region)
 
 
 def loro_metrics(table: DataFrame, fit: Callable[[DataFrame], Model], *, region: str = "district", **options) -> DataFrame:
-    """Pearson r, R² and RMSE per held-out region."""
-    return metrics_by_region(leave_one_region_out(table, fit, region=region, **options), region)
+    """Pearson r, R² and RMSE per held-out region of any model, fitted region by region."""
+    return _scores(leave_one_region_out(table, fit, region=region, **options), region)
+
+
+def _scores(predictions: DataFrame, region: str) -> DataFrame:
+    return metrics_by_region(expand_copies(with_copies(predictions), key=region), region)

@@ -17,7 +17,7 @@ from pyspark.sql.types import (
 )
 
 from segrisk.functions.projection import with_utm
-from segrisk.operators import evaluate, models, regions, spatial_join, split, temporal
+from segrisk.operators import evaluate, forest, models, regions, spatial_join, split, temporal
 from segrisk.operators.features import expand_copies
 from segrisk.operators.features import segment_features as features_of
 from segrisk.plans.fixtures import fixture_dataset
@@ -234,8 +234,11 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.holdout_split(fixture_dataset(spark, sf_dir).roads).select("ogf_id", "is_test")
 
 
-def _train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return split.train_test(model_table(fixture_dataset(spark, sf_dir)))
+def _train_test(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Training rows with their ``copies``, and test rows written out."""
+    table = model_table(fixture_dataset(spark, sf_dir), keep=("ogf_id", "district", *more))
+    train, test = split.train_test(table)
+    return train, expand_copies(test)
 
 
 def _cell_mean_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,10 +253,21 @@ def rf_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_cell_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _train_test(spark, sf_dir)
-    fitted = models.fit_tree(train).transform(train)
+    fitted = models.fit_tree(train).transform(expand_copies(train))
     return _rounded(fitted.select("ogf_id", *models.FEATURES, "prediction"), "prediction")
 
 
+def rf_hash_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _train_test(spark, sf_dir)
+    return _rounded(forest.fit_hash_forest(train).transform(test), "prediction")
+
+
+def rf_hash_road_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _train_test(spark, sf_dir, "road_class")
+    features = ["speed_limit", "number_of_lanes", "road_class", "high_speed"]
+    return _rounded(forest.fit_hash_forest(train, features=features).transform(test), "prediction")
+
+
 def poisson_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _train_test(spark, sf_dir)
     return models.fit_poisson(train).transform(test)
@@ -261,26 +275,24 @@ def poisson_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def poisson_group_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _train_test(spark, sf_dir)
-    fitted = models.fit_poisson(train, features=["high_speed"], alpha=0.0).transform(train)
+    fitted = models.fit_poisson(train, features=["high_speed"], alpha=0.0).transform(expand_copies(train))
     return _rounded(fitted.select("ogf_id", "high_speed", "prediction"), "prediction")
 
 
 def rf_road_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = ("ogf_id", "district", "road_class")
-    train, test = split.train_test(model_table(fixture_dataset(spark, sf_dir), keep=keep))
+    train, test = _train_test(spark, sf_dir, "road_class")
     return models.fit_road_class_forest(train).transform(test)
 
 
 def tree_road_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = ("ogf_id", "district", "road_class")
-    train, _ = split.train_test(model_table(fixture_dataset(spark, sf_dir), keep=keep))
-    fitted = models.fit_road_class_forest(train, trees=1, bootstrap=False).transform(train)
+    train, _ = _train_test(spark, sf_dir, "road_class")
+    fitted = models.fit_road_class_forest(train, trees=1, bootstrap=False).transform(expand_copies(train))
     return _rounded(fitted.select("ogf_id", "road_class", *models.FEATURES, "prediction"), "prediction")
 
 
 def poisson_penalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _train_test(spark, sf_dir)
-    fitted = models.fit_poisson(train, features=["high_speed"], alpha=1.0).transform(train)
+    fitted = models.fit_poisson(train, features=["high_speed"], alpha=1.0).transform(expand_copies(train))
     return _rounded(fitted.select("ogf_id", "high_speed", "prediction"), "prediction")
 
 
@@ -290,8 +302,8 @@ def risk_cell_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = risk_table(fixture_dataset(spark, sf_dir), models.fit_random_forest)
-    return scored.select(*ROW_COLUMNS, "crash_count", "predicted_risk")
+    scored = risk_table(fixture_dataset(spark, sf_dir), forest.fit_hash_forest)
+    return _rounded(scored.select(*ROW_COLUMNS, "crash_count", "predicted_risk"), "predicted_risk")
 
 
 # Evaluation, on the closed-form predictor that SQL can repeat.
@@ -341,7 +353,7 @@ def loro_train_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loro_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = model_table(fixture_dataset(spark, sf_dir))
-    scores = regions.loro_metrics(table, lambda t: models.fit_poisson(t, features=["high_speed"], alpha=0.0))
+    scores = regions.loro_poisson(table, features=["high_speed"], alpha=0.0)
     return _rounded(scores, "pearson_r", "r2", "rmse")
 
 
@@ -351,7 +363,8 @@ def loro_cell_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.loro_metrics(model_table(fixture_dataset(spark, sf_dir)), models.fit_random_forest)
+    scores = forest.loro_forest(model_table(fixture_dataset(spark, sf_dir)))
+    return _rounded(scores, "pearson_r", "r2", "rmse")
 
 
 def queries() -> dict[str, Query]:
@@ -362,7 +375,7 @@ def queries() -> dict[str, Query]:
         project_points, spatial_join_pairs, unmatched_crashes,
         crash_count_rows, crash_count_segments, crash_count_filtered,
         segments_with_crashes, segments_with_crashes_total, top_crash_segments,
-        holdout_split, rf_predictions, tree_cell_mean, poisson_predictions, poisson_group_mean,
+        holdout_split, rf_predictions, rf_hash_bootstrap, rf_hash_road_class, tree_cell_mean, poisson_predictions, poisson_group_mean,
         poisson_penalised, rf_road_class, tree_road_class, risk_cell_mean, risk_scores,
         residuals_by_segment, regression_metrics, metrics_by_region, residual_histogram, pred_vs_actual_summary,
         region_eligible, loro_train_sizes, loro_cell_mean, loro_poisson, loro_metrics,

@@ -54,6 +54,44 @@ _SCORES = """count(*) AS n_rows,
 _PEARSON = """round(covar_pop(crash_count, prediction)
     / nullif(stddev_pop(crash_count) * stddev_pop(prediction), 0), 6) AS pearson_r,"""
 
+# The Poisson(1) distribution function times 2**31 - 1, rounded up.
+_LIMITS = (
+    790015084, 1580030168, 1975037710, 2106706891, 2139624186, 2146207645, 2147304888, 2147461638, 2147481231,
+    2147483408, 2147483626, 2147483646,
+)
+
+
+def _draws(rows: str = "model", more: str = "") -> str:
+    """How often each of 100 trees draws each row: the quantile of a hash of id, running number and tree."""
+    p = 2147483647
+    return f"""
+  SELECT * FROM (SELECT * EXCLUDE (h), {" + ".join(f"CAST(h >= {x} AS BIGINT)" for x in _LIMITS)} AS w
+  FROM (SELECT * EXCLUDE (h), (h * h + 88675123) % {p} AS h FROM
+  (SELECT * EXCLUDE (h), (h * h + 521288629) % {p} AS h FROM
+  (SELECT * EXCLUDE (h), tree, (h * h + tree * 362436069 % {p}) % {p} AS h FROM
+  (SELECT * EXCLUDE (h), (h * h + copy) % {p} AS h FROM
+  (SELECT *, (ogf_id % {p} * 1103515245 + 42) % {p} AS h, row_number() OVER (PARTITION BY ogf_id, {more}speed_limit,
+    number_of_lanes, high_speed, crash_count) AS copy FROM {rows})), range(100) t(tree))))) WHERE w > 0"""
+
+
+def _forest(rows: str, keys: str) -> str:
+    return f"SELECT {keys}, tree, sum(w) AS n, sum(w * crash_count) AS s FROM {rows} GROUP BY ALL"
+
+
+def _forest_cells(forest: str, asked: str, features: tuple[str, ...], by: tuple[str, ...] = ()) -> str:
+    """The mean over trees of the mean of all features, of all but the last, and so on, that a tree has first."""
+    joins, means = [], []
+    for level in range(len(features), -1, -1):
+        keys = ", ".join([*by, "tree", *features[:level]])
+        on = " AND ".join(f"l{level}.{k} IS NOT DISTINCT FROM a.{k}" for k in [*by, "tree", *features[:level]])
+        joins.append(f"LEFT JOIN (SELECT {keys}, sum(s) / sum(n) AS m FROM {forest} GROUP BY ALL) l{level} ON {on}")
+        means.append(f"l{level}.m")
+    keys = ", ".join(f"a.{k}" for k in [*by, *features])
+    return f"""
+  SELECT {keys}, avg(coalesce({", ".join(means)})) AS prediction
+  FROM (SELECT * FROM {asked}, range(100) t(tree)) a {" ".join(joins)} GROUP BY {keys}"""
+
+
 # Named intermediate results, in dependency order.
 _CTES = {
     "roads_fx": fx.ROADS.format(**fx.DUCKDB_DIALECT),
@@ -128,6 +166,34 @@ _CTES = {
   SELECT fold, high_speed, sum(crash_count) / count(*) AS mean FROM folds GROUP BY ALL""",
     "fold_poisson": """
   SELECT m.*, c.mean AS prediction FROM model m JOIN fold_speeds c ON c.fold = m.district AND c.high_speed = m.high_speed""",
+    "draws": _draws(),
+    "forest": _forest("draws WHERE NOT is_test", "speed_limit, number_of_lanes, high_speed"),
+    "forest_asked": """
+  SELECT DISTINCT speed_limit, number_of_lanes, high_speed FROM model""",
+    "forest_cells": _forest_cells("forest", "forest_asked", ("speed_limit", "number_of_lanes", "high_speed")),
+    "class_rows": """
+  SELECT ogf_id, road_class, coalesce(speed_limit, 0) AS speed_limit, CAST(number_of_lanes AS DOUBLE) AS number_of_lanes,
+    CAST(high_speed AS DOUBLE) AS high_speed, crash_count, district,
+    ((ogf_id % 1000003) * 2654435761 + 42) % 1000003 % 5 = 0 AS is_test
+  FROM segment_rows""",
+    "class_draws": _draws("class_rows", "road_class, "),
+    "class_forest": _forest("class_draws WHERE NOT is_test", "speed_limit, number_of_lanes, road_class, high_speed"),
+    "class_asked": """
+  SELECT DISTINCT speed_limit, number_of_lanes, road_class, high_speed FROM class_rows WHERE is_test""",
+    "class_forest_cells": _forest_cells(
+        "class_forest", "class_asked", ("speed_limit", "number_of_lanes", "road_class", "high_speed")
+    ),
+    "fold_draws": """
+  SELECT e.district AS fold, d.* FROM eligible e JOIN draws d ON d.district IS DISTINCT FROM e.district""",
+    "fold_forest": _forest("fold_draws", "fold, speed_limit, number_of_lanes, high_speed"),
+    "fold_asked": """
+  SELECT DISTINCT district AS fold, speed_limit, number_of_lanes, high_speed FROM model JOIN eligible USING (district)""",
+    "fold_forest_cells": _forest_cells(
+        "fold_forest", "fold_asked", ("speed_limit", "number_of_lanes", "high_speed"), ("fold",)
+    ),
+    "fold_forest_predictions": """
+  SELECT m.*, c.prediction FROM model m JOIN fold_forest_cells c ON c.fold = m.district AND
+    c.speed_limit = m.speed_limit AND c.number_of_lanes = m.number_of_lanes AND c.high_speed = m.high_speed""",
     "ends": "SELECT min(crash_count - prediction) AS lo, max(crash_count - prediction) AS hi FROM predictions",
     "bounds": """
   SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi
@@ -286,6 +352,33 @@ def oracle_sql() -> dict[str, str]:
             "train_cells",
             "model",
         ),
+        "rf_hash_bootstrap": _query(
+            "SELECT ogf_id, district, speed_limit, number_of_lanes, high_speed, crash_count,"
+            " round(prediction, 6) AS prediction"
+            " FROM model JOIN forest_cells USING (speed_limit, number_of_lanes, high_speed) WHERE is_test",
+            "model",
+            "forest_cells",
+        ),
+        "rf_hash_road_class": _query(
+            "SELECT ogf_id, district, r.road_class, r.speed_limit, r.number_of_lanes, r.high_speed, crash_count,"
+            " round(prediction, 6) AS prediction FROM class_rows r JOIN class_forest_cells c"
+            " ON c.speed_limit = r.speed_limit AND c.number_of_lanes = r.number_of_lanes"
+            " AND c.high_speed = r.high_speed AND c.road_class IS NOT DISTINCT FROM r.road_class WHERE is_test",
+            "class_rows",
+            "class_forest_cells",
+        ),
+        "risk_scores": _query(
+            "SELECT ogf_id, district, r.speed_limit, r.number_of_lanes, road_class, r.high_speed, crash_count,"
+            " round(prediction, 6) AS predicted_risk FROM segment_rows r JOIN forest_cells c"
+            " ON c.speed_limit = coalesce(r.speed_limit, 0) AND c.number_of_lanes = r.number_of_lanes"
+            " AND c.high_speed = CAST(r.high_speed AS DOUBLE)",
+            "segment_rows",
+            "forest_cells",
+        ),
+        "loro_metrics": _query(
+            f"SELECT district, {_SCORES.format(r=_PEARSON)} FROM fold_forest_predictions GROUP BY district",
+            "fold_forest_predictions",
+        ),
         "loro_poisson": _query(
             f"SELECT district, {_SCORES.format(r=_PEARSON)} FROM fold_poisson GROUP BY district",
             "fold_poisson",

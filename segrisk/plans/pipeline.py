@@ -45,10 +45,10 @@ def model_table(
 ) -> DataFrame:
     """Key, region, zero-filled features and label, written once so that fits and folds read a small table.
 
-    The written table holds repeated rows as ``copies``; they are multiplied when it is read.
+    Repeated rows are held as ``copies``, which weigh in every fit.
     """
     rows = feature_matrix(segment_table(dataset, mode=mode, **options))
-    return expand_copies(materialise(rows.select(*keep, *FEATURES, LABEL, COPIES), "model_table"))
+    return materialise(rows.select(*keep, *FEATURES, LABEL, COPIES), "model_table")
 
 
 def score_segments(model: Model, segments: DataFrame) -> DataFrame:

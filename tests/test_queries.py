@@ -31,5 +31,5 @@ def test_entry(spark):
 def test_sql_belongs_to_queries():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(catalog.queries()) - set(oracles.oracle_sql()) == {
-        "rf_predictions", "poisson_predictions", "rf_road_class", "risk_scores", "loro_metrics",
+        "rf_predictions", "poisson_predictions", "rf_road_class",
     }
