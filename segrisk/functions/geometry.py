@@ -76,6 +76,28 @@ def with_direction(parts: DataFrame) -> DataFrame:
     )
 
 
+def quartered(parts: DataFrame, radius: float, cell: float) -> DataFrame:
+    """Rows of ``with_direction`` moved from cells of twice the size to those of their four quarters that they reach."""
+    reach, size = f"{radius + _SLACK}D", f"{float(cell)}D"
+    ends = ["x1 + ux * length AS _x2", "y1 + uy * length AS _y2", "cx AS _pcx", "cy AS _pcy"]
+    slope = f"CASE WHEN abs(_x2 - x1) >= {_VERTICAL}D THEN (_y2 - y1) / (_x2 - x1) END"
+    enter = f"coalesce(y1 + _slope * (greatest(least(x1, _x2), cx * {size} - {reach}) - x1), y1)"
+    leave = f"coalesce(y1 + _slope * (least(greatest(x1, _x2), (cx + 1) * {size} + {reach}) - x1), _y2)"
+
+    def overlaps(low: str, high: str, index: str) -> str:
+        """The range, widened by the radius, has a point in the row or column of cells."""
+        return f"({low}) - {reach} < ({index} + 1) * {size} AND ({high}) + {reach} >= {index} * {size}"
+
+    return (
+        parts.selectExpr(*(c for c in parts.columns if c not in ("cx", "cy")), *ends)
+        .selectExpr("*", f"{slope} AS _slope", "explode(array(2 * _pcx, 2 * _pcx + 1)) AS cx")
+        .where(overlaps("least(x1, _x2)", "greatest(x1, _x2)", "cx"))
+        .selectExpr("*", f"{enter} AS _enter", f"{leave} AS _leave", "explode(array(2 * _pcy, 2 * _pcy + 1)) AS cy")
+        .where(overlaps("least(_enter, _leave)", "greatest(_enter, _leave)", "cy"))
+        .select(*parts.columns)
+    )
+
+
 def within(radius: float, x: str = "_x", y: str = "_y") -> str:
     """Condition that point (x, y) is closer than ``radius`` to the part in the same row.
 

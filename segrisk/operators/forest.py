@@ -57,7 +57,10 @@ def _key_hash(key: Column, copy: Column, seed: int) -> Column:
 
 
 def with_draws(rows: DataFrame, key: str, copy: str, trees: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """``rows`` once for every tree that draws them, with ``tree`` and ``draws``; a missing key is key 0."""
+    """``rows`` once for every tree, with ``tree`` and the number of its ``draws``, 0 too; a missing key is key 0.
+
+    There is no filter on the draws: it would be pushed below the rounds and repeat them once per use.
+    """
     value = F.col(key)
     if not isinstance(rows.schema[key].dataType, IntegralType):
         value = F.xxhash64(value)
@@ -66,8 +69,7 @@ def with_draws(rows: DataFrame, key: str, copy: str, trees: int, seed: int = DEF
     for added in (F.col("tree").cast("long") * TREE_STEP, *map(F.lit, ADDED)):
         drawn = drawn.withColumn("_h", F.pmod(F.col("_h") * F.col("_h") + F.pmod(added, F.lit(PRIME)), F.lit(PRIME)))
     steps = [F.when(F.col("_h") >= limit, 1).otherwise(0) for limit in poisson_limits()]
-    draws = sum(steps[1:], steps[0]).cast("long")
-    return drawn.withColumn("draws", draws).where(F.col("draws") > 0).drop("_h")
+    return drawn.withColumn("draws", sum(steps[1:], steps[0]).cast("long")).drop("_h")
 
 
 def bootstrap_sums(
@@ -88,9 +90,10 @@ def bootstrap_sums(
     columns = [*dict.fromkeys([*by, *features, label, key])]
     kept = with_copies(train).groupBy(*columns).agg(F.sum(COPIES).alias(COPIES))  # equal rows get running numbers
     drawn = with_draws(expand_copies(kept, key, number="_copy"), key, "_copy", trees, seed)
-    return drawn.groupBy(*by, "tree", *features).agg(
+    sums = drawn.groupBy(*by, "tree", *features).agg(
         F.sum(F.col(label) * F.col("draws")).alias("_sum"), F.sum("draws").alias("_weight")
     )
+    return sums.where(F.col("_weight") > 0)
 
 
 def _levels(sums: DataFrame, by: tuple[str, ...], features: tuple[str, ...]) -> DataFrame:

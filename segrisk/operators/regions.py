@@ -161,7 +161,7 @@ def _newton(
     # All rows count for every fold; those of the region itself are taken off again.
     less = own.join(F.broadcast(numbers), "region").drop("region").withColumns({"y": -F.col("y"), "n": -F.col("n")})
     every = cells.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(len(regions) - 1))))
-    rows = every.unionByName(less)
+    rows = materialise(every.unionByName(less), "fold_cells")
     totals = {r["fold"]: r for r in rows.groupBy("fold").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()}
     beta = np.zeros((len(regions), size))
     events = np.array([totals[i]["y"] for i in range(len(regions))])

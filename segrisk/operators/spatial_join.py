@@ -5,62 +5,93 @@ hold a point near it. Joining on the cell leaves few candidates, which the join
 The result does not depend on the cell size.
 
 Skew. Points at one position are counted into one row, and copies of one geometry into one row, before anything
-is shuffled by cell. Cells that still hold many points or parts are split into blocks: points over ``_i``, parts
-over ``_j``, each side repeated for the blocks of the other. Any number of cells may be split, into any number of
-blocks: the blocks of a cell are looked up by a join that is salted by the load of the fullest cell.
+is shuffled by cell. The grid is hierarchical: cells that still hold many points or parts are cut into quarters,
+level by level, and points and parts of such a cell move on to its quarters, by a plain join with the list of crowded
+cells. That list has at most one row per ``BLOCK_ROWS`` rows of input. Only what quarters cannot separate, because it
+lies in one place, is cut into blocks: points over ``_i``, parts over ``_j``, each side repeated for the blocks that
+the other side has in this cell, never for those of other cells.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segrisk.functions.geometry import cell_of, line_parts, with_cells, with_direction, within
+from segrisk.functions.geometry import cell_of, line_parts, quartered, with_cells, with_direction, within
 from segrisk.functions.missing import as_double
 from segrisk.functions.projection import DEFAULT_ZONE, assert_geographic, has_coordinates, with_utm
 from segrisk.operators.features import COPIES, require_columns, with_copies
 from segrisk.operators.joins import join_by_id
-from segrisk.session import materialise
+from segrisk.session import materialise, materialise_all
 
 RADIUS = 10.0
 CELL = 32.0
 
-# Rows of one side of a cell above which the cell is split.
+# Rows of one side of a cell above which the cell is split, and how often it may be quartered before it is cut.
 BLOCK_ROWS = 50_000
+LEVELS = 2
 
-_CELL_KEYS = ["cx", "cy", "_i", "_j"]
+_CELL = ["cx", "cy"]
+_LEAF = ["_level", "cx", "cy", "_i", "_j"]
 
 
 def _crowded_cells(points: DataFrame, parts: DataFrame, block_rows: int) -> DataFrame:
-    """Cells with more than ``block_rows`` rows on a side, and their numbers of blocks, _bi and _bj."""
-
-    def load(side: DataFrame, p: int, s: int) -> DataFrame:
-        return side.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n")).selectExpr("cx", "cy", f"_n * {p} AS _p", f"_n * {s} AS _s")
+    """Cells with more than ``block_rows`` rows on a side, and the number of rows of both sides."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    rows = points.select(*_CELL, one.alias("_p"), none.alias("_s")).unionByName(
+        parts.select(*_CELL, none.alias("_p"), one.alias("_s"))
+    )
+    loads = rows.groupBy(*_CELL).agg(F.sum("_p").alias("_points"), F.sum("_s").alias("_parts"))
+    return loads.where(F.greatest("_points", "_parts") > block_rows)
 
-    sums = load(points, 1, 0).unionByName(load(parts, 0, 1)).groupBy("cx", "cy").agg(F.sum("_p").alias("_p"), F.sum("_s").alias("_s"))
-    blocks = [f"greatest(ceil(_{side} / {block_rows}), 1L) AS _b{index}" for side, index in ("pi", "sj")]
-    return sums.where(F.greatest("_p", "_s") > block_rows).selectExpr("cx", "cy", *blocks)
 
+def _leaves(
+    points: DataFrame,
+    point_key: list[str],
+    parts: DataFrame,
+    segment_key: list[str],
+    radius: float,
+    cell: float,
+    block_rows: int,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the cell that each row ends up in, and the columns that name the cell."""
+    crowded = _crowded_cells(points, parts, block_rows)
+    if crowded.isEmpty():
+        return points, parts, _CELL
+    kept: list[tuple[DataFrame, DataFrame]] = []
+
+    def keep(side: DataFrame, level: int) -> DataFrame:
+        zero = F.lit(0).cast("bigint")
+        return side.withColumns({"_level": F.lit(level), "_i": zero, "_j": zero})
+
+    for level in range(LEVELS + 1):
+        crowded = materialise(crowded, "crowded_cells")
+        names = crowded.select(*_CELL)
+        kept.append(tuple(keep(side.join(names, _CELL, "left_anti"), level) for side in (points, parts)))
+        points, parts = (side.join(names, _CELL, "left_semi") for side in (points, parts))
+        if level == LEVELS:
+            break
+        cell /= 2
+        x, y = f"{cell_of('_x', cell)} AS cx", f"{cell_of('_y', cell)} AS cy"
+        points = materialise(points.selectExpr(*point_key, "_x", "_y", x, y), "quartered_points")
+        parts = materialise(quartered(parts, radius, cell), "quartered_parts")
+        crowded = _crowded_cells(points, parts, block_rows)
+    blocks = crowded.selectExpr(
+        *_CELL, *(f"greatest(ceil({n} / {block_rows}), 1L) AS {b}" for n, b in (("_points", "_bi"), ("_parts", "_bj")))
+    )
 
-def _split(
-    side: DataFrame, crowded: DataFrame, most: int, key: list[str], own: tuple[str, str], other: tuple[str, str]
-) -> DataFrame:
-    """Assign each row to one of its own blocks and repeat it for every block of the other side.
+    def cut(side: DataFrame, key: list[str], own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+        # The block comes from the row's key, so it is the same in every run, and one for all parts of a segment.
+        number = F.pmod(F.xxhash64(*key), F.col(own[1])).alias(own[0])
+        repeated = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other[1]) - 1)).alias(other[0])
+        rows = side.join(blocks, _CELL)
+        return rows.select(*side.columns, F.lit(LEVELS).alias("_level"), number, repeated)
 
-    The row's salt, by which it finds the cell's numbers of blocks, comes from its key, so it is the same in every run.
-    """
-    (index, blocks), (other_index, other_blocks) = own, other
-    lookup = crowded.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_salt"))
-    return (
-        side.withColumn("_hash", F.xxhash64(*key))
-        .withColumn("_salt", F.pmod("_hash", F.lit(most)))
-        .join(lookup, ["cx", "cy", "_salt"], "left")
-        .selectExpr(
-            *side.columns,
-            f"coalesce(pmod(_hash, coalesce({blocks}, 1L)), 0L) AS {index}",
-            f"explode(sequence(0L, coalesce({other_blocks}, 1L) - 1L)) AS {other_index}",
-        )
-    )
+    kept.append((cut(points, point_key, ("_i", "_bi"), ("_j", "_bj")), cut(parts, segment_key, ("_j", "_bj"), ("_i", "_bi"))))
+    points, parts = (reduce(DataFrame.unionByName, sides) for sides in zip(*kept, strict=True))
+    return points, parts, _LEAF
 
 
 def _near(
@@ -72,27 +103,24 @@ def _near(
     cell: float,
     zone: int,
     block_rows: int,
-) -> DataFrame:
-    """Candidate rows that passed the distance test: cell keys, ``point_key`` and ``segment_key``.
+) -> tuple[DataFrame, list[str]]:
+    """Candidate rows that passed the distance test: cell columns, ``point_key`` and ``segment_key``.
 
-    A pair repeats when several parts of a segment are near the point. All repeats have equal cell keys, because
+    A pair repeats when several parts of a segment are near the point. All repeats have the same cell, because
     a point has one cell and the block of a part depends on ``segment_key`` only.
     """
     located = with_utm(points, ("longitude", "latitude", "_x", "_y"), zone=zone).selectExpr(
         *point_key, "_x", "_y", f"{cell_of('_x', cell)} AS cx", f"{cell_of('_y', cell)} AS cy"
     )
-    # Written once in narrow rows: counting the cells and joining them both read it.
-    located = materialise(located, "points")
     parts = with_direction(with_cells(line_parts(segments, segment_key, zone), radius, cell))
-    crowded = materialise(_crowded_cells(located, parts, block_rows), "crowded_cells")
-    most = crowded.agg(F.max(F.greatest("_bi", "_bj"))).first()[0] or 1
-    p = _split(located, crowded, most, point_key, ("_i", "_bi"), ("_j", "_bj")).alias("p")
-    s = _split(parts, crowded, most, segment_key, ("_j", "_bj"), ("_i", "_bi")).alias("s")
-    same_cell = " AND ".join(f"p.{k} = s.{k}" for k in _CELL_KEYS)
-    # A merge join, because the planner's size estimate does not see how many cells an exploded part takes.
-    return p.join(s.hint("merge"), F.expr(f"{same_cell} AND {within(radius)}")).selectExpr(
-        *(f"p.{k}" for k in _CELL_KEYS), *point_key, *segment_key
-    )
+    # Written once in narrow rows, side by side: counting the cells and joining them both read them.
+    located, parts = materialise_all(points=located, parts=parts)
+    located, parts, cells = _leaves(located, point_key, parts, segment_key, radius, cell, block_rows)
+    p, s = located.alias("p"), parts.alias("s")
+    same_cell = " AND ".join(f"p.{k} = s.{k}" for k in cells)
+    # A merge join, because the planner's size estimate does not see how many hits a cell has.
+    near = p.join(s.hint("merge"), F.expr(f"{same_cell} AND {within(radius)}"))
+    return near.selectExpr(*(f"p.{k}" for k in cells), *point_key, *segment_key), cells
 
 
 def located_crashes(crashes: DataFrame) -> DataFrame:
@@ -118,7 +146,7 @@ def spatial_join_pairs(
     require_columns(segments, segment_key, "lines")
     points = located_crashes(crashes).select(crash_key, "longitude", "latitude")
     geometries = segments.select(segment_key, "lines").distinct()
-    near = _near(points, [crash_key], geometries, [segment_key], radius, cell, zone, block_rows)
+    near, _ = _near(points, [crash_key], geometries, [segment_key], radius, cell, zone, block_rows)
     # The keys include the join keys, so this runs in the join's own partitions.
     return near.distinct().select(crash_key, segment_key)
 
@@ -144,9 +172,9 @@ def unmatched_crashes(
     key = ["longitude", "latitude"]
     positions = located_crashes(crashes).select(*key).distinct()
     geometries = segments.select("lines").distinct().withColumn("_shape", F.xxhash64("lines"))
-    near = _near(positions, key, geometries, ["_shape"], radius, cell, zone, block_rows)
+    near, cells = _near(positions, key, geometries, ["_shape"], radius, cell, zone, block_rows)
     # One row per position and cell block, made inside the join's own partitions.
-    near = near.select(*_CELL_KEYS, *key).distinct().select(*key).toDF("_lon", "_lat")
+    near = near.select(*cells, *key).distinct().select(*key).toDF("_lon", "_lat")
     missing = as_double("longitude").isNull() | as_double("latitude").isNull()
     candidates = crashes if keep_missing else crashes.where(~missing)
     return candidates.join(near, F.expr("longitude = _lon AND latitude = _lat"), "left_anti")
@@ -189,7 +217,7 @@ def crash_counts(
     else:
         geometries = known.select("ogf_id", "lines").distinct()
         segment_key, weight = ["ogf_id"], F.col("_crashes")
-    near = _near(positions, position_key, geometries, segment_key, radius, cell, zone, block_rows)
+    near, _ = _near(positions, position_key, geometries, segment_key, radius, cell, zone, block_rows)
     # The keys include the join keys, so this runs in the join's own partitions.
     return near.distinct().groupBy("ogf_id").agg(F.sum(weight).alias("crash_count"))
 

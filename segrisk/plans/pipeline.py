@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segrisk.operators.features import COPIES, attributes_by_id, derive_features, expand_copies
@@ -12,7 +12,6 @@ from segrisk.operators.joins import join_by_id
 from segrisk.operators.models import FEATURES, LABEL, PREDICTION, Model, feature_matrix
 from segrisk.operators.spatial_join import crash_counts
 from segrisk.operators.split import train_test
-from segrisk.schemas import ELEMENT_ID
 from segrisk.session import materialise
 from segrisk.sources.bundle import Dataset
 
@@ -26,12 +25,11 @@ def segment_table(dataset: Dataset, *, mode: str = "rows", **options) -> DataFra
     ids = dataset.roads.select("ogf_id").distinct()
     features = derive_features(attributes_by_id(ids, dataset.speed, dataset.lanes, dataset.road_class))
     counts = crash_counts(dataset.roads, dataset.crashes, mode=mode, **options)
-    if mode == "rows":
-        for attribute in (dataset.speed, dataset.lanes, dataset.road_class):
-            rows = attribute.groupBy(F.col(ELEMENT_ID).alias("ogf_id")).agg(F.count(F.lit(1)).alias("_rows"))
-            counts = counts.join(rows, "ogf_id", "left")
-            counts = counts.select("ogf_id", (F.col(LABEL) * F.coalesce("_rows", F.lit(1))).alias(LABEL))
     by_id = features.join(counts, "ogf_id", "left").fillna(0, subset=[LABEL])
+    if mode == "rows":
+        # All rows that the attributes make of a segment: the copies of its combinations.
+        rows = F.sum(COPIES).over(Window.partitionBy("ogf_id"))
+        by_id = by_id.withColumn(LABEL, F.col(LABEL) * rows)
     return join_by_id(dataset.roads, by_id, "ogf_id")
 
 

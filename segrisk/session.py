@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import cache
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -73,3 +75,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_all(**tables: DataFrame) -> list[DataFrame]:
+    """``materialise`` for several independent tables, written at the same time."""
+    spark = next(iter(tables.values())).sparkSession
+    with ThreadPool(len(tables)) as pool:
+        return pool.starmap(inheritable_thread_target(spark)(materialise), [(df, name) for name, df in tables.items()])

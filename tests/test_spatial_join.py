@@ -1,12 +1,16 @@
 import io
+import random
 import re
 from collections import Counter
 from contextlib import redirect_stdout
 
+import numpy as np
 import pytest
-from helpers import brute_force_pairs, crashes_df, random_network, roads_df
+from helpers import brute_force_pairs, crashes_df, distance, random_network, roads_df
 from pyspark.sql import functions as F
 
+from segrisk.functions.geometry import cell_of, with_cells, with_direction, within
+from segrisk.operators import spatial_join
 from segrisk.operators.spatial_join import (
     crash_counts,
     segments_with_crashes,
@@ -143,6 +147,35 @@ def test_unmatched_crashes_are_decided_by_position(spark):
     assert {tuple(r) for r in kept.collect()} == {rows[1], rows[3], rows[4], rows[5]}
 
 
+def test_rows_per_leaf_are_bounded(spark):
+    """A third of everything in one place, and other cells that are crowded a little."""
+    rng = random.Random(4)
+    limit = 40
+    points = [(i, rng.uniform(0, 200), rng.uniform(0, 200)) for i in range(400)]
+    points += [(1000 + i, 100.5, 100.5) for i in range(900)] + [(3000 + i, rng.uniform(32, 64), rng.uniform(32, 64)) for i in range(150)]
+    parts = [(i, rng.uniform(0, 180), rng.uniform(0, 180), rng.uniform(0, 20), rng.uniform(0, 20)) for i in range(300)]
+    parts += [(1000 + i, 100.0, 100.0, 1.0, 1.0) for i in range(300)]
+    p = spark.createDataFrame(points, "point long, _x double, _y double")
+    p = p.selectExpr("*", f"{cell_of('_x', 32)} AS cx", f"{cell_of('_y', 32)} AS cy")
+    s = spark.createDataFrame([(i, x, y, x + a, y + b) for i, x, y, a, b in parts], "line long, x1 double, y1 double, x2 double, y2 double")
+    s = with_direction(with_cells(s, 10.0, 32.0))
+    leaf_points, leaf_parts, cells = spatial_join._leaves(p, ["point"], s, ["line"], 10.0, 32.0, limit)
+    fullest = [df.groupBy(*cells).count().agg(F.max("count")).first()[0] for df in (leaf_points, leaf_parts)]
+    assert max(fullest) <= 3 * limit  # blocks are dealt by hash
+    # A row is repeated for the blocks of its own cell only: 900 points are 23 blocks, the parts of that cell 8 or more.
+    once = leaf_points.where("point < 1000 OR point >= 3000").groupBy("point").count()
+    assert once.where(F.col("count") > 1).count() < 60  # neighbours of the hot place
+    # All pairs within the radius are found, each in one leaf.
+    found = leaf_points.alias("p").join(leaf_parts.alias("s"), cells).where(within(10.0)).select("point", "line", *cells).distinct()
+    pairs = {(r.point, r.line) for r in found.collect()}
+    assert len(pairs) == found.count()
+    expected = {
+        (i, j) for i, x, y in points for j, a, b, dx, dy in parts
+        if abs(x - a) < 40 and abs(y - b) < 40 and distance(np.array([x]), np.array([y]), a, b, a + dx, b + dy)[0] < 10
+    }
+    assert pairs == expected
+
+
 def test_any_number_of_crowded_cells(spark):
     roads, crashes = random_network(seed=11)
     expected = brute_force_pairs(crashes, roads)
