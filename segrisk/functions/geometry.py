@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-
-from segrisk.functions.projection import DEFAULT_ZONE, has_coordinates, not_null, with_utm
+from pyspark.sql import functions as F
+
+from segrisk.functions.projection import (
+    DEFAULT_ZONE,
+    MAX_OFF_MERIDIAN,
+    ZONE_STEP,
+    central_meridian,
+    has_coordinates,
+    not_null,
+    with_utm,
+    zone_of,
+)
 
 # Metres added to the radius when cells are chosen, so that rounding can never hide a cell.
 _SLACK = 1e-3
@@ -12,13 +22,18 @@ _SLACK = 1e-3
 # Parts narrower than this many metres count as vertical: their slope would amplify rounding errors.
 _VERTICAL = 1.0
 
-# Projected coordinates beyond this many metres do not lie on the globe.
-_WORLD = 5e7
+# Coordinates beyond this many metres, in the range of any zone, do not lie on the globe.
+_WORLD = 5e7 + 60 * ZONE_STEP
 
 
-def line_parts(segments: DataFrame, keys: list[str], zone: int = DEFAULT_ZONE) -> DataFrame:
+def line_parts(
+    segments: DataFrame, keys: list[str], zone: int | None = DEFAULT_ZONE, radius: float = 0.0
+) -> DataFrame:
     """One row per two-vertex part of every polyline: ``keys``, its ends (x1, y1) and (x2, y2) in metres.
 
+    Without a ``zone`` each part is projected in the zones that it, widened by ``radius`` metres, lies in, once for each.
+    With one, a part far away from it raises, because distances would be wrong there.
+
     Vertices are paired by zipping the vertex list with itself shifted by one. Lines with fewer than two
     vertices and vertices without coordinates yield no part; a null geometry yields none either.
     """
@@ -31,7 +46,19 @@ def line_parts(segments: DataFrame, keys: list[str], zone: int = DEFAULT_ZONE) -
         .selectExpr(*keys, *ends)
         .where(f"{has_coordinates('_lon1', '_lat1')} AND {has_coordinates('_lon2', '_lat2')}")
     )
-    projected = with_utm(parts, ("_lon1", "_lat1", "x1", "y1"), ("_lon2", "_lat2", "x2", "y2"), zone=zone)
+    if zone is None:
+        # Degrees of longitude that the radius takes at the latitude nearest to a pole; a degree is 111 km at the equator.
+        margin = f"{radius * 1.01 + 1.0}D / (110574D * greatest(cos(radians(greatest(abs(_lat1), abs(_lat2)))), 1e-6D))"
+        west = zone_of(f"greatest(least(_lon1, _lon2) - {margin}, -180D)")
+        east = zone_of(f"least(greatest(_lon1, _lon2) + {margin}, 180D)")
+        parts = parts.selectExpr("*", f"explode(sequence({west}, {east})) AS _zone")
+    else:
+        meridian = central_meridian(zone)
+        wrong = f"raise_error(concat('longitude ', _lon1, ' is not near UTM zone {zone}; use zone=None for all zones'))"
+        far = f"greatest(abs(_lon1 - {meridian}D), abs(_lon2 - {meridian}D)) > {MAX_OFF_MERIDIAN}D"
+        parts = parts.withColumn("_lon1", F.expr(f"CASE WHEN {far} THEN CAST({wrong} AS DOUBLE) ELSE _lon1 END"))
+    own = "_zone" if zone is None else zone
+    projected = with_utm(parts, ("_lon1", "_lat1", "x1", "y1"), ("_lon2", "_lat2", "x2", "y2"), zone=own)
     return projected.select(*keys, "x1", "y1", "x2", "y2")
 
 

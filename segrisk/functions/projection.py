@@ -12,6 +12,13 @@ from pyspark.sql import DataFrame
 GEOGRAPHIC = "EPSG:4326"
 DEFAULT_ZONE = 17
 
+# Metres between the eastings of neighbouring zones where several are used together: far beyond any easting of a zone,
+# and a power of 2, so that grid cells fall alike in every zone.
+ZONE_STEP = float(2**27)
+
+# Degrees from the central meridian of a zone beyond which lines cannot be projected in it with useful accuracy.
+MAX_OFF_MERIDIAN = 9.0
+
 # WGS84 ellipsoid and the UTM convention.
 SEMI_MAJOR_AXIS = 6378137.0
 FLATTENING = 1 / 298.257223563
@@ -57,19 +64,29 @@ def not_null(value: str) -> str:
     return f"coalesce({value}, double('NaN'))"
 
 
-def with_utm(df: DataFrame, *points: tuple[str, str, str, str], zone: int = DEFAULT_ZONE) -> DataFrame:
+def zone_of(lon: str) -> str:
+    """The UTM zone of a longitude from -180 to 180."""
+    return f"least(CAST(floor(({lon} + 180D) / 6) AS INT) + 1, 60)"
+
+
+def with_utm(df: DataFrame, *points: tuple[str, str, str, str], zone: int | str = DEFAULT_ZONE) -> DataFrame:
     """Add easting and northing in metres of the northern UTM ``zone`` for each (lon, lat, x, y) of column names.
 
+    ``zone`` is a number, or the name of a column with the zone of each row. In the latter case every zone has its own
+    range of eastings, ``ZONE_STEP`` apart, so that positions in different zones are never near each other.
+
     The intermediate values are columns of their own, so each is computed once per row. The results are NaN, never
     NULL: for a nullable column every later join would push a null check, and with it the whole formula, down to
     the scan a second time.
     """
-    meridian = central_meridian(zone)
+    own = isinstance(zone, str)
+    meridian = f"({zone} * 6D - 183D)" if own else f"{central_meridian(zone)}D"
+    shift = f" + ({zone} - {DEFAULT_ZONE}) * {ZONE_STEP}D" if own else ""
     conformal, sphere, plane, helpers = [], [], [], []
     for i, (lon, lat, x, y) in enumerate(points):
         t, xi, eta = f"_t{i}", f"_xi{i}", f"_eta{i}"
         helpers += [t, xi, eta]
-        phi, delta = f"radians({lat})", f"radians({lon} - {meridian}D)"
+        phi, delta = f"radians({lat})", f"radians({lon} - {meridian})"
         e = f"{ECCENTRICITY!r}D"
         conformal.append(f"sinh(atanh(sin({phi})) - {e} * atanh({e} * sin({phi}))) AS {t}")
         sphere.append(f"atan2({t}, cos({delta})) AS {xi}")
@@ -80,6 +97,6 @@ def with_utm(df: DataFrame, *points: tuple[str, str, str, str], zone: int = DEFA
             east += f" + {alpha!r}D * cos({k} * {xi}) * sinh({k} * {eta})"
             north += f" + {alpha!r}D * sin({k} * {xi}) * cosh({k} * {eta})"
         scale = f"{SCALE * RECTIFYING_RADIUS!r}D"
-        plane.append(f"{not_null(f'{FALSE_EASTING}D + {scale} * ({east})')} AS {x}")
+        plane.append(f"{not_null(f'{FALSE_EASTING}D + {scale} * ({east}){shift}')} AS {x}")
         plane.append(f"{not_null(f'{scale} * ({north})')} AS {y}")
     return df.selectExpr("*", *conformal).selectExpr("*", *sphere).selectExpr("*", *plane).drop(*helpers)

@@ -4,6 +4,9 @@ A point lies in exactly one square grid cell, and a straight part of a segment i
 hold a point near it. Joining on the cell leaves few candidates, which the join condition tests by distance.
 The result does not depend on the cell size.
 
+Zones. By default everything is projected in one UTM zone, and segments far from it raise. With ``zone=None`` a point
+counts in its own zone, and a part is repeated in a neighbouring zone if it comes within the radius of the border.
+
 Skew. Points at one position are counted into one row, and copies of one geometry into one row, before anything
 is shuffled by cell. The grid is hierarchical: cells that still hold many points or parts are cut into quarters,
 level by level, and points and parts of such a cell move on to its quarters, by a plain join with the list of crowded
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from segrisk.functions.geometry import cell_of, line_parts, quartered, with_cells, with_direction, within
 from segrisk.functions.missing import as_double
-from segrisk.functions.projection import DEFAULT_ZONE, assert_geographic, has_coordinates, with_utm
+from segrisk.functions.projection import DEFAULT_ZONE, assert_geographic, has_coordinates, with_utm, zone_of
 from segrisk.operators.features import COPIES, require_columns, with_copies
 from segrisk.operators.joins import join_by_id
 from segrisk.session import materialise, materialise_all
@@ -101,7 +104,7 @@ def _near(
     segment_key: list[str],
     radius: float,
     cell: float,
-    zone: int,
+    zone: int | None,
     block_rows: int,
 ) -> tuple[DataFrame, list[str]]:
     """Candidate rows that passed the distance test: cell columns, ``point_key`` and ``segment_key``.
@@ -109,10 +112,13 @@ def _near(
     A pair repeats when several parts of a segment are near the point. All repeats have the same cell, because
     a point has one cell and the block of a part depends on ``segment_key`` only.
     """
-    located = with_utm(points, ("longitude", "latitude", "_x", "_y"), zone=zone).selectExpr(
+    if zone is None:
+        points = points.selectExpr("*", f"{zone_of('longitude')} AS _zone")
+    own = "_zone" if zone is None else zone
+    located = with_utm(points, ("longitude", "latitude", "_x", "_y"), zone=own).selectExpr(
         *point_key, "_x", "_y", f"{cell_of('_x', cell)} AS cx", f"{cell_of('_y', cell)} AS cy"
     )
-    parts = with_direction(with_cells(line_parts(segments, segment_key, zone), radius, cell))
+    parts = with_direction(with_cells(line_parts(segments, segment_key, zone, radius), radius, cell))
     # Written once in narrow rows, side by side: counting the cells and joining them both read them.
     located, parts = materialise_all(points=located, parts=parts)
     located, parts, cells = _leaves(located, point_key, parts, segment_key, radius, cell, block_rows)
@@ -136,7 +142,7 @@ def spatial_join_pairs(
     segment_key: str = "ogf_id",
     radius: float = RADIUS,
     cell: float = CELL,
-    zone: int = DEFAULT_ZONE,
+    zone: int | None = DEFAULT_ZONE,
     crs: str | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -158,7 +164,7 @@ def unmatched_crashes(
     keep_missing: bool = False,
     radius: float = RADIUS,
     cell: float = CELL,
-    zone: int = DEFAULT_ZONE,
+    zone: int | None = DEFAULT_ZONE,
     crs: str | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -187,7 +193,7 @@ def crash_counts(
     mode: str = "rows",
     radius: float = RADIUS,
     cell: float = CELL,
-    zone: int = DEFAULT_ZONE,
+    zone: int | None = DEFAULT_ZONE,
     crs: str | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -222,6 +228,54 @@ def crash_counts(
     return near.distinct().groupBy("ogf_id").agg(F.sum(weight).alias("crash_count"))
 
 
+CUBE = ["hour", "weather"]
+
+
+def crash_counts_cube(
+    segments: DataFrame,
+    crashes: DataFrame,
+    *,
+    radius: float = RADIUS,
+    cell: float = CELL,
+    zone: int | None = DEFAULT_ZONE,
+    crs: str | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Crashes per segment by hour and weather, by either, and in all, from one spatial join.
+
+    ``crashes`` has a weather and an hour (see ``crash_datetime``). Where ``all_hours`` or ``all_weather`` is true, the
+    row is the sum over that column, which is NULL then; a NULL without it is a missing value. Every filter by hours
+    and weather is a sum over rows of the finest level (``counts_of``).
+    """
+    assert_geographic(crs)
+    require_columns(segments, "ogf_id", "lines")
+    require_columns(crashes, "longitude", "latitude", *CUBE)
+    key = ["longitude", "latitude", *CUBE]
+    positions = located_crashes(crashes).groupBy(*key).agg(F.count(F.lit(1)).alias("_crashes"))
+    geometries = segments.where(F.col("ogf_id").isNotNull()).select("ogf_id", "lines").distinct()
+    near, _ = _near(positions, [*key, "_crashes"], geometries, ["ogf_id"], radius, cell, zone, block_rows)
+    # Summed up once per segment, hour and weather, before the levels repeat the rows.
+    finest = near.distinct().groupBy("ogf_id", *CUBE).agg(F.sum("_crashes").alias("_n"))
+    hour, weather = (F.col(c) for c in CUBE)
+    sets = [["ogf_id", "hour", "weather"], ["ogf_id", "hour"], ["ogf_id", "weather"], ["ogf_id"]]
+    levels = finest.groupingSets([[F.col(c) for c in one] for one in sets], F.col("ogf_id"), hour, weather)
+    return levels.agg(
+        (F.grouping("hour") == 1).alias("all_hours"),
+        (F.grouping("weather") == 1).alias("all_weather"),
+        F.sum("_n").alias("crash_count"),
+    )
+
+
+def counts_of(cube: DataFrame, hours: tuple[int, int] | None = None, weather: tuple[str, ...] | None = None) -> DataFrame:
+    """``crash_count`` per segment within the hours (both included) and the kinds of weather, from a cube."""
+    rows = cube.where((F.col("all_hours") == (hours is None)) & (F.col("all_weather") == (weather is None)))
+    if hours is not None:
+        rows = rows.where(F.col("hour").between(*hours))
+    if weather is not None:
+        rows = rows.where(F.col("weather").isin(*weather))
+    return rows.groupBy("ogf_id").agg(F.sum("crash_count").alias("crash_count"))
+
+
 def with_crash_counts(segments: DataFrame, crashes: DataFrame, **options) -> DataFrame:
     """``segments`` with ``crash_count``; 0 where no crash is near."""
     counted = join_by_id(segments, crash_counts(segments, crashes, **options), "ogf_id")

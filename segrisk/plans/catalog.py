@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -30,6 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 ROW_COLUMNS = ["ogf_id", "district", "speed_limit", "number_of_lanes", "road_class", "high_speed"]
 DAYTIME = (6, 18)
 WEATHER = ("click", "view")
+ZONE_SHIFT = 1.39  # degrees that put the border of zones 17 and 18 into the middle of the network
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -62,14 +63,21 @@ def scan_crash_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan_crash_csv(spark, path).withColumn("crash_id", F.col("crash_id").cast("bigint"))
 
 
-def _as_point_features(crashes: DataFrame, names: list[str], path: str) -> str:
+COLLECTIONS = 3  # files that one-document collections are written to
+
+
+def _point_feature(names: list[str]) -> Column:
     point = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(*names).alias("properties"),
         F.when(F.col("longitude").isNotNull(), point).alias("geometry"),
     )
-    crashes.select(F.to_json(feature, {"ignoreNullFields": "false"})).write.text(path)
+    return F.to_json(feature, {"ignoreNullFields": "false"})
+
+
+def _as_point_features(crashes: DataFrame, names: list[str], path: str) -> str:
+    crashes.select(_point_feature(names)).write.text(path)
     return path
 
 
@@ -81,6 +89,39 @@ def scan_geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geojson.scan_geojson_points(spark, path, properties)
 
 
+def scan_geojson_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crashes as collections, each one JSON document without line breaks, cut at any byte when they are read."""
+    path = new_path(spark, "collections")
+    names = ["crash_id", "date", "weather", "district"]
+    crashes = fixture_dataset(spark, sf_dir).crashes
+    features = crashes.select(
+        (F.col("crash_id") % COLLECTIONS).cast("int").alias("file"),
+        F.lit(1).alias("place"),
+        F.concat(F.lit(","), _point_feature(names)).alias("value"),
+    )
+    heads = '{"type":"FeatureCollection","crs":{"type":"name"},"features":[{"type":"none","why":"first {\\"} of all"}'
+    ends = (
+        spark.range(COLLECTIONS)
+        .select(F.col("id").cast("int").alias("file"), F.explode(F.array(F.lit(0), F.lit(2))).alias("place"))
+        .withColumn("value", F.when(F.col("place") == 0, F.lit(heads)).otherwise(F.lit("]}")))
+    )
+    rows = features.unionByName(ends).repartition("file").sortWithinPartitions("file", "place")
+    rows.drop("place").write.partitionBy("file").text(path, lineSep=" ")
+    types = [LongType(), StringType(), StringType(), StringType()]
+    properties = StructType([StructField(n, t) for n, t in zip(names, types, strict=True)])
+    return geojson.scan_geojson_points(spark, path, properties, layout="collection")
+
+
+def scan_crash_csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crashes whose weather has two lines."""
+    crashes = fixture_dataset(spark, sf_dir).crashes
+    crashes = crashes.withColumn("weather", F.concat("weather", F.lit('\n"in" '), "district"))
+    path = new_path(spark, "quoted_csv")
+    crashes.toDF(*(c.upper() for c in crashes.columns)).write.csv(path, header=True, escape='"')
+    found = tables.scan_crash_csv(spark, path, multi_line=True)
+    return found.withColumn("crash_id", F.col("crash_id").cast("bigint"))
+
+
 def scan_geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "roads_geojson")
     geojson.export_geojson(_upper(fixture_dataset(spark, sf_dir).roads, "ogf_id", "district"), path)
@@ -213,6 +254,21 @@ def crash_count_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_join.crash_counts(d.roads, crashes, mode="segments")
 
 
+def crash_counts_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture_dataset(spark, sf_dir)
+    return spatial_join.crash_counts_cube(d.roads, temporal.crash_datetime(d.crashes))
+
+
+def spatial_join_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same network moved onto the border of two zones, at 78 degrees west."""
+    d = fixture_dataset(spark, sf_dir)
+    east = F.lit(ZONE_SHIFT)
+    moved = F.transform("lines", lambda line: F.transform(line, lambda v: v.withField("x", v["x"] + east)))
+    roads = d.roads.withColumn("lines", moved)
+    crashes = d.crashes.withColumn("longitude", F.col("longitude") + east)
+    return spatial_join.spatial_join_pairs(crashes, roads, zone=None)
+
+
 def segments_with_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = spatial_join.segments_with_crashes(segment_table(fixture_dataset(spark, sf_dir)))
     return expand_copies(hit).select("ogf_id", "crash_count")
@@ -369,11 +425,12 @@ def loro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     functions = [
-        scan_attribute_csv, scan_road_class_csv, scan_crash_csv, scan_geojson_points, scan_geojson_lines,
+        scan_attribute_csv, scan_road_class_csv, scan_crash_csv, scan_crash_csv_quoted,
+        scan_geojson_points, scan_geojson_lines, scan_geojson_collection,
         load_dataset_counts, load_dataset_formats, dataset_profile, export_geojson, export_parquet,
         segment_features, feature_matrix, crash_points, crash_datetime, collisions_by_hour,
         project_points, spatial_join_pairs, unmatched_crashes,
-        crash_count_rows, crash_count_segments, crash_count_filtered,
+        spatial_join_zones, crash_count_rows, crash_count_segments, crash_count_filtered, crash_counts_cube,
         segments_with_crashes, segments_with_crashes_total, top_crash_segments,
         holdout_split, rf_predictions, rf_hash_bootstrap, rf_hash_road_class, tree_cell_mean, poisson_predictions, poisson_group_mean,
         poisson_penalised, rf_road_class, tree_road_class, risk_cell_mean, risk_scores,

@@ -16,7 +16,7 @@ _R = "6364902.166165086"
 _A = ("0.0008377318188192541", "7.608496958699166e-07", "1.2034877875966646e-09")
 
 
-def _utm(lon: str, lat: str, x: str, y: str, source: str) -> str:
+def _utm(lon: str, lat: str, x: str, y: str, source: str, meridian: str = "-81.0") -> str:
     east = " + ".join(
         ["eta", *(f"{a} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_A, 1))]
     )
@@ -25,8 +25,8 @@ def _utm(lon: str, lat: str, x: str, y: str, source: str) -> str:
     )
     return f"""
   SELECT * EXCLUDE (t, xi, eta), 500000.0 + {_R} * ({east}) AS {x}, {_R} * ({north}) AS {y}
-  FROM (SELECT *, atan2(t, cos(radians({lon} + 81.0))) AS xi,
-               atanh(sin(radians({lon} + 81.0)) / sqrt(1 + t * t)) AS eta
+  FROM (SELECT *, atan2(t, cos(radians({lon} - ({meridian})))) AS xi,
+               atanh(sin(radians({lon} - ({meridian}))) / sqrt(1 + t * t)) AS eta
         FROM (SELECT *, sinh(atanh(sin(radians({lat}))) - {_E} * atanh({_E} * sin(radians({lat})))) AS t
               FROM ({source})))"""
 
@@ -36,14 +36,14 @@ _LINES = """
   UNION ALL
   SELECT ogf_id, lon0 + dx1, lat0 + dy1, lon0 + dx1 + dx2, lat0 + dy1 + dy2 FROM roads_fx"""
 
-def _pairs(points: str) -> str:
+def _pairs(points: str, parts: str = "parts", same: str = "true") -> str:
     """All pairs of a point and a part, tested by distance."""
     return f"""
   SELECT DISTINCT crash_id, ogf_id FROM (
     SELECT p.crash_id, s.ogf_id, p.x, p.y, s.x1, s.y1, s.x2, s.y2,
       greatest(0.0, least(1.0, coalesce(((p.x - s.x1) * (s.x2 - s.x1) + (p.y - s.y1) * (s.y2 - s.y1))
         / nullif(pow(s.x2 - s.x1, 2) + pow(s.y2 - s.y1, 2), 0), 0.0))) AS t
-    FROM {points} p, parts s)
+    FROM {points} p JOIN {parts} s ON {same})
   WHERE pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2) < 100"""
 
 
@@ -124,6 +124,13 @@ _CTES = {
     ),
     "parts": _utm("lon2", "lat2", "x2", "y2", _utm("lon1", "lat1", "x1", "y1", _LINES)),
     "hits": _pairs("points"),
+    "zone_points": _utm("longitude", "latitude", "x", "y", f"""
+  SELECT *, CAST(floor((longitude + 180) / 6) AS INTEGER) + 1 AS zone FROM (
+    SELECT crash_id, longitude + 1.39 AS longitude, latitude FROM crashes_fx
+    WHERE longitude IS NOT NULL AND latitude IS NOT NULL)""", "zone * 6.0 - 183"),
+    "zone_parts": _utm("lon2", "lat2", "x2", "y2", _utm("lon1", "lat1", "x1", "y1", f"""
+  SELECT ogf_id, lon1 + 1.39 AS lon1, lat1, lon2 + 1.39 AS lon2, lat2, zone FROM ({_LINES}), (VALUES (17), (18)) z(zone)""",
+        "zone * 6.0 - 183"), "zone * 6.0 - 183"),
     "counts_segments": "SELECT ogf_id, count(*) AS n FROM hits GROUP BY ogf_id",
     "counts_rows": """
   SELECT h.ogf_id, count(*) AS n FROM hits h JOIN features f ON h.ogf_id = f.ogf_id GROUP BY h.ogf_id""",
@@ -287,6 +294,26 @@ def oracle_sql() -> dict[str, str]:
             "SELECT crash_id, round(x, 3) AS x, round(y, 3) AS y FROM points", "points"
         ),
         "spatial_join_pairs": _query("SELECT crash_id, ogf_id FROM hits", "hits"),
+        "spatial_join_zones": _query(
+            f"SELECT crash_id, ogf_id FROM ({_pairs('zone_points', 'zone_parts', 'p.zone = s.zone')})",
+            "zone_points",
+            "zone_parts",
+        ),
+        "crash_counts_cube": _query(
+            "SELECT ogf_id, hour, weather, grouping(hour) = 1 AS all_hours, grouping(weather) = 1 AS all_weather,"
+            " count(*) AS crash_count FROM hits JOIN calendar USING (crash_id)"
+            " GROUP BY GROUPING SETS ((ogf_id, hour, weather), (ogf_id, hour), (ogf_id, weather), (ogf_id))",
+            "hits",
+            "calendar",
+        ),
+        "scan_crash_csv_quoted": _query(
+            "SELECT * REPLACE (weather || chr(10) || '\"in\" ' || district AS weather) FROM crashes_fx", "crashes_fx"
+        ),
+        "scan_geojson_collection": _query(
+            "SELECT crash_id, date, weather, district, longitude,"
+            " CASE WHEN longitude IS NOT NULL THEN latitude END AS latitude FROM crashes_fx",
+            "crashes_fx",
+        ),
         "unmatched_crashes": _query(
             "SELECT crash_id, longitude, latitude FROM points WHERE crash_id NOT IN (SELECT crash_id FROM hits)",
             "hits",

@@ -2,7 +2,8 @@
 
 Two layouts can be read. ``"lines"`` has one feature per text line and is split over tasks; it also takes the
 common collection files that put every feature on a line of its own, between a header and a footer line.
-``"collection"`` takes any feature collection, but a JSON document cannot be split, so one task reads each file.
+``"collection"`` takes any feature collection, one document per file. It is split over tasks as well, but read twice:
+first for the state at the start of every block (see ``blocks``), then for the features.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
 from segrisk.functions.projection import assert_geographic
 from segrisk.operators.features import require_columns
 from segrisk.schemas import LINES
+from segrisk.sources.blocks import scan_objects
 from segrisk.sources.tables import id_of
 
 BROKEN_LINE = "not one whole GeoJSON feature in one line, read the file with layout='collection': "
+BROKEN = {"lines": BROKEN_LINE, "collection": "not a whole GeoJSON feature: "}
 
 _GEOMETRY = StructType([StructField("type", StringType()), StructField("coordinates", StringType())])
 _FEATURE = StructType(
@@ -65,18 +68,17 @@ def scan_features(spark: SparkSession, path: str, properties: StructType, layout
 
 def _features(spark: SparkSession, path: str, layout: str) -> DataFrame:
     if layout == "lines":
-        line = F.rtrim(F.regexp_replace(F.trim("value"), r",\s*$", ""))
-        parsed = spark.read.text(path).select("value", F.from_json(line, _FEATURE).alias("f"))
-        # Header and footer lines mention no feature; anything else that is not one must not be lost silently.
-        broken = F.raise_error(F.concat(F.lit(BROKEN_LINE), F.substring("value", 1, 200))).cast("boolean")
-        is_feature = F.coalesce(F.col("f.type") == "Feature", F.lit(False))
-        kept = F.when(is_feature, F.lit(True)).when(F.contains("value", F.lit('"Feature"')), broken)
-        return parsed.where(kept.otherwise(F.lit(False))).select("f.*")
-    if layout == "collection":
-        document = StructType([StructField("features", ArrayType(_FEATURE))])
-        parsed = spark.read.schema(document).json(path, multiLine=True)
-        return parsed.select(F.explode("features").alias("f")).select("f.*")
-    raise ValueError(f"layout must be 'lines' or 'collection', got {layout!r}")
+        rows = spark.read.text(path).select(F.rtrim(F.regexp_replace(F.trim("value"), r",\s*$", "")).alias("value"))
+    elif layout == "collection":
+        rows = scan_objects(spark, path).select(F.col("text").alias("value"))
+    else:
+        raise ValueError(f"layout must be 'lines' or 'collection', got {layout!r}")
+    parsed = rows.select("value", F.from_json("value", _FEATURE).alias("f"))
+    # Header and footer lines mention no feature; anything else that is not one must not be lost silently.
+    broken = F.raise_error(F.concat(F.lit(BROKEN[layout]), F.substring("value", 1, 200))).cast("boolean")
+    is_feature = F.coalesce(F.col("f.type") == "Feature", F.lit(False))
+    kept = F.when(is_feature, F.lit(True)).when(F.contains("value", F.lit('"Feature"')), broken)
+    return parsed.where(kept.otherwise(F.lit(False))).select("f.*")
 
 
 def _coordinates(kind: str, ddl: str) -> Column:

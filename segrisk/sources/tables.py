@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from segrisk.operators.features import require_columns
 from segrisk.schemas import ELEMENT_ID, NUMBER_OF_LANES, ROAD_CLASS, SPEED_LIMIT
+from segrisk.sources.blocks import scan_quoted_lines
 
 # Text that stands for a missing value in delimited files.
 MISSING = [
@@ -34,10 +38,24 @@ def _read(spark: SparkSession, path: str, sep: str, multi_line: bool = False) ->
     """
     options = {"sep": sep, "header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
     header = spark.read.csv(path, inferSchema=False, **options).schema
-    df = spark.read.schema(header).csv(path, enforceSchema=False, **options)
+    if multi_line:
+        df = _read_quoted(spark, path, header, sep)
+    else:
+        df = spark.read.schema(header).csv(path, enforceSchema=False, **options)
     return df.toDF(*(c.strip().lower() for c in df.columns))
 
 
+def _read_quoted(spark: SparkSession, path: str, header: StructType, sep: str) -> DataFrame:
+    """Rows whose quoted values may hold line breaks. Rows that repeat the header are headers."""
+    text = F.regexp_replace("text", r"\r?\n$", "")
+    rows = scan_quoted_lines(spark, path).select(text.alias("text")).where("text <> ''")
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "FAILFAST"}
+    by_place = ", ".join(f"c{i} string" for i in range(len(header)))
+    parsed = rows.select(F.from_csv("text", by_place, options).alias("r"))
+    same = [F.col(f"r.c{i}").eqNullSafe(F.lit(name)) for i, name in enumerate(header.names)]
+    return parsed.where(~reduce(Column.__and__, same)).select("r.*").toDF(*header.names)
+
+
 def scan_attribute_csv(
     spark: SparkSession, path: str, value: str, value_type: str = "double", sep: str = ";"
 ) -> DataFrame:
@@ -62,7 +80,8 @@ def scan_road_class(spark: SparkSession, path: str) -> DataFrame:
 def scan_crash_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """Crashes: latitude and longitude as DOUBLE, date and all other columns as text.
 
-    ``multi_line`` allows line breaks inside quoted values, which otherwise raise; one task then reads each file.
+    ``multi_line`` allows line breaks inside quoted values, which otherwise raise. Files are split over tasks either
+    way; with it they are read twice, first for the quotes before each block (see ``blocks``).
     """
     df = _read(spark, path, sep, multi_line)
     require_columns(df, "latitude", "longitude", "date")

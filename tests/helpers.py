@@ -38,15 +38,15 @@ def distance(px, py, x1, y1, x2, y2):
     return np.hypot(px - x1 - t * dx, py - y1 - t * dy)
 
 
-def brute_force_pairs(crashes, roads, radius=10.0):
+def brute_force_pairs(crashes, roads, radius=10.0, zone=17):
     """{(crash_id, ogf_id)} by testing everything against everything."""
     located = [c for c in crashes if c[1] is not None and c[2] is not None and not math.isnan(c[1])]
     ids = [c[0] for c in located]
-    px, py = utm([c[1] for c in located], [c[2] for c in located])
+    px, py = utm([c[1] for c in located], [c[2] for c in located], zone)
     pairs = set()
     for ogf_id, lines, _ in roads:
         for line in lines or []:
-            vx, vy = utm([v[0] for v in line], [v[1] for v in line])
+            vx, vy = utm([v[0] for v in line], [v[1] for v in line], zone)
             for i in range(len(line) - 1):
                 near = distance(px, py, vx[i], vy[i], vx[i + 1], vy[i + 1]) < radius
                 pairs |= {(ids[j], ogf_id) for j in np.flatnonzero(near)}

@@ -187,3 +187,50 @@ def test_crashes_are_scanned_once_for_pairs(spark, tmp_path):
     crashes_df(spark, crashes).write.parquet(f"{tmp_path}/crashes")
     joined = spatial_join_pairs(spark.read.parquet(f"{tmp_path}/crashes"), roads_df(spark, roads))
     assert all("/crashes" not in name for name in joined.inputFiles())  # they were read, projected and written before
+
+
+def test_cube_holds_every_filter(spark):
+    roads, crashes = random_network(seed=21)
+    rng = random.Random(5)
+    rows = [(*c, rng.choice([None, 0, 6, 12, 18, 23]), rng.choice([None, "dry", "wet", "snow"])) for c in crashes]
+    rows += rows[:50]
+    c = spark.createDataFrame(rows, "crash_id long, longitude double, latitude double, hour int, weather string")
+    r = roads_df(spark, roads)
+    cube = spatial_join.crash_counts_cube(r, c).cache()
+    for hours, weather in ((None, None), ((6, 18), None), (None, ("wet", "snow")), ((0, 12), ("dry",))):
+        kept = c
+        if hours:
+            kept = kept.where(F.col("hour").between(*hours))
+        if weather:
+            kept = kept.where(F.col("weather").isin(*weather))
+        want = {x.ogf_id: x.crash_count for x in crash_counts(r, kept, mode="segments").collect()}
+        assert {x.ogf_id: x.crash_count for x in spatial_join.counts_of(cube, hours, weather).collect()} == want
+    everything = cube.where("all_hours AND all_weather").count()
+    missing = cube.where("NOT all_hours AND hour IS NULL AND all_weather").count()
+    assert everything > 0 and missing > 0 and cube.count() == cube.select("ogf_id", "hour", "weather", "all_hours", "all_weather").distinct().count()
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 20}])
+def test_both_sides_of_a_zone_border(spark, options):
+    """A network over 78 degrees west, tested in the zone of each crash; the default zone gives nearly the same here."""
+    roads, crashes = random_network(seed=23)
+    shift = 1.395
+    roads = [(i, [[(x + shift, y) for x, y in line] for line in lines], d) for i, lines, d in roads]
+    crashes = [(i, x + shift, y) for i, x, y in crashes]
+    sides = {x > -78 for _, x, _ in crashes}
+    assert sides == {True, False}
+    west = brute_force_pairs([c for c in crashes if c[1] < -78], roads, zone=17)
+    east = brute_force_pairs([c for c in crashes if c[1] >= -78], roads, zone=18)
+    assert pairs(spark, roads, crashes, zone=None, **options) == west | east
+    crossing = {i for i, lines, _ in roads if len({x > -78 for line in lines for x, _ in line}) == 2}
+    assert {s for _, s in west} & {s for _, s in east} & crossing
+
+
+def test_far_from_the_zone(spark):
+    europe = [(1, [[(10.0, 50.0), (10.001, 50.0)]], None)]
+    crash = [(1, 10.0005, 50.0), (2, 10.0005, 50.0 + 12 * METRE_N)]
+    with pytest.raises(Exception, match="not near UTM zone 17"):
+        pairs(spark, europe, crash)
+    assert pairs(spark, europe, crash, zone=32) == pairs(spark, europe, crash, zone=None) == {(1, 1)}
+    edge = [(1, [[(179.9999, 0.0), (180.0, 0.0)]], None), (2, [[(-180.0, 1.0), (-179.9999, 1.0)]], None)]
+    assert pairs(spark, edge, [(1, 180.0, 0.0), (2, -180.0, 1.0)], zone=None) == {(1, 1), (2, 2)}
