@@ -40,7 +40,7 @@ BITMAP_BITS = 26
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
 DIGEST_BYTES = 16
 HASHES = "doc_id long, hash long"
-WINDOWS = "doc_id long, start long, size long, first_chunk long, n_chunks long, digest binary"
+WINDOWS = "doc_id long, variant long, start long, size long, first_chunk long, n_chunks long, digest binary"
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ def windows(docs: DataFrame, min_bytes: int, known: Broadcast | None = None) ->
                     first, last = first[keep], last[keep]
                 low, high = starts[first], ends[last]
                 text = np.searchsorted(offsets, low, side="right") - 1
-                doc_id = part.column("doc_id").take(pa.array(text))
+                doc_id, variant = (part.column(c).take(pa.array(text)) for c in ("doc_id", "variant"))
                 if known is None:
                     yield pa.RecordBatch.from_arrays([doc_id, pa.array(hashes.view(np.int64))], names=["doc_id", "hash"])
                     continue
@@ -107,34 +107,47 @@ def windows(docs: DataFrame, min_bytes: int, known: Broadcast | None = None) ->
                 # Chunks are counted from the first one of the text, wherever a slice begins.
                 place = first - np.searchsorted(starts, offsets[text])
                 arrays = [low - offsets[text], high - low, place, last - first + 1]
-                names = ["doc_id", "start", "size", "first_chunk", "n_chunks", "digest"]
-                yield pa.RecordBatch.from_arrays([doc_id, *map(pa.array, arrays), pa.array(digests, pa.binary())], names=names)
+                arrays = [doc_id, variant, *map(pa.array, arrays), pa.array(digests, pa.binary())]
+                names = ["doc_id", "variant", "start", "size", "first_chunk", "n_chunks", "digest"]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.mapInArrow(work, HASHES if known is None else WINDOWS)
 
 
+def _with_variants(docs: DataFrame) -> DataFrame:
+    """The rows with ``variant``: 0, and for a doc_id with several different texts a number of the row's text."""
+    number = F.xxhash64("text").bitwiseOR(F.lit(1))  # never 0
+    several = docs.groupBy("doc_id").agg(F.min(number).alias("low"), F.max(number).alias("high"))
+    several = materialise(several.where("low <> high").select(F.col("doc_id").alias("_several")), "several_texts")
+    marked = docs.join(several, F.col("doc_id") == F.col("_several"), "left")
+    variant = F.when(F.col("_several").isNull(), F.lit(0).cast("long")).otherwise(number)
+    return marked.select("doc_id", "text", variant.alias("variant"))
+
+
 def repeated_passages(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, start, size, n_chunks) of the repeated passages, in bytes of the UTF-8 text.
+    """(doc_id, variant, start, size, n_chunks) of the repeated passages, in bytes of the UTF-8 text.
 
     NULL and empty texts have no passages. Rows without doc_id take no part. Rows of one doc_id with the same text
-    count as one row. What repeats inside one document only is left alone.
+    count as one row. Different texts of one doc_id have passages of their own, told apart by ``variant``, which is 0
+    for all other rows. What repeats inside one document, or between rows of one doc_id only, is left alone.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
+    docs = _with_variants(docs)
     low, high = F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
     hashes = windows(docs, min_bytes).groupBy("hash").agg(low, high).where("first <> last")
     own = windows(docs, min_bytes, bitmap(hashes.select("hash"), BITMAP_BITS))
     known = materialise(own.groupBy("digest").agg(low, high).where("first <> last").select("digest", "first"), "repeated_windows")
     repeats = own.join(known, "digest").where(F.col("doc_id") != F.col("first"))
-    repeats = repeats.select("doc_id", "start", F.expr("start + size").alias("end"), "first_chunk", "n_chunks").distinct()
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    repeats = repeats.select("doc_id", "variant", "start", F.expr("start + size").alias("end"), "first_chunk", "n_chunks").distinct()
+    order = Window.partitionBy("doc_id", "variant").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     repeats = repeats.withColumn("begins", F.when(before >= F.col("start"), 0).otherwise(1))
-    runs = repeats.withColumn("run", F.sum("begins").over(order)).groupBy("doc_id", "run").agg(
+    runs = repeats.withColumn("run", F.sum("begins").over(order)).groupBy("doc_id", "variant", "run").agg(
         F.min("start").alias("start"),
         (F.max("end") - F.min("start")).alias("size"),
         (F.max(F.col("first_chunk") + F.col("n_chunks")) - F.min("first_chunk")).alias("n_chunks"),
     )
-    return runs.select("doc_id", "start", "size", "n_chunks")
+    return runs.select("doc_id", "variant", "start", "size", "n_chunks")
 
 
 def dedup_substrings(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -144,11 +157,13 @@ def dedup_substrings(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFram
     """
     columns = docs.columns
     found = repeated_passages(docs, min_bytes=min_bytes)
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(
+    spans = found.groupBy(F.col("doc_id").alias("_id"), "variant").agg(
         F.array_sort(F.collect_list(F.struct("start", "size"))).alias("_spans")
     )
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("_doc")).join(spans, F.col("_doc") == F.col("_id"), "left")
+    own_text = F.xxhash64(F.col("row.text").cast("string")).bitwiseOR(F.lit(1))
+    same = (F.col("_doc") == F.col("_id")) & ((F.col("variant") == 0) | (F.col("variant") == own_text))
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("_doc")).join(spans, same, "left")
     data = F.encode(F.col("row.text").cast("string"), "UTF-8")
     begin = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["start"] + s["size"]))
     end = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.octet_length(data).cast("long")))

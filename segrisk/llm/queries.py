@@ -75,12 +75,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = chunks.repeated_passages(_table(spark, sf_dir, "documents"))
-    return passages.groupBy("doc_id").agg(
+    rows = passages.groupBy("doc_id", "variant").agg(
         F.count(F.lit(1)).alias("n_passages"),
         F.sum("size").alias("repeated_bytes"),
         F.sum("n_chunks").alias("n_chunks"),
         F.array_sort(F.collect_list(F.struct("start", "size"))).alias("passages"),
     )
+    return rows.drop("variant")
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

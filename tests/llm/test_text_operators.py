@@ -188,6 +188,22 @@ def test_components_of_a_long_chain(spark):
 # Substring dedup
 
 
+def test_passages_of_rows_that_share_a_doc_id(spark):
+    """A repeat in one row of an id leaves the other rows of the id alone, also inside their characters."""
+    rng = random.Random(12)
+    shared, lone, other = prose(rng, 90), "é" * 30 + prose(rng, 150), prose(rng, 60)
+    rows = [(1, shared), (2, f"{other} {shared}"), (2, lone), (2, None), (3, f"{lone} {other}"), (2, f"{other} {shared}")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id int, text string, variant string, start int")
+    out = chunks.dedup_substrings(docs.repartition(3)).collect()
+    texts = [(r.doc_id, r.text) for r in out]
+    assert len(out) == len(rows) and {(r.variant, r.start) for r in out} == {("x", 1)}
+    assert (1, shared) in texts and (2, lone) in texts and (2, None) in texts
+    cut = [t for i, t in texts if i == 2 and t and t != lone]
+    assert len(cut) == 2 and cut[0] == cut[1] and other[:100] in cut[0] and len(cut[0]) < len(other) + 80
+    (third,) = (t for i, t in texts if i == 3)
+    assert lone[100:400] not in third
+
+
 def test_repeated_passages(spark):
     rng = random.Random(8)
     passages = [prose(rng, 55, 5000) for _ in range(30)]
