@@ -6,6 +6,9 @@ behind. ``WINDOW`` consecutive lines form a block, whose size is the length of i
 where running text begins and dive to nothing where it ends. The text between the surge and the dive is kept if one
 of its blocks has ``SURGE`` characters, however long other blocks are; if no block of the page has, the largest is kept.
 
+Names are evidence only. An element with most of the plain text of the page is never left out for its class or id, if
+the page's title stands in it or if it leaves hardly any text behind; the page is then read again with it.
+
 Where a page marks its article (``article`` or ``main``), that is a hint: no dive is looked for inside, so that short
 paragraphs and gaps in it stay, and all its text between surge and dive counts. Text outside is judged like any other.
 
@@ -36,7 +39,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLES = frozenset(("h1", "main"))  # a page has them in its article, not in what stands around it
+NEGATED = frozenset("no not non has with without hide is js".split())  # "no-sidebar" is no sidebar
 DROPPED = frozenset(
     "aside audio button canvas dialog embed fieldset footer form head header iframe input map menu nav noscript object "
     "script select style svg template textarea title video".split()
@@ -61,8 +65,14 @@ LISTS = frozenset("ul ol dl table body html div article main section".split())
 class Lines(HTMLParser):
     """Text lines of a page with the size of their text outside links, and whether they stand in the article."""
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.spared = spared  # elements that stay whatever their class and id
+        self.named: list[list] = []  # elements that go because of class or id: number, plain text, whether with a title
+        self.plain = 0  # plain text of the page but for elements that go because of their tag or role
+        self.titled = False  # a title stands outside all of them
+        self._seen = 0
+        self._going: list[list | None] = []  # the outermost such element that is open, or None for one that goes by tag
         self.lines: list[tuple[str, int, bool]] = []
         self._open: list[tuple[str, str]] = []  # tag, and what it does: drop, link, article or nothing
         self._drop = self._link = self._article = self._heading = 0
@@ -90,10 +100,18 @@ class Lines(HTMLParser):
         elif tag in CLOSES:
             self._close_until(CLOSES[tag], LISTS)
         does = ""
-        if tag not in ("html", "body") and self._is_dropped(tag, attrs):
+        self._seen += 1
+        by_tag = tag not in ("html", "body") and self._is_dropped(tag, attrs)
+        if tag in TITLES:
+            if not self._going:
+                self.titled = True
+            elif self._going[0]:
+                self._going[0][2] = True
+        if by_tag or (tag not in ("html", "body") and self._seen not in self.spared and self._is_named(tag, attrs)):
             does = "drop"
             self.break_line(WINDOW)
             self._drop += 1
+            self._going.append(None if by_tag else [self._seen, 0, False])
         elif tag == "a":
             does = "link"
             self._link += 1
@@ -117,9 +135,19 @@ class Lines(HTMLParser):
                 return True
             if name == "role" and value in ROLES:
                 return True
-            if name in ("class", "id") and tag not in ARTICLE and not NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        return False
+
+    @staticmethod
+    def _is_named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether class or id name something else than an article."""
+        for name, value in attrs:
+            if name not in ("class", "id"):
+                continue
+            value = (value or "").lower()
+            if tag == "article" and "comment" in value:
                 return True
-            if name in ("class", "id") and tag == "article" and "comment" in value:
+            words = [re.split(r"[^a-z]+", one) for one in value.split()]
+            if tag not in ARTICLE and any(w[0] not in NEGATED and not NAMES.isdisjoint(w) for w in words):
                 return True
         return False
 
@@ -150,6 +178,9 @@ class Lines(HTMLParser):
         if does == "drop":
             self.break_line()
             self._drop -= 1
+            gone = self._going.pop()
+            if gone and not self._drop:
+                self.named.append(gone)
         elif does == "link":
             self._link -= 1
         elif does == "article":
@@ -160,10 +191,31 @@ class Lines(HTMLParser):
         return tag
 
     def handle_data(self, data: str) -> None:
+        plain = 0 if self._link else len(data.strip())
         if not self._drop:
             self._text.append(data)
-            if not self._link:
-                self._plain += len(data.strip())
+            self._plain += plain
+            self.plain += plain
+        elif None not in self._going:
+            self._going[0][1] += plain
+            self.plain += plain
+
+    def close(self) -> None:
+        super().close()
+        while self._open:  # elements that are never closed end with the page
+            self._close()
+        self.break_line()
+
+    def mistaken(self) -> set[int]:
+        """Elements with most of the page's plain text whose name cannot mean what it seems to: they hold the page's
+        title, or hardly anything else is left of a page that marks neither title nor article."""
+        marked = self.titled or any(inside for text, _, inside in self.lines if text)
+        left = sum(plain for _, plain, _ in self.lines)
+        return {
+            number
+            for number, size, title in self.named
+            if 2 * size > self.plain and (title or (not marked and size >= 4 * SURGE and 10 * left < size))
+        }
 
 
 def runs(sizes: np.ndarray, inside: np.ndarray) -> list[tuple[int, int]]:
@@ -186,16 +238,18 @@ def runs(sizes: np.ndarray, inside: np.ndarray) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    parser = Lines()
-    parser.feed(page or "")
-    parser.close()
-    parser.break_line()
-    lines = parser.lines
-    sizes = np.array([plain for _, plain, _ in lines], np.int64)
-    kept = []
-    for a, b in runs(sizes, np.array([inside for _, _, inside in lines], bool)):
-        kept += [text for text, _, _ in lines[a:b] if text]
-    return "\n".join(kept)
+    spared: frozenset[int] = frozenset()
+    while True:
+        parser = Lines(spared)
+        parser.feed(page or "")
+        parser.close()
+        lines = parser.lines
+        sizes = np.array([plain for _, plain, _ in lines], np.int64)
+        found = runs(sizes, np.array([inside for _, _, inside in lines], bool))
+        mistaken = parser.mistaken()
+        if not mistaken:
+            return "\n".join(text for a, b in found for text, _, _ in lines[a:b] if text)
+        spared |= mistaken
 
 
 def extract(pages: DataFrame) -> DataFrame:

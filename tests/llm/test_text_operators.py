@@ -185,6 +185,37 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
 
 
+# Main text of pages whose article stands in an element with a misleading name
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="site no-sidebar">%s</div>', '<div class="page-content has-header">%s</div>',
+        '<section class="social-science">%s</section>', '<div id="header-2"><div class="related">%s</div></div>',
+        "<div class=widget>%s",
+    ],
+)
+def test_misleading_names(around):
+    paragraphs = [f"{'some running text of the article number %d ' % i * 4}".strip() for i in range(6)]
+    article = "<h2>Title of it</h2>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    comments = f'<div class="comments"><p>{"a reader says this " * 20}</p></div><div class="ad">Buy this now</div>'
+    page = f'<html><body><nav><a href="x">Home</a></nav>{around % article}{comments}</body></html>'
+    if around.endswith("</div>") or around.endswith("</section>"):
+        assert html.main_text(page) == "\n".join(["Title of it", *paragraphs])
+    else:  # never closed: what follows is inside, and leaves by its own name
+        assert html.main_text(page).startswith("\n".join(["Title of it", *paragraphs]))
+        assert "reader" not in html.main_text(page)
+
+
+def test_long_comments_and_short_articles():
+    comments = f'<div class="comments">{"<p>comment text that is long</p>" * 50}</div>'
+    article = "short article text " * 5
+    assert html.main_text(f"<body><h1>T</h1><p>{article}</p>{comments}") == f"T\n{article.strip()}"
+    advert = '<div class="ad">An advert that is longer than the article.</div>'
+    assert html.main_text(f"<body>{advert}<article><h1>Tiny.</h1><p>Tiny one.</article>") == "Tiny.\nTiny one."
+
+
 # Substring dedup
 
 
