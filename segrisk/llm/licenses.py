@@ -1,10 +1,10 @@
 """Licence scan by lookup of canonical digests.
 
-A text is brought to a canonical form: without copyright lines, in lower case, as words without punctuation, with
+A text is brought to canonical forms: without copyright lines or paragraphs, in lower case, as words without punctuation, with
 equivalent spellings made one. Its digest is then joined with the digests of the known licence texts, brought to the
 same form. Only entire texts match: the whole document, each of its blocks (cut at empty lines), each run of consecutive
 blocks that has as many words as some known text, and each of its lines. Lines that are just a licence's title are
-left out like copyright lines.
+left out like copyright lines. The form without copyright paragraphs does not depend on where lines end.
 
 Known texts are a table (license_id, text); ``known_licenses`` has common licences and the usual notices.
 
@@ -28,6 +28,7 @@ from segrisk.llm.text import slices
 
 _WORD = re.compile(r"[^\W_]+")
 _COPYRIGHT = re.compile(r"(?:copyright|\(c\)|©|all rights reserved)(?:\s|\W|\d|$)")
+STATEMENT_WORDS = 30  # a longer paragraph is not a copyright statement, even if it begins as one
 FULL = Path(__file__).parent / "full_licenses"  # entire texts of the longer licences
 DOCUMENT, BLOCK, LINE = "document", "block", "line"
 
@@ -46,41 +47,73 @@ def digest(text: str) -> bytes:
     return hashlib.sha256(text.encode()).digest()[:16]
 
 
-def units(text: str | None, lengths: tuple[int, ...] = ()) -> Iterator[tuple[str, int, bytes]]:
-    """(kind, first line, digest) of the document, of its blocks and of its lines, as far as they have words.
+def paragraphs(lines: list[str]) -> list[tuple[int, str]]:
+    """(first line, canonical form) of the runs of lines with words, whatever their line ends.
 
-    Runs of blocks are given for every number of words in ``lengths``.
+    A short paragraph that begins as a copyright statement is one, and so is a title; neither has a form.
     """
-    lines = (text or "").lower().splitlines()
-    forms = [canonical([line]) for line in lines]
-    whole = " ".join(f for f in forms if f)
-    if whole:
-        yield DOCUMENT, 0, digest(whole)
-    first, blocks = 0, []
+    found, own = [], []
+    for i, line in enumerate([*lines, ""]):
+        if _WORD.search(line):
+            own.append(line.strip(" \t*#/-"))
+        elif own:
+            words = [EQUIVALENT.get(w, w) for w in _WORD.findall(" ".join(own))]
+            form = " ".join(words)
+            statement = _COPYRIGHT.match(own[0]) and len(words) <= STATEMENT_WORDS
+            if not statement and form not in TITLES:
+                found.append((i - len(own), form))
+            own = []
+    return found
+
+
+def blocks(lines: list[str], forms: list[str]) -> list[tuple[int, str]]:
+    """(first line, canonical form) of the runs of lines between empty ones, put together from those of their lines."""
+    found, first = [], 0
     for i in range(len(lines) + 1):
         if i == len(lines) or not lines[i].strip():
-            own = [f for f in forms[first:i] if f]
-            if len(own) > 1:  # a block of one line is that line
-                yield BLOCK, first, digest(" ".join(own))
+            own = " ".join(f for f in forms[first:i] if f)
             if own:
-                blocks.append((first, " ".join(own)))
+                found.append((first, own))
             first = i + 1
-    upto = [0]
-    for _, form in blocks:
-        upto.append(upto[-1] + form.count(" ") + 1)
-    place = {n: i for i, n in enumerate(upto)}
-    for i, (line, _) in enumerate(blocks):
-        for n in lengths:
-            end = place.get(upto[i] + n, 0)
-            if end > i + 1:
-                yield BLOCK, line, digest(" ".join(form for _, form in blocks[i:end]))
+    return found
+
+
+def units(text: str | None, lengths: tuple[int, ...] = ()) -> Iterator[tuple[str, int, bytes]]:
+    """(kind, first line, digest) of the document, of its blocks and of its lines, as far as they have words.
+
+    Documents and blocks are taken in two forms: one leaves out copyright lines, the other whole copyright paragraphs,
+    so that line ends do not matter. Runs of blocks are given for every number of words in ``lengths``.
+    """
+    lines = (text or "").lower().splitlines()
+    forms = [canonical([line]) for line in lines]
+    found: dict[tuple[str, int, str], None] = {}
+    for parts in (blocks(lines, forms), paragraphs(lines)):
+        if parts:
+            found[DOCUMENT, 0, " ".join(form for _, form in parts)] = None
+        upto = [0]
+        for line, form in parts:
+            found[BLOCK, line, form] = None
+            upto.append(upto[-1] + form.count(" ") + 1)
+        place = {n: i for i, n in enumerate(upto)}
+        for i, (line, _) in enumerate(parts):
+            for n in lengths:
+                end = place.get(upto[i] + n, 0)
+                if end > i + 1:
+                    found[BLOCK, line, " ".join(form for _, form in parts[i:end])] = None
+    single = set(forms)
+    for kind, line, form in found:
+        if kind == DOCUMENT or form not in single:  # a block of one line is that line
+            yield kind, line, digest(form)
     for i, form in enumerate(forms):
         if form:
             yield LINE, i, digest(form)
 
 
-def _n_words(text: str | None) -> int:
-    return len(canonical((text or "").lower().splitlines()).split())
+def n_words(text: str | None) -> list[int]:
+    """The numbers of words of both forms of a text."""
+    lines = (text or "").lower().splitlines()
+    both = blocks(lines, [canonical([line]) for line in lines]), paragraphs(lines)
+    return sorted({sum(form.count(" ") + 1 for _, form in parts) for parts in both} - {0})
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -117,7 +150,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     known = known_licenses(docs.sparkSession) if known is None else known
     known = known.select("license_id", "text")
-    lengths = tuple(sorted(r.n for r in known.select(F.udf(_n_words, "int")("text").alias("n")).distinct().collect() if r.n))
+    numbers = known.select(F.explode(F.udf(n_words, "array<int>")("text")).alias("n")).distinct()
+    lengths = tuple(sorted(r.n for r in numbers.collect()))
     known = _digests(known.select("license_id", "text"), "string", (DOCUMENT,)).select("digest", F.col("key").alias("license_id"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = _digests(rows.select("row", "text"), "long", (DOCUMENT, BLOCK, LINE), lengths)

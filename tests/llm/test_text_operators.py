@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from segrisk.llm import chat, chunks, decontaminate, fingerprint, html, jaccard, licenses, lm, packing, quality
+from segrisk.llm import chat, chunks, decontaminate, fingerprint, html, jaccard, license_texts, licenses, lm, packing, quality
 from segrisk.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -585,6 +586,32 @@ def test_titled_and_embedded_licenses(spark):
     assert [w for w, _ in got] == [i for i, _ in full] and {"Apache-2.0", "GPL-3.0", "MPL-2.0"} <= {w for w, _ in got}
 
 
+def test_licenses_with_other_line_ends(spark):
+    """Every known text at many widths, against a lookup that compares all texts word by word."""
+    known = [*licenses.TEXTS, *((p.stem, p.read_text()) for p in sorted(licenses.FULL.glob("*.txt")))]
+    own = []
+    for name, text in known:
+        parts = re.split(r"\n\s*\n", text)
+        widths = range(50, 101) if len(text) < 4000 else (50, 61, 72, 80, 93, 100)
+        own += [(name, "\n\n".join(textwrap.fill(p, w) for p in parts)) for w in widths]
+        own += [(name, "\n\n".join(textwrap.fill(p, w) if len(p) > 200 else p for p in parts)) for w in (60, 77, 90)]
+
+    def words(text):  # all words but those of short paragraphs that begin as a copyright statement, and of titles
+        kept = []
+        for part in re.split(r"\n\s*\n", text.lower()):
+            found = [license_texts.EQUIVALENT.get(w, w) for w in re.findall(r"[^\W_]+", part)]
+            stated = re.match(r"[\s*#/-]*(copyright|\(c\)|©|all rights reserved)(\s|\W|\d|$)", part) and len(found) <= 30
+            kept += [] if stated or " ".join(found) in license_texts.TITLES else found
+        return tuple(kept)
+
+    names = {}
+    for name, text in known:
+        names.setdefault(words(text), set()).add(name)
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs_df(spark, [t for _, t in own])).collect()}
+    for i, (name, text) in enumerate(own):
+        assert name in names[words(text)] and name in found[i].licenses and found[i].whole_license is not None, (name, i)
+
+
 # Pages
 
 BODY = "Running text that goes on for quite some time, with commas, and more words than any menu has. "
