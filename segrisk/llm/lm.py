@@ -9,7 +9,7 @@ context and a node of the tree are hashed to a slot that holds how often either
 * Mixing: the log odds of all contexts are added up with weights and squashed. A gate chooses between sets of weights,
   by how often the word so far was seen in training.
 * Online: weights start the same in every document and move along the gradient of the coding cost as the document is
-  read, after every ``STEP`` decisions.
+  read, after 16 decisions at first and then after twice as many each time, up to ``STEP``.
 * Refinement: a table from mixed log odds to observed frequencies, kept per document and updated at the same pace,
   is averaged with the mixed probability.
 
@@ -43,7 +43,7 @@ GATE_COUNTS = (1, 4, 32)
 COUNT_BLOCK = 1 << 13
 WORDS_BROADCAST = 1 << 22  # word counts are broadcast up to this many words, joined by a shuffle beyond it
 WINDOW = 1_000_000  # bytes read at a time; a longer text is read in windows of this size
-STEP = 512
+FIRST_STEP, STEP = 16, 512  # decisions between updates, doubled from one to the next
 SCALE = 2048  # log odds are kept as 16-bit multiples of 1 / SCALE
 RATE = 0.005
 # Weights of the contexts at the start of a document, per gate.
@@ -282,6 +282,14 @@ class Tables:
     gates: np.ndarray  # of the slots of the gate's context
 
 
+def steps(count: int) -> Iterator[tuple[int, int]]:
+    """Start and size of the steps of ``count`` decisions: short ones first, so that short texts are adapted to."""
+    at, size = 0, FIRST_STEP
+    while at < count:
+        yield at, size
+        at, size = at + size, min(2 * size, STEP)
+
+
 class Mixer:
     """Weights and refinement tables of some texts, all read at the same time."""
 
@@ -296,16 +304,16 @@ class Mixer:
         first, count = ends[:-1][order], np.diff(ends)[order]
         weights, refined = self.weights[order], self.refined[order]
         total = np.zeros(len(order))
-        span = np.arange(STEP)
-        for t in range(0, int(count[0]), STEP):
+        for t, size in steps(int(count[0])):
+            span = np.arange(size)
             live = int(np.searchsorted(-count, -t))  # texts with more than t decisions
             inside = span < (count[:live] - t)[:, None]
             at = np.where(inside, first[:live, None] + t + span, first[:live, None])
             bit, g = branch[at], gate[at]
-            own = np.empty((live, len(x), STEP), np.float32)
+            own = np.empty((live, len(x), size), np.float32)
             for k, values in enumerate(x):
                 own[:, k] = values[at]
-            chosen = np.empty((live, len(_GATES), STEP), np.float32)
+            chosen = np.empty((live, len(_GATES), size), np.float32)
             for k in _GATES:
                 np.equal(g, k, out=chosen[:, k], casting="unsafe")
             by_gate = np.matmul(weights[:live], own)
@@ -319,13 +327,15 @@ class Mixer:
             cell += np.arange(live, dtype=np.int32)[:, None] * BUCKETS
             table = refined[:live].reshape(-1)
             held = table[cell]
-            chance = np.abs((p + held) / 2 + (bit - np.float32(1)))  # of the branch that was taken
+            chance = np.abs((p + held) / 2 + (bit - np.float32(1)))  # of the branch that was taken; both add up to 1
             total[:live] += (np.log(np.maximum(chance, np.float32(1e-7))) * inside).sum(1)
             error = (bit - p) * inside
             chosen *= error[:, None]
             weights[:live] += RATE * np.matmul(chosen, own.transpose(0, 2, 1))
             moves = np.bincount(cell.reshape(-1), ((bit - held) * inside).reshape(-1), minlength=len(table))
-            refined[:live] += REFINE_RATE * moves.reshape(live, BUCKETS)
+            met = np.bincount(cell.reshape(-1), inside.reshape(-1), minlength=len(table))
+            # Never past the mean of the step's branches, so it stays a probability.
+            refined[:live] += (moves / (met + 1 / REFINE_RATE)).reshape(live, BUCKETS)
         self.weights[order], self.refined[order] = weights, refined
         out = np.empty(len(order))
         out[order] = total

@@ -217,6 +217,59 @@ def test_long_comments_and_short_articles():
     assert html.main_text(f"<body>{advert}<article><h1>Tiny.</h1><p>Tiny one.</article>") == "Tiny.\nTiny one."
 
 
+# The mixer of the language model
+
+
+def scalar_mixer(x, gate, branch):
+    """Natural log probability of one text, decision by decision; also that of the other branch of each."""
+    weights = [[float(w) for w in row] for row in lm.START_WEIGHTS]
+    refined = [1 / (1 + np.exp(-(b - lm.BUCKETS // 2) / 2)) for b in range(lm.BUCKETS)]
+    total, others, at, size = 0.0, [], 0, 16
+    while at < len(branch):
+        gradient, moves = [[0.0] * 4 for _ in weights], {}
+        for i in range(at, min(at + size, len(branch))):
+            odds = [float(v[i]) for v in x]
+            mixed = min(14.0, max(-14.0, sum(w * o for w, o in zip(weights[gate[i]], odds))))
+            p, cell = 1 / (1 + np.exp(-mixed)), int(mixed * 2 + lm.BUCKETS // 2 + 0.5)
+            both = (p + refined[cell]) / 2
+            total += np.log(max(both if branch[i] else 1 - both, 1e-7))
+            others.append((both, 1 - both))
+            for k in range(4):
+                gradient[gate[i]][k] += (branch[i] - p) * odds[k]
+            moves.setdefault(cell, []).append(branch[i] - refined[cell])
+        for g, row in enumerate(gradient):
+            weights[g] = [w + lm.RATE * d for w, d in zip(weights[g], row)]
+        for cell, own in moves.items():
+            refined[cell] += sum(own) / (len(own) + 1 / lm.REFINE_RATE)
+        at, size = at + size, min(2 * size, lm.STEP)
+    return total, others
+
+
+def test_mixer_equals_a_scalar_version():
+    rng = np.random.default_rng(3)
+    counts = [5, 40, 0, 700, 2500]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    x = [rng.normal(0, 2, ends[-1]).astype(np.float32) for _ in range(4)]
+    gate = rng.integers(0, 4, ends[-1]).astype(np.uint8)
+    branch = rng.integers(0, 2, ends[-1]).astype(np.uint8)
+    for v in x:
+        v[ends[3] : ends[4]], branch[ends[3] : ends[4]] = 1.0, 1  # the same certain branch over and over
+    got = lm.Mixer(len(counts)).read(x, gate, branch, ends)
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        want, both = scalar_mixer([v[a:b] for v in x], gate[a:b], branch[a:b])
+        assert got[i] == pytest.approx(want, rel=1e-3, abs=1e-4) and got[i] <= 0
+        assert all(0 < p < 1 for pair in both for p in pair)
+
+
+def test_short_texts_are_adapted_to():
+    x = [np.full(200, -1.0, np.float32) for _ in range(4)]
+    gate, branch = np.full(200, 2, np.uint8), np.ones(200, np.uint8)  # always the branch that was unlikely
+    n = np.array([0, 200])
+    adapted = lm.Mixer(1).read(x, gate, branch, n)[0]
+    first = lm.Mixer(1).read([v[:16] for v in x], gate[:16], branch[:16], np.array([0, 16]))[0]
+    assert adapted > 200 / 16 * first + 5
+
+
 # Substring dedup
 
 
