@@ -46,6 +46,23 @@ def test_hot_id_in_one_input_partition_is_spread(spark):
     assert sum(sizes) == 4000 and max(sizes) < 3000
 
 
+def test_equal_rows_in_one_input_partition_are_dealt_evenly(spark):
+    rows = spark.range(0, 4000, 1, 1).select(F.lit(1).cast("bigint").alias("k"), F.lit("same").alias("v"))
+    by_id = spark.createDataFrame([(1, "a"), (2, "b")], "k long, w string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        joined = join_by_id(rows, by_id, "k", id_rows=100)
+        salted = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sizes = [r["count"] for r in salted]
+    assert sum(sizes) == 4000 and len(sizes) >= 33 and max(sizes) <= 400  # 40 salts, some of which share a task
+
+
 def test_any_number_of_hot_ids(spark):
     rows = spark.range(0, 40_000, 1, 4).select((F.col("id") % 10_000).alias("k"), F.col("id").alias("v"))
     by_id = spark.range(0, 10_000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("w"))
