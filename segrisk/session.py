@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 from multiprocessing.pool import ThreadPool
 
@@ -11,6 +14,9 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
 
 
 def build_session(app: str = "segrisk", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,8 +59,13 @@ def _session_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{_session_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder, in the folder of the innermost ``temporary`` block."""
+    return f"{_folder.get() or _session_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -62,8 +73,43 @@ def release(spark: SparkSession) -> None:
 
     To be called when no result is read any more, before the session stops.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _session_folder(spark))
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are materialised inside are deleted at the end of the block.
+
+    The block gets a function like ``materialise`` that writes outside of it, for the results. Blocks may be nested;
+    a result then belongs to the block around.
+    """
+    outer = _folder.get()
+    inner = f"{outer or _session_folder(spark)}/{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        own = _folder.set(outer)
+        try:
+            return materialise(df, name)
+        finally:
+            _folder.reset(own)
+
+    token = _folder.set(inner)
+    try:
+        yield keep
+    finally:
+        _folder.reset(token)
+        _delete(spark, inner)
+
+
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when their query ends; a table that is written once needs them no longer."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -73,12 +119,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     filter pushdown for the readers, and gives the planner real sizes.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _dropping_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialise_all(**tables: DataFrame) -> list[DataFrame]:
     """``materialise`` for several independent tables, written at the same time."""
     spark = next(iter(tables.values())).sparkSession
-    with ThreadPool(len(tables)) as pool:
-        return pool.starmap(inheritable_thread_target(spark)(materialise), [(df, name) for name, df in tables.items()])
+    write = inheritable_thread_target(spark)(materialise)
+    jobs = [(contextvars.copy_context(), df, name) for name, df in tables.items()]
+    with _dropping_shuffles(spark), ThreadPool(len(tables)) as pool:
+        return pool.starmap(lambda context, df, name: context.run(write, df, name), jobs)

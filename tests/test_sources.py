@@ -1,12 +1,14 @@
 import json
 import math
+import os
+from urllib.parse import urlparse
 
 import pytest
 from helpers import roads_df
 from pyspark.errors import PySparkException
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from segrisk.session import materialise, new_path, shared_dir
+from segrisk.session import materialise, materialise_all, new_path, shared_dir, temporary
 from segrisk.sources.bundle import ROAD_PROPERTIES, dataset_profile, export_parquet, load_dataset, scan_parquet_roads
 from segrisk.sources.geojson import export_geojson, scan_geojson_lines, scan_geojson_points
 from segrisk.sources.tables import scan_crash_csv, scan_road_class, scan_speed
@@ -221,3 +223,20 @@ def test_materialised_tables_live_in_the_shared_folder(spark):
     df = materialise(spark.createDataFrame([(1, math.pi)], "a int, b double"), "t")
     assert [tuple(r) for r in df.collect()] == [(1, math.pi)]
     assert shared_dir(spark) in df.inputFiles()[0]
+
+
+def test_temporary_tables(spark):
+    with temporary(spark) as keep:
+        inside, other = materialise_all(a=spark.range(3), b=spark.range(4))
+        with temporary(spark) as keep_inside:
+            deep = materialise(inside.union(other), "deep")
+            result = keep_inside(deep.groupBy("id").count(), "result")
+            folders = [urlparse(df.inputFiles()[0]).path for df in (deep, inside, other, result)]
+        assert list(map(os.path.exists, folders)) == [False, True, True, True]
+        kept = keep(result, "kept")
+    assert not any(map(os.path.exists, folders))
+    assert sorted(map(tuple, kept.collect())) == [(0, 2), (1, 2), (2, 2), (3, 1)]
+    with pytest.raises(ZeroDivisionError), temporary(spark):
+        folders = [urlparse(materialise(spark.range(3), "a").inputFiles()[0]).path]
+        raise ZeroDivisionError
+    assert not any(map(os.path.exists, folders))
