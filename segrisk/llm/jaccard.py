@@ -1,46 +1,54 @@
-"""N-gram Jaccard join: prefix filter under a global token order, then exact verification of every candidate pair.
+"""N-gram Jaccard join: prefix filters under several global token orders, intersected, then exact verification.
 
 The tokens of a document are its distinct word shingles. Under any order of all tokens, two sets with a Jaccard
-similarity of at least t share a token among the first ``n - ceil(t * n) + 1`` of each (n: the set's size). These
-prefix tokens are dealt out into buckets, which propose pairs; bounds by size and by position go before whole sets are
-intersected. The order puts rare tokens first, so that passages many documents share stay outside the prefixes. The
-frequencies come from a count sketch over all documents: any function of a token is a valid order, so an estimate
-costs no links.
-
-Documents with equal sets are one class, which takes part once, so groups of copies are never expanded into pairs.
-Tokens that the same classes share make one bucket. Every other pair that a bucket proposes is verified, so all links
-between different sets are found: ``links`` returns them, ``link_counts`` their number per document, and the
-components of ``similar_groups`` are derived from them.
-
-Whole sets are not moved pair by pair: classes that candidate pairs connect are dealt into blocks of bounded size, and
-the pairs between two blocks are verified together, so a set moves once for each block it is compared with.
+similarity of at least t share a token among the first ``n - ceil(t * n) + 1`` of each (n: the set's size). So a pair
+is a candidate only if it shares such a prefix token under each of ``ORDERS`` orders, at places in the two prefixes
+that leave enough tokens behind. All orders put rare tokens first, so that passages many documents share stay outside
+the prefixes; tokens of one rarity are ordered by a hash, another one for each order. The frequencies come from a count
+sketch over all documents: any function of a token is a valid order, so an estimate costs no links.
+
+Documents with equal sets are one class, which takes part once. The prefix tokens of the first order are dealt out
+into buckets, one for all tokens that the same classes share. Pairs are never written as rows: classes that buckets
+connect form groups, small groups are bundled, large ones dealt into blocks of bounded size, and each task gets the
+whole sets of a bundle or of two blocks. It applies the filters of all orders, intersects them, and verifies what is
+left, each pair in exactly one task. ``similar_groups`` takes from a task, for each class, the number of its links and
+the smallest class they reach; ``links`` and ``link_counts`` take the links themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segrisk.llm.components import connected_components
 from segrisk.llm.sketch import BLOCKS, bitmap, in_bitmap, partial_blocks, sum_blocks
 from segrisk.llm.text import LOWER, NOT_SPACE, chain, mix, slices, span_hashes, utf8, words
-from segrisk.session import materialise
+from segrisk.session import materialise, temporary
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 12  # counters per row of a partial sketch
-BLOCK_SETS = 256  # sets in a block, and their tokens
-BLOCK_TOKENS = 200_000
+ORDERS = 3
+BLOCK_SETS = 1024  # sets in a block, and their tokens
+BLOCK_TOKENS = 800_000
 BITMAP_BITS = 26
+VERIFY_TOKENS = 1 << 20  # tokens compared with a set at a time
+BUCKET = ["size", "x", "y"]
 CLASS = "xxhash64(n_shingles, d1, d2) AS class"  # documents with equal sets
 BROADCAST_IDS = 1_000_000  # candidate ids are broadcast up to this number, joined by a shuffle beyond it
 
 _SALTS = [np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
+_DIGEST_SALTS = _SALTS[2:]
+
+
+def _order_salt(order: int) -> np.uint64:
+    return mix(np.array([_SALTS[0] + np.uint64(order)]))[0]
 
 
 @dataclass(frozen=True)
@@ -92,9 +100,9 @@ def count_sketch(docs: DataFrame, size: int) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(levels)
 
 
-def prefix_of(tokens: np.ndarray, levels: np.ndarray, n: int) -> np.ndarray:
-    """The first ``n`` tokens under the global order: rarer ones first, then by a hash."""
-    key = mix(tokens ^ _SALTS[0]) >> np.uint64(8)
+def prefix_of(tokens: np.ndarray, levels: np.ndarray, n: int, order: int = 0) -> np.ndarray:
+    """The first ``n`` tokens under a global order: rarer ones first, then by the hash of the order."""
+    key = mix(tokens ^ _order_salt(order)) >> np.uint64(8)
     key |= levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
     return tokens[np.argsort(key)[:n]]
 
@@ -107,7 +115,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
     out = []
-    for salt in _SALTS[2:]:
+    for salt in _DIGEST_SALTS:
         out.append(pa.array(np.array([mix(s ^ salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)))
     return out
 
@@ -126,8 +134,8 @@ def prefixes(docs: DataFrame, rule: Rule, levels: Broadcast) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
 
 
-def _positions(sets: DataFrame, known: Broadcast) -> DataFrame:
-    """(class, n, pos, token) of the prefix tokens whose slot is set."""
+def _shared_tokens(sets: DataFrame, known: Broadcast) -> DataFrame:
+    """(class, n, token) of the prefix tokens whose slot is set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,14 +143,11 @@ def _positions(sets: DataFrame, known: Broadcast) -> DataFrame:
             size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             token = lists.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), size)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             keep = in_bitmap(known.value, token.view(np.uint64))
             own = batch.select(["class", "n_shingles"]).take(pa.array(row[keep]))
-            arrays = [*own.columns, pa.array(pos[keep]), pa.array(token[keep])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "pos", "token"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(token[keep])], names=["class", "n", "token"])
 
-    rows = sets.select("class", "n_shingles", "prefix")
-    return rows.mapInArrow(work, "class long, n long, pos long, token long")
+    return sets.select("class", "n_shingles", "prefix").mapInArrow(work, "class long, n long, token long")
 
 
 def whole_sets(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -159,74 +164,139 @@ def whole_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return rows.select(F.expr(CLASS), F.col("n_shingles").alias("n"), "tokens")
 
 
-def _may_link(rule: Rule, x: str, y: str) -> Column:
-    """Bounds by size, and by the positions of a shared token: what may still follow it has to suffice."""
-    n, m, i, j = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.pos", f"{y}.pos"))
-    sizes = 100 * F.least(n, m) >= rule.percent * F.greatest(n, m)
-    return sizes & (F.least(n - i, m - j) * (100 + rule.percent) >= rule.percent * (n + m))
-
-
-def _similar_pairs(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
-    """The rows of ``pairs`` (a, b) whose sets are similar enough; ``sets`` holds all of them (class, tokens)."""
-    ids = sets.column("class").to_numpy()
-    lists = sets.column("tokens").combine_chunks()
-    flat = lists.flatten().to_numpy().view(np.uint64)
-    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    start = np.cumsum(size) - size
-    order = np.argsort(ids, kind="stable")
-    rows = [order[np.searchsorted(ids[order], pairs.column(c).to_numpy())] for c in "ab"]
-    by_a = np.argsort(rows[0], kind="stable")
-    a, b = rows[0][by_a], rows[1][by_a]
-    keep = []
-    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
-        one, others = a[part[0]], b[part]
-        own = flat[start[one] : start[one] + size[one]]
-        upto = np.cumsum(size[others])
-        first = upto - size[others]
-        values = flat[np.repeat(start[others] - first, size[others]) + np.arange(upto[-1])]
-        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
-        common = np.add.reduceat(hit, first, dtype=np.int64)
-        keep.append(by_a[part[100 * common >= percent * (len(own) + size[others] - common)]])
-    return pairs.select(["a", "b"]).take(pa.array(np.concatenate(keep)))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of classes (a, b) whose whole sets are similar. ``sets`` may repeat a class."""
-    parts = connected_components(pairs)
-    parts = parts.join(sets.groupBy("class").agg(F.first("n").alias("n")), parts.id == F.col("class"))
-    load = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)
-    blocks = materialise(parts.groupBy("component").agg(load.alias("load")), "candidate_groups")
-    # Groups that fit into one block are bundled, larger ones are dealt into blocks by a hash.
-    bundles = max(1, int(blocks.where("load <= 1").agg(F.sum("load")).head()[0] or 0))
-    place = parts.join(blocks, "component").select(
-        "class", "component", F.expr("load > 1").alias("large"), F.expr("pmod(xxhash64(class), cast(ceil(load) as bigint))").alias("block")
-    )
-    place = materialise(place, "candidate_blocks")
-    keyed = pairs
-    for end in "ab":
-        columns = [F.col("block").alias(f"{end}_block"), *(["component", "large"] if end == "a" else [])]
-        keyed = keyed.join(place.select(F.col("class").alias(end), *columns), end)
-    bundle = F.expr(f"pmod(xxhash64(component), {bundles})")
-    low, high = F.least("a_block", "b_block"), F.greatest("a_block", "b_block")
-    keyed = keyed.select(
-        "a", "b", "large", F.when(F.col("large"), F.col("component")).otherwise(bundle).alias("part"), low.alias("low"), high.alias("high")
-    )
-    keyed = materialise(keyed, "block_pairs")
-    key = ["large", "part", "low", "high"]
-    needed = keyed.select(*key, F.col("a").alias("class")).union(keyed.select(*key, F.col("b").alias("class"))).distinct()
-    needed = needed.toDF("is_large", "in_part", "from_block", "to_block", "class").join(sets.select("class", "tokens"), "class")
-    percent = rule.percent
+def _groups(buckets: DataFrame, rule: Rule) -> DataFrame:
+    """(id, component): classes that may link, directly or over others, are in one component.
 
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _similar_pairs(left, right, percent)
+    A bucket is cut into bands of sizes so wide that sets of similar sizes are in one band or in neighbouring ones. All
+    members of a band are tied to its smallest class, and that to the one of the next band.
+    """
+    lows = materialise(buckets.groupBy(*BUCKET, "band").agg(F.min("class").alias("low")), "bands")
+    ties = buckets.join(lows, [*BUCKET, "band"]).select("class", "low")
+    above = lows.select(*BUCKET, (F.col("band") - 1).alias("band"), F.col("low").alias("next"))
+    ties = ties.union(lows.join(above, [*BUCKET, "band"]).select("low", "next"))
+    return connected_components(ties.toDF("a", "b").where("a <> b").distinct())
 
-    return keyed.groupBy(*key).cogroup(needed.groupBy(*needed.columns[1:5])).applyInArrow(work, "a long, b long")
+
+def _tasks(buckets: DataFrame, rule: Rule) -> DataFrame:
+    """(large, part, low, high, class, side): which classes a task needs.
+
+    A task compares the classes of a bundle of groups, or those of two blocks ``low`` and ``high`` of a large group
+    (``side`` 0 and 1), as far as they are in a bucket with members of the other block.
+    """
+    parts = _groups(buckets, rule).join(buckets.select("class", "n").distinct(), F.col("id") == F.col("class"))
+    parts = materialise(parts.select("class", "n", "component"), "grouped_classes")
+    load = F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)
+    loads = materialise(parts.groupBy("component").agg(load.alias("load")), "group_loads")
+    bundles = max(1, math.ceil(loads.where("load <= 1").agg(F.sum("load")).head()[0] or 0))
+    place = parts.join(loads, "component")
+    none = F.lit(0).cast("long")
+    bundled = place.where("load <= 1").select(
+        F.lit(False).alias("large"), F.expr(f"pmod(xxhash64(component), {bundles}L)").alias("part"), none.alias("low"),
+        none.alias("high"), "class", F.lit(0).alias("side"),
+    )
+    block = F.expr("pmod(xxhash64(class), cast(ceil(load) AS bigint))").alias("block")
+    dealt = place.where("load > 1").select("class", "component", block)
+    dealt = materialise(buckets.join(dealt, "class").select(*BUCKET, "band", "component", "block", "class"), "dealt")
+    here = dealt.groupBy(*BUCKET, "band", "component", "block").agg(F.count(F.lit(1)).alias("number"))
+    # Of each block that a bucket has members in, a member meets those in its own and the neighbouring bands.
+    near = here.select(*BUCKET, F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), F.col("block").alias("other"), F.col("band").alias("own"), "number")
+    met = dealt.join(near, [*BUCKET, "band"]).where("other <> block OR own <> band OR number > 1")
+    pairs = met.select(
+        F.lit(True).alias("large"), F.col("component").alias("part"), F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"), "class", (F.col("block") > F.col("other")).cast("int").alias("side"),
+    )
+    return bundled.union(pairs.distinct())
+
+
+def shared_prefixes(sets: list[np.ndarray], rule: Rule, levels: np.ndarray, order: int) -> np.ndarray:
+    """Matrix of the pairs (i < j) that share a prefix token under an order and may link by sizes and positions."""
+    heads = [prefix_of(s, levels, rule.prefix(len(s)), order) for s in sets]
+    size = np.array([len(h) for h in heads], np.int64)
+    n = np.array([len(s) for s in sets], np.int64)
+    token = np.concatenate([*heads, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(sets)), size)
+    left = n[owner] - (np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size))
+    by_token = np.argsort(token, kind="stable")
+    token, owner, left = token[by_token], owner[by_token], left[by_token]
+    shared = np.zeros((len(sets), len(sets)), bool)
+    at, step = np.arange(len(token)), 1
+    while len(at := at[at + step < len(token)]) and len(at := at[token[at + step] == token[at]]):
+        a, b = owner[at], owner[at + step]
+        ok = 100 * np.minimum(n[a], n[b]) >= rule.percent * np.maximum(n[a], n[b])
+        # What may still follow the shared token has to suffice.
+        ok &= np.minimum(left[at], left[at + step]) * (100 + rule.percent) >= rule.percent * (n[a] + n[b])
+        shared[a[ok], b[ok]] = True
+        step += 1
+    return shared
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, rule: Rule, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All similar pairs (i < j); if there are two sides, only those between them."""
+    found = shared_prefixes(sets, rule, levels, 0)
+    if side.any():
+        found &= side[:, None] != side
+    for order in range(1, ORDERS):
+        if found.any():
+            found &= shared_prefixes(sets, rule, levels, order)
+    a, b = np.nonzero(found)
+    keep = np.zeros(len(a), bool)
+    cuts = np.flatnonzero(np.diff(a)) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)], strict=True):
+        # Sets of one length after the other, some millions of tokens at a time.
+        step = max(1, VERIFY_TOKENS // max((len(sets[i]) for i in b[low:high]), default=1))
+        for at in range(low, high, step):
+            own, others = sets[a[at]], [sets[i] for i in b[at : min(at + step, high)]]
+            size = np.array([len(s) for s in others])
+            values = np.concatenate(others)
+            hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+            common = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+            keep[at : at + len(size)] = 100 * common >= rule.percent * (len(own) + size - common)
+    return a[keep], b[keep]
+
+
+def _smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the smallest one that the links reach."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def verified(tasks: DataFrame, sets: DataFrame, rule: Rule, levels: Broadcast, every: bool) -> DataFrame:
+    """(a, b, n): all links between classes, n being 1, or from each task one row for each class that has links in it:
+    the class, the smallest class they reach, and their number. ``sets`` may repeat a class."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        _, first = np.unique(rows.column("class").to_numpy(), return_index=True)
+        rows = rows.take(pa.array(first))
+        lists = rows.column("tokens").combine_chunks()
+        bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        flat = lists.flatten().to_numpy().view(np.uint64)
+        own = [flat[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        a, b = similar_pairs(own, rows.column("side").to_numpy(), rule, levels.value)
+        n = np.ones(len(a), np.int64)
+        if not every:
+            number = np.bincount(np.concatenate((a, b)), minlength=len(own))
+            reached = _smallest_reached(a, b, len(own))
+            a = np.flatnonzero(number)
+            b, n = reached[a], number[a]
+        ids = rows.column("class").combine_chunks()
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "n": pa.array(n)})
+
+    rows = tasks.join(sets.select("class", "tokens"), "class")
+    return rows.groupBy("large", "part", "low", "high").applyInArrow(work, "a long, b long, n long")
 
 
 @dataclass(frozen=True)
 class Join:
-    """Result of the join: ``base`` (doc_id, n_shingles) per row, ``members`` (class, doc_id, rep) and ``links``
-    (a, b) between classes. ``rep`` is the smallest doc_id of a class."""
+    """Result of the join: ``base`` (doc_id, n_shingles, class) per row, ``members`` (class, doc_id, rep) and ``links``
+    (a, b, n) between classes, as ``verified`` returns them. ``rep`` is the smallest doc_id of a class."""
 
     base: DataFrame
     members: DataFrame
@@ -243,38 +313,42 @@ class Join:
         return found.select(low, high).where("a <> b").distinct()
 
 
-def join(docs: DataFrame, rule: Rule = Rule()) -> Join:
+def join(docs: DataFrame, rule: Rule = Rule(), *, every: bool = True) -> Join:
+    """The join of all documents, with ``every`` link or what ``verified`` sums up of them."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    levels = count_sketch(docs, rule.size)
-    base = prefixes(docs, rule, levels).select("doc_id", "n_shingles", "prefix", F.expr(CLASS))
-    base = materialise(base, "prefixes")
-    named = base.where("doc_id IS NOT NULL AND n_shingles > 0")
-    first = named.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    members = materialise(named.select("class", "doc_id").distinct().join(first, "class"), "members")
-
+    with temporary(docs.sparkSession) as keep:
+        levels = count_sketch(docs, rule.size)
+        rows = prefixes(docs, rule, levels).select("doc_id", "n_shingles", "prefix", F.expr(CLASS))
+        rows = materialise(rows, "prefixes")
+        base = keep(rows.drop("prefix"), "sets")
+        named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+        first = named.groupBy("class").agg(F.min("doc_id").alias("rep"))
+        members = keep(named.select("class", "doc_id").distinct().join(first, "class"), "members")
+        buckets = _buckets(named, first, rule)
+        tasks = materialise(_tasks(buckets, rule), "tasks")
+
+        classes = tasks.select("class").distinct()
+        ids = materialise(members.where("doc_id = rep").join(classes, "class").select("doc_id").distinct(), "candidate_ids")
+        sets = materialise(whole_sets(docs.join(_broadcastable(ids), "doc_id", "left_semi"), rule), "candidate_sets")
+        return Join(base, members, keep(verified(tasks, sets, rule, levels, every), "links"))
+
+
+def _buckets(named: DataFrame, first: DataFrame, rule: Rule) -> DataFrame:
+    """(size, x, y, class, n, band) of the buckets that several classes are in; size, x and y name a bucket."""
     own = named.join(first.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"], "left_semi")
     tokens = named.select("class", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     shared = materialise(shared.where("low <> high").select("token"), "shared_tokens")
-    at = _positions(own, bitmap(shared, BITMAP_BITS)).join(shared, "token")
-    at = materialise(at.groupBy("token", "class", "n").agg(F.min("pos").alias("pos")), "shared_positions")
-    # Of the tokens that the same classes share, the first one has the smallest position in all of them.
+    at = _shared_tokens(own, bitmap(shared, BITMAP_BITS)).join(shared, "token").distinct()
+    at = materialise(at, "shared_prefixes")
     alike = at.groupBy("token").agg(
         F.count(F.lit(1)).alias("size"),
         F.bit_xor(F.xxhash64("class")).alias("x"),
         F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"),
     )
-    bucket = ["size", "x", "y"]
-    buckets = at.join(alike, "token").groupBy(*bucket, "class", "n").agg(F.min("pos").alias("pos"))
-    buckets = materialise(buckets, "buckets")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in bucket]
-    pairs = buckets.alias("l").join(buckets.alias("r"), [*same, F.expr("l.class < r.class"), _may_link(rule, "l", "r")])
-    pairs = materialise(pairs.select(F.expr("l.class AS a"), F.expr("r.class AS b")).distinct(), "pairs")
-
-    classes = pairs.select("a").union(pairs.select("b")).distinct().toDF("class")
-    ids = materialise(members.where("doc_id = rep").join(classes, "class").select("doc_id").distinct(), "candidate_ids")
-    sets = materialise(whole_sets(docs.join(_broadcastable(ids), "doc_id", "left_semi"), rule), "candidate_sets")
-    return Join(base.select("doc_id", "n_shingles"), members, materialise(verified(pairs, sets, rule), "links"))
+    band = F.floor(F.log("n") / (math.log(100 / rule.percent) + 1e-6)).alias("band")
+    buckets = at.join(alike, "token").select(*BUCKET, "class", "n", band).distinct()
+    return materialise(buckets, "buckets")
 
 
 def links(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -295,7 +369,7 @@ def link_counts(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     single = materialise(found.members.join(several, "doc_id", "left_anti").select("doc_id", "class"), "single_sets")
     several = materialise(found.members.join(several, "doc_id", "left_semi").select("doc_id", "class"), "several_sets")
     one = F.lit(None).cast("long").alias("doc_id")
-    around = found.links.union(found.links.select("b", "a"))
+    around = found.links.select("a", "b").union(found.links.select("b", "a"))
     around = around.union(found.members.select("class", "class").distinct()).toDF("class", "other")
     # Documents of one set count by class, those of several sets by themselves.
     owner = single.select("class", one).distinct().withColumn("owner", F.col("class")).union(several.withColumn("owner", F.lit(None).cast("long")).select("class", "doc_id", "owner"))
@@ -311,17 +385,22 @@ def link_counts(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document row.
+    """(doc_id, n_shingles, component_id, n_links) per document row.
 
-    component_id is the smallest doc_id that links reach. Texts without words, NULL and empty ones too, have no
-    shingles and link with nothing. Rows of one doc_id are one document to links, which hold if any of its rows
-    holds. Rows without doc_id are returned with component_id NULL and link nothing. Other columns are ignored.
+    component_id is the smallest doc_id that links reach; n_links is the number of other sets that the row's set links
+    with, all copies of a set counted once. Texts without words, NULL and empty ones too, have no shingles and link
+    with nothing. Rows of one doc_id are one document to links, which hold if any of its rows holds. Rows without
+    doc_id are returned with component_id NULL and link nothing. Other columns are ignored.
     """
-    found = join(docs, rule)
-    copies = found.members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    parts = connected_components(found.by_document().union(copies))
-    rows = found.base.join(parts, found.base.doc_id == parts.id, "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    with temporary(docs.sparkSession) as keep:
+        found = join(docs, rule, every=False)
+        copies = found.members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        parts = connected_components(found.by_document().union(copies))
+        number = found.links.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
+        linked = found.members.select("doc_id", "class").join(number, "class")
+        rows = found.base.join(parts, found.base.doc_id == parts.id, "left").join(linked, ["doc_id", "class"], "left")
+        n_links = F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+        return keep(rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), n_links), "groups")
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -330,10 +409,11 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Texts without words are no copies of each other and stay; so do rows without doc_id. Of several rows with the
     smallest doc_id the one with the smallest text stays.
     """
-    groups = similar_groups(docs, rule)
-    gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = materialise(repeated.select("doc_id"), "repeated_ids")
+    with temporary(docs.sparkSession) as keep:
+        groups = similar_groups(docs, rule)
+        gone = keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+        repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        repeated = keep(repeated.select("doc_id"), "repeated_ids")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     single = docs.join(_broadcastable(gone.union(repeated)), "doc_id", "left_anti").select(*columns)
     if repeated.isEmpty():

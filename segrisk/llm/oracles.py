@@ -41,10 +41,15 @@ common AS (
 link AS MATERIALIZED (
   SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
   WHERE 100 * c >= 85 * (x.n + y.n - c)),
-reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+whole AS MATERIALIZED (SELECT doc_id, string_agg(k, chr(10) ORDER BY k) AS s FROM shingle GROUP BY doc_id),
+number AS (
+  SELECT a AS doc_id, count(DISTINCT y.s) AS n_links
+  FROM link JOIN whole x ON x.doc_id = a JOIN whole y ON y.doc_id = b WHERE x.s <> y.s GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles,
-  least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id
-FROM doc LEFT JOIN size USING (doc_id)"""
+  least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id,
+  coalesce(n_links, 0) AS n_links
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN number USING (doc_id)"""
 
 _CHAT = r"""
 WITH turns AS (
