@@ -10,7 +10,7 @@ sketch over all documents: any function of a token is a valid order, so an estim
 Documents with equal sets are one class, which takes part once. The prefix tokens of the first order are dealt out
 into buckets, one for all tokens that the same classes share. Pairs are never written as rows: classes that buckets
 connect form groups, small groups are bundled, large ones dealt into blocks of bounded size, and each task gets the
-whole sets of a bundle or of two blocks. It applies the filters of all orders, intersects them, and verifies what is
+whole texts of a bundle or of two blocks. It applies the filters of all orders, intersects them, and verifies what is
 left, each pair in exactly one task. ``similar_groups`` takes from a task, for each class, the number of its links and
 the smallest class they reach; ``links`` and ``link_counts`` take the links themselves.
 """
@@ -121,17 +121,18 @@ def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def prefixes(docs: DataFrame, rule: Rule, levels: Broadcast) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, prefix) per row: set size, digest of the set, prefix."""
+    """(doc_id, text_id, n_shingles, d1, d2, prefix) per row: set size, digest of the set, prefix."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(shingle_sets(part.column("text"), rule.size))
                 first = [prefix_of(s, levels.value, rule.prefix(len(s))) if len(s) else s for s in sets]
-                arrays = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *_digests(sets), _lists(first)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "d1", "d2", "prefix"])
+                size = pa.array([len(s) for s in sets], pa.int64())
+                arrays = [part.column("doc_id"), part.column("text_id"), size, *_digests(sets), _lists(first)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_id", "n_shingles", "d1", "d2", "prefix"])
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
+    return docs.mapInArrow(work, "doc_id long, text_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
 
 
 def _shared_tokens(sets: DataFrame, known: Broadcast) -> DataFrame:
@@ -150,20 +151,6 @@ def _shared_tokens(sets: DataFrame, known: Broadcast) -> DataFrame:
     return sets.select("class", "n_shingles", "prefix").mapInArrow(work, "class long, n long, token long")
 
 
-def whole_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(class, n, tokens): the whole set of each row."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 500_000):
-                sets = list(shingle_sets(part.column("text"), rule.size))
-                arrays = [pa.array([len(s) for s in sets], pa.int64()), *_digests(sets), _lists(sets)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["n_shingles", "d1", "d2", "tokens"])
-
-    rows = docs.select("text").mapInArrow(work, "n_shingles long, d1 long, d2 long, tokens array<long>")
-    return rows.select(F.expr(CLASS), F.col("n_shingles").alias("n"), "tokens")
-
-
 def _groups(buckets: DataFrame, rule: Rule) -> DataFrame:
     """(id, component): classes that may link, directly or over others, are in one component.
 
@@ -268,17 +255,19 @@ def _smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def verified(tasks: DataFrame, sets: DataFrame, rule: Rule, levels: Broadcast, every: bool) -> DataFrame:
+def verified(texts: DataFrame, rule: Rule, levels: Broadcast, every: bool) -> DataFrame:
     """(a, b, n): all links between classes, n being 1, or from each task one row for each class that has links in it:
-    the class, the smallest class they reach, and their number. ``sets`` may repeat a class."""
+    the class, the smallest class they reach, and their number.
+
+    ``texts`` are the rows of ``_tasks`` with a text of the class, and may repeat. Texts are shorter than their sets,
+    so they are what is sent to the tasks.
+    """
 
     def work(rows: pa.Table) -> pa.Table:
         _, first = np.unique(rows.column("class").to_numpy(), return_index=True)
         rows = rows.take(pa.array(first))
-        lists = rows.column("tokens").combine_chunks()
-        bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-        flat = lists.flatten().to_numpy().view(np.uint64)
-        own = [flat[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        batches = rows.select(["text"]).combine_chunks().to_batches()
+        own = [s for batch in batches for part in slices(batch, "text") for s in shingle_sets(part.column("text"), rule.size)]
         a, b = similar_pairs(own, rows.column("side").to_numpy(), rule, levels.value)
         n = np.ones(len(a), np.int64)
         if not every:
@@ -289,8 +278,8 @@ def verified(tasks: DataFrame, sets: DataFrame, rule: Rule, levels: Broadcast, e
         ids = rows.column("class").combine_chunks()
         return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "n": pa.array(n)})
 
-    rows = tasks.join(sets.select("class", "tokens"), "class")
-    return rows.groupBy("large", "part", "low", "high").applyInArrow(work, "a long, b long, n long")
+    columns = ["large", "part", "low", "high", "class", "side", "text"]
+    return texts.select(*columns).groupBy("large", "part", "low", "high").applyInArrow(work, "a long, b long, n long")
 
 
 @dataclass(frozen=True)
@@ -316,26 +305,25 @@ class Join:
 def join(docs: DataFrame, rule: Rule = Rule(), *, every: bool = True) -> Join:
     """The join of all documents, with ``every`` link or what ``verified`` sums up of them."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.withColumn("text_id", F.xxhash64("text"))
     with temporary(docs.sparkSession) as keep:
         levels = count_sketch(docs, rule.size)
-        rows = prefixes(docs, rule, levels).select("doc_id", "n_shingles", "prefix", F.expr(CLASS))
+        rows = prefixes(docs, rule, levels).select("doc_id", "text_id", "n_shingles", "prefix", F.expr(CLASS))
         rows = materialise(rows, "prefixes")
-        base = keep(rows.drop("prefix"), "sets")
+        base = keep(rows.select("doc_id", "n_shingles", "class"), "sets")
         named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-        first = named.groupBy("class").agg(F.min("doc_id").alias("rep"))
-        members = keep(named.select("class", "doc_id").distinct().join(first, "class"), "members")
-        buckets = _buckets(named, first, rule)
-        tasks = materialise(_tasks(buckets, rule), "tasks")
-
-        classes = tasks.select("class").distinct()
-        ids = materialise(members.where("doc_id = rep").join(classes, "class").select("doc_id").distinct(), "candidate_ids")
-        sets = materialise(whole_sets(docs.join(_broadcastable(ids), "doc_id", "left_semi"), rule), "candidate_sets")
-        return Join(base, members, keep(verified(tasks, sets, rule, levels, every), "links"))
+        first = named.groupBy("class").agg(F.min(F.struct("doc_id", "text_id")).alias("row")).select("class", "row.*")
+        first = materialise(first, "classes")
+        rep = first.select("class", F.col("doc_id").alias("rep"))
+        members = keep(named.select("class", "doc_id").distinct().join(rep, "class"), "members")
+        tasks = _tasks(_buckets(named, first, rule), rule).join(first, "class")
+        texts = docs.join(_broadcastable(materialise(tasks, "tasks")), ["doc_id", "text_id"])
+        return Join(base, members, keep(verified(texts, rule, levels, every), "links"))
 
 
 def _buckets(named: DataFrame, first: DataFrame, rule: Rule) -> DataFrame:
     """(size, x, y, class, n, band) of the buckets that several classes are in; size, x and y name a bucket."""
-    own = named.join(first.withColumnRenamed("rep", "doc_id"), ["class", "doc_id"], "left_semi")
+    own = named.join(first, ["class", "doc_id", "text_id"], "left_semi")
     tokens = named.select("class", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     shared = materialise(shared.where("low <> high").select("token"), "shared_tokens")
