@@ -124,6 +124,31 @@ def test_plans(spark):
     assert plan.index("SortMergeJoin") < plan.index("Exchange")
 
 
+def test_counts_hold_no_pairs(spark):
+    """Above the join nothing is kept per position: hits of a dense network are added up as they are found."""
+    roads, crashes = random_network(seed=9, n_roads=5, n_crashes=5)
+    r = roads_df(spark, roads)
+    c = crashes_df(spark, crashes).selectExpr("*", "1 AS hour", "'dry' AS weather")
+    for df in (crash_counts(r, c), crash_counts(r, c, mode="segments"), spatial_join.crash_counts_cube(r, c)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.rindex("SortMergeJoin")]
+        assert "SortMergeJoin" in plan and not re.search(r"Aggregate\(keys=\[[^\]]*longitude", above)
+        assert not re.search(r"Exchange [^\n]*longitude", above)
+
+
+def test_many_parts_of_a_segment_in_a_cell(spark):
+    """A zigzag whose parts lie in few cells, and another geometry of its id: a crash counts once per row or id."""
+    zigzag = [(LON + 0.00002 * (i % 2), LAT + i * METRE_N) for i in range(25)]
+    roads = [(1, [zigzag], None), (1, [zigzag[::-1][:7]], None), (2, [zigzag[:3]], None)]
+    crashes = [(i, LON + 0.00001, LAT + i * METRE_N) for i in range(25)]
+    expected = brute_force_pairs(crashes, roads)
+    assert pairs(spark, roads, crashes) == expected
+    per_id = Counter(ogf_id for _, ogf_id in expected)
+    assert counts(spark, roads, crashes, mode="segments") == per_id
+    rows = Counter(ogf_id for road in roads for _, ogf_id in brute_force_pairs(crashes, [road]))
+    assert counts(spark, roads, crashes, mode="rows") == rows
+
+
 def test_generated_code_stays_within_the_jit_limit(spark):
     roads, crashes = random_network(seed=9, n_roads=5, n_crashes=5)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
