@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from segrisk.llm.bpe import ByteBpe
-from segrisk.llm.cuts import Remembered, chunks, gather
+from segrisk.llm.cuts import OTHER_SPACE, Remembered, chunks, gather
 from segrisk.llm.text import slices
 from segrisk.session import materialise
 
 BLANK = "▁"
 FIRST = " a"  # a chunk put in front stands for the beginning of a text, where B adds a blank
+WHITE_SPACE = frozenset(f" \n{OTHER_SPACE}")
 JOINED_CHARS = 8_000  # characters of chunks that are encoded as one text
 FREQUENT = 1 << 20  # linked pairs whose counts are broadcast
 ALIGNED = (
@@ -136,7 +137,10 @@ class Aligner:
     def _learn(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Linked pairs of new chunks (id of A times 2**32 plus id of B), and all the rest on the side."""
         length = np.fromiter(map(len, keys), np.int64, len(keys))
-        cut = np.flatnonzero(np.diff(np.cumsum(length) // JOINED_CHARS, prepend=-1))
+        first = np.diff(np.cumsum(length) // JOINED_CHARS, prepend=-1) > 0
+        # White space at the end of a text would be encoded together with that of the chunk behind it.
+        first[1:] |= np.fromiter((k[-1] in WHITE_SPACE for k in keys[:-1]), bool, len(keys) - 1)
+        cut = np.flatnonzero(first)
         found = []
         for own in (keys[i:j] for i, j in itertools.pairwise([*cut.tolist(), len(keys)])):
             together = self._aligned(own)

@@ -67,6 +67,14 @@ def test_aligner(brute_force):
     assert sum(brute_force(t) == NOTHING for t in texts) > 20
 
 
+def test_white_space_at_the_end_of_a_text(brute_force):
+    """It is learned beside the chunks of other texts, with which it has no token in common."""
+    tool = spans.Aligner(A, B)
+    for texts in (["a  ", "  b"], ["x\t ", "  y"], [" ", "  ", "\n", "a"], ["a\u3000", "b", "c\x85 ", "  d"], ["a \n"], ["e", "\n\nf"]):
+        for text, row in zip(texts, tool.align(texts).to_pylist(), strict=True):
+            assert as_tuple(row) == brute_force(text), text
+
+
 def test_small_memory_and_whole_texts(brute_force, monkeypatch):
     texts = odd_texts(8, 150)
     monkeypatch.setattr(cuts, "CACHE_KEYS", 60)
