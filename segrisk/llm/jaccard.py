@@ -4,8 +4,10 @@ The tokens of a document are its distinct word shingles. Under any order of all
 similarity of at least t share a token among the first ``n - ceil(t * n) + 1`` of each (n: the set's size). So a pair
 is a candidate only if it shares such a prefix token under each of ``ORDERS`` orders, at places in the two prefixes
 that leave enough tokens behind. All orders put rare tokens first, so that passages many documents share stay outside
-the prefixes; tokens of one rarity are ordered by a hash, another one for each order. The frequencies come from a count
-sketch over all documents: any function of a token is a valid order, so an estimate costs no links.
+the prefixes; tokens of one rarity are ordered by a hash, another one for each order. Tokens are counted over all
+documents. Those in one document only come first, as far as a bitmap of all others tells, whose size grows with their
+number; the others are ordered by a sketch of their counts. Any function of a token is a valid order, so an estimate
+costs no links.
 
 Documents with equal sets are one class, which takes part once. The prefix tokens of the first order are dealt out
 into buckets, one for all tokens that the same classes share. Pairs are never written as rows: classes that buckets
@@ -34,6 +36,8 @@ from segrisk.session import materialise, temporary
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 12  # counters per row of a partial sketch
+LEAST_BITS, MOST_BITS = 20, 30  # of the bitmap of tokens that several documents have
+BITS_PER_TOKEN = 8
 ORDERS = 3
 BLOCK_SETS = 1024  # sets in a block, and their tokens
 BLOCK_TOKENS = 800_000
@@ -77,33 +81,59 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield chain(ids[a:b], b - a)[:1] if b > a else np.zeros(0, np.uint64)
 
 
-def count_sketch(docs: DataFrame, size: int) -> Broadcast:
-    """One byte per counter: how often tokens of that counter occur in all documents, on a logarithmic scale.
+@dataclass(frozen=True)
+class Rarity:
+    """Which tokens are in several documents (a bitmap), and a byte per counter: how often tokens of that counter occur,
+    on a logarithmic scale."""
 
-    The table has a fixed size, so its way through the driver does not depend on the data.
-    """
+    repeated: np.ndarray
+    levels: np.ndarray
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << SKETCH_BITS, np.int64)
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """0 for tokens in one document, more for more frequent ones."""
+        level = self.levels[(tokens & np.uint64(len(self.levels) - 1)).astype(np.int64)].astype(np.uint64)
+        return np.where(in_bitmap(self.repeated, tokens), level, np.uint64(0))
+
+
+def repeated_tokens(docs: DataFrame, size: int) -> DataFrame:
+    """(token, n) of the tokens that several documents have."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [*shingle_sets(part.column("text"), size), np.zeros(0, np.uint64)]
-                tokens = (np.concatenate(sets) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-                counters += np.bincount(tokens, minlength=len(counters))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["token"])
+
+    tokens = docs.select("text").mapInArrow(work, "token long")
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def count_rarity(docs: DataFrame, size: int) -> Broadcast:
+    """The ``Rarity`` of all tokens. Only its two tables go through the driver, 2 ** MOST_BITS bits at most."""
+    repeated = materialise(repeated_tokens(docs, size), "repeated_tokens")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            slot = batch.column("token").to_numpy() & ((1 << SKETCH_BITS) - 1)
+            np.add.at(counters, slot, batch.column("n").to_numpy())
         yield from partial_blocks(counters, SKETCH_BLOCK)
 
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    totals = sum_blocks(docs.select("text").mapInArrow(count, BLOCKS))
-    for row in totals.toLocalIterator():
+    for row in sum_blocks(repeated.mapInArrow(count, BLOCKS)).toLocalIterator():
         values = np.frombuffer(row["values"], np.int64)
         levels[row["block"] * SKETCH_BLOCK :][: len(values)] = np.log2(values + 1)
-    return docs.sparkSession.sparkContext.broadcast(levels)
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_TOKEN * repeated.count()).bit_length()))
+    found = bitmap(repeated.select("token"), bits)
+    rarity = Rarity(found.value, levels)
+    found.unpersist()
+    return docs.sparkSession.sparkContext.broadcast(rarity)
 
 
-def prefix_of(tokens: np.ndarray, levels: np.ndarray, n: int, order: int = 0) -> np.ndarray:
+def prefix_of(tokens: np.ndarray, rarity: Rarity, n: int, order: int = 0) -> np.ndarray:
     """The first ``n`` tokens under a global order: rarer ones first, then by the hash of the order."""
     key = mix(tokens ^ _order_salt(order)) >> np.uint64(8)
-    key |= levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+    key |= rarity.of(tokens) << np.uint64(56)
     return tokens[np.argsort(key)[:n]]
 
 
@@ -120,14 +150,14 @@ def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
     return out
 
 
-def prefixes(docs: DataFrame, rule: Rule, levels: Broadcast) -> DataFrame:
+def prefixes(docs: DataFrame, rule: Rule, rarity: Broadcast) -> DataFrame:
     """(doc_id, text_id, n_shingles, d1, d2, prefix) per row: set size, digest of the set, prefix."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(shingle_sets(part.column("text"), rule.size))
-                first = [prefix_of(s, levels.value, rule.prefix(len(s))) if len(s) else s for s in sets]
+                first = [prefix_of(s, rarity.value, rule.prefix(len(s))) if len(s) else s for s in sets]
                 size = pa.array([len(s) for s in sets], pa.int64())
                 arrays = [part.column("doc_id"), part.column("text_id"), size, *_digests(sets), _lists(first)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_id", "n_shingles", "d1", "d2", "prefix"])
@@ -195,9 +225,9 @@ def _tasks(buckets: DataFrame, rule: Rule) -> DataFrame:
     return bundled.union(pairs.distinct())
 
 
-def shared_prefixes(sets: list[np.ndarray], rule: Rule, levels: np.ndarray, order: int) -> np.ndarray:
+def shared_prefixes(sets: list[np.ndarray], rule: Rule, rarity: Rarity, order: int) -> np.ndarray:
     """Matrix of the pairs (i < j) that share a prefix token under an order and may link by sizes and positions."""
-    heads = [prefix_of(s, levels, rule.prefix(len(s)), order) for s in sets]
+    heads = [prefix_of(s, rarity, rule.prefix(len(s)), order) for s in sets]
     size = np.array([len(h) for h in heads], np.int64)
     n = np.array([len(s) for s in sets], np.int64)
     token = np.concatenate([*heads, np.zeros(0, np.uint64)])
@@ -217,14 +247,14 @@ def shared_prefixes(sets: list[np.ndarray], rule: Rule, levels: np.ndarray, orde
     return shared
 
 
-def similar_pairs(sets: list[np.ndarray], side: np.ndarray, rule: Rule, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, rule: Rule, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
     """All similar pairs (i < j); if there are two sides, only those between them."""
-    found = shared_prefixes(sets, rule, levels, 0)
+    found = shared_prefixes(sets, rule, rarity, 0)
     if side.any():
         found &= side[:, None] != side
     for order in range(1, ORDERS):
         if found.any():
-            found &= shared_prefixes(sets, rule, levels, order)
+            found &= shared_prefixes(sets, rule, rarity, order)
     a, b = np.nonzero(found)
     keep = np.zeros(len(a), bool)
     cuts = np.flatnonzero(np.diff(a)) + 1
@@ -255,7 +285,7 @@ def _smallest_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def verified(texts: DataFrame, rule: Rule, levels: Broadcast, every: bool) -> DataFrame:
+def verified(texts: DataFrame, rule: Rule, rarity: Broadcast, every: bool) -> DataFrame:
     """(a, b, n): all links between classes, n being 1, or from each task one row for each class that has links in it:
     the class, the smallest class they reach, and their number.
 
@@ -268,7 +298,7 @@ def verified(texts: DataFrame, rule: Rule, levels: Broadcast, every: bool) -> Da
         rows = rows.take(pa.array(first))
         batches = rows.select(["text"]).combine_chunks().to_batches()
         own = [s for batch in batches for part in slices(batch, "text") for s in shingle_sets(part.column("text"), rule.size)]
-        a, b = similar_pairs(own, rows.column("side").to_numpy(), rule, levels.value)
+        a, b = similar_pairs(own, rows.column("side").to_numpy(), rule, rarity.value)
         n = np.ones(len(a), np.int64)
         if not every:
             number = np.bincount(np.concatenate((a, b)), minlength=len(own))
@@ -307,8 +337,8 @@ def join(docs: DataFrame, rule: Rule = Rule(), *, every: bool = True) -> Join:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = docs.withColumn("text_id", F.xxhash64("text"))
     with temporary(docs.sparkSession) as keep:
-        levels = count_sketch(docs, rule.size)
-        rows = prefixes(docs, rule, levels).select("doc_id", "text_id", "n_shingles", "prefix", F.expr(CLASS))
+        rarity = count_rarity(docs, rule.size)
+        rows = prefixes(docs, rule, rarity).select("doc_id", "text_id", "n_shingles", "prefix", F.expr(CLASS))
         rows = materialise(rows, "prefixes")
         base = keep(rows.select("doc_id", "n_shingles", "class"), "sets")
         named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -318,7 +348,7 @@ def join(docs: DataFrame, rule: Rule = Rule(), *, every: bool = True) -> Join:
         members = keep(named.select("class", "doc_id").distinct().join(rep, "class"), "members")
         tasks = _tasks(_buckets(named, first, rule), rule).join(first, "class")
         texts = docs.join(_broadcastable(materialise(tasks, "tasks")), ["doc_id", "text_id"])
-        return Join(base, members, keep(verified(texts, rule, levels, every), "links"))
+        return Join(base, members, keep(verified(texts, rule, rarity, every), "links"))
 
 
 def _buckets(named: DataFrame, first: DataFrame, rule: Rule) -> DataFrame:

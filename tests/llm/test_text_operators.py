@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -168,6 +169,21 @@ def test_links_and_their_number(spark, texts, block, monkeypatch):
     assert {r.doc_id: r.n_links for r in jaccard.link_counts(docs, rule).collect()} == counts
 
 
+def test_tokens_of_one_document_come_first(spark, monkeypatch):
+    """However crowded the counters are."""
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 4)
+    monkeypatch.setattr(jaccard, "SKETCH_BLOCK", 16)
+    common = " ".join(f"c{i}" for i in range(30))
+    own = [common + "".join(f" d{k}x{i}" for i in range(40)) for k in range(30)]
+    rarity = jaccard.count_rarity(docs_df(spark, own), 4).value
+    sets = list(jaccard.shingle_sets(pa.array(own), 4))
+    shared = np.intersect1d(sets[0], sets[1])
+    assert len(shared) == 27 and rarity.of(shared).min() > 0
+    single = np.setdiff1d(np.concatenate(sets), shared)
+    assert (rarity.of(single) == 0).mean() > 0.5
+    assert not np.isin(jaccard.prefix_of(sets[0], rarity, 10), shared).any()
+
+
 def test_groups_of_odd_rows(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(5, text), (5, text), (5, "q r s t u v"), (2, "q r s t u v"), (None, text), (9, None)], "doc_id long, text string")
