@@ -18,6 +18,7 @@ without doc_id too; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import unicodedata
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 from segrisk.llm.text import slices
 from segrisk.session import materialise
@@ -42,103 +43,114 @@ END_TOKEN = 1
 UNIT = 32
 PATTERN_PIECES = 3
 NNLS_ROUNDS = 400
-CACHE_WORDS = 200_000  # words and parts of words whose ids a task remembers
-CACHE_PARTS = 300_000
+CACHE_PARTS = 500_000  # parts of texts whose ids a task remembers
 
-# Characters up to U+017F whose class and lower case are beyond doubt; words of others are left to the tokenizer.
-_PLAIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180)) if c != 0x130]
+# Characters up to U+017F whose class and lower case are beyond doubt; words of others are left to the tokenizer, and
+# words with the character that special tokens begin with.
+_PLAIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180)) if c not in (0x3C, 0x130)]
+_SPACE = " \t\n\r\x0b\x0c"  # no normalization reaches across these
 
 
 def _class(*kinds: str) -> str:
     return re.escape("".join(c for c in _PLAIN if unicodedata.category(c)[0] in kinds))
 
 
-_PLAIN_WORD = re.compile(f"[{re.escape(''.join(_PLAIN))}]+")
-# The tokenizer's own split of a word: contractions, letters, single digits, and runs of anything else.
-_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_class('L', 'N')}]+")
+_NOT_PLAIN = re.compile(f"[^{_SPACE}{re.escape(''.join(_PLAIN))}]")
+_OTHER_WORD = re.compile(f"(?<![^{_SPACE}])([{re.escape(''.join(_PLAIN))}]*+[^{_SPACE}]+)")
+# The tokenizer's own split: letters, single digits, contractions, and runs of anything else.
+_PART = re.compile(f"[{_class('L')}]+|[{_class('N')}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_SPACE}{_class('L', 'N')}]+")
 JOINED = 500  # parts encoded as one text
 WORD_END = "</w>"
 
 
+class Numbers(dict):
+    """Numbers of parts in the order in which they were first asked for."""
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        return n
+
+
+@functools.cache
+def _tokenizers(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
+    """The tokenizer, its model for parts that are normalized and split already, and which ids end a part."""
+    tokenizer = Tokenizer.from_file(path)
+    plain = Tokenizer(tokenizer.model)
+    by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_bytes])
+    ids = tokenizer.get_vocab()
+    ends = np.zeros(max(ids.values()) + 1, bool)
+    ends[[i for token, i in ids.items() if token.endswith(WORD_END)]] = True
+    return tokenizer, plain, ends
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space, lower-cases, and encodes the parts of words one by one.
 
-    The ids of a text are then those of its words one after the other. Words and parts seen before are remembered, and
-    new parts are encoded many at a time, which is several times faster and gives the same ids.
+    The ids of a text are then those of its parts one after the other. Parts seen before are remembered, and new ones
+    are encoded many at a time, which is several times faster and gives the same ids.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        # The same model for parts that are normalized and split already.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_bytes])
-        ids = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(ids.values()) + 1, bool)
-        self.ends[[i for token, i in ids.items() if token.endswith(WORD_END)]] = True
-        self.parts: dict[str, bytes] = {}  # ids as 32-bit numbers
-        self._forget_words()
-
-    def _forget_words(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.first = np.zeros(1, np.int64)
+        self.tokenizer, self.plain, self.ends = _tokenizers(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = Numbers()
+        self.first = np.zeros(0, np.int64)  # of the ids of each part
+        self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _encode_joined(self, parts: list[str]) -> None:
-        for a in range(0, len(parts), JOINED):
-            own = parts[a : a + JOINED]
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of new parts, in the order of their numbers."""
+        other = np.fromiter((_NOT_PLAIN.search(p) is not None for p in parts), bool, len(parts))
+        plain = [p for p, o in zip(parts, other.tolist(), strict=True) if not o]
+        found, sizes = [self.ids], [np.zeros(0, np.int64)]
+        for a in range(0, len(plain), JOINED):
+            own = plain[a : a + JOINED]
             (encoded,) = self.plain.encode_batch_fast([" ".join(own)], add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            data = ids.tobytes()
-            self.parts.update((p, data[i:j]) for p, i, j in zip(own, [0, *cuts[:-1]], cuts, strict=True))
-
-    def _learn(self, words: list[bytes]) -> None:
-        split: list[list[str]] = []
-        for word in words:
-            text = word.decode()
-            if word.isalpha():  # ASCII letters only
-                split.append([text])
-            elif word[:-1].isalpha() and word[-1] < 128:  # and something else behind them
-                split.append([text[:-1], text[-1]])
-            elif _PLAIN_WORD.fullmatch(text) and "<|" not in text:
-                split.append(_PART.findall(text.lower()))
-            else:  # only the tokenizer knows its parts
-                split.append([text])
-                if text not in self.parts:
-                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                    self.parts[text] = np.array(ids, "<u4").tobytes()
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {p: self.parts[p] for p in set(itertools.chain.from_iterable(split)) & self.parts.keys()}
-        self._encode_joined(list(set(itertools.chain.from_iterable(split)) - self.parts.keys()))
-        found = [b"".join(map(self.parts.__getitem__, parts)) for parts in split]
-        at = len(self.known)
-        self.known.update(zip(words, range(at, at + len(words)), strict=True))
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(lengths)))
-        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), "<u4")))
+            found.append(np.array(encoded.ids, np.uint32))
+            sizes.append(np.diff(np.flatnonzero(self.ends[found[-1]]), prepend=-1))
+            if len(sizes[-1]) != len(own):
+                raise ValueError("the tokenizer does not mark the ends of words")
+        for i in np.flatnonzero(other):  # only the tokenizer knows their parts
+            found.append(np.array(self.tokenizer.encode(parts[i], add_special_tokens=False).ids, np.uint32))
+            sizes.append(np.array([len(found[-1])]))
+        size = np.concatenate(sizes)
+        first, order = len(self.ids) + np.cumsum(size) - size, np.argsort(np.argsort(other, kind="stable"))
+        self.first, self.size = np.concatenate((self.first, first[order])), np.concatenate((self.size, size[order]))
+        self.ids = np.concatenate(found)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each followed by the end token, and the offset of each text."""
-        # Cut at ASCII white space, where no normalization reaches across; ASCII letters are lower-cased.
-        split = [(t or "").encode().lower().split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self._forget_words()
-        words = list(itertools.chain.from_iterable(split))
-        missing = set(words) - self.known.keys()
-        if missing:
-            self._learn(list(missing))
-        word = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = self.first[word + 1] - self.first[word]
+        if len(self.known) > CACHE_PARTS:
+            self._forget()
+        split = [parts_of(t or "") for t in texts]
+        n_parts = np.cumsum([len(parts) for parts in split], dtype=np.int64)
+        numbers = map(self.known.__getitem__, itertools.chain.from_iterable(split))
+        part = np.fromiter(numbers, np.int64, int(n_parts[-1]) if split else 0)
+        self._learn(list(itertools.islice(self.known, len(self.first), None)))
+        size = self.size[part]
         ends = np.cumsum(size)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[word] - ends + size, size)
-        n_words = np.cumsum([len(ws) for ws in split])
-        upto = np.concatenate(([0], ends))[n_words]
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[part] - ends + size, size)
+        upto = np.concatenate(([0], ends))[n_parts]
         ids = np.insert(self.ids[at], upto, END_TOKEN)
         return ids, np.concatenate(([0], upto + np.arange(1, len(texts) + 1)))
 
 
+def parts_of(text: str) -> list[str]:
+    """The parts of plain words, lower-cased, and all other words whole."""
+    if not _NOT_PLAIN.search(text):
+        return _PART.findall(text.lower())
+    parts = []
+    for i, own in enumerate(_OTHER_WORD.split(text)):  # every second one is such a word
+        if i % 2:
+            parts.append(own)
+        else:
+            parts += _PART.findall(own.lower())
+    return parts
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, part int, nth long"
 
 

@@ -574,6 +574,35 @@ def test_packing(spark, texts):
     assert packing.pack(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_word_tokenizer_equals_the_library():
+    pieces = [
+        "a", "The", "don't", "IT'S", "é", "É", "ſ", "İ", "ŉ", "½", "ж", "日本", "e\u0301", "\u0301", "\U0001F600", "<", "<b>", "|",
+        "<|endoftext|>", "<|EndOfText|>", "<|endof", "12", "!?", "\xa0", "\x1c", "\x85", "\0", " ", "  ", "\n", "\t", "\x0b",
+    ]
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(2000)] + [None, "", " "]
+    tool, library = packing.WordTokenizer(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for _ in range(2):  # the second time from memory
+        ids, offsets = tool.encode(texts)
+        for i, text in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 1]
+    assert tool.encode([])[1].tolist() == [0]
+
+
+def test_word_tokenizer_remembers_parts_whatever_stands_beside_them(monkeypatch):
+    rng = random.Random(10)
+    names = list({"".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(60_000)})
+    texts = [" ".join(f"{n}{mark}" for n in names) for mark in ("", ",", ".", "!", "?")]
+    tool, learned = packing.WordTokenizer(TOKENIZER), []
+    learn = tool._learn
+    monkeypatch.setattr(tool, "_learn", lambda words: (learned.extend(words), learn(words)))
+    first, _ = tool.encode(texts)
+    again, _ = tool.encode(texts)
+    assert (first == again).all() and len(learned) <= len(names) + 4
+    monkeypatch.setattr(packing, "CACHE_PARTS", 100)
+    assert (tool.encode(texts[:1])[0] == first[: len(tool.encode(texts[:1])[0])]).all()
+
+
 def test_plan_places_every_length_once():
     rng = np.random.default_rng(4)
     lengths = np.minimum(4096, rng.lognormal(6, 1, 20_000).astype(int) + 1)
