@@ -28,13 +28,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segrisk.llm.sketch import BLOCKS, partial_blocks, sum_blocks
-from segrisk.llm.text import NOT_SPACE, slices, span_hashes, words
+from segrisk.llm.text import NOT_SPACE, slices, span_hashes, utf8, words
 from segrisk.session import materialise
 
 SLOT_BITS = (20, 20, 22, 22)  # table sizes of the contexts, in the order above
@@ -43,6 +44,7 @@ GATE_COUNTS = (1, 4, 32)
 COUNT_BLOCK = 1 << 13
 WORDS_BROADCAST = 1 << 22  # word counts are broadcast up to this many words, joined by a shuffle beyond it
 WINDOW = 1_000_000  # bytes read at a time; a longer text is read in windows of this size
+BLOCK = 1 << 17  # bytes whose decisions are looked up at a time
 FIRST_STEP, STEP = 16, 512  # decisions between updates, doubled from one to the next
 SCALE = 2048  # log odds are kept as 16-bit multiples of 1 / SCALE
 RATE = 0.005
@@ -145,21 +147,35 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def decisions(data: np.ndarray, code: Code, scored: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
     """Number of decisions per byte (0 where not ``scored``), branch taken, and slot under one context after another."""
+    return _decisions(contexts(data), data, code, scored)
+
+
+def in_blocks(data: np.ndarray, code: Code, scored: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]]:
+    """The decisions of ``BLOCK`` bytes after the other, whose arrays stay in the processor's cache."""
+    hashes = contexts(data)
+    for a in range(0, len(data), BLOCK):
+        own = slice(a, a + BLOCK)
+        yield _decisions([h[own] for h in hashes], data[own], code, scored[own])
+
+
+def _decisions(
+    hashes: list[np.ndarray], data: np.ndarray, code: Code, scored: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
     size = np.where(scored, code.length[data], 0)
-    ends = np.cumsum(size, dtype=np.int32)
-    at = np.repeat(code.first[data] - ends + size, size)
+    byte = np.repeat(np.arange(len(data)), size)  # that the decision belongs to
+    at = (code.first[data] - np.cumsum(size, dtype=np.int32) + size).take(byte)
     at += np.arange(len(at), dtype=np.int32)
-    node = code.node[at]
+    node = code.node.take(at)
 
     def slots() -> Iterator[np.ndarray]:
-        for h, bits in zip(contexts(data), SLOT_BITS, strict=True):
-            mixed = np.repeat(h, size)
+        for h, bits in zip(hashes, SLOT_BITS, strict=True):
+            mixed = h.take(byte)
             mixed ^= node
             mixed *= np.uint32(0x9E3779B1)
             mixed >>= np.uint32(32 - bits)
             yield mixed.view(np.int32)
 
-    return size, code.branch[at], slots()
+    return size, code.branch.take(at), slots()
 
 
 def _scored(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -177,10 +193,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             found = []
             for part in slices(batch, "text"):
                 ids, _, _ = token_ids(part.column("text").to_pylist())
-                found.append(np.unique(ids, return_counts=True))
-            word, at = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
+                at, word = pd.factorize(ids.view(np.int64))
+                found.append((word, np.bincount(at)))
+            at, word = pd.factorize(np.concatenate([w for w, _ in found]))
             n = np.bincount(at, np.concatenate([c for _, c in found])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
 
     return docs.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -195,6 +212,18 @@ def token_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return ids, bounds + np.arange(len(bounds)), tokens
 
 
+def stream_bytes(texts: pa.Array) -> np.ndarray:
+    """How often each byte occurs in the streams of the texts, which need not be made for it."""
+    data, offsets = utf8(texts)
+    counts = np.bincount(data, minlength=256)
+    counts[97:123] += counts[65:91]
+    counts[65:91] = 0
+    counts[~NOT_SPACE] = 0
+    counts[32] += len(words(data, offsets, NOT_SPACE)[0])
+    counts[END] += len(texts)
+    return counts
+
+
 def byte_counts(docs: DataFrame) -> np.ndarray:
     """How often each byte occurs in the streams of all documents."""
 
@@ -202,8 +231,7 @@ def byte_counts(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(256, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offsets, _ = streams(part.column("text").to_pylist())
-                counts += np.bincount(data[_scored(data, offsets)], minlength=256)
+                counts += stream_bytes(part.column("text"))
         yield from partial_blocks(counts, 256)
 
     counts = np.zeros(256, np.int64)
@@ -251,11 +279,7 @@ def train(docs: DataFrame) -> Broadcast:
             for part in slices(batch, "text"):
                 data, offsets, _ = streams(part.column("text").to_pylist())
                 for low, high, scored in pieces_of(data, offsets):
-                    _, branch, slots = decisions(data[low:high], code, scored)
-                    for table, slot in zip(tables, slots, strict=True):
-                        slot *= 2
-                        slot += branch
-                        table += np.bincount(slot, minlength=len(table))
+                    count_into(tables, data[low:high], code, scored)
         yield from partial_blocks(counts, COUNT_BLOCK)
 
     odds = np.zeros(_STARTS[-1], np.int16)
@@ -268,6 +292,15 @@ def train(docs: DataFrame) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
+def count_into(tables: list[np.ndarray], data: np.ndarray, code: Code, scored: np.ndarray) -> None:
+    """Count the branches taken; only the slots met are touched, however large the tables are."""
+    for _, branch, slots in in_blocks(data, code, scored):
+        for table, slot in zip(tables, slots, strict=True):
+            slot *= 2
+            slot += branch
+            np.add.at(table, slot, np.int32(1))
+
+
 def log_odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of slots from how often either branch was taken, as 16-bit numbers, and their gates."""
     n = counts + 0.4
@@ -304,15 +337,20 @@ class Mixer:
         first, count = ends[:-1][order], np.diff(ends)[order]
         weights, refined = self.weights[order], self.refined[order]
         total = np.zeros(len(order))
+        columns, lack = [*x, gate, branch], int(ends[-1]) + STEP - len(branch)
+        if lack > 0:  # the last step of a text reads on behind its end
+            columns = [np.concatenate((v, np.zeros(lack, v.dtype))) for v in columns]
+        spans: dict[int, list[np.ndarray]] = {}  # views of all runs of a step's size
         for t, size in steps(int(count[0])):
-            span = np.arange(size)
             live = int(np.searchsorted(-count, -t))  # texts with more than t decisions
-            inside = span < (count[:live] - t)[:, None]
-            at = np.where(inside, first[:live, None] + t + span, first[:live, None])
-            bit, g = branch[at], gate[at]
+            whole = int(np.searchsorted(-count, -(t + size), side="right"))  # texts with all decisions of the step
             own = np.empty((live, len(x), size), np.float32)
-            for k, values in enumerate(x):
-                own[:, k] = values[at]
+            g, bit = np.empty((live, size), gate.dtype), np.empty((live, size), np.float32)
+            if size not in spans:
+                spans[size] = [np.lib.stride_tricks.sliding_window_view(v, size) for v in columns]
+            begin = first[:live] + t
+            for out, runs in zip((*own.swapaxes(0, 1), g, bit), spans[size], strict=True):
+                out[:] = runs[begin]
             chosen = np.empty((live, len(_GATES), size), np.float32)
             for k in _GATES:
                 np.equal(g, k, out=chosen[:, k], casting="unsafe")
@@ -321,21 +359,40 @@ class Mixer:
             mixed = by_gate[:, 0]
             for k in _GATES[1:]:
                 mixed += by_gate[:, k]
-            np.clip(mixed, -14, 14, out=mixed)
-            p = 1 / (1 + np.exp(-mixed))
-            cell = (mixed * 2 + (BUCKETS // 2 + 0.5)).astype(np.int32)
-            cell += np.arange(live, dtype=np.int32)[:, None] * BUCKETS
+            np.maximum(mixed, np.float32(-14), out=mixed)
+            np.minimum(mixed, np.float32(14), out=mixed)
+            p = np.negative(mixed)
+            np.exp(p, out=p)
+            p += np.float32(1)
+            np.reciprocal(p, out=p)
+            mixed *= np.float32(2)
+            mixed += np.float32(BUCKETS // 2 + 0.5)
+            cell = mixed.astype(np.intp)
+            cell += np.arange(live)[:, None] * BUCKETS
             table = refined[:live].reshape(-1)
-            held = table[cell]
-            chance = np.abs((p + held) / 2 + (bit - np.float32(1)))  # of the branch that was taken; both add up to 1
-            total[:live] += (np.log(np.maximum(chance, np.float32(1e-7))) * inside).sum(1)
-            error = (bit - p) * inside
+            chance = table.take(cell)
+            chance += p
+            chance *= np.float32(0.5)
+            chance += bit - np.float32(1)
+            np.abs(chance, out=chance)  # of the branch that was taken; both add up to 1
+            np.maximum(chance, np.float32(1e-7), out=chance)
+            error = bit - p
+            cell *= 2
+            cell += bit.astype(np.uint8)
+            if whole < live:  # decisions of other texts count for nothing
+                outside = np.arange(size) >= (count[whole:live] - t)[:, None]
+                chance[whole:][outside] = 1
+                error[whole:][outside] = 0
+                cell[whole:][outside] = 2 * len(table)
+            total[:live] += np.log(chance, out=chance).sum(1)
             chosen *= error[:, None]
             weights[:live] += RATE * np.matmul(chosen, own.transpose(0, 2, 1))
-            moves = np.bincount(cell.reshape(-1), ((bit - held) * inside).reshape(-1), minlength=len(table))
-            met = np.bincount(cell.reshape(-1), inside.reshape(-1), minlength=len(table))
+            # Per cell, how often either branch was taken.
+            met = np.bincount(cell.reshape(-1), minlength=2 * len(table))[: 2 * len(table)].reshape(-1, 2)
+            n = met[:, 0] + met[:, 1]
+            moves = met[:, 1] * (1 - table).astype(np.float64) - met[:, 0] * table.astype(np.float64)
             # Never past the mean of the step's branches, so it stays a probability.
-            refined[:live] += (moves / (met + 1 / REFINE_RATE)).reshape(live, BUCKETS)
+            refined[:live] += (moves / (n + 1 / REFINE_RATE)).reshape(live, BUCKETS)
         self.weights[order], self.refined[order] = weights, refined
         out = np.empty(len(order))
         out[order] = total
@@ -351,20 +408,25 @@ def score_texts(texts: list[str | None], model: Tables) -> tuple[np.ndarray, np.
     scores = np.zeros(len(texts))
     mixer, current = None, -1
     for low, high, scored in pieces_of(data, offsets):
-        size, branch, slots = decisions(data[low:high], model.code, scored)
-        x = []
-        for k, slot in enumerate(slots):
-            x.append(model.odds[_STARTS[k] : _STARTS[k + 1]][slot] * np.float32(1 / SCALE))
-            if k == GATE:
-                gate = model.gates[slot]
-        ends = np.concatenate(([0], np.cumsum(size)))
+        ends = np.concatenate(([0], np.cumsum(np.where(scored, model.code.length[data[low:high]], 0))))
+        n = int(ends[-1])
+        x, branch = [np.zeros(n + STEP, np.float32) for _ in SLOT_BITS], np.zeros(n + STEP, np.float32)
+        gate, at = np.zeros(n + STEP, np.uint8), 0
+        for _, taken, slots in in_blocks(data[low:high], model.code, scored):
+            own = slice(at, at + len(taken))
+            branch[own] = taken
+            for k, slot in enumerate(slots):
+                slot = slot.astype(np.intp)
+                np.multiply(model.odds[_STARTS[k] : _STARTS[k + 1]].take(slot), np.float32(1 / SCALE), out=x[k][own])
+                if k == GATE:
+                    gate[own] = model.gates.take(slot)
+            at = own.stop
         a = int(np.searchsorted(offsets, low, side="right")) - 1
         b = int(np.searchsorted(offsets, high, side="left"))
         if mixer is None or b - a > 1 or a != current:  # a window of the same long text goes on with its state
             mixer, current = Mixer(b - a), a
         inner = ends[offsets[a + 1 : b] - low]
-        bounds = np.concatenate(([0], inner, [len(branch)]))
-        scores[a:b] += mixer.read(x, gate, branch.astype(np.float32), bounds)
+        scores[a:b] += mixer.read(x, gate, branch, np.concatenate(([0], inner, [n])))
     return scores / np.log(10), np.diff(offsets) - len(PAD)
 
 
@@ -388,8 +450,10 @@ def unigram_scores(docs: DataFrame, counts: DataFrame, total: int, distinct: int
                 for part in slices(batch, "text"):
                     ids, bounds, tokens = token_ids(part.column("text").to_pylist())
                     # Each word once and in order: the table is read from front to back.
-                    own, back = np.unique(ids.view(np.int64), return_inverse=True)
-                    at = np.minimum(np.searchsorted(word, own), max(0, len(word) - 1))
+                    back, own = pd.factorize(ids.view(np.int64))
+                    order = np.argsort(own)
+                    at = np.empty(len(own), np.int64)
+                    at[order] = np.minimum(np.searchsorted(word, own[order]), max(0, len(word) - 1))
                     c = np.where(word[at] == own, n[at], 0) if len(word) else np.zeros(len(own), np.int64)
                     c = c[back]
                     sums = [np.add.reduceat(v, bounds[:-1]) for v in ((c > 0).astype(np.int64), terms(c))]

@@ -491,6 +491,22 @@ def test_long_texts_are_scored_in_windows(monkeypatch):
     assert n.tolist() == m.tolist() and parts[1] == pytest.approx(whole[1]) and parts[0] == pytest.approx(whole[0], rel=0.02)
 
 
+def test_stream_bytes_and_counts_need_no_pass_over_the_tables(monkeypatch):
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(40)) for _ in range(50)] + [None, "", "  A\tB\x0b\x1cÉé\n", "ZZ zz", "\r"]
+    data, offsets, _ = lm.streams(texts)
+    scored = lm._scored(data, offsets)
+    expected = np.bincount(data[scored], minlength=256)
+    assert (lm.stream_bytes(pa.array(texts)) == expected).all() and lm.stream_bytes(pa.array([], pa.string())).sum() == 0
+    code = lm.Code(expected)
+    tables = [np.zeros(2 << b, np.int32) for b in lm.SLOT_BITS]
+    monkeypatch.setattr(lm, "BLOCK", 100)  # block borders inside words
+    lm.count_into(tables, data, code, scored)
+    _, branch, slots = lm.decisions(data, code, scored)
+    for table, slot in zip(tables, slots, strict=True):
+        assert (table == np.bincount(2 * slot.astype(np.int64) + branch, minlength=len(table))).all()
+
+
 # Fingerprints
 
 
