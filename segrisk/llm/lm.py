@@ -24,8 +24,10 @@ count as often as they occur. Other columns are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segrisk.llm.sketch import BLOCKS, partial_blocks, sum_blocks
-from segrisk.llm.text import NOT_SPACE, slices, span_hashes, utf8, words
+from segrisk.llm.text import LOWER, NOT_SPACE, slices, span_hashes, utf8, words
 from segrisk.session import materialise
 
 SLOT_BITS = (20, 20, 22, 22)  # table sizes of the contexts, in the order above
@@ -43,8 +45,14 @@ GATE = 2  # the context whose count chooses the weights, and the counts at which
 GATE_COUNTS = (1, 4, 32)
 COUNT_BLOCK = 1 << 13
 WORDS_BROADCAST = 1 << 22  # word counts are broadcast up to this many words, joined by a shuffle beyond it
-WINDOW = 1_000_000  # bytes read at a time; a longer text is read in windows of this size
-BLOCK = 1 << 17  # bytes whose decisions are looked up at a time
+WORDS_HELD = 1 << 19  # words that a task counts before it passes them on, in batches of WORD_ROWS
+WORD_ROWS = 1 << 16
+WINDOW = 1_000_000  # a longer text is read in windows of this size
+GROUP = 1 << 16  # bytes of shorter texts whose contexts are hashed at a time
+BLOCK = 1 << 14  # bytes whose decisions are looked up at a time
+LANES = 32  # texts mixed at a time
+SCORED = 2_000_000  # bytes of texts that are sorted by length before they are mixed
+COUNTED = 1 << 21  # bytes whose contexts are sorted at a time in training
 FIRST_STEP, STEP = 16, 512  # decisions between updates, doubled from one to the next
 SCALE = 2048  # log odds are kept as 16-bit multiples of 1 / SCALE
 RATE = 0.005
@@ -55,6 +63,7 @@ REFINE_RATE = 1 / 256
 
 END = 10
 PAD = b"\n\n\n\n"
+LOW = 0 if sys.byteorder == "little" else 1  # the lower half of a 64-bit key among its two
 _SIZES = [1 << b for b in SLOT_BITS]
 _STARTS = np.concatenate(([0], np.cumsum(_SIZES)))
 _NODE_HASH = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint32)
@@ -89,8 +98,8 @@ class Code:
                 at, branch = parent[at]
                 path.append((at - 256, branch))
             paths.append(path[::-1])
-        self.length = np.array([len(p) for p in paths], np.int32)
-        self.first = np.concatenate(([0], np.cumsum(self.length)[:-1])).astype(np.int32)
+        self.length = np.array([len(p) for p in paths])
+        self.first = np.concatenate(([0], np.cumsum(self.length)[:-1]))
         self.node = _NODE_HASH[[n for p in paths for n, _ in p]]
         self.branch = np.array([b for p in paths for _, b in p], np.uint8)
 
@@ -110,24 +119,31 @@ def contexts(data: np.ndarray) -> list[np.ndarray]:
     border = np.flatnonzero((data == 32) | (data == END)) + 1
     begin = np.concatenate(([0], border[border < n]))
     size = np.diff(np.concatenate((begin, [n])))
-    word = (sums - np.repeat(sums[begin], size)) * np.repeat(inverses[begin], size)
-    script = np.repeat(_last_wide(data)[begin], size) * np.uint32(0x297A2D39)
+    per_word = np.zeros((len(begin), 4), np.uint32)
+    per_word[:, 0], per_word[:, 1] = sums[begin], inverses[begin]
+    per_word[:, 2] = _last_wide(data, begin) * np.uint32(0x297A2D39)
+    per_word = np.repeat(per_word, size, axis=0)
+    word = sums - per_word[:, 0]
+    word *= per_word[:, 1]
+    script = per_word[:, 2]
     out = []
     for salt, values in enumerate((two + script, four, word, word + script)):
-        h = (values + np.uint32(salt)) * np.uint32(0x85EBCA6B)
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)
-        out.append(h ^ (h >> np.uint32(13)))
+        h = values + np.uint32(salt)
+        h *= np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(13)
+        out.append(h)
     return out
 
 
-def _last_wide(data: np.ndarray) -> np.ndarray:
-    """The first two bytes of the last character beyond ASCII before each byte of its text, 0 if there is none.
+def _last_wide(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first two bytes of the last character beyond ASCII before each place in its text, 0 if there is none.
 
     It tells languages and scripts apart. ``END`` bytes separate the texts.
     """
-    index = np.arange(1, len(data) + 1, dtype=np.int32)
-    mark = np.where((data >= 0xC0) | (data == END), index, 0)
-    at = np.concatenate(([0], np.maximum.accumulate(mark)[:-1]))
+    marks = np.flatnonzero((data >= 0xC0) | (data == END))
+    at = np.concatenate(([0], marks + 1))[np.searchsorted(marks, places)]
     lead = data[at - 1].astype(np.uint32)
     following = data[np.minimum(at, len(data) - 1)]
     return np.where((at > 0) & (lead >= 0xC0), (lead << np.uint32(8)) | following, np.uint32(0))
@@ -147,7 +163,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def decisions(data: np.ndarray, code: Code, scored: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
     """Number of decisions per byte (0 where not ``scored``), branch taken, and slot under one context after another."""
-    return _decisions(contexts(data), data, code, scored)
+    return _decisions(contexts(data), SLOT_BITS, data, code, scored)
 
 
 def in_blocks(data: np.ndarray, code: Code, scored: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]]:
@@ -155,20 +171,22 @@ def in_blocks(data: np.ndarray, code: Code, scored: np.ndarray) -> Iterator[tupl
     hashes = contexts(data)
     for a in range(0, len(data), BLOCK):
         own = slice(a, a + BLOCK)
-        yield _decisions([h[own] for h in hashes], data[own], code, scored[own])
+        yield _decisions([h[own] for h in hashes], SLOT_BITS, data[own], code, scored[own])
 
 
 def _decisions(
-    hashes: list[np.ndarray], data: np.ndarray, code: Code, scored: np.ndarray
+    hashes: list[np.ndarray], table_bits: Sequence[int], data: np.ndarray, code: Code, scored: np.ndarray | bool
 ) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
-    size = np.where(scored, code.length[data], 0)
+    size = code.length.take(data)
+    size *= scored
     byte = np.repeat(np.arange(len(data)), size)  # that the decision belongs to
-    at = (code.first[data] - np.cumsum(size, dtype=np.int32) + size).take(byte)
-    at += np.arange(len(at), dtype=np.int32)
+    at = (code.first.take(data) - np.cumsum(size) + size).take(byte)
+    at += np.arange(len(at))
+
     node = code.node.take(at)
 
     def slots() -> Iterator[np.ndarray]:
-        for h, bits in zip(hashes, SLOT_BITS, strict=True):
+        for h, bits in zip(hashes, table_bits, strict=True):
             mixed = h.take(byte)
             mixed ^= node
             mixed *= np.uint32(0x9E3779B1)
@@ -188,38 +206,60 @@ def _scored(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): a hash of every word, and of the end mark, with its number of tokens."""
 
+    def rows(word: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(word), WORD_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(v[a : a + WORD_ROWS]) for v in (word, n)], names=["word", "n"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, new = 0, []  # words of the first entry of ``new``, which are distinct
         for batch in batches:
-            found = []
             for part in slices(batch, "text"):
-                ids, _, _ = token_ids(part.column("text").to_pylist())
+                ids, _, _ = token_ids(part.column("text"))
                 at, word = pd.factorize(ids.view(np.int64))
-                found.append((word, np.bincount(at)))
-            at, word = pd.factorize(np.concatenate([w for w, _ in found]))
-            n = np.bincount(at, np.concatenate([c for _, c in found])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+                new.append((word, np.bincount(at)))
+            if sum(len(word) for word, _ in new) - known > WORDS_HELD:
+                new = [added_up(new)]
+                known = len(new[0][0])
+                if known > WORDS_HELD:
+                    yield from rows(*new[0])
+                    known, new = 0, []
+        if new:
+            yield from rows(*added_up(new))
 
     return docs.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def token_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def added_up(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once, and the sum of its numbers."""
+    at, word = pd.factorize(np.concatenate([w for w, _ in found]))
+    return word, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
+
+
+def token_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens, the number of the first token of each text, and of tokens per text."""
-    data, offsets, tokens = streams(texts)
+    data, offsets = utf8(texts)
+    data = LOWER.take(data)
     starts, ends, bounds = words(data, offsets, NOT_SPACE)
     ids = span_hashes(data, starts, ends)
     # One end mark per text, behind its words.
     ids = np.insert(ids, bounds[1:], np.uint64(0))
-    return ids, bounds + np.arange(len(bounds)), tokens
+    return ids, bounds + np.arange(len(bounds)), np.diff(bounds) + 1
 
 
 def stream_bytes(texts: pa.Array) -> np.ndarray:
     """How often each byte occurs in the streams of the texts, which need not be made for it."""
     data, offsets = utf8(texts)
-    counts = np.bincount(data, minlength=256)
+    counts = np.zeros(256, np.int64)
+    for a in range(0, len(data), GROUP):
+        counts += np.bincount(data[a : a + GROUP], minlength=256)
     counts[97:123] += counts[65:91]
     counts[65:91] = 0
     counts[~NOT_SPACE] = 0
-    counts[32] += len(words(data, offsets, NOT_SPACE)[0])
+    first = np.ones(len(data) + 1, bool)  # bytes behind white space, or the first of a text
+    inside = NOT_SPACE.take(data)
+    np.logical_not(inside, out=first[1:])
+    first[offsets] = True
+    counts[32] += np.count_nonzero(first[:-1] & inside)
     counts[END] += len(texts)
     return counts
 
@@ -241,7 +281,9 @@ def byte_counts(docs: DataFrame) -> np.ndarray:
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(low, high, scored) of pieces of the streams: texts together up to ``WINDOW`` bytes, a longer text in windows.
+    """(low, high, scored) of pieces of the streams: texts together up to ``GROUP`` bytes, a longer text alone.
+
+    A text of more than ``WINDOW`` bytes comes in windows.
 
     A window ends behind a word, and begins with the last bytes of the one before, not scored, for the contexts.
     """
@@ -249,7 +291,7 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int,
     at = 0
     while at < len(offsets) - 1:
         low = int(offsets[at])
-        upto = max(at + 1, int(np.searchsorted(offsets, low + WINDOW, side="right")) - 1)
+        upto = max(at + 1, int(np.searchsorted(offsets, low + min(GROUP, WINDOW), side="right")) - 1)
         high = int(offsets[upto])
         if high - low <= WINDOW:
             yield low, high, scored[low:high]
@@ -275,11 +317,19 @@ def train(docs: DataFrame) -> Broadcast:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * _STARTS[-1], np.int32)
         tables = [counts[2 * a : 2 * b] for a, b in zip(_STARTS[:-1], _STARTS[1:], strict=True)]
+        keys, held = np.empty((len(tables), COUNTED), np.uint64), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets, _ = streams(part.column("text").to_pylist())
                 for low, high, scored in pieces_of(data, offsets):
-                    count_into(tables, data[low:high], code, scored)
+                    if high - low > COUNTED:  # a word without end
+                        count_into(tables, data[low:high], code, scored)
+                        continue
+                    if held + high - low > COUNTED:
+                        count_keys(tables, keys[:, :held], code)
+                        held = 0
+                    held = add_keys(keys, held, data[low:high], scored)
+        count_keys(tables, keys[:, :held], code)
         yield from partial_blocks(counts, COUNT_BLOCK)
 
     odds = np.zeros(_STARTS[-1], np.int16)
@@ -292,13 +342,40 @@ def train(docs: DataFrame) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
+def add_keys(keys: np.ndarray, held: int, data: np.ndarray, scored: np.ndarray) -> int:
+    """Put context and byte of every scored byte behind the ``held`` keys there are, a row per context."""
+    at = np.flatnonzero(scored)
+    byte = data.take(at)
+    upto = held + len(byte)
+    for row, h in zip(keys, contexts(data), strict=True):
+        halves = row[held:upto].view(np.uint32).reshape(-1, 2)
+        halves[:, LOW], halves[:, 1 - LOW] = h.take(at), byte
+    return upto
+
+
+def count_keys(tables: list[np.ndarray], keys: np.ndarray, code: Code) -> None:
+    """Count the branches taken; a byte that comes often under a context is looked up once.
+
+    Only the slots met are touched, however large the tables are. The keys are sorted in place.
+    """
+    for table, bits, row in zip(tables, SLOT_BITS, keys, strict=True):
+        row.sort()
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), row[1:] != row[:-1])))
+        times = np.diff(first, append=len(row)).astype(np.int32)
+        for a in range(0, len(first), BLOCK):
+            own = row[first[a : a + BLOCK]]
+            halves = own.view(np.uint32).reshape(-1, 2)
+            size, branch, slots = _decisions([halves[:, LOW]], [bits], halves[:, 1 - LOW], code, True)
+            for slot in slots:
+                slot *= 2
+                slot += branch
+                np.add.at(table, slot, np.repeat(times[a : a + BLOCK], size))
+
+
 def count_into(tables: list[np.ndarray], data: np.ndarray, code: Code, scored: np.ndarray) -> None:
-    """Count the branches taken; only the slots met are touched, however large the tables are."""
-    for _, branch, slots in in_blocks(data, code, scored):
-        for table, slot in zip(tables, slots, strict=True):
-            slot *= 2
-            slot += branch
-            np.add.at(table, slot, np.int32(1))
+    """Count the branches taken in some data."""
+    keys = np.empty((len(tables), len(data)), np.uint64)
+    count_keys(tables, keys[:, : add_keys(keys, 0, data, scored)], code)
 
 
 def log_odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,6 +391,14 @@ class Tables:
     odds: np.ndarray  # of all slots of all contexts
     gates: np.ndarray  # of the slots of the gate's context
 
+    @cached_property
+    def by_context(self) -> list[np.ndarray]:
+        """The log odds per context; the gate's context has rows of log odds and gate, which are read at once."""
+        odds = self.odds.copy()  # memory of numpy's own, in large pages
+        out = [odds[a:b] for a, b in zip(_STARTS[:-1], _STARTS[1:], strict=True)]
+        out[GATE] = np.stack((out[GATE], self.gates.astype(np.int16)), 1).view(np.int32)[:, 0]
+        return out
+
 
 def steps(count: int) -> Iterator[tuple[int, int]]:
     """Start and size of the steps of ``count`` decisions: short ones first, so that short texts are adapted to."""
@@ -331,33 +416,47 @@ class Mixer:
         grid = (np.arange(BUCKETS, dtype=np.float32) - BUCKETS // 2) / 2
         self.refined = np.tile(1 / (1 + np.exp(-grid)), (lanes, 1)).astype(np.float32)
 
-    def read(self, x: list[np.ndarray], gate: np.ndarray, branch: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Natural log probability of the decisions ``ends[i] .. ends[i + 1]`` of every text i."""
+    def read(
+        self, x: Sequence[np.ndarray], gate: np.ndarray, branch: np.ndarray, ends: np.ndarray, unit: float = 1.0
+    ) -> np.ndarray:
+        """Natural log probability of the decisions ``ends[i] .. ends[i + 1]`` of every text i; ``x`` counts in units."""
         order = np.argsort(ends[:-1] - ends[1:], kind="stable")  # longest first
-        first, count = ends[:-1][order], np.diff(ends)[order]
-        weights, refined = self.weights[order], self.refined[order]
-        total = np.zeros(len(order))
+        first, count = ends[:-1], np.diff(ends)
         columns, lack = [*x, gate, branch], int(ends[-1]) + STEP - len(branch)
         if lack > 0:  # the last step of a text reads on behind its end
             columns = [np.concatenate((v, np.zeros(lack, v.dtype))) for v in columns]
-        spans: dict[int, list[np.ndarray]] = {}  # views of all runs of a step's size
+        runs = {  # views of all runs of a step's size
+            size: [np.lib.stride_tricks.sliding_window_view(v, size) for v in columns]
+            for size in {size for _, size in steps(int(count.max(initial=0)))}
+        }
+        out = np.empty(len(order))
+        for a in range(0, len(order), LANES):  # few at a time: the arrays of a step stay in the processor's cache
+            own = order[a : a + LANES]
+            out[own] = self._read(own, first[own], count[own], runs, unit)
+        return out
+
+    def _read(
+        self, lanes: np.ndarray, first: np.ndarray, count: np.ndarray, runs: dict[int, list[np.ndarray]], unit: float
+    ) -> np.ndarray:
+        """The same for some texts, longest first, whose decisions begin at ``first``."""
+        weights, refined = self.weights[lanes], self.refined[lanes]
+        total = np.zeros(len(lanes))
         for t, size in steps(int(count[0])):
             live = int(np.searchsorted(-count, -t))  # texts with more than t decisions
             whole = int(np.searchsorted(-count, -(t + size), side="right"))  # texts with all decisions of the step
-            own = np.empty((live, len(x), size), np.float32)
-            g, bit = np.empty((live, size), gate.dtype), np.empty((live, size), np.float32)
-            if size not in spans:
-                spans[size] = [np.lib.stride_tricks.sliding_window_view(v, size) for v in columns]
+            own = np.empty((live, len(START_WEIGHTS[0]), size), np.float32)
+            g, bit = np.empty((live, size), np.uint8), np.empty((live, size), np.float32)
             begin = first[:live] + t
-            for out, runs in zip((*own.swapaxes(0, 1), g, bit), spans[size], strict=True):
-                out[:] = runs[begin]
+            for out, found in zip((*own.swapaxes(0, 1), g, bit), runs[size], strict=True):
+                out[:] = found[begin]
             chosen = np.empty((live, len(_GATES), size), np.float32)
             for k in _GATES:
                 np.equal(g, k, out=chosen[:, k], casting="unsafe")
-            by_gate = np.matmul(weights[:live], own)
+            # The unit is a power of 2: it may as well scale the weights, no digit changes.
+            by_gate = np.matmul(weights[:live] * np.float32(unit), own)
             by_gate *= chosen
-            mixed = by_gate[:, 0]
-            for k in _GATES[1:]:
+            mixed = by_gate[:, 0] + by_gate[:, 1]
+            for k in _GATES[2:]:
                 mixed += by_gate[:, k]
             np.maximum(mixed, np.float32(-14), out=mixed)
             np.minimum(mixed, np.float32(14), out=mixed)
@@ -367,8 +466,8 @@ class Mixer:
             np.reciprocal(p, out=p)
             mixed *= np.float32(2)
             mixed += np.float32(BUCKETS // 2 + 0.5)
-            cell = mixed.astype(np.intp)
-            cell += np.arange(live)[:, None] * BUCKETS
+            cell = mixed.astype(np.int32)
+            cell += np.arange(0, live * BUCKETS, BUCKETS, dtype=np.int32)[:, None]
             table = refined[:live].reshape(-1)
             chance = table.take(cell)
             chance += p
@@ -376,9 +475,9 @@ class Mixer:
             chance += bit - np.float32(1)
             np.abs(chance, out=chance)  # of the branch that was taken; both add up to 1
             np.maximum(chance, np.float32(1e-7), out=chance)
-            error = bit - p
+            error = np.subtract(bit, p, out=p)
             cell *= 2
-            cell += bit.astype(np.uint8)
+            cell += bit.astype(np.int32)
             if whole < live:  # decisions of other texts count for nothing
                 outside = np.arange(size) >= (count[whole:live] - t)[:, None]
                 chance[whole:][outside] = 1
@@ -386,86 +485,103 @@ class Mixer:
                 cell[whole:][outside] = 2 * len(table)
             total[:live] += np.log(chance, out=chance).sum(1)
             chosen *= error[:, None]
-            weights[:live] += RATE * np.matmul(chosen, own.transpose(0, 2, 1))
+            weights[:live] += RATE * unit * np.matmul(chosen, own.transpose(0, 2, 1))
             # Per cell, how often either branch was taken.
             met = np.bincount(cell.reshape(-1), minlength=2 * len(table))[: 2 * len(table)].reshape(-1, 2)
             n = met[:, 0] + met[:, 1]
             moves = met[:, 1] * (1 - table).astype(np.float64) - met[:, 0] * table.astype(np.float64)
             # Never past the mean of the step's branches, so it stays a probability.
             refined[:live] += (moves / (n + 1 / REFINE_RATE)).reshape(live, BUCKETS)
-        self.weights[order], self.refined[order] = weights, refined
-        out = np.empty(len(order))
-        out[order] = total
-        return out
+        self.weights[lanes], self.refined[lanes] = weights, refined
+        return total
 
 
 _GATES = np.arange(len(GATE_COUNTS) + 1, dtype=np.uint8)
 
 
+def look_up(
+    data: np.ndarray, scored: np.ndarray, model: Tables, x: np.ndarray, gate: np.ndarray, branch: np.ndarray
+) -> int:
+    """Log odds of every context, gate and branch of all decisions, put into the given arrays; their number."""
+    at = 0
+    for _, taken, slots in in_blocks(data, model.code, scored):
+        own = slice(at, at + len(taken))
+        branch[own] = taken
+        for k, (table, slot) in enumerate(zip(model.by_context, slots, strict=True)):
+            found = table.take(slot)
+            if k == GATE:
+                found = found.view(np.int16)
+                gate[own] = found[1::2]
+                found = found[::2]
+            x[k, own] = found
+        at = own.stop
+    return at
+
+
+_memory: dict[str, np.ndarray] = {}
+
+
+def _columns(use: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds per context, gate and branch of ``n`` decisions and a step behind them, in memory used before."""
+    n += STEP
+    kinds = len(SLOT_BITS)
+    if use not in _memory or len(_memory[use]) < n:
+        _memory[use] = np.empty((n, 2 * kinds + 2), np.uint8)
+    flat = _memory[use].reshape(-1)
+    x, gate, branch = flat[: 2 * kinds * n].view(np.int16).reshape(kinds, n), *flat[2 * kinds * n : (2 * kinds + 2) * n].reshape(2, n)
+    x[:, -STEP:], gate[-STEP:], branch[-STEP:] = 0, 0, 0
+    return x, gate, branch
+
+
 def score_texts(texts: list[str | None], model: Tables) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of every text, and the number of bytes it predicts."""
     data, offsets, _ = streams(texts)
     scores = np.zeros(len(texts))
-    mixer, current = None, -1
+    size = np.diff(offsets)
+    whole = size <= WINDOW
+    n = model.code.length.take(data)
+    for i in range(len(PAD)):
+        n[offsets[:-1] + i] = 0
+    n = np.add.reduceat(n, offsets[:-1], dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
+
+    x, gate, branch = _columns("texts", int(n[whole].sum()))
+    at, mixer, current = 0, None, -1
     for low, high, scored in pieces_of(data, offsets):
-        ends = np.concatenate(([0], np.cumsum(np.where(scored, model.code.length[data[low:high]], 0))))
-        n = int(ends[-1])
-        x, branch = [np.zeros(n + STEP, np.float32) for _ in SLOT_BITS], np.zeros(n + STEP, np.float32)
-        gate, at = np.zeros(n + STEP, np.uint8), 0
-        for _, taken, slots in in_blocks(data[low:high], model.code, scored):
-            own = slice(at, at + len(taken))
-            branch[own] = taken
-            for k, slot in enumerate(slots):
-                slot = slot.astype(np.intp)
-                np.multiply(model.odds[_STARTS[k] : _STARTS[k + 1]].take(slot), np.float32(1 / SCALE), out=x[k][own])
-                if k == GATE:
-                    gate[own] = model.gates.take(slot)
-            at = own.stop
-        a = int(np.searchsorted(offsets, low, side="right")) - 1
-        b = int(np.searchsorted(offsets, high, side="left"))
-        if mixer is None or b - a > 1 or a != current:  # a window of the same long text goes on with its state
-            mixer, current = Mixer(b - a), a
-        inner = ends[offsets[a + 1 : b] - low]
-        scores[a:b] += mixer.read(x, gate, branch, np.concatenate(([0], inner, [n])))
-    return scores / np.log(10), np.diff(offsets) - len(PAD)
-
-
-def unigram_scores(docs: DataFrame, counts: DataFrame, total: int, distinct: int, limit: int) -> DataFrame:
-    """(row_id, n_tokens, n_known, base_score) per row: the smoothed unigram model over whole tokens."""
-    schema = "row_id long, n_tokens long, n_known long, base_score double"
-    floor = total + 0.5 * (distinct + 1)
-
-    def terms(n: np.ndarray) -> np.ndarray:
-        return np.log10((n + 0.5) / floor)
-
-    if distinct <= limit:
-        table = counts.toArrow()
-        word, n = (table.column(c).to_numpy() for c in ("word", "n"))
-        order = np.argsort(word)
-        shared = docs.sparkSession.sparkContext.broadcast((word[order], n[order]))
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            word, n = shared.value
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    ids, bounds, tokens = token_ids(part.column("text").to_pylist())
-                    # Each word once and in order: the table is read from front to back.
-                    back, own = pd.factorize(ids.view(np.int64))
-                    order = np.argsort(own)
-                    at = np.empty(len(own), np.int64)
-                    at[order] = np.minimum(np.searchsorted(word, own[order]), max(0, len(word) - 1))
-                    c = np.where(word[at] == own, n[at], 0) if len(word) else np.zeros(len(own), np.int64)
-                    c = c[back]
-                    sums = [np.add.reduceat(v, bounds[:-1]) for v in ((c > 0).astype(np.int64), terms(c))]
-                    arrays = [part.column("row_id"), *map(pa.array, (tokens, *sums))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["row_id", "n_tokens", "n_known", "base_score"])
-
-        return docs.mapInArrow(look_up, schema)
+        i = int(np.searchsorted(offsets, low + len(PAD), side="right")) - 1
+        if whole[i]:
+            at += look_up(data[low:high], scored, model, x[:, at:], gate[at:], branch[at:])
+            continue
+        if i != current:
+            mixer, current = Mixer(1), i  # a window of the same long text goes on with its state
+        own = _columns("window", int(model.code.length.take(data[low:high][scored]).sum()))
+        m = look_up(data[low:high], scored, model, *own)
+        scores[i] += mixer.read(*own, np.array([0, m]), 1 / SCALE)[0]
+    ends = np.concatenate(([0], np.cumsum(n[whole])))
+    scores[whole] = Mixer(len(ends) - 1).read(x, gate, branch, ends, 1 / SCALE)
+    return scores / np.log(10), size - len(PAD)
+
+
+def unigram(texts: pa.Array, table: tuple[np.ndarray, np.ndarray], floor: float) -> list[np.ndarray]:
+    """n_tokens, n_known and base_score of every text, from the sorted words and their counts."""
+    word, n = table
+    ids, bounds, tokens = token_ids(texts)
+    # Each word once and in order: the table is read from front to back.
+    back, own = pd.factorize(ids.view(np.int64))
+    order = np.argsort(own)
+    at = np.empty(len(own), np.int64)
+    at[order] = np.minimum(np.searchsorted(word, own[order]), max(0, len(word) - 1))
+    c = np.where(word[at] == own, n[at], 0) if len(word) else np.zeros(len(own), np.int64)
+    terms = np.log10((c + 0.5) / floor)
+    return [tokens, *(np.add.reduceat(v.take(back), bounds[:-1]) for v in ((c > 0).astype(np.int64), terms))]
+
+
+def joined_unigram(docs: DataFrame, counts: DataFrame, floor: float) -> DataFrame:
+    """(row_id, n_tokens, n_known, base_score) per row, for more words than are broadcast."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, bounds, _ = token_ids(part.column("text").to_pylist())
+                ids, bounds, _ = token_ids(part.column("text"))
                 rows = part.column("row_id").to_numpy()
                 for i in range(len(rows)):
                     word, n = np.unique(ids[bounds[i] : bounds[i + 1]].view(np.int64), return_counts=True)
@@ -495,18 +611,31 @@ def score_documents(docs: DataFrame, held_out: str, *, limit: int = WORDS_BROADC
     counts = materialise(word_counts(training), "word_counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("word").alias("v")).first()
     model = train(training)
+    floor = sums["n"] + 0.5 * (sums["v"] + 1)
+    table = None
+    if sums["v"] <= limit:
+        word, n = (counts.toArrow().column(c).to_numpy() for c in ("word", "n"))
+        order = np.argsort(word)
+        table = docs.sparkSession.sparkContext.broadcast((word[order], n[order]))
     scored = docs.withColumn("row_id", F.monotonically_increasing_id())
-    base = unigram_scores(scored.select("row_id", "text"), counts, sums["n"], sums["v"], limit)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", WINDOW):
-                own = [part.column(c) for c in ("row_id", "doc_id", "held_out")]
-                arrays = [*own, *map(pa.array, score_texts(part.column("text").to_pylist(), model.value))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row_id", "doc_id", "held_out", "score", "n_bytes"])
-
-    mixed = scored.mapInArrow(work, "row_id long, doc_id long, held_out boolean, score double, n_bytes long")
-    return mixed.join(base, "row_id").select(
+            for part in slices(batch, "text", SCORED):
+                text, found = part.column("text"), [part.column(c) for c in ("row_id", "doc_id", "held_out")]
+                found += map(pa.array, score_texts(text.to_pylist(), model.value))
+                if table:
+                    found += map(pa.array, unigram(text, table.value, floor))
+                yield pa.RecordBatch.from_arrays(found, names=names)
+
+    schema = "row_id long, doc_id long, held_out boolean, score double, n_bytes long"
+    if table:
+        schema += ", n_tokens long, n_known long, base_score double"
+    names = [column.split()[0] for column in schema.split(", ")]
+    found = scored.mapInArrow(work, schema)
+    if not table:
+        found = found.join(joined_unigram(scored.select("row_id", "text"), counts, floor), "row_id")
+    return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(sums["n"]).cast("long").alias("train_tokens"),
         "base_score", "score", "n_bytes",
     )

@@ -14,15 +14,32 @@ BLOCKS = "block long, values binary"
 
 
 def partial_blocks(counters: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
-    """The non-zero blocks of a task's counters, narrow where the counts allow it."""
+    """The non-zero blocks of a task's counters, packed."""
     for a in range(0, len(counters), 64 * block):
         rows = [(i // block, counters[i : i + block]) for i in range(a, min(a + 64 * block, len(counters)), block)]
-        rows = [(i, v.astype(np.int32 if v.max() < 2**31 else np.int64)) for i, v in rows if v.any()]
-        values = [bytes([v.itemsize]) + v.tobytes() for _, v in rows]
-        arrays = [pa.array([i for i, _ in rows], pa.int64()), pa.array(values, pa.binary())]
+        rows = [(i, v) for i, v in rows if v.any()]
+        arrays = [pa.array([i for i, _ in rows], pa.int64()), pa.array([_packed(v) for _, v in rows], pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=["block", "values"])
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """A byte per value; those that do not fit in one are 0 there, and follow with their places behind."""
+    low = values.astype(np.uint8)
+    at = np.flatnonzero(values != low)
+    low[at] = 0
+    return np.int64(len(values)).tobytes() + low.tobytes() + at.astype(np.int32).tobytes() + values[at].astype(np.int64).tobytes()
+
+
+def _add_packed(total: np.ndarray | None, values: bytes) -> np.ndarray:
+    n = int(np.frombuffer(values, np.int64, 1)[0])
+    if total is None:
+        total = np.zeros(n, np.int64)
+    total += np.frombuffer(values, np.uint8, n, 8)
+    more = (len(values) - 8 - n) // 12
+    total[np.frombuffer(values, np.int32, more, 8 + n)] += np.frombuffer(values, np.int64, more, 8 + n + 4 * more)
+    return total
+
+
 def sum_blocks(partial: DataFrame) -> DataFrame:
     """The sum of the partial blocks as 64-bit counts. A task holds the totals of its own blocks only."""
 
@@ -30,8 +47,7 @@ def sum_blocks(partial: DataFrame) -> DataFrame:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(values[1:], np.int32 if values[0] == 4 else np.int64)
-                sums[block] = sums[block] + own if block in sums else own.astype(np.int64)
+                sums[block] = _add_packed(sums.get(block), values)
         if sums:
             arrays = [pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["block", "values"])

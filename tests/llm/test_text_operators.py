@@ -14,7 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from segrisk.llm import chat, chunks, decontaminate, fingerprint, html, jaccard, license_texts, licenses, lm, packing, quality
+from segrisk.llm import chat, chunks, decontaminate, fingerprint, html, jaccard, license_texts, licenses, lm, packing, quality, sketch
 from segrisk.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -507,6 +507,74 @@ def test_stream_bytes_and_counts_need_no_pass_over_the_tables(monkeypatch):
         assert (table == np.bincount(2 * slot.astype(np.int64) + branch, minlength=len(table))).all()
 
 
+def test_equal_bytes_under_a_context_are_looked_up_once(monkeypatch):
+    data, offsets, _ = lm.streams(["many words come often in texts of words"] * 300)
+    scored = lm._scored(data, offsets)
+    code = lm.Code(np.bincount(data, minlength=256))
+    seen, looked_up = [], lm._decisions
+    monkeypatch.setattr(lm, "_decisions", lambda *args: seen.append(len(args[2])) or looked_up(*args))
+    tables = [np.zeros(2 << b, np.int32) for b in lm.SLOT_BITS]
+    lm.count_into(tables, data, code, scored)
+    assert sum(seen) <= len(tables) * offsets[1]
+    assert all(t.sum() == code.length[data[scored]].sum() for t in tables)
+
+
+def test_training_counts_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(60)) for _ in range(40)] + [None, "", "a", "long" * 8000]
+    docs = docs_df(spark, texts).select("text").coalesce(1)
+    whole = lm.train(docs).value
+    for name, value in (("COUNTED", 20_000), ("GROUP", 300)):
+        monkeypatch.setattr(lm, name, value)
+    parts = lm.train(docs).value
+    assert (whole.odds == parts.odds).all() and (whole.gates == parts.gates).all() and whole.odds.any()
+
+
+def test_words_are_counted_beyond_what_a_task_holds(spark, monkeypatch):
+    texts = [" ".join(f"w{i * j % 97}" for j in range(50)) for i in range(40)] + ["", None]
+    docs = docs_df(spark, texts).select("text").coalesce(1)
+    want = {tuple(r) for r in lm.word_counts(docs).collect()}
+    monkeypatch.setattr(lm, "WORDS_HELD", 10)
+    monkeypatch.setattr(lm, "WORD_ROWS", 7)
+    assert {tuple(r) for r in lm.word_counts(docs).collect()} == want
+    assert sum(n for _, n in want) == 40 * 50 + 42 and len(want) == 98
+
+
+def test_mixing_takes_few_texts_of_like_length_at_a_time(monkeypatch):
+    rng = random.Random(2)
+    texts = [prose(rng, rng.randrange(150)) for _ in range(90)] + ["", None, "x"]
+    model = random_tables(5)
+    sizes, read = [], lm.Mixer._read
+    monkeypatch.setattr(lm.Mixer, "_read", lambda self, lanes, first, count, *rest: sizes.append(count) or read(self, lanes, first, count, *rest))
+    scores, n = lm.score_texts(texts, model)
+    assert max(map(len, sizes)) <= lm.LANES and (np.diff(np.concatenate(sizes)) <= 0).all()
+    alone = [lm.score_texts([t], model) for t in texts]
+    assert scores.tolist() == pytest.approx([float(s[0]) for s, _ in alone], rel=1e-6)
+    assert n.tolist() == [int(b[0]) for _, b in alone]
+
+
+def test_a_long_text_among_short_ones(monkeypatch):
+    rng = random.Random(4)
+    texts = ["short text", prose(rng, 900), None, prose(rng, 700), "another"]
+    model = random_tables(6)
+    monkeypatch.setattr(lm, "WINDOW", 1500)
+    scores, _ = lm.score_texts(texts, model)
+    alone = [float(lm.score_texts([t], model)[0][0]) for t in texts]
+    assert scores.tolist() == pytest.approx(alone, rel=1e-6)
+
+
+def test_packed_counters_add_up():
+    rng = np.random.default_rng(1)
+    total, want = None, np.zeros(100, np.int64)
+    for kind, high in ((np.int32, 300), (np.int64, 2**40), (np.int64, 256), (np.int32, 2)):
+        own = rng.integers(0, high, 100).astype(kind)
+        want += own
+        packed = sketch._packed(own)
+        total = sketch._add_packed(total, packed)
+        assert high > 2 or len(packed) == 8 + 100  # a byte for each small count
+    assert (total == want).all()
+
+
 # Fingerprints
 
 
