@@ -259,3 +259,31 @@ def test_far_from_the_zone(spark):
     assert pairs(spark, europe, crash, zone=32) == pairs(spark, europe, crash, zone=None) == {(1, 1)}
     edge = [(1, [[(179.9999, 0.0), (180.0, 0.0)]], None), (2, [[(-180.0, 1.0), (-179.9999, 1.0)]], None)]
     assert pairs(spark, edge, [(1, 180.0, 0.0), (2, -180.0, 1.0)], zone=None) == {(1, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("zone", [17, None])
+def test_pairs_leave_the_join_as_they_are_found(spark, zone):
+    """Where no id repeats in a cell, nothing above the join holds pairs, and both sides are dealt out once."""
+    roads, crashes = random_network(seed=31, n_roads=20, n_crashes=200)
+    joined = spatial_join_pairs(crashes_df(spark, crashes), roads_df(spark, roads), zone=zone)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin")]
+    between = plan[plan.index("SortMergeJoin") : plan.rindex("SortMergeJoin")]
+    assert "Aggregate" not in above and "Exchange" not in above
+    assert between.count("Exchange") == 2
+    found = [tuple(r) for r in joined.collect()]
+    assert len(found) == len(set(found)) > 50 and set(found) == brute_force_pairs(crashes, roads)
+
+
+@pytest.mark.parametrize("zone", [17, None])
+@pytest.mark.parametrize("block_rows", [3, 50_000])
+def test_crashes_of_one_id_in_a_cell_count_as_one(spark, zone, block_rows):
+    """Rows that come twice, ids with several positions beside each other, and crashes without an id."""
+    road = (1, [[(LON, LAT), (LON + 0.001, LAT)]], None)
+    other = (2, [[(LON, LAT), (LON + 0.001, LAT)]], None)
+    here, beside = (LON + 0.0005, LAT), (LON + 0.0005 + 1e-7, LAT + 1e-7)
+    crashes = [(1, *here), (1, *here), (2, *here), (2, *beside), (None, *here), (None, *beside), (None, *here), (3, *beside)]
+    expected = {(i, s) for i in (1, 2, None, 3) for s in (1, 2)}
+    assert pairs(spark, [road, other], crashes, zone=zone, block_rows=block_rows) == expected
+    once = [c for c in crashes if c[0] in (1, 3)]
+    assert pairs(spark, [road, other], once, zone=zone, block_rows=block_rows) == {p for p in expected if p[0] in (1, 3)}
