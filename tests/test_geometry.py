@@ -96,3 +96,18 @@ def test_diagonal_costs_a_line_of_cells(spark):
     assert with_cells(df, 10.0, 64.0).count() < 4 * 1001
     off_globe = spark.createDataFrame([(0.0, 0.0, 1e12, 0.0)], df.schema)
     assert with_cells(off_globe, 10.0, 64.0).count() == 0
+
+
+def test_within_equals_the_distance_to_the_part(spark):
+    """Points before, beside and past parts of any direction, parts without length, and the boundary itself."""
+    rng = np.random.default_rng(5)
+    rows = [(*rng.uniform(-30, 30, 4), *rng.uniform(-40, 40, 2)) for _ in range(2000)]
+    rows += [(0.0, 0.0, 0.0, 0.0, x, 0.0) for x in (0.0, 9.999, 10.0, 10.001)]
+    rows += [(0.0, 0.0, 20.0, 0.0, x, y) for x, y in ((-10.0, 0.0), (30.0, 0.0), (29.999, 0.0), (10.0, 10.0), (0.0, -9.999), (20.0, 10.0))]
+    rows += [(0.0, 0.0, 20.0, 0.0, float("nan"), 0.0)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "x1 double, y1 double, x2 double, y2 double, _x double, _y double")
+    found = [r.near for r in with_direction(df).selectExpr(f"{within(10.0)} AS near").collect()]
+    far = [distance(np.array([x]), np.array([y]), a, b, c, d)[0] for a, b, c, d, x, y in rows]
+    assert found == [d < 10.0 for d in far] and 100 < sum(found) < 1500
+    # Comparisons that most rows fail come before any overshoot is computed.
+    assert "greatest" not in within(10.0)
