@@ -20,6 +20,7 @@ from segrisk.operators.spatial_join import (
     unmatched_crashes,
     with_crash_counts,
 )
+from segrisk.session import ALL_JOIN_KEYS
 
 LON, LAT = -79.4, 43.65
 METRE_N = 1 / 111100  # about one metre northwards
@@ -287,3 +288,43 @@ def test_crashes_of_one_id_in_a_cell_count_as_one(spark, zone, block_rows):
     assert pairs(spark, [road, other], crashes, zone=zone, block_rows=block_rows) == expected
     once = [c for c in crashes if c[0] in (1, 3)]
     assert pairs(spark, [road, other], once, zone=zone, block_rows=block_rows) == {p for p in expected if p[0] in (1, 3)}
+
+
+def test_cube_is_shuffled_in_a_row_per_segment_and_weather(spark):
+    """Hits are added up beside the join, hours are columns of the only rows that are shuffled."""
+    roads, crashes = random_network(seed=32, n_roads=20, n_crashes=200)
+    rows = [(*c, i % 24, "dry") for i, c in enumerate(crashes)]
+    c = spark.createDataFrame(rows, "crash_id long, longitude double, latitude double, hour int, weather string")
+    before = spark.conf.get(ALL_JOIN_KEYS)
+    spark.conf.set(ALL_JOIN_KEYS, "false")
+    try:
+        cube = spatial_join.crash_counts_cube(roads_df(spark, roads), c)
+        plan = cube._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(ALL_JOIN_KEYS, before)
+    above = plan[: plan.rindex("SortMergeJoin")]
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*hour", above)
+    first = above[: above.index("SortMergeJoin")]
+    assert re.findall(r"Exchange (\w+\(\w+)", first) == ["hashpartitioning(ogf_id"]
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "int", "bigint", "string"])
+def test_cube_with_any_hours(spark, kind):
+    """Hours beyond a day, below zero and missing ones; types that are not small whole numbers too."""
+    roads, crashes = random_network(seed=33, n_roads=15, n_crashes=200)
+    hours = [None, 0, 23, 24, 47, -1, -24, 127, 100, -128]
+    if kind == "int":
+        hours += [2**31 - 1, -(2**31)]
+    rows = [(*c, str(h) if (h := hours[i % len(hours)]) is not None else None, ["wet", None][i % 2]) for i, c in enumerate(crashes)]
+    c = spark.createDataFrame(rows, "crash_id long, longitude double, latitude double, hour string, weather string")
+    cube = spatial_join.crash_counts_cube(roads_df(spark, roads), c.withColumn("hour", F.col("hour").cast(kind)))
+    assert dict(cube.dtypes)["hour"] == kind and cube.columns == ["ogf_id", "hour", "weather", "all_hours", "all_weather", "crash_count"]
+    known = {i: (h, w) for i, _, _, h, w in rows}
+    expected = Counter()
+    for i, s in brute_force_pairs(crashes, roads):
+        h, w = known[i]
+        for all_hours in (False, True):
+            for all_weather in (False, True):
+                expected[s, None if all_hours else h, None if all_weather else w, all_hours, all_weather] += 1
+    got = [(r.ogf_id, None if r.hour is None else str(r.hour), r.weather, r.all_hours, r.all_weather, r.crash_count) for r in cube.collect()]
+    assert len(got) == len(expected) > 100 and {g[:5]: g[5] for g in got} == expected
